@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The search library this package re-implements has no stream sources, watermarks or
+state over time; every search is a bounded batch job over training tables. Nothing here
+maps to Structured Streaming, so no streaming operators are provided.
+"""
