@@ -46,6 +46,8 @@ def _distinct_scores(pred: DataFrame, group: list[str], label: str, score: str)
 
 def _below_counts(pred: DataFrame, group: list[str], label: str, score: str, n_buckets: int) -> DataFrame:
     """Distinct-score table with ``_pos_below``/``_neg_below`` = counts at strictly lower scores."""
+    if not group:
+        raise ValueError("group by at least one column (e.g. trial_id)")
     d = _distinct_scores(pred, group, label, score)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = d.groupBy(*group).agg(
@@ -54,7 +56,7 @@ def _below_counts(pred: DataFrame, group: list[str], label: str, score: str, n_b
         F.sum("_neg").alias("_N"),
     )
     # one row per candidate group: bounded by the candidate batch size
-    d = d.join(F.broadcast(cuts), group, "inner") if group else d.crossJoin(cuts)
+    d = d.join(F.broadcast(cuts), group, "inner")
     d = d.withColumn("_bucket", F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(score)))).drop("_cuts")
     bt = d.groupBy(*group, "_bucket").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
     wb = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

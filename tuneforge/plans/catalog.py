@@ -119,3 +119,84 @@ def q_dedupe_candidates(spark: SparkSession, sf: str) -> DataFrame:
     dec = cand.decode_candidates(pos, space, with_defaults=False)
     dd = cand.dedupe_candidates(dec)
     return dd.select(*[F.col(f"params.{c}").alias(c) for c in MLP_COLS], F.col("trial_id").alias("first_key"), "n_positions")
+
+
+# ---------------------------------------------------------------- prediction and scoring
+from tuneforge.operators import scoring  # noqa: E402
+from tuneforge.operators.linear import linear_scores  # noqa: E402
+
+# fixed candidate weights of the scoring fixtures (linear scorer on x1 = quantity/50, x2 = discount)
+REG_CANDS = [
+    {"trial_id": 0, "a": 1.0, "b": 5.0},
+    {"trial_id": 1, "a": 0.5, "b": 0.0},
+    {"trial_id": 2, "a": 1.0, "b": 10.0},
+    {"trial_id": 3, "a": 0.0, "b": 0.0},
+]
+CLS_CANDS = [
+    {"trial_id": 0, "a": 4.0, "b": 20.0, "c": -3.0},
+    {"trial_id": 1, "a": 2.0, "b": 0.0, "c": -1.0},
+    {"trial_id": 2, "a": 0.0, "b": 0.0, "c": 0.0},
+    {"trial_id": 3, "a": 6.0, "b": 40.0, "c": -5.0},
+]
+X1 = F.col("l_quantity") / F.lit(50.0)
+X2 = F.col("l_discount")
+
+
+def _reg_scores(spark, sf, label="reg", split="val"):
+    li = lineitem_planted(spark, sf).withColumn("label", F.col(label))
+    if split:
+        li = li.filter(F.col("split") == split)
+    return linear_scores(li, REG_CANDS, [X1, X2], ["a", "b"])
+
+
+def _cls_proba(spark, sf, split="val", ties=False):
+    li = lineitem_planted(spark, sf).withColumn("label", F.col("cls"))
+    if split:
+        li = li.filter(F.col("split") == split)
+    s = linear_scores(li, CLS_CANDS, [X1, X2], ["a", "b"], intercept="c")
+    p = scoring.sigmoid(F.col("score"))
+    return s.withColumn("score", F.round(p, 1) if ties else p)
+
+
+def q_predict(spark, sf):
+    return _reg_scores(spark, sf).select("trial_id", "key", r6("score").alias("pred"))
+
+
+def q_predict_proba(spark, sf):
+    return _cls_proba(spark, sf).select("trial_id", "key", r6("score").alias("proba"))
+
+
+def q_score_rmse(spark, sf):
+    c = scoring.rmse_cost(_reg_scores(spark, sf), ["trial_id"])
+    return c.select("trial_id", r6("cost").alias("cost"))
+
+
+def q_score_accuracy(spark, sf):
+    p = _cls_proba(spark, sf).withColumn("pred_label", scoring.threshold_label(F.col("score")))
+    return scoring.accuracy_cost(p, ["trial_id"]).select("trial_id", r6("cost").alias("cost"))
+
+
+def q_score_accuracy_rounded(spark, sf):
+    p = _reg_scores(spark, sf, label="cls").withColumn("pred_label", scoring.rounded_label(F.col("score")))
+    return scoring.accuracy_cost(p, ["trial_id"]).select("trial_id", r6("cost").alias("cost"))
+
+
+def q_roc_curve(spark, sf):
+    roc = scoring.roc_curve(_cls_proba(spark, sf, ties=True), ["trial_id"])
+    return roc.select("trial_id", r6("threshold").alias("threshold"), r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
+def q_score_auc(spark, sf):
+    a = scoring.auc_value(_cls_proba(spark, sf, ties=True), ["trial_id"], alias="auc")
+    return a.select("trial_id", r6("auc").alias("auc"), r6(F.lit(1.0) - F.col("auc")).alias("cost"))
+
+
+def q_score_holdout(spark, sf):
+    """Best candidate by validation AUC (first strict minimum of 1-AUC), scored on the test split."""
+    both = _cls_proba(spark, sf, split=None)
+    val = scoring.auc_cost(both.filter(F.col("split") == "val"), ["trial_id"])
+    best = val.agg(F.min(F.struct(F.round("cost", 9).alias("c"), F.col("trial_id").alias("t"))).alias("b"))
+    best = best.select(F.col("b.t").alias("trial_id"), F.col("b.c").alias("val_cost"))
+    test = both.filter(F.col("split") == "test").join(F.broadcast(best.select("trial_id")), "trial_id", "left_semi")
+    t = scoring.auc_value(test, ["trial_id"], alias="test_auc")
+    return t.join(best, "trial_id").select("trial_id", r6("val_cost").alias("val_cost"), r6("test_auc").alias("test_auc"))

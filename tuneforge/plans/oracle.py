@@ -144,3 +144,85 @@ def q_dedupe_candidates() -> str:
     p AS (SELECT key, {", ".join(hashed_positions_sql(space, 60))} FROM li),
     d AS (SELECT key, {dec} FROM p)
     SELECT {names}, min(key) AS first_key, count(*) AS n_positions FROM d GROUP BY {names}"""
+
+
+# ---------------------------------------------------------------- prediction and scoring
+def _values(cands, fields):
+    rows = ", ".join("(" + ", ".join([str(c["trial_id"])] + [f"{float(c[f])!r}::DOUBLE" for f in fields]) + ")" for c in cands)
+    return f"(VALUES {rows}) AS c(trial_id, {', '.join(fields)})"
+
+
+def _reg_pred(label="reg", split="'val'"):
+    from tuneforge.plans.catalog import REG_CANDS
+
+    where = f"WHERE li.split = {split}" if split else ""
+    return f"""pr AS (SELECT c.trial_id, li.key, li.split, li.{label} AS label,
+                         c.a * (li.l_quantity / 50.0::DOUBLE) + c.b * li.l_discount AS score
+                  FROM li, {_values(REG_CANDS, ['a', 'b'])} {where})"""
+
+
+def _cls_pred(split="'val'", ties=False):
+    from tuneforge.plans.catalog import CLS_CANDS
+
+    where = f"WHERE li.split = {split}" if split else ""
+    p = "1.0::DOUBLE / (1.0::DOUBLE + exp(-(c.a * (li.l_quantity / 50.0::DOUBLE) + c.b * li.l_discount + c.c)))"
+    if ties:
+        p = f"round({p}, 1)"
+    return f"""pr AS (SELECT c.trial_id, li.key, li.split, li.cls AS label, {p} AS score
+                  FROM li, {_values(CLS_CANDS, ['a', 'b', 'c'])} {where})"""
+
+
+def _auc_sql(src="pr", alias="auc", extra_where=""):
+    return f"""(SELECT trial_id, sum(pos * (coalesce(nb, 0) + 0.5 * neg)) / (max(P) * max(N)) AS {alias} FROM (
+        SELECT *, sum(neg) OVER (PARTITION BY trial_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb,
+               sum(pos) OVER (PARTITION BY trial_id) AS P, sum(neg) OVER (PARTITION BY trial_id) AS N
+        FROM (SELECT trial_id, score, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS pos,
+                     CAST(sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS DOUBLE) AS neg
+              FROM {src} {extra_where} GROUP BY trial_id, score) d) e GROUP BY trial_id)"""
+
+
+def q_predict():
+    return f"WITH {LI}, {_reg_pred()} SELECT trial_id, key, round(score, 6) AS pred FROM pr"
+
+
+def q_predict_proba():
+    return f"WITH {LI}, {_cls_pred()} SELECT trial_id, key, round(score, 6) AS proba FROM pr"
+
+
+def q_score_rmse():
+    return f"WITH {LI}, {_reg_pred()} SELECT trial_id, round(sqrt(avg(pow(label - score, 2))), 6) AS cost FROM pr GROUP BY trial_id"
+
+
+def q_score_accuracy():
+    return f"""WITH {LI}, {_cls_pred()}
+    SELECT trial_id, round(1.0 - avg(CASE WHEN label = (CASE WHEN score > 0.5 THEN 1.0 ELSE 0.0 END) THEN 1.0 ELSE 0.0 END), 6) AS cost
+    FROM pr GROUP BY trial_id"""
+
+
+def q_score_accuracy_rounded():
+    return f"""WITH {LI}, {_reg_pred(label='cls')}
+    SELECT trial_id, round(1.0 - avg(CASE WHEN label = round_even(score, 0) THEN 1.0 ELSE 0.0 END), 6) AS cost
+    FROM pr GROUP BY trial_id"""
+
+
+def q_roc_curve():
+    return f"""WITH {LI}, {_cls_pred(ties=True)},
+    d AS (SELECT trial_id, score, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS pos,
+                 CAST(sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS DOUBLE) AS neg FROM pr GROUP BY trial_id, score),
+    e AS (SELECT *, sum(pos) OVER (PARTITION BY trial_id ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+                 sum(neg) OVER (PARTITION BY trial_id ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+                 sum(pos) OVER (PARTITION BY trial_id) AS P, sum(neg) OVER (PARTITION BY trial_id) AS N FROM d)
+    SELECT trial_id, round(score, 6) AS threshold, round(fp / N, 6) AS fpr, round(tp / P, 6) AS tpr FROM e"""
+
+
+def q_score_auc():
+    return f"""WITH {LI}, {_cls_pred(ties=True)}, a AS {_auc_sql()}
+    SELECT trial_id, round(auc, 6) AS auc, round(1.0 - auc, 6) AS cost FROM a"""
+
+
+def q_score_holdout():
+    return f"""WITH {LI}, {_cls_pred(split=None)},
+    v AS {_auc_sql(extra_where="WHERE split = 'val'")},
+    best AS (SELECT trial_id, round(1.0 - auc, 9) AS val_cost FROM v ORDER BY round(1.0 - auc, 9), trial_id LIMIT 1),
+    t AS {_auc_sql(src="(SELECT * FROM pr WHERE split = 'test' AND trial_id IN (SELECT trial_id FROM best))", alias="test_auc")}
+    SELECT t.trial_id, round(best.val_cost, 6) AS val_cost, round(t.test_auc, 6) AS test_auc FROM t JOIN best USING (trial_id)"""
