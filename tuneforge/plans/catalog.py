@@ -200,3 +200,196 @@ def q_score_holdout(spark, sf):
     test = both.filter(F.col("split") == "test").join(F.broadcast(best.select("trial_id")), "trial_id", "left_semi")
     t = scoring.auc_value(test, ["trial_id"], alias="test_auc")
     return t.join(best, "trial_id").select("trial_id", r6("val_cost").alias("val_cost"), r6("test_auc").alias("test_auc"))
+
+
+# ---------------------------------------------------------------- swarm and search
+from tuneforge.operators import selection  # noqa: E402
+from tuneforge.operators import swarm as sw  # noqa: E402
+from tuneforge.plans import search  # noqa: E402
+
+SWARM_SPACE = {"a": [0, 3, 2], "b": [0, 10, 1]}
+COARSE_SPACE = {"a": [0, 3, 0], "b": [0, 10, 0]}
+
+
+def _val_rows(spark, sf, label="reg"):
+    return lineitem_planted(spark, sf).withColumn("label", F.col(label))
+
+
+def _lin_fit(spark, sf, cost_fn=None):
+    return search.linear_fitness(_val_rows(spark, sf), [X1, X2], ["a", "b"], split="val", cost_fn=cost_fn)
+
+
+def _xcols(prefix, col, n=2):
+    return [r6(F.element_at(col, j + 1)).alias(f"{prefix}{j}") for j in range(n)]
+
+
+def q_swarm_init(spark, sf):
+    space = SearchSpace.from_dict(SWARM_SPACE)
+    s = sw.swarm_init(spark, space, 8, seed=5)
+    s = sw.swarm_evaluate(s, space, _lin_fit(spark, sf))
+    return s.select("pid", *_xcols("x", "x"), *_xcols("v", "v"), r6("cost").alias("cost"))
+
+
+def q_swarm_evaluate(spark, sf):
+    space = SearchSpace.from_dict(COARSE_SPACE)
+    s = sw.swarm_init(spark, space, 20, seed=6)
+    s = sw.swarm_evaluate(s, space, _lin_fit(spark, sf))
+    dec = cand.decode_columns(space, F.col("x"))
+    return s.select("pid", *dec, r6("cost").alias("cost"))
+
+
+def _global_iterations(spark, sf, iters, seed=5, n=8, local_k=None):
+    space = SearchSpace.from_dict(SWARM_SPACE)
+    fit = _lin_fit(spark, sf)
+    s = sw.swarm_init(spark, space, n, seed=seed)
+    snaps = []
+    for it in range(iters):
+        s = sw.swarm_evaluate(s, space, fit)
+        s = sw.personal_best(s)
+        s = sw.global_best(s)
+        if local_k:
+            s = sw.local_best(s, local_k, 2.0)
+        s = search.cut_lineage(s)
+        snaps.append(s.withColumn("iteration", F.lit(it)))
+        if it < iters - 1:
+            s = sw.swarm_move(s, space, it, seed)
+    return space, s, snaps
+
+
+def q_swarm_move(spark, sf):
+    space, s, _ = _global_iterations(spark, sf, 1)
+    m = sw.swarm_move(s, space, 0, 5)
+    return m.select("pid", *_xcols("x", "x"), *_xcols("v", "v"))
+
+
+def q_personal_best(spark, sf):
+    _, s, _ = _global_iterations(spark, sf, 3)
+    return s.select("pid", *_xcols("pb", "pbest_x"), r6("pbest_cost").alias("pbest_cost"))
+
+
+def q_global_best(spark, sf):
+    _, _, snaps = _global_iterations(spark, sf, 3)
+    rows = [x.filter(F.col("pid") == 0).select("iteration", *_xcols("best_x", "gbest_x"), r6("gbest_cost").alias("best_cost")) for x in snaps]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def q_local_best(spark, sf):
+    _, s, _ = _global_iterations(spark, sf, 3, local_k=3)
+    return s.select("pid", *_xcols("nb", "nbest_x"), r6("nbest_cost").alias("nbest_cost"))
+
+
+def q_search_trace(spark, sf):
+    _, _, snaps = _global_iterations(spark, sf, 4)
+    out = None
+    for x in snaps:
+        t = x.select("iteration", "pid", *_xcols("x", "x"), r6("cost").alias("cost"), r6("gbest_cost").alias("best_cost"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def _pso_summary(res: search.SearchResult, space: SearchSpace) -> DataFrame:
+    last = res.trials.filter(F.col("iteration") == res.extra["iterations"] - 1).filter(F.col("pid") == 0)
+    dec = cand.decode_columns(space, F.col("best_x"))
+    return last.select(
+        r6("best_cost").alias("best_cost"), *dec,
+        F.lit(res.attempts).cast("bigint").alias("attempts"),
+        F.lit(res.total_combinations).cast("bigint").alias("total_combinations"),
+    )
+
+
+def q_search_pso(spark, sf):
+    space = SearchSpace.from_dict(SWARM_SPACE)
+    res = search.search_pso(spark, space, _lin_fit(spark, sf), n_particles=5, iterations=10, seed=0)
+    return _pso_summary(res, space)
+
+
+def _mae_cost(scores: DataFrame) -> DataFrame:
+    """A user objective: mean absolute error, any aggregate over (candidate, row) works."""
+    return scores.groupBy("trial_id").agg(F.avg(F.abs(F.col("label") - F.col("score"))).alias("cost"))
+
+
+def q_custom_objective(spark, sf):
+    space = SearchSpace.from_dict(SWARM_SPACE)
+    res = search.search_pso(spark, space, _lin_fit(spark, sf, cost_fn=_mae_cost), n_particles=6, iterations=3, seed=3)
+    return res.history.select("iteration", r6("best_cost").alias("best_cost"))
+
+
+class _NoisyFitness:
+    """Stochastic fitness: RMSE on a fresh hash subsample of validation rows per call."""
+
+    def __init__(self, rows: DataFrame, seed: int = 77, fraction: float = 0.5):
+        self.rows, self.seed, self.fraction, self.calls = rows, seed, fraction, 0
+
+    def __call__(self, cands: DataFrame) -> DataFrame:
+        it = self.calls
+        self.calls += 1
+        sub = self.rows.filter((F.col("split") == "val") & (hash_uniform(self.seed, F.lit(it), F.col("key")) < self.fraction))
+        batch = search.collect_batch(cands, ["a", "b"])
+        return search.rmse_cost(search.linear_scores(sub, batch, [X1, X2], ["a", "b"]), ["trial_id"])
+
+
+def q_elite_retention(spark, sf):
+    space = SearchSpace.from_dict(COARSE_SPACE)
+    res = search.search_pso(spark, space, _NoisyFitness(_val_rows(spark, sf)), n_particles=6, iterations=4, seed=8, elite=True)
+    return res.trials.select("iteration", "pid", r6("raw_cost").alias("raw_cost"), r6("cost").alias("cost"))
+
+
+def _grid_trials(spark, sf):
+    space = linear_space_from_data(spark, sf)
+    return space, search.search_grid(spark, space, _lin_fit(spark, sf))
+
+
+def q_search_grid(spark, sf):
+    _, res = _grid_trials(spark, sf)
+    return res.trials.select("trial_id", r6("a").alias("a"), "b", r6("cost").alias("cost"))
+
+
+def q_search_random(spark, sf):
+    space = linear_space_from_data(spark, sf)
+    res = search.search_random(spark, space, _lin_fit(spark, sf), n_attempts=20, seed=9)
+    return res.trials.select("trial_id", "grid_index", r6("a").alias("a"), "b", r6("cost").alias("cost"))
+
+
+def q_select_best(spark, sf):
+    _, res = _grid_trials(spark, sf)
+    best = selection.select_best(res.trials.select("trial_id", "a", "b", "cost"))
+    return best.select("trial_id", r6("a").alias("a"), "b", r6("cost").alias("cost"))
+
+
+def q_leaderboard(spark, sf):
+    _, res = _grid_trials(spark, sf)
+    lb = selection.leaderboard(res.trials.select("trial_id", "a", "b", "cost"), 10)
+    return lb.select("rank", "trial_id", r6("a").alias("a"), "b", r6("cost").alias("cost"))
+
+
+def q_rebuild_best(spark, sf):
+    """The winning linear model is its parameters: no refit; score it on the test split."""
+    _, res = _grid_trials(spark, sf)
+    best = selection.select_best(res.trials.select("trial_id", "a", "b", "cost"))
+    model = search.collect_batch(best.select("trial_id", F.struct("a", "b").alias("params")), ["a", "b"])
+    test = search.rmse_cost(search.linear_scores(_val_rows(spark, sf).filter(F.col("split") == "test"), model, [X1, X2], ["a", "b"]), ["trial_id"], alias="test_cost")
+    return best.join(test, "trial_id").select("trial_id", r6("a").alias("a"), "b", r6("cost").alias("val_cost"), r6("test_cost").alias("test_cost"))
+
+
+FAILED_SPACE = {"objective": ["squared", "gamma"], "a": [0.5, 1.5, 1], "b": [0, 10, 0]}
+
+
+def q_failed_trials(spark, sf):
+    """Gamma candidates need a strictly positive target; ``reg - 0.75`` is not, so they fail."""
+    space = SearchSpace.from_dict(FAILED_SPACE)
+    rows = _val_rows(spark, sf).withColumn("label", F.col("reg") - F.lit(0.75)).filter(F.col("split") == "val")
+    grid = cand.decode_candidates(cand.grid_enumerate(spark, space), space, with_defaults=False)
+    batch = search.collect_batch(grid, ["a", "b"])
+    scores = linear_scores(rows, batch, [X1, X2], ["a", "b"])
+    # candidate table: bounded by the batch size checked in collect_batch
+    scores = scores.join(F.broadcast(grid.select("trial_id", F.col("params.objective").alias("objective"))), "trial_id")
+    pred = F.when(F.col("objective") == "gamma", F.exp(F.col("score"))).otherwise(F.col("score"))
+    costs = scores.withColumn("pred", pred).groupBy("trial_id", "objective").agg(
+        F.sqrt(F.avg(F.pow(F.col("label") - F.col("pred"), 2))).alias("cost"), F.min("label").alias("min_label"))
+    valid = (F.col("objective") != "gamma") | (F.col("min_label") > 0)
+    marked = selection.mark_failed(costs, valid, F.lit("gamma objective needs a strictly positive target"))
+    out = grid.select("trial_id", F.col("params.a").alias("a"), F.col("params.b").alias("b")).join(marked, "trial_id")
+    return out.select("trial_id", "objective", r6("a").alias("a"), "b", "status", r6("cost").alias("cost"))

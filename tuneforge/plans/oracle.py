@@ -226,3 +226,223 @@ def q_score_holdout():
     best AS (SELECT trial_id, round(1.0 - auc, 9) AS val_cost FROM v ORDER BY round(1.0 - auc, 9), trial_id LIMIT 1),
     t AS {_auc_sql(src="(SELECT * FROM pr WHERE split = 'test' AND trial_id IN (SELECT trial_id FROM best))", alias="test_auc")}
     SELECT t.trial_id, round(best.val_cost, 6) AS val_cost, round(t.test_auc, 6) AS test_auc FROM t JOIN best USING (trial_id)"""
+
+
+# ---------------------------------------------------------------- swarm and search
+W, C1, C2 = 0.7298, 1.49618, 1.49618
+
+
+def _val_rows_sql(label="reg", name="val", split="'val'"):
+    return f"{name} AS (SELECT key, {label} AS label, l_quantity / 50.0::DOUBLE AS x1, l_discount AS x2 FROM li WHERE split = {split})"
+
+
+def _cost_agg(kind="rmse"):
+    score = "(p.a * r.x1 + p.b * r.x2)"
+    if kind == "mae":
+        return f"avg(abs(r.label - {score}))"
+    return f"sqrt(avg(pow(r.label - {score}, 2)))"
+
+
+def pso_sql(space_dict, n, seed, iters, local_k=None, kind="rmse", elite=False, noisy=None, move_last=False):
+    """CTE chain simulating the swarm for ``iters`` iterations (2-D linear-scorer space).
+
+    Produces CTEs ``n{t}`` (state after evaluation + bests of iteration t) and, when
+    ``move_last``, ``s{iters}`` (positions after the last move)."""
+    space = SearchSpace.from_dict(space_dict)
+    D = space.n_dims
+    xs = ", ".join(f"{d.lo!r}::DOUBLE + {U(seed, chr(39) + 'x' + chr(39), 'pid', str(j))} * {float(d.hi - d.lo)!r}::DOUBLE AS x{j}" for j, d in enumerate(space.dims))
+    vs = ", ".join(f"{U(seed, chr(39) + 'v' + chr(39), 'pid', str(j))} AS v{j}" for j in range(D))
+    nulls = ", ".join([f"NULL::DOUBLE AS pb{j}" for j in range(D)] + ["NULL::DOUBLE AS pbc"] + [f"NULL::DOUBLE AS gb{j}" for j in range(D)] + ["NULL::DOUBLE AS gbc"])
+    ctes = [f"s0 AS (SELECT range AS pid, {xs}, {vs}, {nulls} FROM range({n}))"]
+    X = ", ".join(f"x{j}" for j in range(D))
+    V = ", ".join(f"v{j}" for j in range(D))
+    PB = ", ".join(f"pb{j}" for j in range(D))
+    GB = ", ".join(f"gb{j}" for j in range(D))
+    dec = ", ".join(decode_sql(space, [f"x{j}" for j in range(D)]))
+    names = space.names
+    on = " AND ".join(f"d.{nm} = c.{nm}" for nm in names)
+    for t in range(iters):
+        ctes.append(f"d{t} AS (SELECT *, {dec} FROM s{t})")
+        rows = "val"
+        if noisy is not None:
+            nseed, frac = noisy
+            ctes.append(f"vs{t} AS (SELECT * FROM val WHERE {U(nseed, str(t), 'key')} < {frac})")
+            rows = f"vs{t}"
+        ctes.append(f"""c{t} AS (SELECT p.{names[0]} AS a, p.{names[1]} AS b, round({_cost_agg(kind)}, 9) AS cost
+                     FROM (SELECT DISTINCT {names[0]} AS a, {names[1]} AS b FROM d{t}) p, {rows} r GROUP BY p.a, p.b)""")
+        ctes.append(f"e{t} AS (SELECT d.*, c.cost AS cost FROM d{t} d LEFT JOIN c{t} c ON d.{names[0]} = c.a AND d.{names[1]} = c.b)")
+        src = f"e{t}"
+        if elite:
+            ctes.append(f"em{t} AS (SELECT cost AS mc, pid AS mpid, {names[0]} AS ma, {names[1]} AS mb FROM e{t} WHERE cost IS NOT NULL ORDER BY cost, pid LIMIT 1)")
+            if t == 0:
+                ctes.append(f"ea{t} AS (SELECT e.*, e.cost AS raw_cost FROM e{t} e)")
+                ctes.append(f"el{t} AS (SELECT ma AS ea, mb AS eb, mc AS ec FROM em{t})")
+            else:
+                ctes.append(f"""ea{t} AS (SELECT e.* REPLACE (CASE WHEN e.{names[0]} = el.ea AND e.{names[1]} = el.eb AND el.ec IS NOT NULL
+                                      AND (e.cost IS NULL OR e.cost > el.ec) THEN el.ec ELSE e.cost END AS cost), e.cost AS raw_cost
+                              FROM e{t} e LEFT JOIN el{t - 1} el ON true)""")
+                ctes.append(f"""el{t} AS (SELECT CASE WHEN m.mc IS NOT NULL AND (o.ec IS NULL OR m.mc < o.ec) THEN m.ma ELSE o.ea END AS ea,
+                                      CASE WHEN m.mc IS NOT NULL AND (o.ec IS NULL OR m.mc < o.ec) THEN m.mb ELSE o.eb END AS eb,
+                                      CASE WHEN m.mc IS NOT NULL AND (o.ec IS NULL OR m.mc < o.ec) THEN m.mc ELSE o.ec END AS ec
+                              FROM el{t - 1} o FULL JOIN em{t} m ON true)""")
+            src = f"ea{t}"
+        better = "(cost IS NOT NULL AND (pbc IS NULL OR cost < pbc))"
+        pbs = ", ".join(f"CASE WHEN {better} THEN x{j} ELSE pb{j} END AS pb{j}" for j in range(D))
+        raw = ", raw_cost" if elite else ""
+        ctes.append(f"p{t} AS (SELECT pid, {X}, {V}, cost{raw}, {pbs}, CASE WHEN {better} THEN cost ELSE pbc END AS pbc, {GB}, gbc FROM {src})")
+        ctes.append(f"m{t} AS (SELECT pbc AS mc, {', '.join(f'pb{j} AS m{j}' for j in range(D))} FROM p{t} WHERE pbc IS NOT NULL ORDER BY pbc, pid LIMIT 1)")
+        imp = "(m.mc IS NOT NULL AND (p.gbc IS NULL OR m.mc < p.gbc))"
+        gbs = ", ".join(f"CASE WHEN {imp} THEN m.m{j} ELSE p.gb{j} END AS gb{j}" for j in range(D))
+        ctes.append(f"g{t} AS (SELECT p.pid, {', '.join('p.x%d' % j for j in range(D))}, {', '.join('p.v%d' % j for j in range(D))}, p.cost{', p.raw_cost' if elite else ''}, "
+                    f"{', '.join('p.pb%d' % j for j in range(D))}, p.pbc, {gbs}, CASE WHEN {imp} THEN m.mc ELSE p.gbc END AS gbc FROM p{t} p LEFT JOIN m{t} m ON true)")
+        if local_k:
+            dist = " + ".join(f"(i.x{j} - j.x{j}) * (i.x{j} - j.x{j})" for j in range(D))
+            ctes.append(f"""nn{t} AS (SELECT i.pid, j.pid AS jpid, j.pbc AS jc, {', '.join(f'j.pb{q} AS j{q}' for q in range(D))},
+                          row_number() OVER (PARTITION BY i.pid ORDER BY ({dist}), j.pid) AS rk FROM g{t} i, g{t} j)""")
+            ctes.append(f"""nb{t} AS (SELECT pid, jc AS nbc, {', '.join(f'j{q} AS nb{q}' for q in range(D))} FROM
+                          (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY coalesce(jc, 'inf'::DOUBLE), jpid) AS r2
+                           FROM nn{t} WHERE rk <= {local_k}) z WHERE r2 = 1)""")
+            ctes.append(f"n{t} AS (SELECT g.*, {', '.join(f'nb.nb{j}' for j in range(D))}, nb.nbc FROM g{t} g JOIN nb{t} nb USING (pid))")
+        else:
+            ctes.append(f"n{t} AS (SELECT *, {', '.join(f'gb{j} AS nb{j}' for j in range(D))}, gbc AS nbc FROM g{t})")
+        if t < iters - 1 or move_last:
+            vn = ", ".join(
+                f"{W!r}::DOUBLE * v{j} + {C1!r}::DOUBLE * {U(seed, chr(39) + 'r1' + chr(39), str(t), 'pid', str(j))} * (coalesce(pb{j}, x{j}) - x{j})"
+                f" + {C2!r}::DOUBLE * {U(seed, chr(39) + 'r2' + chr(39), str(t), 'pid', str(j))} * (coalesce(nb{j}, x{j}) - x{j}) AS vn{j}"
+                for j in range(D))
+            ctes.append(f"mv{t} AS (SELECT *, {vn} FROM n{t})")
+            xb = []
+            for j, d in enumerate(space.dims):
+                lo, hi, rng = f"{d.lo!r}::DOUBLE", f"{d.hi!r}::DOUBLE", f"{float(d.hi - d.lo)!r}::DOUBLE"
+                xn = f"(x{j} + vn{j})"
+                xb.append(f"CASE WHEN {xn} < {lo} THEN {hi} - ({lo} - {xn}) % {rng} WHEN {xn} > {hi} THEN {lo} + ({xn} - {hi}) % {rng} ELSE {xn} END AS x{j}")
+            ctes.append(f"s{t + 1} AS (SELECT pid, {', '.join(xb)}, {', '.join(f'vn{j} AS v{j}' for j in range(D))}, {PB}, pbc, {GB}, gbc FROM mv{t})")
+    return ",\n".join(ctes)
+
+
+def _swarm_with(space_dict, n, seed, iters, **kw):
+    return f"WITH {LI}, {_val_rows_sql()},\n{pso_sql(space_dict, n, seed, iters, **kw)}\n"
+
+
+def q_swarm_init():
+    from tuneforge.plans.catalog import SWARM_SPACE
+
+    return _swarm_with(SWARM_SPACE, 8, 5, 1) + "SELECT pid, round(x0, 6) AS x0, round(x1, 6) AS x1, round(v0, 6) AS v0, round(v1, 6) AS v1, round(cost, 6) AS cost FROM n0"
+
+
+def q_swarm_evaluate():
+    from tuneforge.plans.catalog import COARSE_SPACE
+
+    return _swarm_with(COARSE_SPACE, 20, 6, 1) + "SELECT pid, a, b, round(cost, 6) AS cost FROM d0 JOIN (SELECT pid, cost FROM e0) USING (pid)"
+
+
+def q_swarm_move():
+    from tuneforge.plans.catalog import SWARM_SPACE
+
+    return _swarm_with(SWARM_SPACE, 8, 5, 1, move_last=True) + "SELECT pid, round(x0, 6) AS x0, round(x1, 6) AS x1, round(v0, 6) AS v0, round(v1, 6) AS v1 FROM s1"
+
+
+def q_personal_best():
+    from tuneforge.plans.catalog import SWARM_SPACE
+
+    return _swarm_with(SWARM_SPACE, 8, 5, 3) + "SELECT pid, round(pb0, 6) AS pb0, round(pb1, 6) AS pb1, round(pbc, 6) AS pbest_cost FROM n2"
+
+
+def q_global_best():
+    from tuneforge.plans.catalog import SWARM_SPACE
+
+    sel = " UNION ALL ".join(
+        f"SELECT {t} AS iteration, round(gb0, 6) AS best_x0, round(gb1, 6) AS best_x1, round(gbc, 6) AS best_cost FROM n{t} WHERE pid = 0"
+        for t in range(3))
+    return _swarm_with(SWARM_SPACE, 8, 5, 3) + sel
+
+
+def q_local_best():
+    from tuneforge.plans.catalog import SWARM_SPACE
+
+    return _swarm_with(SWARM_SPACE, 8, 5, 3, local_k=3) + "SELECT pid, round(nb0, 6) AS nb0, round(nb1, 6) AS nb1, round(nbc, 6) AS nbest_cost FROM n2"
+
+
+def q_search_trace():
+    from tuneforge.plans.catalog import SWARM_SPACE
+
+    sel = " UNION ALL ".join(
+        f"SELECT {t} AS iteration, pid, round(x0, 6) AS x0, round(x1, 6) AS x1, round(cost, 6) AS cost, round(gbc, 6) AS best_cost FROM n{t}"
+        for t in range(4))
+    return _swarm_with(SWARM_SPACE, 8, 5, 4) + sel
+
+
+def q_search_pso():
+    from tuneforge.plans.catalog import SWARM_SPACE
+
+    space = SearchSpace.from_dict(SWARM_SPACE)
+    return _swarm_with(SWARM_SPACE, 5, 0, 10) + (
+        f"SELECT round(gbc, 6) AS best_cost, round_even(gb0, 2) AS a, round_even(gb1, 1) AS b, CAST(50 AS BIGINT) AS attempts, "
+        f"CAST({space.total} AS BIGINT) AS total_combinations FROM n9 WHERE pid = 0")
+
+
+def q_custom_objective():
+    from tuneforge.plans.catalog import SWARM_SPACE
+
+    sel = " UNION ALL ".join(f"SELECT {t} AS iteration, round(min(gbc), 6) AS best_cost FROM n{t}" for t in range(3))
+    return _swarm_with(SWARM_SPACE, 6, 3, 3, kind="mae") + sel
+
+
+def q_elite_retention():
+    from tuneforge.plans.catalog import COARSE_SPACE
+
+    sel = " UNION ALL ".join(f"SELECT {t} AS iteration, pid, round(raw_cost, 6) AS raw_cost, round(cost, 6) AS cost FROM n{t}" for t in range(4))
+    return _swarm_with(COARSE_SPACE, 6, 8, 4, elite=True, noisy=(77, 0.5)) + sel
+
+
+def _grid_cte():
+    return f"""{_val_rows_sql()},
+    top AS (SELECT CAST(ceil(max(reg)) AS BIGINT) AS ta FROM li WHERE split = 'train'),
+    card AS (SELECT ta, CAST(ceil((ta + 0.000001) / 0.1) AS BIGINT) AS na,
+                    CAST(ceil((5 * ta + 0.000001) / 1.0) AS BIGINT) AS nb FROM top),
+    g AS (SELECT range AS trial_id, round_even(round_even(CAST(range // nb AS DOUBLE) * 0.1, 1), 1) AS a,
+                 CAST(round_even(round_even(CAST(range % nb AS DOUBLE) * 1.0, 0), 0) AS BIGINT) AS b FROM card, range(na * nb)),
+    gc AS (SELECT p.trial_id, p.a, p.b, round({_cost_agg()}, 9) AS cost FROM g p, val r GROUP BY p.trial_id, p.a, p.b)"""
+
+
+def q_search_grid():
+    return f"WITH {LI}, {_grid_cte()} SELECT trial_id, round(a, 6) AS a, b, round(cost, 6) AS cost FROM gc"
+
+
+def q_search_random():
+    return f"""WITH {LI}, {_grid_cte()},
+    ri AS (SELECT range AS trial_id, least(CAST(floor({U(9, 'range')} * CAST(na * nb AS DOUBLE)) AS BIGINT), na * nb - 1) AS grid_index FROM card, range(20))
+    SELECT ri.trial_id, ri.grid_index, round(gc.a, 6) AS a, gc.b, round(gc.cost, 6) AS cost FROM ri JOIN gc ON ri.grid_index = gc.trial_id"""
+
+
+def q_select_best():
+    return f"WITH {LI}, {_grid_cte()} SELECT trial_id, round(a, 6) AS a, b, round(cost, 6) AS cost FROM gc ORDER BY cost, trial_id LIMIT 1"
+
+
+def q_leaderboard():
+    return f"""WITH {LI}, {_grid_cte()}
+    SELECT CAST(row_number() OVER (ORDER BY cost, trial_id) AS INTEGER) AS rank, trial_id, round(a, 6) AS a, b, round(cost, 6) AS cost
+    FROM gc ORDER BY cost, trial_id LIMIT 10"""
+
+
+def q_rebuild_best():
+    return f"""WITH {LI}, {_grid_cte()}, {_val_rows_sql(name='tst', split="'test'")},
+    best AS (SELECT * FROM gc ORDER BY cost, trial_id LIMIT 1)
+    SELECT p.trial_id, round(p.a, 6) AS a, p.b, round(p.cost, 6) AS val_cost, round({_cost_agg()}, 6) AS test_cost
+    FROM best p, tst r GROUP BY p.trial_id, p.a, p.b, p.cost"""
+
+
+def q_failed_trials():
+    return f"""WITH {LI},
+    val AS (SELECT key, reg - 0.75::DOUBLE AS label, l_quantity / 50.0::DOUBLE AS x1, l_discount AS x2 FROM li WHERE split = 'val'),
+    g AS (SELECT range AS trial_id, list_extract(['squared', 'gamma'], CAST(range // 121 AS INTEGER) + 1) AS objective,
+                 round_even(round_even(0.5::DOUBLE + CAST((range // 11) % 11 AS DOUBLE) * 0.1::DOUBLE, 1), 1) AS a,
+                 CAST(round_even(CAST(range % 11 AS DOUBLE), 0) AS BIGINT) AS b FROM range(242)),
+    c AS (SELECT p.trial_id, p.objective, p.a, p.b,
+                 sqrt(avg(pow(r.label - CASE WHEN p.objective = 'gamma' THEN exp(p.a * r.x1 + p.b * r.x2) ELSE p.a * r.x1 + p.b * r.x2 END, 2))) AS cost,
+                 min(r.label) AS min_label
+          FROM g p, val r GROUP BY p.trial_id, p.objective, p.a, p.b)
+    SELECT trial_id, objective, round(a, 6) AS a, b,
+           CASE WHEN (objective = 'gamma' AND min_label <= 0) OR cost IS NULL OR isnan(cost) OR isinf(cost) THEN 'failed' ELSE 'ok' END AS status,
+           CASE WHEN (objective = 'gamma' AND min_label <= 0) OR cost IS NULL OR isnan(cost) OR isinf(cost) THEN NULL ELSE round(cost, 6) END AS cost
+    FROM c"""
