@@ -138,22 +138,25 @@ CLS_CANDS = [
     {"trial_id": 2, "a": 0.0, "b": 0.0, "c": 0.0},
     {"trial_id": 3, "a": 6.0, "b": 40.0, "c": -5.0},
 ]
-X1 = F.col("l_quantity") / F.lit(50.0)
-X2 = F.col("l_discount")
+
+
+def _xs():
+    """Linear-scorer inputs: x1 = quantity / 50, x2 = discount (built lazily: needs a session)."""
+    return [F.col("l_quantity") / F.lit(50.0), F.col("l_discount")]
 
 
 def _reg_scores(spark, sf, label="reg", split="val"):
     li = lineitem_planted(spark, sf).withColumn("label", F.col(label))
     if split:
         li = li.filter(F.col("split") == split)
-    return linear_scores(li, REG_CANDS, [X1, X2], ["a", "b"])
+    return linear_scores(li, REG_CANDS, _xs(), ["a", "b"])
 
 
 def _cls_proba(spark, sf, split="val", ties=False):
     li = lineitem_planted(spark, sf).withColumn("label", F.col("cls"))
     if split:
         li = li.filter(F.col("split") == split)
-    s = linear_scores(li, CLS_CANDS, [X1, X2], ["a", "b"], intercept="c")
+    s = linear_scores(li, CLS_CANDS, _xs(), ["a", "b"], intercept="c")
     p = scoring.sigmoid(F.col("score"))
     return s.withColumn("score", F.round(p, 1) if ties else p)
 
@@ -216,7 +219,7 @@ def _val_rows(spark, sf, label="reg"):
 
 
 def _lin_fit(spark, sf, cost_fn=None):
-    return search.linear_fitness(_val_rows(spark, sf), [X1, X2], ["a", "b"], split="val", cost_fn=cost_fn)
+    return search.linear_fitness(_val_rows(spark, sf), _xs(), ["a", "b"], split="val", cost_fn=cost_fn)
 
 
 def _xcols(prefix, col, n=2):
@@ -328,7 +331,7 @@ class _NoisyFitness:
         self.calls += 1
         sub = self.rows.filter((F.col("split") == "val") & (hash_uniform(self.seed, F.lit(it), F.col("key")) < self.fraction))
         batch = search.collect_batch(cands, ["a", "b"])
-        return search.rmse_cost(search.linear_scores(sub, batch, [X1, X2], ["a", "b"]), ["trial_id"])
+        return search.rmse_cost(search.linear_scores(sub, batch, _xs(), ["a", "b"]), ["trial_id"])
 
 
 def q_elite_retention(spark, sf):
@@ -370,7 +373,7 @@ def q_rebuild_best(spark, sf):
     _, res = _grid_trials(spark, sf)
     best = selection.select_best(res.trials.select("trial_id", "a", "b", "cost"))
     model = search.collect_batch(best.select("trial_id", F.struct("a", "b").alias("params")), ["a", "b"])
-    test = search.rmse_cost(search.linear_scores(_val_rows(spark, sf).filter(F.col("split") == "test"), model, [X1, X2], ["a", "b"]), ["trial_id"], alias="test_cost")
+    test = search.rmse_cost(search.linear_scores(_val_rows(spark, sf).filter(F.col("split") == "test"), model, _xs(), ["a", "b"]), ["trial_id"], alias="test_cost")
     return best.join(test, "trial_id").select("trial_id", r6("a").alias("a"), "b", r6("cost").alias("val_cost"), r6("test_cost").alias("test_cost"))
 
 
@@ -383,7 +386,7 @@ def q_failed_trials(spark, sf):
     rows = _val_rows(spark, sf).withColumn("label", F.col("reg") - F.lit(0.75)).filter(F.col("split") == "val")
     grid = cand.decode_candidates(cand.grid_enumerate(spark, space), space, with_defaults=False)
     batch = search.collect_batch(grid, ["a", "b"])
-    scores = linear_scores(rows, batch, [X1, X2], ["a", "b"])
+    scores = linear_scores(rows, batch, _xs(), ["a", "b"])
     # candidate table: bounded by the batch size checked in collect_batch
     scores = scores.join(F.broadcast(grid.select("trial_id", F.col("params.objective").alias("objective"))), "trial_id")
     pred = F.when(F.col("objective") == "gamma", F.exp(F.col("score"))).otherwise(F.col("score"))
@@ -393,3 +396,96 @@ def q_failed_trials(spark, sf):
     marked = selection.mark_failed(costs, valid, F.lit("gamma objective needs a strictly positive target"))
     out = grid.select("trial_id", F.col("params.a").alias("a"), F.col("params.b").alias("b")).join(marked, "trial_id")
     return out.select("trial_id", "objective", r6("a").alias("a"), "b", "status", r6("cost").alias("cost"))
+
+
+# ---------------------------------------------------------------- boosted trees
+from tuneforge.operators import trees  # noqa: E402
+
+TREE_BINS = 16
+
+
+def tree_rows(spark, sf, label="reg", method="uniform", n_bins=TREE_BINS):
+    li = lineitem_planted(spark, sf)
+    rows = load_features(li, LINEITEM_FEATURES, label)
+    binning = trees.fit_binning(rows, len(LINEITEM_FEATURES), n_bins, method, fit_filter=F.col("split") == "train")
+    return trees.apply_binning(rows, binning, len(LINEITEM_FEATURES)), binning
+
+
+# fixed tree-query candidate sets: (objective, learning rates, depth, rounds, subsample, label, score)
+TREE_CASES = {
+    "boosted_stump_round": ("reg:linear", [0.1, 0.3, 0.5, 1.0], 1, 1, 1.0, "reg", "rmse"),
+    "objective_squared": ("reg:linear", [0.3, 1.0], 2, 1, 1.0, "reg", "rmse"),
+    "objective_logistic": ("binary:logistic", [0.3, 1.0], 2, 1, 1.0, "cls", "acc"),
+    "objective_gamma": ("reg:gamma", [0.3, 1.0], 2, 1, 1.0, "reg_positive", "rmse"),
+    "objective_tweedie": ("reg:tweedie", [0.3, 1.0], 2, 1, 1.0, "reg_positive", "rmse"),
+    "row_subsample": ("reg:linear", [0.5, 0.5], 1, 2, [0.7, 0.9], "reg", "rmse"),
+    "boosted_depth2": ("reg:linear", [0.3, 1.0], 2, 2, 1.0, "reg", "rmse"),
+    "shrinkage_step": ("reg:linear", [0.1, 0.5], 1, 3, 1.0, "reg", "rmse"),
+    "early_stopping": ("reg:linear", [1.0, 0.3], 2, 5, 1.0, "reg", "rmse"),
+}
+ES_PATIENCE = 2
+
+
+def tree_case_cands(name):
+    obj, lrs, depth, rounds, sub, _, _ = TREE_CASES[name]
+    subs = sub if isinstance(sub, list) else [sub] * len(lrs)
+    return [{"trial_id": i, "objective": obj, "learning_rate": lr, "max_depth": depth, "n_estimators": rounds, "subsample": s}
+            for i, (lr, s) in enumerate(zip(lrs, subs))]
+
+
+def _tree_case(spark, sf, name, **cfg):
+    _, _, _, _, _, label, score = TREE_CASES[name]
+    binned, binning = tree_rows(spark, sf, label)
+    return trees.fit_boosted_trees(spark, binned, tree_case_cands(name), score, trees.BoostConfig(seed=13, **cfg), binning)
+
+
+def _model_with_cost(res):
+    m = res.model.join(res.costs.select("trial_id", "cost"), "trial_id")
+    return m.select("trial_id", "round", "level", "node", "feature", "bin", r6("leaf_value").alias("leaf_value"), r6("cost").alias("cost"))
+
+
+def q_quantile_bin(spark, sf):
+    li = lineitem_planted(spark, sf)
+    rows = load_features(li, LINEITEM_FEATURES, "reg")
+    b = trees.fit_binning(rows, len(LINEITEM_FEATURES), 32, "quantile", fit_filter=F.col("split") == "train")
+    binned = trees.apply_binning(rows, b, len(LINEITEM_FEATURES))
+    # bin occupancy per feature: the binned table aggregated (rows-only check: approximate quantiles)
+    return binned.select(F.posexplode("bins").alias("feature", "bin")).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_boosted_stump_round(spark, sf):
+    return _model_with_cost(_tree_case(spark, sf, "boosted_stump_round"))
+
+
+def q_objective_squared(spark, sf):
+    return _model_with_cost(_tree_case(spark, sf, "objective_squared"))
+
+
+def q_objective_logistic(spark, sf):
+    return _model_with_cost(_tree_case(spark, sf, "objective_logistic"))
+
+
+def q_objective_gamma(spark, sf):
+    return _model_with_cost(_tree_case(spark, sf, "objective_gamma"))
+
+
+def q_objective_tweedie(spark, sf):
+    return _model_with_cost(_tree_case(spark, sf, "objective_tweedie"))
+
+
+def q_row_subsample(spark, sf):
+    return _model_with_cost(_tree_case(spark, sf, "row_subsample"))
+
+
+def q_boosted_depth2(spark, sf):
+    return _model_with_cost(_tree_case(spark, sf, "boosted_depth2"))
+
+
+def q_shrinkage_step(spark, sf):
+    res = _tree_case(spark, sf, "shrinkage_step")
+    return res.history.select("trial_id", "round", r6("val_cost").alias("val_cost"))
+
+
+def q_early_stopping(spark, sf):
+    res = _tree_case(spark, sf, "early_stopping", early_stopping_rounds=ES_PATIENCE)
+    return res.costs.select("trial_id", r6("cost").alias("cost"), "best_round")

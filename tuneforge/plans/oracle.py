@@ -446,3 +446,158 @@ def q_failed_trials():
            CASE WHEN (objective = 'gamma' AND min_label <= 0) OR cost IS NULL OR isnan(cost) OR isinf(cost) THEN 'failed' ELSE 'ok' END AS status,
            CASE WHEN (objective = 'gamma' AND min_label <= 0) OR cost IS NULL OR isnan(cost) OR isinf(cost) THEN NULL ELSE round(cost, 6) END AS cost
     FROM c"""
+
+
+# ---------------------------------------------------------------- boosted trees
+LAM, MCW, RHO = 1.0, 1.0, 1.5
+
+
+def _kind_sql(obj):
+    from tuneforge.operators.trees import OBJECTIVES
+
+    return OBJECTIVES[obj]
+
+
+def boost_sql(name, seed=13, rounds=None):
+    """CTE chain re-deriving the level-wise booster for one fixed tree case."""
+    from tuneforge.plans.catalog import TREE_BINS, TREE_CASES, tree_case_cands
+
+    obj, _, depth, R, _, label, score = TREE_CASES[name]
+    R = rounds or R
+    kind = _kind_sql(obj)
+    cands = tree_case_cands(name)
+    B = TREE_BINS
+    feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    mm = ", ".join(f"min({c}) AS mn{j}, max({c}) AS mx{j}" for j, c in enumerate(feats))
+    bins = ", ".join(
+        f"CASE WHEN mx{j} > mn{j} THEN CAST(greatest(0, least({B - 1}, floor(({c} - mn{j}) / (mx{j} - mn{j}) * {float(B)}))) AS INTEGER) ELSE 0 END AS b{j}"
+        for j, c in enumerate(feats))
+    rb = " UNION ALL ".join(f"SELECT key, {j} AS j, b{j} AS b FROM rws" for j in range(len(feats)))
+    cvals = ", ".join(f"({c['trial_id']}, {float(c['learning_rate'])!r}::DOUBLE, {float(c['subsample'])!r}::DOUBLE)" for c in cands)
+    if kind == "squared":
+        base = "m"
+    elif kind == "logistic":
+        base = "ln(least(greatest(m, 1e-6), 1 - 1e-6) / (1.0 - least(greatest(m, 1e-6), 1 - 1e-6)))"
+    else:
+        base = "ln(m)"
+    if kind == "squared":
+        gh = "f.f - r.label AS g, 1.0::DOUBLE AS h"
+    elif kind == "logistic":
+        p = "(1.0::DOUBLE / (1.0::DOUBLE + exp(-f.f)))"
+        gh = f"{p} - r.label AS g, greatest({p} * (1.0::DOUBLE - {p}), 1e-16::DOUBLE) AS h"
+    elif kind == "gamma":
+        gh = "1.0::DOUBLE - r.label * exp(-f.f) AS g, r.label * exp(-f.f) AS h"
+    else:
+        e1, e2 = f"exp({1.0 - RHO!r}::DOUBLE * f.f)", f"exp({2.0 - RHO!r}::DOUBLE * f.f)"
+        gh = f"-r.label * {e1} + {e2} AS g, -r.label * {1.0 - RHO!r}::DOUBLE * {e1} + {2.0 - RHO!r}::DOUBLE * {e2} AS h"
+    binof = "CASE b.j " + " ".join(f"WHEN {j} THEN r.b{j}" for j in range(len(feats))) + " END"
+    ctes = [
+        f"bx AS (SELECT {mm} FROM li WHERE split = 'train')",
+        f"rws AS (SELECT key, split, {label} AS label, {bins} FROM li, bx)",
+        f"rb AS ({rb})",
+        f"cand AS (SELECT * FROM (VALUES {cvals}) AS t(trial_id, lr, ss))",
+        "st AS (SELECT avg(label) AS m FROM rws WHERE split = 'train')",
+        f"f0 AS (SELECT r.key, c.trial_id, {base} AS f FROM rws r, cand c, st)",
+    ]
+    for t in range(R):
+        samp = f"(c.ss >= 1.0 OR {U(seed, 'c.trial_id', str(t), 'r.key')} < c.ss)"
+        ctes.append(f"gh{t} AS (SELECT f.key, f.trial_id, {gh} FROM f{t} f JOIN rws r USING (key) JOIN cand c USING (trial_id) WHERE r.split = 'train' AND {samp})")
+        ctes.append(f"n{t}_0 AS (SELECT key, trial_id, 0 AS node FROM f{t})")
+        for L in range(depth):
+            ctes.append(f"""h{t}_{L} AS (SELECT gh.trial_id, n.node, rb.j, rb.b, sum(gh.g) AS G, sum(gh.h) AS H
+                FROM gh{t} gh JOIN n{t}_{L} n USING (key, trial_id) JOIN rb USING (key) GROUP BY gh.trial_id, n.node, rb.j, rb.b)""")
+            ctes.append(f"""s{t}_{L} AS (SELECT *, GT - GL AS GR, HT - HL AS HR,
+                    round(GL * GL / (HL + {LAM}::DOUBLE) + (GT - GL) * (GT - GL) / ((HT - HL) + {LAM}::DOUBLE) - GT * GT / (HT + {LAM}::DOUBLE), 9) AS gain
+                FROM (SELECT *, sum(G) OVER (PARTITION BY trial_id, node, j ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS GL,
+                             sum(H) OVER (PARTITION BY trial_id, node, j ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS HL,
+                             sum(G) OVER (PARTITION BY trial_id, node, j) AS GT, sum(H) OVER (PARTITION BY trial_id, node, j) AS HT
+                      FROM h{t}_{L}) z)""")
+            ctes.append(f"""b{t}_{L} AS (SELECT trial_id, node, j, b FROM (
+                    SELECT *, row_number() OVER (PARTITION BY trial_id, node ORDER BY gain DESC, j, b) AS rn
+                    FROM s{t}_{L} WHERE HL >= {MCW} AND HR >= {MCW} AND gain > 0) z WHERE rn = 1)""")
+            ctes.append(f"""n{t}_{L + 1} AS (SELECT n.key, n.trial_id,
+                    2 * n.node + CASE WHEN b.j IS NOT NULL AND {binof} > b.b THEN 1 ELSE 0 END AS node
+                FROM n{t}_{L} n JOIN rws r USING (key) LEFT JOIN b{t}_{L} b ON b.trial_id = n.trial_id AND b.node = n.node)""")
+        ctes.append(f"""lf{t} AS (SELECT gh.trial_id, n.node, -sum(gh.g) / (sum(gh.h) + {LAM}::DOUBLE) * max(c.lr) AS w
+                FROM gh{t} gh JOIN n{t}_{depth} n USING (key, trial_id) JOIN cand c USING (trial_id) GROUP BY gh.trial_id, n.node)""")
+        ctes.append(f"""f{t + 1} AS (SELECT f.key, f.trial_id, f.f + coalesce(lf.w, 0.0::DOUBLE) AS f
+                FROM f{t} f JOIN n{t}_{depth} n USING (key, trial_id) LEFT JOIN lf{t} lf ON lf.trial_id = n.trial_id AND lf.node = n.node)""")
+        if kind == "squared":
+            pred = "f.f"
+        elif kind == "logistic":
+            pred = "(1.0::DOUBLE / (1.0::DOUBLE + exp(-f.f)))"
+        else:
+            pred = "exp(f.f)"
+        if score == "rmse":
+            vc = f"sqrt(avg(pow(r.label - {pred}, 2)))"
+        else:
+            vc = f"1.0 - avg(CASE WHEN r.label = (CASE WHEN {pred} > 0.5 THEN 1.0 ELSE 0.0 END) THEN 1.0 ELSE 0.0 END)"
+        ctes.append(f"vc{t} AS (SELECT f.trial_id, {t} AS round, {vc} AS val_cost FROM f{t + 1} f JOIN rws r USING (key) WHERE r.split = 'val' GROUP BY f.trial_id)")
+    return ctes, R, depth
+
+
+def _model_sql(name):
+    ctes, R, depth = boost_sql(name)
+    splits = " UNION ALL ".join(
+        f"SELECT trial_id, {t} AS round, {L} AS level, node, j AS feature, b AS bin, NULL::DOUBLE AS leaf_value FROM b{t}_{L}"
+        for t in range(R) for L in range(depth))
+    leaves = " UNION ALL ".join(
+        f"SELECT trial_id, {t} AS round, {depth} AS level, node, NULL::INTEGER AS feature, NULL::INTEGER AS bin, w AS leaf_value FROM lf{t}"
+        for t in range(R))
+    return f"""WITH {LI},
+    {", ".join(ctes)},
+    m AS ({splits} UNION ALL {leaves})
+    SELECT m.trial_id, CAST(m.round AS INTEGER) AS round, CAST(m.level AS INTEGER) AS level, CAST(m.node AS BIGINT) AS node,
+           CAST(m.feature AS INTEGER) AS feature, CAST(m.bin AS INTEGER) AS bin, round(m.leaf_value, 6) AS leaf_value,
+           round(v.val_cost, 6) AS cost
+    FROM m JOIN vc{R - 1} v USING (trial_id)"""
+
+
+def q_boosted_stump_round():
+    return _model_sql("boosted_stump_round")
+
+
+def q_objective_squared():
+    return _model_sql("objective_squared")
+
+
+def q_objective_logistic():
+    return _model_sql("objective_logistic")
+
+
+def q_objective_gamma():
+    return _model_sql("objective_gamma")
+
+
+def q_objective_tweedie():
+    return _model_sql("objective_tweedie")
+
+
+def q_row_subsample():
+    return _model_sql("row_subsample")
+
+
+def q_boosted_depth2():
+    return _model_sql("boosted_depth2")
+
+
+def q_shrinkage_step():
+    ctes, R, _ = boost_sql("shrinkage_step")
+    sel = " UNION ALL ".join(f"SELECT trial_id, CAST(round AS INTEGER) AS round, round(val_cost, 6) AS val_cost FROM vc{t}" for t in range(R))
+    return f"WITH {LI}, {', '.join(ctes)} {sel}"
+
+
+def q_early_stopping():
+    from tuneforge.plans.catalog import ES_PATIENCE
+
+    ctes, R, _ = boost_sql("early_stopping")
+    allv = " UNION ALL ".join(f"SELECT trial_id, round, val_cost FROM vc{t}" for t in range(R))
+    return f"""WITH {LI}, {', '.join(ctes)},
+    h AS ({allv}),
+    rbest AS (SELECT *, min(round(val_cost, 9)) OVER (PARTITION BY trial_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best FROM h),
+    imp AS (SELECT *, CASE WHEN prev_best IS NULL OR round(val_cost, 9) < prev_best THEN round END AS imp_round FROM rbest),
+    br AS (SELECT *, max(imp_round) OVER (PARTITION BY trial_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_round_so_far FROM imp),
+    stop AS (SELECT trial_id, coalesce(min(CASE WHEN round - best_round_so_far >= {ES_PATIENCE} THEN round END), max(round)) AS stop_round FROM br GROUP BY trial_id),
+    fin AS (SELECT br.trial_id, br.best_round_so_far AS best_round FROM br JOIN stop ON br.trial_id = stop.trial_id AND br.round = stop.stop_round)
+    SELECT fin.trial_id, round(h.val_cost, 6) AS cost, CAST(fin.best_round AS INTEGER) AS best_round
+    FROM fin JOIN h ON h.trial_id = fin.trial_id AND h.round = fin.best_round"""
