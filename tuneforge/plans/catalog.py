@@ -489,3 +489,40 @@ def q_shrinkage_step(spark, sf):
 def q_early_stopping(spark, sf):
     res = _tree_case(spark, sf, "early_stopping", early_stopping_rounds=ES_PATIENCE)
     return res.costs.select("trial_id", r6("cost").alias("cost"), "best_round")
+
+
+# ---------------------------------------------------------------- flagship: booster grid search
+FLAGSHIP_SPACE = {
+    "objective": ["reg:linear", "reg:tweedie"],
+    "max_depth": [1, 2, 0],
+    "learning_rate": [0.1, 0.3, 1],
+    "n_estimators": [2, 2, 0],
+}
+FLAGSHIP_OPTIONS = {"binning": "uniform", "n_bins": TREE_BINS, "seed": 13}
+
+
+def flagship_candidates():
+    """The grid of FLAGSHIP_SPACE as decoded dicts (trial order = grid order)."""
+    space = SearchSpace.from_dict(FLAGSHIP_SPACE, default_params("xgboost", "regression"))
+    out, cards = [], space.cardinalities
+    for idx in range(space.total):
+        rem, d = idx, {}
+        for j in reversed(range(space.n_dims)):
+            digit = rem % cards[j]
+            rem //= cards[j]
+            dim = space.dims[j]
+            d[dim.name] = dim.categories[digit] if dim.is_categorical else (
+                int(round(dim.lo + digit * dim.step)) if dim.decimals == 0 else round(dim.lo + digit * dim.step, dim.decimals))
+        out.append(dict(space.defaults, **d, trial_id=idx))
+    return out
+
+
+def q_fit_boosted_trees(spark, sf):
+    from tuneforge.plans.facade import HyperSearch
+
+    li = lineitem_planted(spark, sf)
+    hs = HyperSearch(spark, "xgboost", FLAGSHIP_SPACE, "regression", "rmse", options=FLAGSHIP_OPTIONS)
+    data = hs.prepare(li, LINEITEM_FEATURES, "reg_positive")
+    res = hs.fit_grid(data)
+    return res.trials.select("trial_id", "objective", "max_depth", r6("learning_rate").alias("learning_rate"),
+                             "n_estimators", r6("cost").alias("cost"))

@@ -460,52 +460,60 @@ def _kind_sql(obj):
 
 def boost_sql(name, seed=13, rounds=None):
     """CTE chain re-deriving the level-wise booster for one fixed tree case."""
-    from tuneforge.plans.catalog import TREE_BINS, TREE_CASES, tree_case_cands
+    from tuneforge.plans.catalog import TREE_CASES, tree_case_cands
 
     obj, _, depth, R, _, label, score = TREE_CASES[name]
-    R = rounds or R
-    kind = _kind_sql(obj)
-    cands = tree_case_cands(name)
-    B = TREE_BINS
+    ctes, R2 = boost_sql_cands(tree_case_cands(name), label, score, seed=seed)
+    return ctes, R2, depth
+
+
+def boost_sql_cands(cands, label, score, seed=13, n_bins=None):
+    """Generic booster CTE chain: per-candidate objective, learning rate, depth, rounds, subsample.
+
+    CTEs: ``f{t}`` raw scores after t rounds, ``b{t}_{L}`` chosen splits, ``lf{t}`` leaves,
+    ``vc{t}`` validation cost after round t (only candidates still boosting)."""
+    from tuneforge.plans.catalog import TREE_BINS
+    from tuneforge.operators.trees import OBJECTIVES
+
+    B = n_bins or TREE_BINS
+    R = max(int(c["n_estimators"]) for c in cands)
+    D = max(int(c["max_depth"]) for c in cands)
     feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     mm = ", ".join(f"min({c}) AS mn{j}, max({c}) AS mx{j}" for j, c in enumerate(feats))
     bins = ", ".join(
         f"CASE WHEN mx{j} > mn{j} THEN CAST(greatest(0, least({B - 1}, floor(({c} - mn{j}) / (mx{j} - mn{j}) * {float(B)}))) AS INTEGER) ELSE 0 END AS b{j}"
         for j, c in enumerate(feats))
     rb = " UNION ALL ".join(f"SELECT key, {j} AS j, b{j} AS b FROM rws" for j in range(len(feats)))
-    cvals = ", ".join(f"({c['trial_id']}, {float(c['learning_rate'])!r}::DOUBLE, {float(c['subsample'])!r}::DOUBLE)" for c in cands)
-    if kind == "squared":
-        base = "m"
-    elif kind == "logistic":
-        base = "ln(least(greatest(m, 1e-6), 1 - 1e-6) / (1.0 - least(greatest(m, 1e-6), 1 - 1e-6)))"
-    else:
-        base = "ln(m)"
-    if kind == "squared":
-        gh = "f.f - r.label AS g, 1.0::DOUBLE AS h"
-    elif kind == "logistic":
-        p = "(1.0::DOUBLE / (1.0::DOUBLE + exp(-f.f)))"
-        gh = f"{p} - r.label AS g, greatest({p} * (1.0::DOUBLE - {p}), 1e-16::DOUBLE) AS h"
-    elif kind == "gamma":
-        gh = "1.0::DOUBLE - r.label * exp(-f.f) AS g, r.label * exp(-f.f) AS h"
-    else:
-        e1, e2 = f"exp({1.0 - RHO!r}::DOUBLE * f.f)", f"exp({2.0 - RHO!r}::DOUBLE * f.f)"
-        gh = f"-r.label * {e1} + {e2} AS g, -r.label * {1.0 - RHO!r}::DOUBLE * {e1} + {2.0 - RHO!r}::DOUBLE * {e2} AS h"
+    cvals = ", ".join(
+        f"({c['trial_id']}, '{OBJECTIVES[c['objective']]}', {float(c['learning_rate'])!r}::DOUBLE, {float(c['subsample'])!r}::DOUBLE, "
+        f"{int(c['max_depth'])}, {int(c['n_estimators'])})" for c in cands)
+    ml = "least(greatest(m, 1e-6), 1 - 1e-6)"
+    base = f"CASE c.kind WHEN 'squared' THEN m WHEN 'logistic' THEN ln({ml} / (1.0 - {ml})) ELSE ln(m) END"
+    p = "(1.0::DOUBLE / (1.0::DOUBLE + exp(-f.f)))"
+    e1, e2 = f"exp({1.0 - RHO!r}::DOUBLE * f.f)", f"exp({2.0 - RHO!r}::DOUBLE * f.f)"
+    g = (f"CASE c.kind WHEN 'squared' THEN f.f - r.label WHEN 'logistic' THEN {p} - r.label "
+         f"WHEN 'gamma' THEN 1.0::DOUBLE - r.label * exp(-f.f) ELSE -r.label * {e1} + {e2} END")
+    h = (f"CASE c.kind WHEN 'squared' THEN 1.0::DOUBLE WHEN 'logistic' THEN greatest({p} * (1.0::DOUBLE - {p}), 1e-16::DOUBLE) "
+         f"WHEN 'gamma' THEN r.label * exp(-f.f) ELSE -r.label * {1.0 - RHO!r}::DOUBLE * {e1} + {2.0 - RHO!r}::DOUBLE * {e2} END")
     binof = "CASE b.j " + " ".join(f"WHEN {j} THEN r.b{j}" for j in range(len(feats))) + " END"
     ctes = [
         f"bx AS (SELECT {mm} FROM li WHERE split = 'train')",
         f"rws AS (SELECT key, split, {label} AS label, {bins} FROM li, bx)",
         f"rb AS ({rb})",
-        f"cand AS (SELECT * FROM (VALUES {cvals}) AS t(trial_id, lr, ss))",
+        f"cand AS (SELECT * FROM (VALUES {cvals}) AS t(trial_id, kind, lr, ss, depth, nest))",
         "st AS (SELECT avg(label) AS m FROM rws WHERE split = 'train')",
         f"f0 AS (SELECT r.key, c.trial_id, {base} AS f FROM rws r, cand c, st)",
     ]
+    pred = f"CASE c.kind WHEN 'squared' THEN f.f WHEN 'logistic' THEN {p} ELSE exp(f.f) END"
     for t in range(R):
         samp = f"(c.ss >= 1.0 OR {U(seed, 'c.trial_id', str(t), 'r.key')} < c.ss)"
-        ctes.append(f"gh{t} AS (SELECT f.key, f.trial_id, {gh} FROM f{t} f JOIN rws r USING (key) JOIN cand c USING (trial_id) WHERE r.split = 'train' AND {samp})")
+        ctes.append(f"gh{t} AS (SELECT f.key, f.trial_id, {g} AS g, {h} AS h FROM f{t} f JOIN rws r USING (key) JOIN cand c USING (trial_id) "
+                    f"WHERE r.split = 'train' AND c.nest > {t} AND {samp})")
         ctes.append(f"n{t}_0 AS (SELECT key, trial_id, 0 AS node FROM f{t})")
-        for L in range(depth):
+        for L in range(D):
             ctes.append(f"""h{t}_{L} AS (SELECT gh.trial_id, n.node, rb.j, rb.b, sum(gh.g) AS G, sum(gh.h) AS H
-                FROM gh{t} gh JOIN n{t}_{L} n USING (key, trial_id) JOIN rb USING (key) GROUP BY gh.trial_id, n.node, rb.j, rb.b)""")
+                FROM gh{t} gh JOIN n{t}_{L} n USING (key, trial_id) JOIN rb USING (key) JOIN cand c USING (trial_id)
+                WHERE c.depth > {L} GROUP BY gh.trial_id, n.node, rb.j, rb.b)""")
             ctes.append(f"""s{t}_{L} AS (SELECT *, GT - GL AS GR, HT - HL AS HR,
                     round(GL * GL / (HL + {LAM}::DOUBLE) + (GT - GL) * (GT - GL) / ((HT - HL) + {LAM}::DOUBLE) - GT * GT / (HT + {LAM}::DOUBLE), 9) AS gain
                 FROM (SELECT *, sum(G) OVER (PARTITION BY trial_id, node, j ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS GL,
@@ -519,21 +527,16 @@ def boost_sql(name, seed=13, rounds=None):
                     2 * n.node + CASE WHEN b.j IS NOT NULL AND {binof} > b.b THEN 1 ELSE 0 END AS node
                 FROM n{t}_{L} n JOIN rws r USING (key) LEFT JOIN b{t}_{L} b ON b.trial_id = n.trial_id AND b.node = n.node)""")
         ctes.append(f"""lf{t} AS (SELECT gh.trial_id, n.node, -sum(gh.g) / (sum(gh.h) + {LAM}::DOUBLE) * max(c.lr) AS w
-                FROM gh{t} gh JOIN n{t}_{depth} n USING (key, trial_id) JOIN cand c USING (trial_id) GROUP BY gh.trial_id, n.node)""")
+                FROM gh{t} gh JOIN n{t}_{D} n USING (key, trial_id) JOIN cand c USING (trial_id) GROUP BY gh.trial_id, n.node)""")
         ctes.append(f"""f{t + 1} AS (SELECT f.key, f.trial_id, f.f + coalesce(lf.w, 0.0::DOUBLE) AS f
-                FROM f{t} f JOIN n{t}_{depth} n USING (key, trial_id) LEFT JOIN lf{t} lf ON lf.trial_id = n.trial_id AND lf.node = n.node)""")
-        if kind == "squared":
-            pred = "f.f"
-        elif kind == "logistic":
-            pred = "(1.0::DOUBLE / (1.0::DOUBLE + exp(-f.f)))"
-        else:
-            pred = "exp(f.f)"
+                FROM f{t} f JOIN n{t}_{D} n USING (key, trial_id) LEFT JOIN lf{t} lf ON lf.trial_id = n.trial_id AND lf.node = n.node)""")
         if score == "rmse":
             vc = f"sqrt(avg(pow(r.label - {pred}, 2)))"
         else:
             vc = f"1.0 - avg(CASE WHEN r.label = (CASE WHEN {pred} > 0.5 THEN 1.0 ELSE 0.0 END) THEN 1.0 ELSE 0.0 END)"
-        ctes.append(f"vc{t} AS (SELECT f.trial_id, {t} AS round, {vc} AS val_cost FROM f{t + 1} f JOIN rws r USING (key) WHERE r.split = 'val' GROUP BY f.trial_id)")
-    return ctes, R, depth
+        ctes.append(f"vc{t} AS (SELECT f.trial_id, {t} AS round, {vc} AS val_cost FROM f{t + 1} f JOIN rws r USING (key) "
+                    f"JOIN cand c USING (trial_id) WHERE r.split = 'val' AND c.nest > {t} GROUP BY f.trial_id)")
+    return ctes, R
 
 
 def _model_sql(name):
@@ -601,3 +604,17 @@ def q_early_stopping():
     fin AS (SELECT br.trial_id, br.best_round_so_far AS best_round FROM br JOIN stop ON br.trial_id = stop.trial_id AND br.round = stop.stop_round)
     SELECT fin.trial_id, round(h.val_cost, 6) AS cost, CAST(fin.best_round AS INTEGER) AS best_round
     FROM fin JOIN h ON h.trial_id = fin.trial_id AND h.round = fin.best_round"""
+
+
+def q_fit_boosted_trees():
+    """Flagship: grid search of the booster, every grid candidate fitted in one batch."""
+    from tuneforge.plans.catalog import FLAGSHIP_SPACE, flagship_candidates
+
+    cands = flagship_candidates()
+    ctes, R = boost_sql_cands(cands, "reg_positive", "rmse", seed=13)
+    last = " UNION ALL ".join(f"SELECT v.trial_id, v.val_cost FROM vc{t} v JOIN cand c USING (trial_id) WHERE c.nest = {t + 1}" for t in range(R))
+    return f"""WITH {LI}, {', '.join(ctes)}, fin AS ({last})
+    SELECT c.trial_id, CASE c.kind WHEN 'squared' THEN 'reg:linear' ELSE 'reg:tweedie' END AS objective,
+           CAST(c.depth AS BIGINT) AS max_depth, round(c.lr, 6) AS learning_rate, CAST(c.nest AS BIGINT) AS n_estimators,
+           round(round(fin.val_cost, 9), 6) AS cost
+    FROM cand c JOIN fin USING (trial_id)"""
