@@ -21,6 +21,8 @@ min_child_weight = 1, no column sampling; ``subsample`` is applied to both estim
 from __future__ import annotations
 
 import math
+import sys
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,6 +52,7 @@ class BoostConfig:
     early_stopping_rounds: int | None = None
     checkpoint_every: int = 1
     gain_decimals: int = 9
+    verbose: bool = False
 
 
 # ---------------------------------------------------------------- binning
@@ -213,7 +216,9 @@ def fit_boosted_trees(
         c["base"] = base_score(c["kind"], st["mean"]) if c["ok"] else 0.0
 
     base = F.array(*[F.lit(float(c["base"])) for c in cands]) if K else F.array().cast("array<double>")
-    state = binned.select("key", "bins", "label", "split", base.alias("f"), base.alias("fb"))
+    state = binned.select("key", "bins", "label", "split", base.alias("f"), base.alias("fb"), _weights(cands, 0, cfg).alias("w"))
+    if state.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        state = state.repartition(spark.sparkContext.defaultParallelism, "key")
     state = cut_lineage(state)
 
     model_rows: list[tuple] = []
@@ -230,11 +235,15 @@ def fit_boosted_trees(
             break
         depth = {i: int(cands[i]["max_depth"]) for i in active}
         D = max(depth.values())
-        cur = state.withColumn("node", F.array(*[F.lit(0) for _ in range(K)]))
+        base_cols = ["key", "bins", "label", "split", "f", "fb", "w"]
+        cur = state.select(*base_cols, *[F.lit(0).alias(f"_n{k}") for k in range(K)])
         level_stats: dict[int, dict] = {}
         for L in range(D):
             lev = [i for i in active if L < depth[i]]
+            _t = time.time()
             stats = _level_histogram_best(cur, cands, lev, r, cfg)
+            if cfg.verbose:
+                print(f"[boost] round {r} level {L}: {time.time() - _t:.2f}s", file=sys.stderr)
             level_stats[L] = stats
             feat = [[-1] * (2 ** L) for _ in range(K)]
             thr = [[0] * (2 ** L) for _ in range(K)]
@@ -243,7 +252,7 @@ def fit_boosted_trees(
                     feat[i][node], thr[i][node] = s["split"][0], s["split"][1]
                     model_rows.append((cands[i]["trial_id"], r, L, node, s["split"][0], s["split"][1],
                                        binning.threshold(s["split"][0], s["split"][1]) if binning else None, None))
-            cur = cur.withColumn("node", _child_nodes(feat, thr))
+            cur = cur.select(*base_cols, *[c.alias(f"_n{k}") for k, c in enumerate(_child_nodes(feat, thr))])
         # leaves from the last level's statistics of each candidate
         leaf_lits, shifts = [], []
         for i in range(K):
@@ -271,18 +280,30 @@ def fit_boosted_trees(
             leaf_lits.append(vals)
             shifts.append(D - d)
         # fb <- f for candidates that improved at the previous round, then f += leaf
-        imp = [1 if cands[i]["trial_id"] in improved_prev else 0 for i in range(K)]
-        new_f = F.transform("f", lambda v, k: v + F.element_at(
-            F.element_at(F.array(*[F.array(*[F.lit(x) for x in vals]) for vals in leaf_lits]), k + 1),
-            F.floor(F.element_at("node", k + 1) / F.element_at(F.array(*[F.lit(float(2 ** s)) for s in shifts]), k + 1)).cast("int") + 1))
-        new_fb = F.transform(F.col("fb"), lambda v, k: F.when(F.element_at(F.array(*[F.lit(x) for x in imp]), k + 1) == 1,
-                                                                 F.element_at("f", k + 1)).otherwise(v))
-        state = cur.select("key", "bins", "label", "split", new_f.alias("f"), new_fb.alias("fb"))
+        new_f, new_fb = [], []
+        for k in range(K):
+            fk = F.element_at("f", k + 1)
+            if k in active:
+                leaf = F.element_at(F.array(*[F.lit(float(x)) for x in leaf_lits[k]]),
+                                    F.floor(F.col(f"_n{k}") / F.lit(float(2 ** shifts[k]))).cast("int") + 1)
+                new_f.append(fk + leaf)
+            else:
+                new_f.append(fk)
+            new_fb.append(fk if cands[k]["trial_id"] in improved_prev else F.element_at("fb", k + 1))
+        new_f, new_fb = F.array(*new_f), F.array(*new_fb)
+        # next round's row-subsample weights are drawn here, once per round, not once per level
+        state = cur.select("key", "bins", "label", "split", new_f.alias("f"), new_fb.alias("fb"), _weights(cands, r + 1, cfg).alias("w"))
+        _t = time.time()
         if (r + 1) % cfg.checkpoint_every == 0 or r == T - 1:
             state = cut_lineage(state)
+        if cfg.verbose:
+            print(f"[boost] round {r} update+checkpoint: {time.time() - _t:.2f}s", file=sys.stderr)
+        _t = time.time()
         # validation cost of this round for the active candidates
         act_cands = [dict(cands[i], slot=i) for i in active]
         vc = {row["trial_id"]: row["cost"] for row in _val_costs_slots(state, act_cands, score).collect()}
+        if cfg.verbose:
+            print(f"[boost] round {r} val cost: {time.time() - _t:.2f}s", file=sys.stderr)
         improved_prev = set()
         for i in active:
             tid = cands[i]["trial_id"]
@@ -297,9 +318,8 @@ def fit_boosted_trees(
                 stopped.add(tid)
     # final fb for candidates improved at their last round
     if improved_prev:
-        imp = [1 if cands[i]["trial_id"] in improved_prev else 0 for i in range(K)]
-        state = state.select("key", "bins", "label", "split", "f", F.transform(F.col("fb"), lambda v, k: F.when(
-            F.element_at(F.array(*[F.lit(x) for x in imp]), k + 1) == 1, F.element_at("f", k + 1)).otherwise(v)).alias("fb"))
+        fb = F.array(*[F.element_at("f", k + 1) if cands[k]["trial_id"] in improved_prev else F.element_at("fb", k + 1) for k in range(K)])
+        state = state.select("key", "bins", "label", "split", "f", fb.alias("fb"), "w")
 
     cost_rows = []
     for c in cands:
@@ -337,18 +357,35 @@ def _val_costs_slots(state: DataFrame, act: list[dict], score: str) -> DataFrame
     raise ValueError(f"unknown score {score!r}")
 
 
-def _child_nodes(feat: list[list[int]], thr: list[list[int]]) -> Column:
-    """Next-level node ids: ``2 n + (bins[feat] > thr)``; a node without split sends rows left."""
-    FEAT = F.array(*[F.array(*[F.lit(v) for v in row]) for row in feat])
-    THR = F.array(*[F.array(*[F.lit(v) for v in row]) for row in thr])
+def _weights(cands: list[dict], r: int, cfg: BoostConfig) -> Column:
+    """Row-subsample draw of round ``r`` per candidate slot: ``u(seed, trial_id, r, key) < subsample``.
+    Keyed by trial id, so a candidate gets the same bagging in any batch."""
+    out = []
+    for c in cands:
+        sub = c.get("subsample")
+        if sub is None or sub >= 1.0 or not c.get("ok", True):
+            out.append(F.lit(True))
+        else:
+            draw = hash_uniform(cfg.seed, F.lit(c["trial_id"]), F.lit(r), F.col("key")) < F.lit(float(sub))
+            out.append(F.when(F.col("split") == "train", draw).otherwise(F.lit(False)))
+    return F.array(*out) if out else F.array().cast("array<boolean>")
 
-    def child(n, k):
-        fk = F.element_at(F.element_at(FEAT, k + 1), n + 1)
-        tk = F.element_at(F.element_at(THR, k + 1), n + 1)
-        right = F.when((fk >= 0) & (F.element_at("bins", F.greatest(fk, F.lit(0)) + 1) > tk), F.lit(1)).otherwise(F.lit(0))
-        return n * 2 + right
 
-    return F.transform("node", child)
+def _child_nodes(feat: list[list[int]], thr: list[list[int]]) -> list[Column]:
+    """Next-level node id per candidate slot: ``2 n + (bins[feat[n]] > thr[n])``; a node
+    without a split sends its rows left. Plain expressions over one int column per slot
+    (no lambdas: stays inside whole-stage codegen; the split tables fold to literals)."""
+    out = []
+    for k, (fr, tr) in enumerate(zip(feat, thr)):
+        n = F.col(f"_n{k}")
+        if all(v < 0 for v in fr):
+            out.append(n * 2)
+            continue
+        fk = F.element_at(F.array(*[F.lit(int(v)) for v in fr]), n + 1)
+        tk = F.element_at(F.array(*[F.lit(int(v)) for v in tr]), n + 1)
+        right = F.when((fk >= 0) & (F.element_at("bins", F.greatest(fk, F.lit(0)) + 1) > tk), F.lit(1)).otherwise(F.lit(0))
+        out.append(n * 2 + right)
+    return out
 
 
 def _level_histogram_best(cur: DataFrame, cands: list[dict], lev: list[int], r: int, cfg: BoostConfig) -> dict:
@@ -359,9 +396,10 @@ def _level_histogram_best(cur: DataFrame, cands: list[dict], lev: list[int], r:
     lit = F.array(*[F.struct(
         F.lit(i).alias("slot"), F.lit(cands[i]["trial_id"]).alias("trial_id"), F.lit(cands[i]["kind"]).alias("kind"),
         F.lit(float(cands[i]["subsample"])).alias("subsample")) for i in lev])
-    x = cur.filter(F.col("split") == "train").select("key", "bins", "label", "f", "node", F.explode(lit).alias("c"))
-    keep = (F.col("c.subsample") >= 1.0) | (hash_uniform(cfg.seed, F.col("c.trial_id"), F.lit(r), F.col("key")) < F.col("c.subsample"))
-    x = x.filter(keep)
+    K = len(cands)
+    node_arr = F.array(*[F.col(f"_n{k}") for k in range(K)])
+    x = cur.filter(F.col("split") == "train").select("bins", "label", "f", "w", node_arr.alias("node"), F.explode(lit).alias("c"))
+    x = x.filter(F.element_at("w", F.col("c.slot") + 1))
     fk = F.element_at("f", F.col("c.slot") + 1)
     g, h = grad_hess(F.col("c.kind"), fk, F.col("label"), cfg.tweedie_power)
     x = x.select(F.col("c.slot").alias("slot"), F.element_at("node", F.col("c.slot") + 1).alias("nd"),

@@ -12,6 +12,7 @@ from tuneforge.operators.space import SearchSpace, validate
 from tuneforge.plans import search
 from tuneforge.plans.estimators import PreparedData
 from tuneforge.plans.registry import get_estimator
+from tuneforge.session import materialize
 from tuneforge.sources.features import load_features
 
 MAX_CHUNK = 64
@@ -30,7 +31,8 @@ class HyperSearch:
     @staticmethod
     def prepare(df: DataFrame, feature_cols: list[str], label_col: str, key_col: str = "key", split_col: str = "split") -> PreparedData:
         rows = load_features(df.withColumnRenamed(split_col, "split") if split_col != "split" else df, feature_cols, label_col, key_col)
-        return PreparedData(rows, len(feature_cols))
+        # scanned by every fit of the search: computed once, partitioned, checkpointed
+        return PreparedData(materialize(rows), len(feature_cols))
 
     def fitness(self, data: PreparedData):
         names = None

@@ -20,7 +20,7 @@ from tuneforge.operators.candidates import decode_candidates, grid_enumerate, ra
 from tuneforge.operators.linear import collect_batch, linear_scores
 from tuneforge.operators.scoring import rmse_cost
 from tuneforge.operators.space import SearchSpace
-from tuneforge.session import cut_lineage
+from tuneforge.session import cut_lineage, materialize
 
 Fitness = Callable[[DataFrame], DataFrame]
 
@@ -29,11 +29,16 @@ def linear_fitness(rows: DataFrame, features: list, weights: list[str], split: s
                    intercept: str | None = None, cost_fn=None) -> Fitness:
     """Fitness of the linear scorer: cost (RMSE by default) of ``sum w_i x_i`` on ``split`` rows."""
     src = rows if split is None else rows.filter(F.col("split") == split)
+    feats = [F.col(f) if isinstance(f, str) else f for f in features]
+    src = src.select("key", "label", "split", *[f.alias(f"_in{i}") for i, f in enumerate(feats)])
+    cache: dict = {}
 
     def fit(cands: DataFrame) -> DataFrame:
+        if "rows" not in cache:   # scanned once per search, then read from the checkpoint
+            cache["rows"] = materialize(src)
         fields = list(weights) + ([intercept] if intercept else [])
         batch = collect_batch(cands, fields)
-        scores = linear_scores(src, batch, features, weights, intercept)
+        scores = linear_scores(cache["rows"], batch, [f"_in{i}" for i in range(len(feats))], weights, intercept)
         if cost_fn is not None:
             return cost_fn(scores)
         return rmse_cost(scores, ["trial_id"])

@@ -52,3 +52,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable (fault-tolerant) checkpoint of an iterative state table."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, key: str | None = "key") -> DataFrame:
+    """Checkpoint a table that an iterative search will scan many times.
+
+    If it has fewer partitions than the cluster's parallelism (small inputs, a single
+    parquet row group), it is first hash-partitioned by ``key`` (deterministic on task
+    retry); a large input already has enough partitions and is not shuffled.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        df = df.repartition(target, key) if key and key in df.columns else df.repartition(target)
+    return cut_lineage(df)
