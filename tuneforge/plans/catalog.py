@@ -526,3 +526,84 @@ def q_fit_boosted_trees(spark, sf):
     res = hs.fit_grid(data)
     return res.trials.select("trial_id", "objective", "max_depth", r6("learning_rate").alias("learning_rate"),
                              "n_estimators", r6("cost").alias("cost"))
+
+
+# ---------------------------------------------------------------- support vector models
+from tuneforge.operators import svm  # noqa: E402
+
+SVM_CANDS = [{"trial_id": 0, "C": 0.1}, {"trial_id": 1, "C": 1.0}, {"trial_id": 2, "C": 10.0}]
+SVM_STEPS, SVM_LR = 3, 0.5
+RFF_GAMMA, RFF_M, RFF_SEED = 0.5, 8, 21
+POLY_DEGREE, POLY_GAMMA = 2, 0.5
+
+
+def svm_rows(spark, sf, label="cls"):
+    """Planted lineitem, features min-max scaled on the training rows."""
+    li = lineitem_planted(spark, sf)
+    sc = prep.min_max_scale(li, LINEITEM_FEATURES, fit_filter=F.col("split") == "train", suffix="_s")
+    return load_features(sc, [f"{c}_s" for c in LINEITEM_FEATURES], label)
+
+
+def _weights_table(spark, weights):
+    rows = [(tid, *[float(v) for v in w], float(b)) for tid, (w, b) in weights.items()]
+    return spark.createDataFrame(rows, "trial_id bigint, w0 double, w1 double, w2 double, w3 double, b double")
+
+
+def q_svm_linear_steps(spark, sf):
+    rows = svm_rows(spark, sf)
+    wts = svm.hinge_steps(rows, SVM_CANDS, 4, SVM_STEPS, SVM_LR, "svc")
+    sc = svm.decision_scores(rows.filter(F.col("split") == "val"), wts, 4)
+    acc = scoring.accuracy_cost(sc.withColumn("pred_label", F.when(F.col("score") > 0, 1.0).otherwise(0.0)), ["trial_id"])
+    wt = _weights_table(spark, wts)
+    return wt.join(acc, "trial_id").select("trial_id", *[r6(f"w{j}").alias(f"w{j}") for j in range(4)], r6("b").alias("b"), r6("cost").alias("cost"))
+
+
+def q_svr_steps(spark, sf):
+    rows = svm_rows(spark, sf, "reg")
+    wts = svm.hinge_steps(rows, SVM_CANDS, 4, SVM_STEPS, SVM_LR, "svr")
+    sc = svm.decision_scores(rows.filter(F.col("split") == "val"), wts, 4)
+    cost = scoring.rmse_cost(sc, ["trial_id"])
+    wt = _weights_table(spark, wts)
+    return wt.join(cost, "trial_id").select("trial_id", *[r6(f"w{j}").alias(f"w{j}") for j in range(4)], r6("b").alias("b"), r6("cost").alias("cost"))
+
+
+def q_rff_features(spark, sf):
+    rows = svm_rows(spark, sf).filter(F.col("split") == "train")
+    omega, phase = svm.rff_params(4, RFF_M, RFF_GAMMA, RFF_SEED)
+    z = svm.rff_transform(rows, 4, omega, phase)
+    return z.select(F.posexplode("features").alias("m", "z")).groupBy("m").agg(r6(F.sum("z")).alias("z_sum"))
+
+
+def q_poly_features(spark, sf):
+    rows = svm_rows(spark, sf).filter(F.col("split") == "train")
+    z = svm.poly_transform(rows, 4, POLY_DEGREE, POLY_GAMMA)
+    return z.select(F.posexplode("features").alias("m", "z")).groupBy("m").agg(r6(F.sum("z")).alias("z_sum"))
+
+
+def q_svm_probability(spark, sf):
+    rows = svm_rows(spark, sf)
+    wts = svm.hinge_steps(rows, SVM_CANDS, 4, SVM_STEPS, SVM_LR, "svc")
+    sc = svm.decision_scores(rows.filter(F.col("split") == "val"), wts, 4)
+    ab = svm.platt_scaling(sc.select("trial_id", "label", "score"), n_steps=2)
+    out = spark.createDataFrame([(t, float(a), float(b)) for t, (a, b) in ab.items()], "trial_id bigint, A double, B double")
+    return out.select("trial_id", r6("A").alias("A"), r6("B").alias("B"))
+
+
+def _svm_search(spark, sf, space, seed):
+    from tuneforge.plans.facade import HyperSearch
+
+    li = lineitem_planted(spark, sf)
+    sc = prep.min_max_scale(li, LINEITEM_FEATURES, fit_filter=F.col("split") == "train", suffix="_s")
+    hs = HyperSearch(spark, "svm", space, "binary classification", "acc", options={"n_steps": 5, "n_components": 16})
+    data = hs.prepare(sc, [f"{c}_s" for c in LINEITEM_FEATURES], "cls")
+    res = hs.fit_random(data, n_attempts=4, seed=seed)
+    return res.trials.select("trial_id", "kernel", r6("gamma").alias("gamma"), r6("C").alias("C"), r6("cost").alias("cost"),
+                             *(["degree"] if "degree" in space else []))
+
+
+def q_fit_svm_rbf(spark, sf):
+    return _svm_search(spark, sf, {"kernel": ["rbf"], "gamma": [0.1, 10, 1], "C": [0.1, 10, 1]}, 5)
+
+
+def q_fit_svm_poly(spark, sf):
+    return _svm_search(spark, sf, {"kernel": ["poly"], "gamma": [0.1, 2, 1], "C": [0.1, 10, 1], "degree": [1, 3, 0]}, 6)

@@ -60,3 +60,53 @@ def _fit_trees(default_es):
 # xgboost: no early stopping by default (the reference stopped passing it); gbdt: patience 20
 register_estimator("xgboost", _space("xgboost"), _params("xgboost"), _fit_trees(None))
 register_estimator("gbdt", _space("gbdt"), _params("gbdt"), _fit_trees(20))
+
+
+# ---------------------------------------------------------------- svm
+def _fit_svm(spark: SparkSession, data: PreparedData, cands: list[dict], task: str, score: str, options: dict | None = None) -> DataFrame:
+    """Candidates are grouped by feature map (kernel, gamma, degree); each group is fitted as
+    one batch of full-batch steps. Missing ``degree`` for poly defaults to 3."""
+    from tuneforge.operators import scoring, svm
+
+    o = dict(options or {})
+    n_steps, lr, M, seed = o.get("n_steps", 20), o.get("lr", 0.5), o.get("n_components", 64), o.get("seed", 0)
+    kind = "svc" if task == "binary classification" else "svr"
+    groups: dict = {}
+    for c in cands:
+        kern = c.get("kernel", "rbf")
+        key = (kern, float(c.get("gamma", 5)) if kern != "linear" else None, int(c.get("degree", 3)) if kern == "poly" else None)
+        groups.setdefault(key, []).append(c)
+    results = []
+    for (kern, gamma, degree), group in groups.items():
+        rows, d = data.rows, data.n_features
+        if kern == "rbf":
+            omega, phase = svm.rff_params(d, M, gamma, seed)
+            rows, d = svm.rff_transform(rows, d, omega, phase), M
+        elif kern == "poly":
+            rows = svm.poly_transform(rows, d, degree, gamma)
+            d = len(svm.poly_monomials(data.n_features, degree))
+        elif kern != "linear":
+            results += [(c["trial_id"], None, "failed", f"unknown kernel {kern!r}") for c in group]
+            continue
+        bad = [c for c in group if not (c.get("C") and float(c["C"]) > 0)]
+        results += [(c["trial_id"], None, "failed", "C must be > 0") for c in bad]
+        group = [c for c in group if c not in bad]
+        if not group:
+            continue
+        wts = svm.hinge_steps(rows, group, d, n_steps, lr, kind)
+        sc = svm.decision_scores(rows.filter(F.col("split") == "val"), wts, d)
+        if score == "rmse":
+            cost = scoring.rmse_cost(sc, ["trial_id"])
+        elif score == "acc":
+            cost = scoring.accuracy_cost(sc.withColumn("pred_label", F.when(F.col("score") > 0, 1.0).otherwise(0.0)), ["trial_id"])
+        else:
+            ab = svm.platt_scaling(sc.select("trial_id", "label", "score"))
+            pmap = F.create_map(*[x for t, (a, b) in ab.items() for x in (F.lit(t), F.struct(F.lit(a).alias("A"), F.lit(b).alias("B")))])
+            pr = sc.withColumn("_ab", F.element_at(pmap, F.col("trial_id"))).withColumn(
+                "score", F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_ab.A") * F.col("score") + F.col("_ab.B"))))
+            cost = scoring.auc_cost(pr, ["trial_id"])
+        results += [(r["trial_id"], r["cost"], "ok", None) for r in cost.collect()]
+    return spark.createDataFrame(results, "trial_id bigint, cost double, status string, error string")
+
+
+register_estimator("svm", _space("svm"), _params("svm"), _fit_svm)

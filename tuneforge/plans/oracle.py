@@ -618,3 +618,111 @@ def q_fit_boosted_trees():
            CAST(c.depth AS BIGINT) AS max_depth, round(c.lr, 6) AS learning_rate, CAST(c.nest AS BIGINT) AS n_estimators,
            round(round(fin.val_cost, 9), 6) AS cost
     FROM cand c JOIN fin USING (trial_id)"""
+
+
+# ---------------------------------------------------------------- support vector models
+def _svm_rows_sql(label="cls"):
+    feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    mm = ", ".join(f"min({c}) AS mn{j}, max({c}) AS mx{j}" for j, c in enumerate(feats))
+    xs = ", ".join(f"({c} - mn{j}) / CASE WHEN mx{j} > mn{j} THEN mx{j} - mn{j} ELSE 1.0 END AS x{j}" for j, c in enumerate(feats))
+    return f"""smm AS (SELECT {mm} FROM li WHERE split = 'train'),
+    sv AS (SELECT key, split, {label} AS label, {xs} FROM li, smm),
+    ntr AS (SELECT count(*) AS n FROM sv WHERE split = 'train')"""
+
+
+def hinge_sql(kind, label, steps=None, lr=None):
+    from tuneforge.operators.svm import SVR_EPSILON
+    from tuneforge.plans.catalog import SVM_CANDS, SVM_LR, SVM_STEPS
+
+    steps = SVM_STEPS if steps is None else steps
+    lr = SVM_LR if lr is None else lr
+    cv = ", ".join(f"({c['trial_id']}, {float(c['C'])!r}::DOUBLE)" for c in SVM_CANDS)
+    ctes = [_svm_rows_sql(label),
+            f"ws0 AS (SELECT trial_id, C, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3, 0.0::DOUBLE AS b "
+            f"FROM (VALUES {cv}) AS t(trial_id, C))"]
+    f = "(((w.w0 * r.x0 + w.w1 * r.x1) + w.w2 * r.x2) + w.w3 * r.x3 + w.b)"
+    for t in range(steps):
+        eta = lr / (1.0 + t)
+        if kind == "svc":
+            cond, coef = f"(r.label * 2.0 - 1.0) * {f} < 1.0", "(r.label * 2.0 - 1.0)"
+        else:
+            cond, coef = f"abs({f} - r.label) > {SVR_EPSILON!r}", f"sign({f} - r.label)"
+        sums = ", ".join(f"coalesce(sum(CASE WHEN {cond} THEN {coef} * r.x{j} END), 0.0) AS s{j}" for j in range(4))
+        ctes.append(f"ag{t} AS (SELECT w.trial_id, {sums}, coalesce(sum(CASE WHEN {cond} THEN {coef} END), 0.0) AS sb "
+                    f"FROM ws{t} w, sv r WHERE r.split = 'train' GROUP BY w.trial_id)")
+        lam = "(1.0 / (w.C * ntr.n))"
+        if kind == "svc":
+            upd = ", ".join(f"w.w{j} - {eta!r} * ({lam} * w.w{j} - a.s{j} / ntr.n) AS w{j}" for j in range(4))
+            ub = f"w.b - {eta!r} * (-a.sb / ntr.n) AS b"
+        else:
+            upd = ", ".join(f"w.w{j} - {eta!r} * ({lam} * w.w{j} + a.s{j} / ntr.n) AS w{j}" for j in range(4))
+            ub = f"w.b - {eta!r} * (a.sb / ntr.n) AS b"
+        ctes.append(f"ws{t + 1} AS (SELECT w.trial_id, w.C, {upd}, {ub} FROM ws{t} w JOIN ag{t} a USING (trial_id), ntr)")
+    ctes.append(f"dv AS (SELECT w.trial_id, r.key, r.label, {f} AS score FROM ws{steps} w, sv r WHERE r.split = 'val')")
+    return ",\n".join(ctes), steps
+
+
+def q_svm_linear_steps():
+    ctes, T = hinge_sql("svc", "cls")
+    return f"""WITH {LI}, {ctes},
+    ac AS (SELECT trial_id, 1.0 - avg(CASE WHEN label = (CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END) THEN 1.0 ELSE 0.0 END) AS cost FROM dv GROUP BY trial_id)
+    SELECT w.trial_id, round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2, round(w3, 6) AS w3, round(b, 6) AS b, round(ac.cost, 6) AS cost
+    FROM ws{T} w JOIN ac USING (trial_id)"""
+
+
+def q_svr_steps():
+    ctes, T = hinge_sql("svr", "reg")
+    return f"""WITH {LI}, {ctes},
+    ac AS (SELECT trial_id, sqrt(avg(pow(label - score, 2))) AS cost FROM dv GROUP BY trial_id)
+    SELECT w.trial_id, round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2, round(w3, 6) AS w3, round(b, 6) AS b, round(ac.cost, 6) AS cost
+    FROM ws{T} w JOIN ac USING (trial_id)"""
+
+
+def q_rff_features():
+    from tuneforge.plans.catalog import RFF_GAMMA, RFF_M, RFF_SEED
+
+    om = " UNION ALL ".join(
+        f"SELECT {m} AS m, {j} AS j, sqrt(2.0 * {RFF_GAMMA!r}) * sqrt(-2.0 * ln(1.0 - {U(RFF_SEED, chr(39) + 'w1' + chr(39), str(m), str(j))})) "
+        f"* cos(2.0 * pi() * {U(RFF_SEED, chr(39) + 'w2' + chr(39), str(m), str(j))}) AS om"
+        for m in range(RFF_M) for j in range(4))
+    ph = " UNION ALL ".join(f"SELECT {m} AS m, 2.0 * pi() * {U(RFF_SEED, chr(39) + 'b' + chr(39), str(m))} AS ph" for m in range(RFF_M))
+    return f"""WITH {LI}, {_svm_rows_sql()},
+    om AS ({om}), ph AS ({ph}),
+    w AS (SELECT ph.m, ph.ph, max(CASE WHEN om.j = 0 THEN om.om END) AS o0, max(CASE WHEN om.j = 1 THEN om.om END) AS o1,
+                 max(CASE WHEN om.j = 2 THEN om.om END) AS o2, max(CASE WHEN om.j = 3 THEN om.om END) AS o3
+          FROM ph JOIN om USING (m) GROUP BY ph.m, ph.ph)
+    SELECT CAST(w.m AS INTEGER) AS m, round(sum(sqrt(2.0 / {RFF_M}) * cos((((w.o0 * r.x0 + w.o1 * r.x1) + w.o2 * r.x2) + w.o3 * r.x3) + w.ph)), 6) AS z_sum
+    FROM w, sv r WHERE r.split = 'train' GROUP BY w.m"""
+
+
+def q_poly_features():
+    from tuneforge.operators.svm import poly_coefficients, poly_monomials
+    from tuneforge.plans.catalog import POLY_DEGREE, POLY_GAMMA
+
+    monos = poly_monomials(4, POLY_DEGREE)
+    coefs = poly_coefficients(monos, POLY_DEGREE, POLY_GAMMA)
+    terms = []
+    for m, (alpha, c) in enumerate(zip(monos, coefs)):
+        e = f"{float(c)!r}::DOUBLE"
+        for j, a in enumerate(alpha):
+            for _ in range(a):
+                e = f"({e} * r.x{j})"
+        terms.append(f"SELECT {m} AS m, round(sum({e}), 6) AS z_sum FROM sv r WHERE r.split = 'train'")
+    return f"WITH {LI}, {_svm_rows_sql()} SELECT CAST(m AS INTEGER) AS m, z_sum FROM ({' UNION ALL '.join(terms)})"
+
+
+def q_svm_probability():
+    ctes, T = hinge_sql("svc", "cls")
+    out = [f"""cn AS (SELECT trial_id, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS np, sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS nn FROM dv GROUP BY trial_id)""",
+           "pl0 AS (SELECT trial_id, 0.0::DOUBLE AS A, ln((nn + 1.0) / (np + 1.0)) AS B, (np + 1.0) / (np + 2.0) AS hi, 1.0 / (nn + 2.0) AS lo FROM cn)"]
+    for s in range(2):
+        tt = "CASE WHEN d.label = 1 THEN p.hi ELSE p.lo END"
+        pr = "(1.0 / (1.0 + exp(p.A * d.score + p.B)))"
+        out.append(f"""pg{s} AS (SELECT p.trial_id, sum(d.score * ({tt} - {pr})) AS gA, sum({tt} - {pr}) AS gB,
+                        sum(d.score * d.score * ({pr} * (1.0 - {pr}))) AS hAA, sum(d.score * ({pr} * (1.0 - {pr}))) AS hAB,
+                        sum({pr} * (1.0 - {pr})) AS hBB FROM pl{s} p JOIN dv d USING (trial_id) GROUP BY p.trial_id)""")
+        haa, hbb = "(g.hAA + 1e-12)", "(g.hBB + 1e-12)"
+        det = f"({haa} * {hbb} - g.hAB * g.hAB)"
+        out.append(f"""pl{s + 1} AS (SELECT p.trial_id, p.A - ({hbb} * g.gA - g.hAB * g.gB) / {det} AS A,
+                        p.B - (-g.hAB * g.gA + {haa} * g.gB) / {det} AS B, p.hi, p.lo FROM pl{s} p JOIN pg{s} g USING (trial_id))""")
+    return f"WITH {LI}, {ctes}, {', '.join(out)} SELECT trial_id, round(A, 6) AS A, round(B, 6) AS B FROM pl2"
