@@ -607,3 +607,31 @@ def q_fit_svm_rbf(spark, sf):
 
 def q_fit_svm_poly(spark, sf):
     return _svm_search(spark, sf, {"kernel": ["poly"], "gamma": [0.1, 2, 1], "C": [0.1, 10, 1], "degree": [1, 3, 0]}, 6)
+
+
+# ---------------------------------------------------------------- multi-layer perceptron
+MLP_EPOCHS = 3
+
+
+def _mlp_search(spark, sf):
+    from tuneforge.plans import estimators
+    from tuneforge.plans.facade import HyperSearch
+    from tuneforge.sources.fixtures import events_planted
+
+    ev = events_planted(spark, sf)
+    sc = prep.min_max_scale(ev, ["value", "hour"], fit_filter=F.col("split") == "train", suffix="_s")
+    hs = HyperSearch(spark, "mlp", None, "binary classification", "auc", options={"epochs": MLP_EPOCHS, "seed": 4})
+    data = hs.prepare(sc, ["value_s", "hour_s"], "label")
+    res = hs.fit_random(data, n_attempts=4, seed=12)
+    return res, estimators._fit_mlp.last_history
+
+
+def q_fit_mlp(spark, sf):
+    res, _ = _mlp_search(spark, sf)
+    return res.trials.select("trial_id", "optimizer", r6("learning_rate").alias("learning_rate"), "neurons",
+                             "hiddenactivation", "activation", r6("cost").alias("cost"))
+
+
+def q_training_history(spark, sf):
+    _, hist = _mlp_search(spark, sf)
+    return hist.select("trial_id", "epoch", r6("train_loss").alias("train_loss"), r6("val_loss").alias("val_loss"))

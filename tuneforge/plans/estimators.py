@@ -110,3 +110,30 @@ def _fit_svm(spark: SparkSession, data: PreparedData, cands: list[dict], task: s
 
 
 register_estimator("svm", _space("svm"), _params("svm"), _fit_svm)
+
+
+# ---------------------------------------------------------------- mlp
+def _fit_mlp(spark: SparkSession, data: PreparedData, cands: list[dict], task: str, score: str, options: dict | None = None) -> DataFrame:
+    from tuneforge.operators import mlp, scoring
+
+    o = dict(options or {})
+    weights, hist, errors = mlp.fit_mlp(data.rows, cands, data.n_features, seed=o.get("seed", 0),
+                                        epochs=o.get("epochs"), patience=o.get("early_stopping_rounds", 20))
+    _fit_mlp.last_history = spark.createDataFrame(hist, "trial_id bigint, epoch int, train_loss double, val_loss double")
+    _fit_mlp.last_weights = weights
+    results = [(tid, None, "failed", e) for tid, e in errors.items()]
+    if weights:
+        sc = mlp.predict_scores(data.rows, weights, cands, data.n_features)
+        if score == "rmse":
+            cost = scoring.rmse_cost(sc, ["trial_id"])
+        elif score == "acc":
+            cost = scoring.accuracy_cost(sc.withColumn("pred_label", scoring.rounded_label(F.col("score"))), ["trial_id"])
+        else:
+            cost = scoring.auc_cost(sc, ["trial_id"])
+        for r in cost.collect():
+            bad = r["cost"] is None or r["cost"] != r["cost"]
+            results.append((r["trial_id"], None if bad else r["cost"], "failed" if bad else "ok", "non-finite cost" if bad else None))
+    return spark.createDataFrame(results, "trial_id bigint, cost double, status string, error string")
+
+
+register_estimator("mlp", _space("mlp"), _params("mlp"), _fit_mlp)
