@@ -159,6 +159,9 @@ class SearchSpace:
                 if len(spec) != 3:
                     raise ValueError(f"numeric parameter {name!r} must be [lo, hi, decimals]")
                 lo, hi, dec = spec
+                if not all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in spec):
+                    raise ValueError(f"numeric parameter {name!r} needs numbers [lo, hi, decimals]; "
+                                     "a categorical list must contain only strings")
                 if int(dec) != dec or dec < 0:
                     raise ValueError(f"decimals of {name!r} must be a non-negative integer")
                 if hi < lo:

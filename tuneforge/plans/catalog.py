@@ -635,3 +635,16 @@ def q_fit_mlp(spark, sf):
 def q_training_history(spark, sf):
     _, hist = _mlp_search(spark, sf)
     return hist.select("trial_id", "epoch", r6("train_loss").alias("train_loss"), r6("val_loss").alias("val_loss"))
+
+
+# ---------------------------------------------------------------- sink
+def q_save_search(spark, sf):
+    from tuneforge.sources.sinks import save_search
+
+    _, res = _grid_trials(spark, sf)
+    meta = {"estimator": "linear", "task": "regression", "selection_type": "Grid",
+            "attempts": res.attempts, "total_combinations": res.total_combinations, "duration": res.duration}
+    _, summary = save_search(spark, res.trials.select("trial_id", "a", "b", "cost"), ["a", "b"], meta)
+    # duration is wall-clock: stored, not compared
+    return summary.select("estimator", "task", "selection_type", "attempts", "total_combinations",
+                          r6("a").alias("a"), "b", "best_cost")

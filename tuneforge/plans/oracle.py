@@ -726,3 +726,11 @@ def q_svm_probability():
         out.append(f"""pl{s + 1} AS (SELECT p.trial_id, p.A - ({hbb} * g.gA - g.hAB * g.gB) / {det} AS A,
                         p.B - (-g.hAB * g.gA + {haa} * g.gB) / {det} AS B, p.hi, p.lo FROM pl{s} p JOIN pg{s} g USING (trial_id))""")
     return f"WITH {LI}, {ctes}, {', '.join(out)} SELECT trial_id, round(A, 6) AS A, round(B, 6) AS B FROM pl2"
+
+
+def q_save_search():
+    return f"""WITH {LI}, {_grid_cte()},
+    best AS (SELECT * FROM gc ORDER BY cost, trial_id LIMIT 1)
+    SELECT 'linear' AS estimator, 'regression' AS task, 'Grid' AS selection_type,
+           (SELECT count(*) FROM gc) AS attempts, (SELECT count(*) FROM gc) AS total_combinations,
+           round(a, 6) AS a, b, round(cost, 4) AS best_cost FROM best"""
