@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneforge.functions.hashing import hash_uniform
+from tuneforge.session import cut_lineage
 
 # level-1 bucket = top 16 bits of the 32-bit row hash; level 2 resolves one bucket exactly
 _LEVEL1_SHIFT = 16
@@ -63,9 +64,10 @@ def stratified_split(
     Within each class rows are ranked by ``(hash32(seed, key), key)`` and the first
     ``round(test_size * class_size)`` go to ``picked``. The rank is never computed by a
     window over a whole class: counts per (class, hash bucket) give each bucket its offset,
-    only the one bucket straddling the quota is counted per exact hash value, and only
-    rows sharing the boundary hash value are ordered by key. Every intermediate table is
-    bounded by classes x 65,536 rows and joined by broadcast; the big side never shuffles.
+    only the one bucket straddling the quota is counted per exact hash value, and rows
+    sharing a hash value there are ordered by key. Both side tables are bounded by
+    classes x 65,536 rows, checkpointed once and broadcast; the big side never shuffles
+    (three scans of the input in total). Keys must be unique.
     """
     small = n_classes_hint <= _BROADCAST_CLASS_LIMIT
     d = df.withColumn("_h", _hash32(seed, key)).withColumn("_b", F.shiftright(F.col("_h"), _LEVEL1_SHIFT))
@@ -79,6 +81,7 @@ def stratified_split(
         c1.withColumn("_before1", F.coalesce(F.sum("_c1").over(wl.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_quota", F.round(F.lit(float(test_size)) * F.sum("_c1").over(wl)).cast("long"))
     )
+    c1 = cut_lineage(c1)   # small side table, computed once (not re-derived by every branch)
     d = d.join(_bcast(c1, small), [label, "_b"], "left")
     s1 = (
         F.when(~F.col("_e"), F.lit(0))
@@ -88,33 +91,34 @@ def stratified_split(
     )
     d = d.withColumn("_s", s1)
 
-    # level 2: exact hash values inside the straddling bucket
-    c2 = d.filter(F.col("_s") == -1).groupBy(label, "_h").agg(F.count(F.lit(1)).alias("_c2"), F.first("_before1").alias("_b1"), F.first("_quota").alias("_q"))
+    # level 2: exact hash values inside the straddling bucket; rows sharing a hash value keep
+    # their (unique) keys sorted in the group, a handful per group
+    c2 = (
+        d.filter((F.col("_s") == -1) & F.col("_e"))
+        .groupBy(label, "_h")
+        .agg(F.count(F.lit(1)).alias("_c2"), F.first("_before1").alias("_b1"), F.first("_quota").alias("_q"),
+             F.sort_array(F.collect_list(F.col(key))).alias("_keys"))
+    )
     c2 = c2.withColumn(
         "_before2",
         F.col("_b1") + F.coalesce(F.sum("_c2").over(wl.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).select(label, "_h", "_c2", "_before2")
+    ).select(label, "_h", "_c2", "_before2", "_keys")
+    c2 = cut_lineage(c2)   # bounded by classes x 65,536 hash values
     d = d.join(_bcast(c2, small), [label, "_h"], "left")
     s2 = (
         F.when(F.col("_s") != -1, F.col("_s"))
         .when(~F.col("_e"), F.lit(0))
         .when(F.col("_before2") + F.col("_c2") <= F.col("_quota"), F.lit(1))
         .when(F.col("_before2") >= F.col("_quota"), F.lit(0))
-        .otherwise(F.lit(-1))
+        # level 3: tie on the boundary hash value -> rank by key inside the group
+        .when(F.col("_before2") + F.array_position(F.col("_keys"), F.col(key)) <= F.col("_quota"), F.lit(1))
+        .otherwise(F.lit(0))
     )
-    d = d.withColumn("_s", s2)
-
-    # level 3: rows tied on the boundary hash value, ordered by key (a handful of rows)
-    ties = d.filter(F.col("_s") == -1).select(label, "_h", key, "_before2", "_quota")
-    ties = ties.withColumn("_rn", F.row_number().over(Window.partitionBy(label, "_h").orderBy(key)))
-    ties = ties.select(label, "_h", key, (F.col("_before2") + F.col("_rn") <= F.col("_quota")).cast("int").alias("_s3"))
-    d = d.join(F.broadcast(ties), [label, "_h", key], "left")
-    final = F.when(F.col("_s") == -1, F.col("_s3")).otherwise(F.col("_s"))
-    decision = F.when(final == 1, F.lit(picked)).otherwise(F.lit(rest))
+    decision = F.when(s2 == 1, F.lit(picked)).otherwise(F.lit(rest))
     if eligible is not None:
         decision = F.when(F.col("_e"), decision).otherwise(F.col(out_col))
     out = d.withColumn(out_col, decision)
-    return out.drop("_e", "_h", "_b", "_c1", "_before1", "_quota", "_s", "_c2", "_before2", "_s3")
+    return out.drop("_e", "_h", "_b", "_c1", "_before1", "_quota", "_s", "_c2", "_before2", "_keys")
 
 
 def min_max_fit(df: DataFrame, cols: list[str], fit_filter: Column | None = None) -> dict[str, tuple[float, float]]:

@@ -52,11 +52,12 @@ def clean_cost(c: Column, decimals: int = 9) -> Column:
 
 def swarm_evaluate(swarm: DataFrame, space: SearchSpace, fitness: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Decode, fit each distinct decoded point once, join the cost back to every particle."""
-    dec = swarm.select("pid", params_struct(space, F.col("x"), with_defaults=False).alias("params"))
+    dec = swarm.drop("cost").withColumn("params", params_struct(space, F.col("x"), with_defaults=False))
     uniq = dec.groupBy("params").agg(F.min("pid").alias("trial_id"))
     costs = fitness(uniq)
     by_params = uniq.join(costs, "trial_id", "left").select("params", clean_cost(F.col("cost")).alias("cost"))
-    out = swarm.drop("cost").join(dec, "pid").join(by_params, "params", "left").drop("params")
+    # both sides are swarm-sized (bounded by n_particles)
+    out = dec.join(by_params, "params", "left").drop("params")
     return out.select(*_SCHEMA_COLS)
 
 
@@ -76,7 +77,7 @@ def global_best(swarm: DataFrame) -> DataFrame:
         .groupBy("sid")
         .agg(F.min(F.struct(F.col("pbest_cost").alias("c"), F.col("pid").alias("p"), F.col("pbest_x").alias("px"))).alias("_g"))
     )
-    sw = swarm.join(g, "sid", "left")
+    sw = swarm.join(g, "sid", "left")   # one row per swarm
     improve = F.col("_g").isNotNull() & (F.col("gbest_cost").isNull() | (F.col("_g.c") < F.col("gbest_cost")))
     sw = sw.withColumn("gbest_x", F.when(improve, F.col("_g.px")).otherwise(F.col("gbest_x"))).withColumn(
         "gbest_cost", F.when(improve, F.col("_g.c")).otherwise(F.col("gbest_cost"))
@@ -93,7 +94,7 @@ def local_best(swarm: DataFrame, k: int = 3, p: float = 2.0) -> DataFrame:
         F.collect_list(F.struct(F.col("pid").alias("pid"), F.col("x").alias("x"),
                                 F.col("pbest_cost").alias("c"), F.col("pbest_x").alias("px"))).alias("_m")
     )
-    sw = swarm.join(members, "sid")
+    sw = swarm.join(members, "sid")   # one row per swarm, list bounded by n_particles
 
     def dist(m):
         if p == 2:

@@ -9,6 +9,19 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Hash-partition a table that arrives in fewer partitions than the cluster can use
+    (e.g. one parquet row group), so per-row work is not done by a single task.
+
+    Keyed on all selected columns (balanced unless whole rows repeat; deterministic on task
+    retry). Large inputs already have enough splits and pass through unchanged.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 <= target:
+        return df.repartition(target, *df.columns)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    return spread(df.select(*columns) if columns else df)
