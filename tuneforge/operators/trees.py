@@ -25,6 +25,7 @@ import sys
 import time
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ class BoostConfig:
     tweedie_power: float = 1.5
     seed: int = 0
     early_stopping_rounds: int | None = None
-    checkpoint_every: int = 1
+    checkpoint_every: int = 4       # reliable checkpoint cadence; rounds in between are persisted
     gain_decimals: int = 9
     verbose: bool = False
 
@@ -227,6 +228,7 @@ def fit_boosted_trees(
     last_cost = {c["trial_id"]: None for c in cands}
     stopped: set = set()
     improved_prev: set = set()
+    state_persisted = None
     T = max([int(c["n_estimators"]) for c in cands if c["ok"]] or [0])
 
     for r in range(T):
@@ -294,14 +296,21 @@ def fit_boosted_trees(
         # next round's row-subsample weights are drawn here, once per round, not once per level
         state = cur.select("key", "bins", "label", "split", new_f.alias("f"), new_fb.alias("fb"), _weights(cands, r + 1, cfg).alias("w"))
         _t = time.time()
+        prev = state_persisted
         if (r + 1) % cfg.checkpoint_every == 0 or r == T - 1:
-            state = cut_lineage(state)
+            state = cut_lineage(state)          # lineage cut: a lost executor replays < cadence rounds
+            state_persisted = None
+        else:
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
+            state_persisted = state
         if cfg.verbose:
             print(f"[boost] round {r} update+checkpoint: {time.time() - _t:.2f}s", file=sys.stderr)
         _t = time.time()
         # validation cost of this round for the active candidates
         act_cands = [dict(cands[i], slot=i) for i in active]
         vc = {row["trial_id"]: row["cost"] for row in _val_costs_slots(state, act_cands, score).collect()}
+        if prev is not None:      # the new state is materialised (cached or checkpointed) by now
+            prev.unpersist()
         if cfg.verbose:
             print(f"[boost] round {r} val cost: {time.time() - _t:.2f}s", file=sys.stderr)
         improved_prev = set()

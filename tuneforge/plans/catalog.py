@@ -501,9 +501,9 @@ FLAGSHIP_SPACE = {
 FLAGSHIP_OPTIONS = {"binning": "uniform", "n_bins": TREE_BINS, "seed": 13}
 
 
-def flagship_candidates():
-    """The grid of FLAGSHIP_SPACE as decoded dicts (trial order = grid order)."""
-    space = SearchSpace.from_dict(FLAGSHIP_SPACE, default_params("xgboost", "regression"))
+def flagship_candidates(space_dict=None, estimator="xgboost", task="regression"):
+    """The grid of a small space as decoded dicts (trial order = grid order), defaults merged."""
+    space = SearchSpace.from_dict(space_dict or FLAGSHIP_SPACE, default_params(estimator, task))
     out, cards = [], space.cardinalities
     for idx in range(space.total):
         rem, d = idx, {}
@@ -648,3 +648,39 @@ def q_save_search(spark, sf):
     # duration is wall-clock: stored, not compared
     return summary.select("estimator", "task", "selection_type", "attempts", "total_combinations",
                           r6("a").alias("a"), "b", "best_cost")
+
+
+GBDT_SPACE = {"learning_rate": [0.1, 0.3, 1], "max_depth": [1, 2, 0], "n_estimators": [3, 3, 0], "subsample": [0.8, 1, 1]}
+
+
+def gbdt_candidates():
+    return flagship_candidates(GBDT_SPACE, "gbdt", "binary classification")
+
+
+def q_fit_gbdt(spark, sf):
+    """The gbdt estimator: same batched booster, logistic objective, early stopping (patience 20) on."""
+    from tuneforge.plans.facade import HyperSearch
+
+    li = lineitem_planted(spark, sf)
+    hs = HyperSearch(spark, "gbdt", GBDT_SPACE, "binary classification", "auc", options=FLAGSHIP_OPTIONS)
+    data = hs.prepare(li, LINEITEM_FEATURES, "cls")
+    res = hs.fit_grid(data)
+    return res.trials.select("trial_id", r6("learning_rate").alias("learning_rate"), "max_depth", "n_estimators",
+                             r6("subsample").alias("subsample"), r6("cost").alias("cost"))
+
+
+PSO_TREE_SPACE = {"learning_rate": [0.1, 0.3, 2], "max_depth": [1, 3, 0], "n_estimators": [2, 4, 0], "subsample": [0.7, 1, 2]}
+
+
+def q_search_pso_boosted(spark, sf):
+    """The reference's headline workflow: particle swarm over the booster's parameters; each
+    iteration fits the whole swarm as one batch (rows-only: iterative fit)."""
+    from tuneforge.plans.facade import HyperSearch
+
+    li = lineitem_planted(spark, sf)
+    hs = HyperSearch(spark, "xgboost", PSO_TREE_SPACE, "regression", "rmse", options=dict(FLAGSHIP_OPTIONS, binning="quantile"))
+    data = hs.prepare(li, LINEITEM_FEATURES, "reg_positive")
+    res = hs.fit_pso(data, n_particles=4, n_iterations=3, seed=1)
+    return res.trials.select("iteration", "pid", F.col("params.learning_rate").alias("learning_rate"),
+                             F.col("params.max_depth").alias("max_depth"), F.col("params.n_estimators").alias("n_estimators"),
+                             F.col("params.subsample").alias("subsample"), r6("cost").alias("cost"), r6("best_cost").alias("best_cost"))

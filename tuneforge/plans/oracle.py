@@ -530,6 +530,16 @@ def boost_sql_cands(cands, label, score, seed=13, n_bins=None):
                 FROM gh{t} gh JOIN n{t}_{D} n USING (key, trial_id) JOIN cand c USING (trial_id) GROUP BY gh.trial_id, n.node)""")
         ctes.append(f"""f{t + 1} AS (SELECT f.key, f.trial_id, f.f + coalesce(lf.w, 0.0::DOUBLE) AS f
                 FROM f{t} f JOIN n{t}_{D} n USING (key, trial_id) LEFT JOIN lf{t} lf ON lf.trial_id = n.trial_id AND lf.node = n.node)""")
+        if score == "auc":
+            ctes.append(f"""vc{t} AS (SELECT trial_id, {t} AS round, 1.0 - sum(pos * (coalesce(nb, 0) + 0.5 * neg)) / (max(P) * max(N)) AS val_cost
+                FROM (SELECT *, sum(neg) OVER (PARTITION BY trial_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb,
+                             sum(pos) OVER (PARTITION BY trial_id) AS P, sum(neg) OVER (PARTITION BY trial_id) AS N
+                      FROM (SELECT f.trial_id, {pred} AS score, CAST(sum(CASE WHEN r.label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS pos,
+                                   CAST(sum(CASE WHEN r.label = 1 THEN 0 ELSE 1 END) AS DOUBLE) AS neg
+                            FROM f{t + 1} f JOIN rws r USING (key) JOIN cand c USING (trial_id)
+                            WHERE r.split = 'val' AND c.nest > {t} GROUP BY f.trial_id, {pred}) d) e
+                GROUP BY trial_id)""")
+            continue
         if score == "rmse":
             vc = f"sqrt(avg(pow(r.label - {pred}, 2)))"
         else:
@@ -734,3 +744,18 @@ def q_save_search():
     SELECT 'linear' AS estimator, 'regression' AS task, 'Grid' AS selection_type,
            (SELECT count(*) FROM gc) AS attempts, (SELECT count(*) FROM gc) AS total_combinations,
            round(a, 6) AS a, b, round(cost, 4) AS best_cost FROM best"""
+
+
+def q_fit_gbdt():
+    """gbdt grid search (binary classification, AUC); early stopping on: cost = best round."""
+    from tuneforge.plans.catalog import gbdt_candidates
+
+    cands = gbdt_candidates()
+    ctes, R = boost_sql_cands(cands, "cls", "auc", seed=13)
+    allv = " UNION ALL ".join(f"SELECT trial_id, round, val_cost FROM vc{t}" for t in range(R))
+    return f"""WITH {LI}, {', '.join(ctes)},
+    h AS ({allv}),
+    b AS (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY round(val_cost, 9), round) AS rn FROM h)
+    SELECT c.trial_id, round(c.lr, 6) AS learning_rate, CAST(c.depth AS BIGINT) AS max_depth,
+           CAST(c.nest AS BIGINT) AS n_estimators, round(c.ss, 6) AS subsample, round(round(b.val_cost, 9), 6) AS cost
+    FROM cand c JOIN b USING (trial_id) WHERE b.rn = 1"""
