@@ -14,7 +14,7 @@ from tuneforge.session import cut_lineage
 
 # level-1 bucket = top 16 bits of the 32-bit row hash; level 2 resolves one bucket exactly
 _LEVEL1_SHIFT = 16
-_BROADCAST_CLASS_LIMIT = 16  # 16 classes x 65,536 buckets -> at most ~1M small rows broadcast
+_BROADCAST_ROW_LIMIT = 2_000_000  # side tables are broadcast only below this measured row count
 
 
 def _hash32(seed, key: str) -> Column:
@@ -43,8 +43,10 @@ def train_test_split(
     return df.withColumn(out_col, decision)
 
 
-def _bcast(df: DataFrame, ok: bool) -> DataFrame:
-    return F.broadcast(df) if ok else df
+def _checked_side(df: DataFrame) -> DataFrame:
+    """Checkpoint a side table and broadcast it only if its measured size is bounded."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= _BROADCAST_ROW_LIMIT else df
 
 
 def stratified_split(
@@ -57,7 +59,6 @@ def stratified_split(
     picked: str = "test",
     rest: str = "train",
     eligible: Column | None = None,
-    n_classes_hint: int = 2,
 ) -> DataFrame:
     """Exact per-class quota hold-out.
 
@@ -69,7 +70,6 @@ def stratified_split(
     classes x 65,536 rows, checkpointed once and broadcast; the big side never shuffles
     (three scans of the input in total). Keys must be unique.
     """
-    small = n_classes_hint <= _BROADCAST_CLASS_LIMIT
     d = df.withColumn("_h", _hash32(seed, key)).withColumn("_b", F.shiftright(F.col("_h"), _LEVEL1_SHIFT))
     d = d.withColumn("_e", F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False)))
     elig = d.filter(F.col("_e"))
@@ -81,8 +81,8 @@ def stratified_split(
         c1.withColumn("_before1", F.coalesce(F.sum("_c1").over(wl.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_quota", F.round(F.lit(float(test_size)) * F.sum("_c1").over(wl)).cast("long"))
     )
-    c1 = cut_lineage(c1)   # small side table, computed once (not re-derived by every branch)
-    d = d.join(_bcast(c1, small), [label, "_b"], "left")
+    # side table computed once (not re-derived by every branch), broadcast under a size check
+    d = d.join(_checked_side(c1), [label, "_b"], "left")
     s1 = (
         F.when(~F.col("_e"), F.lit(0))
         .when(F.col("_before1") + F.col("_c1") <= F.col("_quota"), F.lit(1))
@@ -103,8 +103,7 @@ def stratified_split(
         "_before2",
         F.col("_b1") + F.coalesce(F.sum("_c2").over(wl.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).select(label, "_h", "_c2", "_before2", "_keys")
-    c2 = cut_lineage(c2)   # bounded by classes x 65,536 hash values
-    d = d.join(_bcast(c2, small), [label, "_h"], "left")
+    d = d.join(_checked_side(c2), [label, "_h"], "left")
     s2 = (
         F.when(F.col("_s") != -1, F.col("_s"))
         .when(~F.col("_e"), F.lit(0))

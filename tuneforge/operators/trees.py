@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tuneforge.functions.hashing import hash_uniform
 from tuneforge.operators import scoring
-from tuneforge.session import cut_lineage
+from tuneforge.session import cut_lineage, default_parallelism, needs_spread
 
 # objective names of both libraries -> loss family
 OBJECTIVES = {
@@ -218,8 +218,8 @@ def fit_boosted_trees(
 
     base = F.array(*[F.lit(float(c["base"])) for c in cands]) if K else F.array().cast("array<double>")
     state = binned.select("key", "bins", "label", "split", base.alias("f"), base.alias("fb"), _weights(cands, 0, cfg).alias("w"))
-    if state.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        state = state.repartition(spark.sparkContext.defaultParallelism, "key")
+    if needs_spread(state):
+        state = state.repartition(default_parallelism(spark), "key")
     state = cut_lineage(state)
 
     model_rows: list[tuple] = []
@@ -401,6 +401,19 @@ def _level_histogram_best(cur: DataFrame, cands: list[dict], lev: list[int], r:
     """One job: gradient histogram of the level for candidates ``lev`` -> best split per node."""
     if not lev:
         return {}
+    best = level_split_table(cur, cands, lev, cfg)
+    out = {}
+    for row in best.collect():   # bounded: candidates x 2^level rows
+        s = row["s"]
+        out[(row["slot"], row["nd"])] = {
+            "split": None if s is None else (int(s["j"]), int(s["b"]), s["GL"], s["HL"], s["GR"], s["HR"]),
+            "tot": (row["t"]["GT"], row["t"]["HT"]),
+        }
+    return out
+
+
+def level_split_table(cur: DataFrame, cands: list[dict], lev: list[int], cfg: BoostConfig) -> DataFrame:
+    """The level's best split per (slot, node) as a DataFrame (histogram -> windows -> min(struct))."""
     lam, mcw = cfg.lambda_l2, cfg.min_child_weight
     lit = F.array(*[F.struct(
         F.lit(i).alias("slot"), F.lit(cands[i]["trial_id"]).alias("trial_id"), F.lit(cands[i]["kind"]).alias("kind"),
@@ -426,16 +439,8 @@ def _level_histogram_best(cur: DataFrame, cands: list[dict], lev: list[int], r:
     gain = F.round(F.col("GL") * F.col("GL") / (F.col("HL") + F.lit(lam)) + GR * GR / (HR + F.lit(lam))
                    - F.col("GT") * F.col("GT") / (F.col("HT") + F.lit(lam)), cfg.gain_decimals)
     ok = (F.col("HL") >= mcw) & (HR >= mcw) & (gain > 0)
-    best = hist.groupBy("slot", "nd").agg(
+    return hist.groupBy("slot", "nd").agg(
         F.min(F.when(ok, F.struct((-gain).alias("ng"), F.col("j"), F.col("b"), F.col("GL"), F.col("HL"), GR.alias("GR"), HR.alias("HR")))).alias("s"),
         F.min(F.struct(F.col("j"), F.col("GT"), F.col("HT"))).alias("t"),
     )
-    out = {}
-    for row in best.collect():   # bounded: candidates x 2^level rows
-        s = row["s"]
-        out[(row["slot"], row["nd"])] = {
-            "split": None if s is None else (int(s["j"]), int(s["b"]), s["GL"], s["HL"], s["GR"], s["HR"]),
-            "tot": (row["t"]["GT"], row["t"]["HT"]),
-        }
-    return out
 

@@ -15,7 +15,8 @@ from tuneforge.plans.registry import get_estimator
 from tuneforge.session import materialize
 from tuneforge.sources.features import load_features
 
-MAX_CHUNK = 64
+MAX_CHUNK = 64      # candidates fitted together per pass over the rows (grid search chunks)
+MAX_BATCH = 4096    # hard bound on a batch brought to the driver
 
 
 class HyperSearch:
@@ -35,14 +36,12 @@ class HyperSearch:
         return PreparedData(materialize(rows), len(feature_cols))
 
     def fitness(self, data: PreparedData):
-        names = None
+        """Candidate table ``(trial_id, params)`` -> ``(trial_id, cost)`` via the estimator's batched fit."""
 
         def fit(cands: DataFrame) -> DataFrame:
-            nonlocal names
-            dec = cands if "params" in cands.columns else cands
-            rows = dec.select("trial_id", "params").collect()   # bounded candidate batch
-            if len(rows) > MAX_CHUNK * 64:
-                raise ValueError("candidate batch too large")
+            rows = cands.select("trial_id", "params").limit(MAX_BATCH + 1).collect()   # a bounded candidate batch
+            if len(rows) > MAX_BATCH:
+                raise ValueError(f"candidate batch exceeds {MAX_BATCH}; use a smaller chunk")
             batch = []
             for r in rows:
                 d = dict(self.space.defaults)

@@ -33,7 +33,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the directory must be the shared folder named by ``spark.checkpoint.dir``;
     a machine-local fallback is only taken in local mode (tests, bench).
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote sessions: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -54,6 +57,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # sessions without a SparkContext handle (e.g. remote clients)
+        return int(spark.conf.get("spark.default.parallelism", "8"))
+
+
+def num_partitions(df: DataFrame) -> int | None:
+    """Partition count of a DataFrame's plan, or None where the RDD API is unavailable."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:
+        return None
+
+
+def needs_spread(df: DataFrame) -> bool:
+    """True when a table arrives in far fewer partitions than the cluster can run at once."""
+    n = num_partitions(df)
+    return n is not None and n * 2 <= default_parallelism(df.sparkSession)
+
+
 def materialize(df: DataFrame, key: str | None = "key") -> DataFrame:
     """Checkpoint a table that an iterative search will scan many times.
 
@@ -61,8 +85,7 @@ def materialize(df: DataFrame, key: str | None = "key") -> DataFrame:
     parquet row group), it is first hash-partitioned by ``key`` (deterministic on task
     retry); a large input already has enough partitions and is not shuffled.
     """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        df = df.repartition(target, key) if key and key in df.columns else df.repartition(target)
+    if needs_spread(df):
+        target = default_parallelism(df.sparkSession)
+        df = df.repartition(target, key) if key and key in df.columns else df.repartition(target, *df.columns)
     return cut_lineage(df)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tuneforge.session import default_parallelism, needs_spread
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
@@ -16,9 +18,8 @@ def spread(df: DataFrame) -> DataFrame:
     Keyed on all selected columns (balanced unless whole rows repeat; deterministic on task
     retry). Large inputs already have enough splits and pass through unchanged.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= target:
-        return df.repartition(target, *df.columns)
+    if needs_spread(df):
+        return df.repartition(default_parallelism(df.sparkSession), *df.columns)
     return df
 
 
