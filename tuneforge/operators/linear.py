@@ -47,7 +47,8 @@ def linear_scores(
 
 def collect_batch(candidates: DataFrame, fields: list[str]) -> list[dict]:
     """Bring a bounded candidate batch (not data rows) to the driver for inlining."""
-    rows = candidates.select("trial_id", *[F.col(f"params.{f}").alias(f) for f in fields]).limit(MAX_BATCH + 1).collect()
+    # callers build batches bounded by construction (trial-id chunks, n_particles); checked here
+    rows = candidates.select("trial_id", *[F.col(f"params.{f}").alias(f) for f in fields]).collect()
     if len(rows) > MAX_BATCH:
         raise ValueError(f"candidate batch exceeds {MAX_BATCH}; split it into chunks")
     return [r.asDict() for r in rows]

@@ -39,7 +39,7 @@ class HyperSearch:
         """Candidate table ``(trial_id, params)`` -> ``(trial_id, cost)`` via the estimator's batched fit."""
 
         def fit(cands: DataFrame) -> DataFrame:
-            rows = cands.select("trial_id", "params").limit(MAX_BATCH + 1).collect()   # a bounded candidate batch
+            rows = cands.select("trial_id", "params").collect()   # bounded by construction (chunk / swarm size)
             if len(rows) > MAX_BATCH:
                 raise ValueError(f"candidate batch exceeds {MAX_BATCH}; use a smaller chunk")
             batch = []
