@@ -54,6 +54,7 @@ class BoostConfig:
     checkpoint_every: int = 4       # reliable checkpoint cadence; rounds in between are persisted
     gain_decimals: int = 9
     verbose: bool = False
+    record_history: bool = False    # validation cost every round (always on with early stopping)
 
 
 # ---------------------------------------------------------------- binning
@@ -307,8 +308,9 @@ def fit_boosted_trees(
             print(f"[boost] round {r} update+checkpoint: {time.time() - _t:.2f}s", file=sys.stderr)
         _t = time.time()
         # validation cost of this round for the active candidates
-        act_cands = [dict(cands[i], slot=i) for i in active]
-        vc = {row["trial_id"]: row["cost"] for row in _val_costs_slots(state, act_cands, score).collect()}
+        every_round = cfg.record_history or cfg.early_stopping_rounds is not None
+        act_cands = [dict(cands[i], slot=i) for i in active if every_round or int(cands[i]["n_estimators"]) == r + 1]
+        vc = {row["trial_id"]: row["cost"] for row in _val_costs_slots(state, act_cands, score).collect()} if act_cands else {}
         if prev is not None:      # the new state is materialised (cached or checkpointed) by now
             prev.unpersist()
         if cfg.verbose:
@@ -316,6 +318,8 @@ def fit_boosted_trees(
         improved_prev = set()
         for i in active:
             tid = cands[i]["trial_id"]
+            if tid not in vc and not every_round:
+                continue
             cost = vc.get(tid)
             last_cost[tid] = cost
             history_rows.append((tid, r, cost))

@@ -436,7 +436,7 @@ def tree_case_cands(name):
 def _tree_case(spark, sf, name, **cfg):
     _, _, _, _, _, label, score = TREE_CASES[name]
     binned, binning = tree_rows(spark, sf, label)
-    return trees.fit_boosted_trees(spark, binned, tree_case_cands(name), score, trees.BoostConfig(seed=13, **cfg), binning)
+    return trees.fit_boosted_trees(spark, binned, tree_case_cands(name), score, trees.BoostConfig(seed=13, record_history=True, **cfg), binning)
 
 
 def _model_with_cost(res):
