@@ -241,10 +241,14 @@ def fit_boosted_trees(
         base_cols = ["key", "bins", "label", "split", "f", "fb", "w"]
         cur = state.select(*base_cols, *[F.lit(0).alias(f"_n{k}") for k in range(K)])
         level_stats: dict[int, dict] = {}
+        parent_hist = None
         for L in range(D):
             lev = [i for i in active if L < depth[i]]
             _t = time.time()
-            stats = _level_histogram_best(cur, cands, lev, r, cfg)
+            stats, hist = _level_histogram_best(cur, cands, lev, r, cfg, parent_hist)
+            if parent_hist is not None:
+                parent_hist.unpersist()
+            parent_hist = hist
             if cfg.verbose:
                 print(f"[boost] round {r} level {L}: {time.time() - _t:.2f}s", file=sys.stderr)
             level_stats[L] = stats
@@ -256,6 +260,8 @@ def fit_boosted_trees(
                     model_rows.append((cands[i]["trial_id"], r, L, node, s["split"][0], s["split"][1],
                                        binning.threshold(s["split"][0], s["split"][1]) if binning else None, None))
             cur = cur.select(*base_cols, *[c.alias(f"_n{k}") for k, c in enumerate(_child_nodes(feat, thr))])
+        if parent_hist is not None:
+            parent_hist.unpersist()
         # leaves from the last level's statistics of each candidate
         leaf_lits, shifts = [], []
         for i in range(K):
@@ -401,11 +407,15 @@ def _child_nodes(feat: list[list[int]], thr: list[list[int]]) -> list[Column]:
     return out
 
 
-def _level_histogram_best(cur: DataFrame, cands: list[dict], lev: list[int], r: int, cfg: BoostConfig) -> dict:
-    """One job: gradient histogram of the level for candidates ``lev`` -> best split per node."""
+def _level_histogram_best(cur: DataFrame, cands: list[dict], lev: list[int], r: int, cfg: BoostConfig,
+                          parent: DataFrame | None = None):
+    """One job: gradient histogram of the level for candidates ``lev`` -> best split per node.
+
+    Returns (stats, histogram); the histogram is persisted for the next level's subtraction."""
     if not lev:
-        return {}
-    best = level_split_table(cur, cands, lev, cfg)
+        return {}, None
+    hist = level_histogram(cur, cands, lev, cfg, parent).persist(StorageLevel.MEMORY_AND_DISK)
+    best = split_table(hist, cfg)
     out = {}
     for row in best.collect():   # bounded: candidates x 2^level rows
         s = row["s"]
@@ -413,12 +423,17 @@ def _level_histogram_best(cur: DataFrame, cands: list[dict], lev: list[int], r:
             "split": None if s is None else (int(s["j"]), int(s["b"]), s["GL"], s["HL"], s["GR"], s["HR"]),
             "tot": (row["t"]["GT"], row["t"]["HT"]),
         }
-    return out
+    return out, hist
 
 
-def level_split_table(cur: DataFrame, cands: list[dict], lev: list[int], cfg: BoostConfig) -> DataFrame:
-    """The level's best split per (slot, node) as a DataFrame (histogram -> windows -> min(struct))."""
-    lam, mcw = cfg.lambda_l2, cfg.min_child_weight
+def level_histogram(cur: DataFrame, cands: list[dict], lev: list[int], cfg: BoostConfig,
+                    parent: DataFrame | None = None) -> DataFrame:
+    """Gradient histogram ``(slot, nd, j, b, G, H, C)`` of one level for the slots in ``lev``.
+
+    Rows are exploded over (candidate, feature) under a partial aggregate, so only
+    K x nodes x features x bins rows are shuffled. Below the root, only left children
+    (even node ids) are aggregated; a right child is its parent's histogram minus its left
+    sibling's, and bins whose row count ``C`` drops to 0 are removed (exact)."""
     lit = F.array(*[F.struct(
         F.lit(i).alias("slot"), F.lit(cands[i]["trial_id"]).alias("trial_id"), F.lit(cands[i]["kind"]).alias("kind"),
         F.lit(float(cands[i]["subsample"])).alias("subsample")) for i in lev])
@@ -429,8 +444,29 @@ def level_split_table(cur: DataFrame, cands: list[dict], lev: list[int], cfg: Bo
     fk = F.element_at("f", F.col("c.slot") + 1)
     g, h = grad_hess(F.col("c.kind"), fk, F.col("label"), cfg.tweedie_power)
     x = x.select(F.col("c.slot").alias("slot"), F.element_at("node", F.col("c.slot") + 1).alias("nd"),
-                 g.alias("g"), h.alias("h"), F.posexplode("bins").alias("j", "b"))
-    hist = x.groupBy("slot", "nd", "j", "b").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
+                 g.alias("g"), h.alias("h"), "bins")
+    if parent is not None:
+        x = x.filter(F.col("nd") % 2 == 0)
+    x = x.select("slot", "nd", "g", "h", F.posexplode("bins").alias("j", "b"))
+    hist = x.groupBy("slot", "nd", "j", "b").agg(F.sum("g").alias("G"), F.sum("h").alias("H"), F.count(F.lit(1)).alias("C"))
+    if parent is None:
+        return hist
+    keys = ["slot", "pnd", "j", "b"]
+    p = parent.filter(F.col("slot").isin(lev)).select("slot", F.col("nd").alias("pnd"), "j", "b",
+                                                       F.col("G").alias("GP"), F.col("H").alias("HP"), F.col("C").alias("CP"))
+    left = hist.select("slot", (F.col("nd") / 2).cast("int").alias("pnd"), "j", "b", "G", "H", "C")
+    right = p.join(left, keys, "left").select(
+        "slot", (F.col("pnd") * 2 + 1).alias("nd"), "j", "b",
+        (F.col("GP") - F.coalesce(F.col("G"), F.lit(0.0))).alias("G"),
+        (F.col("HP") - F.coalesce(F.col("H"), F.lit(0.0))).alias("H"),
+        (F.col("CP") - F.coalesce(F.col("C"), F.lit(0))).alias("C"),
+    ).filter(F.col("C") > 0)
+    return hist.unionByName(right.select("slot", F.col("nd").cast("int").alias("nd"), "j", "b", "G", "H", "C"))
+
+
+def split_table(hist: DataFrame, cfg: BoostConfig) -> DataFrame:
+    """Best split per (slot, node) of a level histogram: running sums over bins, then min(struct)."""
+    lam, mcw = cfg.lambda_l2, cfg.min_child_weight
     w = Window.partitionBy("slot", "nd", "j").orderBy("b")
     hist = hist.select(
         "slot", "nd", "j", "b",
