@@ -684,3 +684,24 @@ def q_search_pso_boosted(spark, sf):
     return res.trials.select("iteration", "pid", F.col("params.learning_rate").alias("learning_rate"),
                              F.col("params.max_depth").alias("max_depth"), F.col("params.n_estimators").alias("n_estimators"),
                              F.col("params.subsample").alias("subsample"), r6("cost").alias("cost"), r6("best_cost").alias("best_cost"))
+
+
+PSO_MLP_EPOCHS = 2
+
+
+def q_search_pso_mlp(spark, sf):
+    """The published configuration's shape: global-best swarm, 5 particles x 10 iterations over the
+    default mlp space, AUC on a stratified-free planted binary task (events); every iteration
+    trains the swarm as one batch, ``PSO_MLP_EPOCHS`` epochs per fit (rows-only)."""
+    from tuneforge.plans.facade import HyperSearch
+    from tuneforge.sources.fixtures import events_planted
+
+    ev = events_planted(spark, sf)
+    sc = prep.min_max_scale(ev, ["value", "hour"], fit_filter=F.col("split") == "train", suffix="_s")
+    hs = HyperSearch(spark, "mlp", None, "binary classification", "auc", options={"epochs": PSO_MLP_EPOCHS, "seed": 4})
+    data = hs.prepare(sc, ["value_s", "hour_s"], "label")
+    res = hs.fit_pso(data, n_particles=5, n_iterations=10, seed=2)
+    return res.trials.select("iteration", "pid", F.col("params.optimizer").alias("optimizer"),
+                             F.col("params.learning_rate").alias("learning_rate"), F.col("params.neurons").alias("neurons"),
+                             F.col("params.hiddenactivation").alias("hiddenactivation"), F.col("params.activation").alias("activation"),
+                             r6("cost").alias("cost"), r6("best_cost").alias("best_cost"))
