@@ -484,3 +484,56 @@ def split_table(hist: DataFrame, cfg: BoostConfig) -> DataFrame:
         F.min(F.struct(F.col("j"), F.col("GT"), F.col("HT"))).alias("t"),
     )
 
+
+
+def predict_boosted(binned: DataFrame, model: DataFrame, cands: list[dict], keep=("key", "label", "split")) -> DataFrame:
+    """Apply fitted boosters (the ``model`` table) to binned rows: ``(trial_id, *keep, raw, score)``.
+
+    The model is bounded (candidates x rounds x 2^depth rows) and is inlined as split and
+    leaf arrays; each tree is walked level by level with plain column expressions (one
+    projection per level, no lambdas), then leaf values are summed per candidate.
+    """
+    rows = model.collect()   # bounded model table
+    by = {}
+    for r in rows:
+        by.setdefault((r["trial_id"], r["round"]), []).append(r)
+    trees_ = {}
+    for (tid, rnd), rs in by.items():
+        depth = max(r["level"] for r in rs if r["leaf_value"] is not None)
+        feat = [[-1] * (2 ** L) for L in range(depth)]
+        thr = [[0] * (2 ** L) for L in range(depth)]
+        leaf = [0.0] * (2 ** depth)
+        for r in rs:
+            if r["leaf_value"] is None:
+                feat[r["level"]][r["node"]], thr[r["level"]][r["node"]] = r["feature"], r["bin"]
+            else:
+                leaf[r["node"]] = r["leaf_value"]
+        trees_[(tid, rnd)] = (depth, feat, thr, leaf)
+    keys = sorted(trees_)
+    cols = [f"_t{i}" for i in range(len(keys))]
+    cur = binned.select(*keep, "bins", *[F.lit(0).alias(c) for c in cols])
+    D = max([t[0] for t in trees_.values()] or [0])
+    for L in range(D):
+        nxt = []
+        for c, key in zip(cols, keys):
+            depth, feat, thr, _ = trees_[key]
+            n = F.col(c)
+            if L >= depth or all(v < 0 for v in feat[L]):
+                nxt.append((n * 2 if L < depth else n).alias(c))
+                continue
+            fk = F.element_at(F.array(*[F.lit(int(v)) for v in feat[L]]), n + 1)
+            tk = F.element_at(F.array(*[F.lit(int(v)) for v in thr[L]]), n + 1)
+            right = F.when((fk >= 0) & (F.element_at("bins", F.greatest(fk, F.lit(0)) + 1) > tk), F.lit(1)).otherwise(F.lit(0))
+            nxt.append((n * 2 + right).alias(c))
+        cur = cur.select(*keep, "bins", *nxt)
+    per_cand = []
+    for cnd in cands:
+        raw = F.lit(float(cnd.get("base", 0.0)))
+        for c, key in zip(cols, keys):
+            if key[0] != cnd["trial_id"]:
+                continue
+            raw = raw + F.element_at(F.array(*[F.lit(float(v)) for v in trees_[key][3]]), F.col(c) + 1)
+        per_cand.append(F.struct(F.lit(cnd["trial_id"]).alias("trial_id"), raw.alias("raw"),
+                                 predict_transform(cnd["kind"], raw).alias("score")))
+    out = cur.select(*keep, F.explode(F.array(*per_cand)).alias("_p"))
+    return out.select(F.col("_p.trial_id").alias("trial_id"), *keep, "_p.raw", "_p.score")

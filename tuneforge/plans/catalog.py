@@ -705,3 +705,11 @@ def q_search_pso_mlp(spark, sf):
                              F.col("params.learning_rate").alias("learning_rate"), F.col("params.neurons").alias("neurons"),
                              F.col("params.hiddenactivation").alias("hiddenactivation"), F.col("params.activation").alias("activation"),
                              r6("cost").alias("cost"), r6("best_cost").alias("best_cost"))
+
+
+def q_predict_boosted(spark, sf):
+    """Fitted booster models applied to the test split from the model table alone."""
+    res = _tree_case(spark, sf, "boosted_depth2")
+    binned, _ = tree_rows(spark, sf, "reg")
+    pred = trees.predict_boosted(binned.filter(F.col("split") == "test"), res.model, res.cands)
+    return pred.select("trial_id", "key", r6("score").alias("pred"))

@@ -759,3 +759,9 @@ def q_fit_gbdt():
     SELECT c.trial_id, round(c.lr, 6) AS learning_rate, CAST(c.depth AS BIGINT) AS max_depth,
            CAST(c.nest AS BIGINT) AS n_estimators, round(c.ss, 6) AS subsample, round(round(b.val_cost, 9), 6) AS cost
     FROM cand c JOIN b USING (trial_id) WHERE b.rn = 1"""
+
+
+def q_predict_boosted():
+    ctes, R, _ = boost_sql("boosted_depth2")
+    return f"""WITH {LI}, {', '.join(ctes)}
+    SELECT f.trial_id, f.key, round(f.f, 6) AS pred FROM f{R} f JOIN rws r USING (key) WHERE r.split = 'test'"""
