@@ -92,3 +92,26 @@ def test_validation_errors(spark):
         HyperSearch(spark, "nope", None, "regression", "rmse")
     with pytest.raises(ValueError):
         HyperSearch(spark, "xgboost", None, "regression", "acc")
+
+
+def test_facade_summary_and_save(spark):
+    from tuneforge.plans.facade import HyperSearch
+    from tuneforge.plans.registry import register_estimator
+
+    def fit_batch(spark_, data, cands, task, score, options=None):
+        return spark_.createDataFrame([(c["trial_id"], (c["c"] - 0.7) ** 2, "ok", None) for c in cands],
+                                      "trial_id bigint, cost double, status string, error string")
+
+    register_estimator("quadratic", lambda task: {"c": [0, 2, 1]}, lambda task: {}, fit_batch)
+    hs = HyperSearch(spark, "quadratic", None, "regression", "rmse")
+    df = spark.createDataFrame([(f"k{i}", float(i), 1.0, "train") for i in range(5)], "key string, x double, label double, split string")
+    data = hs.prepare(df, ["x"], "label")
+    grid = hs.fit_grid(data)
+    row = hs.summary(grid).first()
+    assert row["c"] == 0.7 and row["best_cost"] == 0.0 and row["selection_type"] == "Grid"
+    pso = hs.fit_pso(data, n_particles=4, n_iterations=3, seed=1)
+    for res in (grid, pso):
+        folder, saved = hs.save(res)
+        best_trial = min(r["cost"] for r in spark.read.parquet(f"{folder}/trials").collect())
+        assert saved.first()["best_cost"] == round(best_trial, 4)
+        assert spark.read.parquet(f"{folder}/trials").count() == res.attempts

@@ -53,15 +53,23 @@ class HyperSearch:
         return fit
 
     def fit_grid(self, data: PreparedData, chunk: int = MAX_CHUNK) -> search.SearchResult:
-        return search.search_grid(self.spark, self.space, self.fitness(data), chunk=chunk)
+        res = search.search_grid(self.spark, self.space, self.fitness(data), chunk=chunk)
+        res.extra["selection_type"] = "Grid"
+        return res
 
     def fit_random(self, data: PreparedData, n_attempts: int = 20, seed: int = 0) -> search.SearchResult:
-        return search.search_random(self.spark, self.space, self.fitness(data), n_attempts, seed)
+        res = search.search_random(self.spark, self.space, self.fitness(data), n_attempts, seed)
+        res.extra["selection_type"] = "Random"
+        return res
 
     def fit_pso(self, data: PreparedData, psotype: str = "global", n_particles: int = 5, n_iterations: int = 10,
                 options: dict | None = None, seed: int = 0, **kw) -> search.SearchResult:
-        return search.search_pso(self.spark, self.space, self.fitness(data), n_particles, n_iterations, options,
-                                 psotype, seed=seed, **kw)
+        """Particle swarm search. Elite retention is on by default for the (stochastic) mlp."""
+        kw.setdefault("elite", self.estimator == "mlp")
+        res = search.search_pso(self.spark, self.space, self.fitness(data), n_particles, n_iterations, options,
+                                psotype, seed=seed, **kw)
+        res.extra["selection_type"] = "PSO"
+        return res
 
     def best(self, result: search.SearchResult) -> DataFrame:
         t = result.trials
@@ -70,3 +78,31 @@ class HyperSearch:
             t = t.withColumn("trial_id", F.col("iteration") * F.lit(10 ** 6) + F.col("pid"))
             cols = cols + ["trial_id"]
         return selection.select_best(t.select(*cols))
+
+    def _flat_trials(self, result: search.SearchResult) -> DataFrame:
+        t = result.trials
+        if "params" in t.columns:   # swarm trace: one trial per (iteration, particle)
+            t = t.select(*[c for c in t.columns if c not in ("params", "x", "best_x", "best_cost", "pbest_cost", "raw_cost")],
+                         *[F.col(f"params.{n}").alias(n) for n in self.space.names])
+            t = t.withColumn("trial_id", F.col("iteration").cast("long") * F.lit(1_000_000) + F.col("pid"))
+        return t.select("trial_id", *self.space.names, "cost")
+
+    def save(self, result: search.SearchResult, out_dir: str | None = None):
+        """Write trials (+ swarm history) and a one-row summary as parquet; returns (folder, summary)."""
+        from tuneforge.sources.sinks import save_search
+
+        meta = {"estimator": self.estimator, "task": self.task, "selection_type": result.extra.get("selection_type"),
+                "attempts": result.attempts, "total_combinations": result.total_combinations, "duration": result.duration}
+        return save_search(self.spark, self._flat_trials(result), self.space.names, meta, out_dir, result.history)
+
+    def summary(self, result: search.SearchResult) -> DataFrame:
+        """Estimator, task, selection type, attempts, total combinations, best parameters, best cost
+        (4 decimals) and duration as a one-row DataFrame (derived from the trial table)."""
+        best = selection.select_best(self._flat_trials(result))
+        return best.select(
+            F.lit(self.estimator).alias("estimator"), F.lit(self.task).alias("task"),
+            F.lit(str(result.extra.get("selection_type"))).alias("selection_type"),
+            F.lit(int(result.attempts)).cast("bigint").alias("attempts"),
+            F.lit(int(result.total_combinations)).cast("bigint").alias("total_combinations"),
+            *self.space.names, F.round("cost", 4).alias("best_cost"), F.lit(float(result.duration)).alias("duration"),
+        )
