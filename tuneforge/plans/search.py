@@ -8,6 +8,8 @@ replays the whole search.
 
 from __future__ import annotations
 
+import os
+import sys
 import time
 from dataclasses import dataclass, field
 from typing import Callable
@@ -123,10 +125,13 @@ def search_pso(
         state = sw.global_best(state)
         if psotype == "local":
             state = sw.local_best(state, k, p)
+        _t = time.time()
         if elite:
             state = state.join(raw, "pid")
             elite_tbl = cut_lineage(elite_tbl)
         state = cut_lineage(state)
+        if os.environ.get("TUNEFORGE_VERBOSE"):
+            print(f"[pso] iteration {it} bookkeeping+checkpoint {time.time() - _t:.2f}s", file=sys.stderr)
         snap = state.select(
             F.lit(it).alias("iteration"), "pid", "x", sw.params_struct(space, F.col("x"), False).alias("params"),
             "cost", "pbest_cost", F.col("gbest_cost").alias("best_cost"), F.col("gbest_x").alias("best_x"),

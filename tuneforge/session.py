@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +53,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable (fault-tolerant) checkpoint of an iterative state table."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of an iterative state table: write it as parquet into the shared
+    checkpoint folder and read it back.
+
+    A written table is a fresh relation: unlike ``Dataset.checkpoint`` it carries no
+    statistics or inferred constraints of the plan that produced it, so iterating
+    (swarm moves with self-joins, boosting rounds) never compounds optimizer work.
+    Reading back also prunes columns at the scan.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def default_parallelism(spark: SparkSession) -> int:
