@@ -115,3 +115,25 @@ def test_facade_summary_and_save(spark):
         best_trial = min(r["cost"] for r in spark.read.parquet(f"{folder}/trials").collect())
         assert saved.first()["best_cost"] == round(best_trial, 4)
         assert spark.read.parquet(f"{folder}/trials").count() == res.attempts
+
+
+def test_long_elite_swarm_does_not_compound(spark):
+    """Ten iterations with elite retention (self-joins every iteration) stay flat in cost."""
+    import time
+
+    from tuneforge.plans.search import search_pso
+
+    space = SearchSpace.from_dict({"a": [0, 3, 0], "b": [0, 10, 0]})
+    calls = [0]
+
+    def fitness(c):
+        calls[0] += 1
+        return c.select("trial_id", (F.col("params.a") + F.col("params.b") + F.lit(calls[0] % 3)).cast("double").alias("cost"))
+
+    t = time.time()
+    res = search_pso(spark, space, fitness, n_particles=4, iterations=10, seed=1, elite=True)
+    assert res.trials.count() == 40
+    assert time.time() - t < 300
+    # an elite refit never reports more than the elite cost known before it
+    rows = sorted(res.trials.collect(), key=lambda r: (r["iteration"], r["pid"]))
+    assert all(r["cost"] <= r["raw_cost"] for r in rows if r["raw_cost"] is not None)
