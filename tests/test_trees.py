@@ -9,14 +9,17 @@ from tuneforge.operators import trees
 from tuneforge.plans import catalog, oracle
 
 
-@pytest.mark.parametrize("kind,label", [("reg:linear", "reg"), ("reg:gamma", "reg_positive")])
-def test_deep_mixed_batch_matches_sql(spark, kind, label):
+@pytest.mark.parametrize("kind,label,volume", [("reg:linear", "reg", 0), ("reg:gamma", "reg_positive", 0),
+                                                ("reg:linear", "reg", 10 ** 12)])
+def test_deep_mixed_batch_matches_sql(spark, kind, label, volume):
+    """volume 0 forces histogram subtraction at every level; 10**12 disables it."""
     binned, b = catalog.tree_rows(spark, SF_SMALL, label)
     cands = [
         {"trial_id": 0, "objective": kind, "learning_rate": 0.3, "max_depth": 4, "n_estimators": 2, "subsample": 0.8},
         {"trial_id": 1, "objective": kind, "learning_rate": 0.5, "max_depth": 2, "n_estimators": 3, "subsample": 1.0},
     ]
-    res = trees.fit_boosted_trees(spark, binned, cands, "rmse", trees.BoostConfig(seed=13, binning="uniform", n_bins=16), b)
+    cfg = trees.BoostConfig(seed=13, binning="uniform", n_bins=16, subtraction_min_volume=volume)
+    res = trees.fit_boosted_trees(spark, binned, cands, "rmse", cfg, b)
     got = {r.trial_id: round(r.cost, 6) for r in res.costs.collect()}
     ctes, _ = oracle.boost_sql_cands(cands, label, "rmse", seed=13)
     last = " UNION ALL ".join(f"SELECT trial_id, val_cost FROM vc{t} WHERE trial_id IN "

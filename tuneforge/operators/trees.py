@@ -55,6 +55,9 @@ class BoostConfig:
     gain_decimals: int = 9
     verbose: bool = False
     record_history: bool = False    # validation cost every round (always on with early stopping)
+    # histogram subtraction below the root once a level explodes at least this many rows
+    # (train rows x candidates x features); below it one direct aggregate is cheaper
+    subtraction_min_volume: int = 50_000_000
 
 
 # ---------------------------------------------------------------- binning
@@ -201,6 +204,7 @@ def fit_boosted_trees(
     st = binned.filter(F.col("split") == "train").agg(
         F.count(F.lit(1)).alias("n"), F.min("label").alias("mn"), F.max("label").alias("mx"), F.avg("label").alias("mean"),
         F.sum(F.when(~F.col("label").isin(0.0, 1.0), 1).otherwise(0)).alias("nonbin"),
+        F.max(F.size("bins")).alias("n_features"),
     ).first().asDict()
     errors = {}
     for c in cands:
@@ -245,7 +249,8 @@ def fit_boosted_trees(
         for L in range(D):
             lev = [i for i in active if L < depth[i]]
             _t = time.time()
-            stats, hist = _level_histogram_best(cur, cands, lev, r, cfg, parent_hist)
+            subtract = (st["n"] or 0) * len(lev) * (st["n_features"] or 0) >= cfg.subtraction_min_volume
+            stats, hist = _level_histogram_best(cur, cands, lev, r, cfg, parent_hist, keep=subtract and L + 1 < D)
             if parent_hist is not None:
                 parent_hist.unpersist()
             parent_hist = hist
@@ -408,13 +413,16 @@ def _child_nodes(feat: list[list[int]], thr: list[list[int]]) -> list[Column]:
 
 
 def _level_histogram_best(cur: DataFrame, cands: list[dict], lev: list[int], r: int, cfg: BoostConfig,
-                          parent: DataFrame | None = None):
+                          parent: DataFrame | None = None, keep: bool = False):
     """One job: gradient histogram of the level for candidates ``lev`` -> best split per node.
 
-    Returns (stats, histogram); the histogram is persisted for the next level's subtraction."""
+    Returns (stats, histogram); with ``keep`` the histogram is persisted for the next level's
+    subtraction, otherwise None is returned in its place."""
     if not lev:
         return {}, None
-    hist = level_histogram(cur, cands, lev, cfg, parent).persist(StorageLevel.MEMORY_AND_DISK)
+    hist = level_histogram(cur, cands, lev, cfg, parent)
+    if keep:
+        hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
     best = split_table(hist, cfg)
     out = {}
     for row in best.collect():   # bounded: candidates x 2^level rows
@@ -423,7 +431,7 @@ def _level_histogram_best(cur: DataFrame, cands: list[dict], lev: list[int], r:
             "split": None if s is None else (int(s["j"]), int(s["b"]), s["GL"], s["HL"], s["GR"], s["HR"]),
             "tot": (row["t"]["GT"], row["t"]["HT"]),
         }
-    return out, hist
+    return out, (hist if keep else None)
 
 
 def level_histogram(cur: DataFrame, cands: list[dict], lev: list[int], cfg: BoostConfig,
