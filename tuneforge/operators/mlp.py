@@ -91,8 +91,14 @@ def loss_value(loss: str, y, p):
 
 def gradient(vec, X, y, d, h, a1, a2, loss):
     """Mean-loss gradient over a batch (backprop for one hidden layer)."""
+    return loss_and_gradient(vec, X, y, d, h, a1, a2, loss)[1]
+
+
+def loss_and_gradient(vec, X, y, d, h, a1, a2, loss):
+    """(summed batch loss, mean-loss gradient) from one forward pass."""
     z1, H, z2, p = forward(vec, X, d, h, a1, a2)
     n = len(y)
+    total = float(loss_value(loss, y, p).sum())
     if loss == "binary_crossentropy":
         q = np.clip(p, EPS, 1 - EPS)
         dp = (q - y) / (q * (1 - q))
@@ -106,7 +112,7 @@ def gradient(vec, X, y, d, h, a1, a2, loss):
     dz1 = np.outer(dz2, W2) * _dact(a1, z1, H)
     gW1 = X.T @ dz1
     gb1 = dz1.sum(axis=0)
-    return np.concatenate([gW1.ravel(), gb1, gW2, gb2])
+    return total, np.concatenate([gW1.ravel(), gb1, gW2, gb2])
 
 
 def step(opt: str, lr: float, w, slots, t: int, g):
@@ -176,10 +182,10 @@ def _epoch_fn(train_c, val_c, state, d, epoch, seed):
             tr_loss = 0.0
             for s0 in range(0, len(yt), bs):
                 xb, yb = Xt[s0:s0 + bs], yt[s0:s0 + bs]
-                _, _, _, pb = forward(w, xb, d, h, a1, a2)
-                tr_loss += float(loss_value(loss, yb, pb).sum())
+                batch_loss, g = loss_and_gradient(w, xb, yb, d, h, a1, a2, loss)
+                tr_loss += batch_loss
                 t += 1
-                w, slots = step(opt, float(c["learning_rate"]), w, slots, t, gradient(w, xb, yb, d, h, a1, a2, loss))
+                w, slots = step(opt, float(c["learning_rate"]), w, slots, t, g)
             n = float(len(yt))
             rows.append((tid, "train_loss", 0, tr_loss, n))
             rows.append((tid, "t", 0, float(t), n))
