@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneforge.llm import pii, quality_forest, secrets, token_orc
+from tuneforge.llm import decontaminate, license, pii, quality_forest, secrets, sql, token_orc
 from tuneforge.llm.common import base_spans, scratch_path, span_counts, span_text
 
 
@@ -45,8 +45,20 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(pii.find_personal_data(table(spark, sf_dir, "documents")), {"email": "n_email", "ip": "n_ip", "card": "n_card", "phone": "n_phone"})
 
 
+def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.license_report(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        decontaminate.item_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_orc, op2_secret_novelty, op3_quality_forest, op4_pii_anchors)
+    f.__name__: f for f in (op1_token_orc, op2_secret_novelty, op3_quality_forest, op4_pii_anchors, op5_license_diagonals, op7_decontaminate)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_license_diagonals": sql.op5(), "op7_decontaminate": sql.op7()}
