@@ -56,3 +56,49 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
        CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM d LEFT JOIN per USING (rid)
 """
+
+
+def _share(name: str, nodes: str, parent: str, child: str, order: str) -> str:
+    by = f"PARTITION BY {parent}" if parent else ""
+    o = f"CAST(cap AS DOUBLE) / weight, {child}"
+    return f"""
+{name}_f AS (SELECT *, cap * sum(weight) OVER ({by} ORDER BY {o} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+   <= (budget - coalesce(sum(cap) OVER ({by} ORDER BY {o} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS filled FROM ({nodes})),
+{name}_r AS (SELECT *, greatest(budget - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ({by}), 0) AS rest,
+   sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({by}) AS ow FROM {name}_f),
+{name}_g AS (SELECT *, CASE WHEN filled THEN cap ELSE rest * weight // ow END AS fl FROM {name}_r),
+{name}_h AS (SELECT *, rest - sum(CASE WHEN filled THEN 0 ELSE fl END) OVER ({by}) AS extra,
+   row_number() OVER ({by} ORDER BY filled, {o}) AS place FROM {name}_g),
+{name} AS (SELECT {order}, CAST(fl + CASE WHEN NOT filled AND place <= extra THEN 1 ELSE 0 END AS BIGINT) AS budget FROM {name}_h)"""
+
+
+def _weights(column: str, weights: dict[str, int]) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+def mix_leaves(docs: str, share: tuple[int, int], max_epochs: int, seed: int) -> str:
+    """CTEs up to ``picked``: a row for each leaf, document and its start in the seeded order."""
+    from tuneforge.llm.mixing import DOMAIN_WEIGHTS, DOMAINS, LANG_WEIGHTS, NONE
+
+    number = "TRY_CAST(regexp_extract(source, '([0-9]{1,9})$', 1) AS INT)"
+    return f"""mx AS (SELECT *, coalesce('domain' || CAST({number} % {DOMAINS} AS VARCHAR), '{NONE}') AS m_domain, coalesce(lang, '{NONE}') AS m_lang,
+   coalesce(source, '{NONE}') AS m_source,
+   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM {docs}),
+leaf AS (SELECT m_domain, m_lang, m_source, sum(tokens) AS supply, sum(tokens) * {max_epochs} AS cap FROM mx GROUP BY ALL),
+{_share('l1', f"SELECT m_domain, sum(cap) AS cap, {_weights('m_domain', DOMAIN_WEIGHTS)} AS weight, (SELECT coalesce(sum(tokens), 0) * {share[0]} // {share[1]} FROM mx) AS budget FROM leaf GROUP BY m_domain", '', 'm_domain', 'm_domain')},
+{_share('l2', f"SELECT m_domain, m_lang, sum(cap) AS cap, {_weights('m_lang', LANG_WEIGHTS)} AS weight, any_value(budget) AS budget FROM leaf JOIN l1 USING (m_domain) GROUP BY m_domain, m_lang", 'm_domain', 'm_lang', 'm_domain, m_lang')},
+{_share('l3', "SELECT m_domain, m_lang, m_source, sum(cap) AS cap, 1 AS weight, any_value(budget) AS budget FROM leaf JOIN l2 USING (m_domain, m_lang) GROUP BY m_domain, m_lang, m_source", 'm_domain, m_lang', 'm_source', 'm_domain, m_lang, m_source')},
+plan AS (SELECT *, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS epochs FROM leaf JOIN l3 USING (m_domain, m_lang, m_source)),
+picked AS (SELECT mx.*, epochs, budget - epochs * supply AS rest,
+   coalesce(sum(tokens) OVER (PARTITION BY m_domain, m_lang, m_source
+     ORDER BY md5('{seed}:' || CAST(epochs + 1 AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id
+     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+   FROM mx JOIN plan USING (m_domain, m_lang, m_source) WHERE tokens > 0)"""
+
+
+def op10(share: tuple[int, int], max_epochs: int, seed: int) -> str:
+    return f"""WITH {mix_leaves('documents', share, max_epochs, seed)},
+each AS (SELECT *, unnest(range(1, CAST(epochs AS BIGINT) + 2)) AS epoch FROM picked)
+SELECT m_domain AS domain, m_lang AS lang, m_source AS source, doc_id, tokens, CAST(epoch AS INTEGER) AS epoch,
+   CAST(CASE WHEN epoch <= epochs THEN tokens ELSE least(tokens, rest - start) END AS BIGINT) AS take
+FROM each WHERE epoch <= epochs OR start < rest"""
