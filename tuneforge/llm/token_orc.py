@@ -14,6 +14,7 @@ folder. Only doc_id and text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from tuneforge.llm.common import blocks, text_or_empty
 
 SCHEMA = "doc_id long, block int, block_start long, n_tokens int, ids array<int>"
 
-#: Words kept with their ids by an encoding task; all are forgotten when there are more.
-CACHE_WORDS = 600_000
+#: Words kept with their ids by a worker process: the first ones, until too many others come.
+CACHE_WORDS = 1_000_000
 
 
 class WordCachedEncoder:
@@ -52,19 +53,20 @@ class WordCachedEncoder:
         pre = spec.get("pre_tokenizer") or {}
         spaced = any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spaced
-        self.cache_words, self.words = cache_words, {}
+        self.cache_words, self.words, self.late = cache_words, {}, 0
         self.odd = re.compile(r" (?:\s|\Z)")
         self.cut = re.compile(r" (?=\S)")
+        self.marks = dict(zip(".,", self._encode([".", ","])))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
             return self._encode(texts)
-        if len(self.words) > self.cache_words:
-            self.words = {}
+        if self.late > 8 * self.cache_words:  # the words of these texts are others than those kept
+            self.words, self.late = {}, 0
         pieces, heads = [], []
         for text in texts:
             parts = self.cut.split(text) if self.odd.search(text) else text.split(" ")
@@ -75,27 +77,54 @@ class WordCachedEncoder:
         for parts in pieces:
             got = list(map(words.get, parts))
             got[0] = b""
-            hole = [k for k, ids in enumerate(got) if ids is None]
-            missing.update([parts[k] for k in hole])
+            hole = []
+            for k in [k for k, ids in enumerate(got) if ids is None]:
+                word = parts[k]
+                mark = self.marks.get(word[-1:])
+                if mark and word[-2:-1].isalpha():  # a mark behind a letter is a piece of its own
+                    stem = words.get(word[:-1])
+                    if stem is None:
+                        missing.add(word[:-1])
+                        hole.append((k, word[:-1], mark))
+                    else:
+                        got[k] = stem + mark
+                        if len(words) < self.cache_words:
+                            words[word] = got[k]
+                else:
+                    missing.add(word)
+                    hole.append((k, word, b""))
             found.append(got)
             holes.append(hole)
-        if missing:
-            new = list(missing)
-            for k in range(0, len(new), 4096):
-                some = new[k : k + 4096]
-                words.update(zip(some, self._encode([" " + w for w in some])))
+        new, fresh = list(missing), {}
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
+            fresh.update(zip(some, self._encode([" " + w for w in some])))
+        if len(words) < self.cache_words:
+            words.update(fresh)
+        else:
+            self.late += len(fresh)
         out = []
         for head, parts, got, hole in zip(self._encode(heads), pieces, found, holes):
-            for k in hole:
-                got[k] = words[parts[k]]
+            for k, word, mark in hole:
+                got[k] = fresh[word] + mark
             got[0] = head
             out.append(b"".join(got))
         return out
 
 
+_ENCODERS: dict[tuple[str, int], WordCachedEncoder] = {}
+
+
+def _encoder(path: str, cache_words: int) -> WordCachedEncoder:
+    """One for a worker process, so that its later tasks find the words of the earlier ones."""
+    if (path, cache_words) not in _ENCODERS:
+        _ENCODERS[path, cache_words] = WordCachedEncoder(path, cache_words)
+    return _ENCODERS[path, cache_words]
+
+
 def _encode_blocks(path: str, end_id: int, cache_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, block = WordCachedEncoder(path, cache_words), 0, None
+        encoder, before, block = _encoder(path, cache_words), 0, None
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids, block_ids, texts = batch.column(0), batch.column(1), batch.column(2)
