@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneforge.llm import decontaminate, license, mixing, pii, quality_forest, secrets, sql, token_orc
+from tuneforge.llm import decontaminate, group_join, license, mixing, pii, quality_forest, secrets, sql, token_orc
 from tuneforge.llm.common import base_spans, scratch_path, span_counts, span_text
 
 
@@ -57,6 +57,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 MIX = {"share": (1, 2), "max_epochs": 2, "seed": 11}
 
 
@@ -67,7 +71,7 @@ def op10_mix_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_orc, op2_secret_novelty, op3_quality_forest, op4_pii_anchors, op5_license_diagonals, op7_decontaminate, op10_mix_budgets)
+    f.__name__: f for f in (op1_token_orc, op2_secret_novelty, op3_quality_forest, op4_pii_anchors, op5_license_diagonals, op7_decontaminate, op9_jaccard_groups, op10_mix_budgets)
 }
 
-SQL: dict[str, str] = {"op5_license_diagonals": sql.op5(), "op7_decontaminate": sql.op7(), "op10_mix_budgets": sql.op10(**MIX)}
+SQL: dict[str, str] = {"op5_license_diagonals": sql.op5(), "op7_decontaminate": sql.op7(), "op9_jaccard_groups": sql.op9(), "op10_mix_budgets": sql.op10(**MIX)}

@@ -102,3 +102,19 @@ each AS (SELECT *, unnest(range(1, CAST(epochs AS BIGINT) + 2)) AS epoch FROM pi
 SELECT m_domain AS domain, m_lang AS lang, m_source AS source, doc_id, tokens, CAST(epoch AS INTEGER) AS epoch,
    CAST(CASE WHEN epoch <= epochs THEN tokens ELSE least(tokens, rest - start) END AS BIGINT) AS take
 FROM each WHERE epoch <= epochs OR start < rest"""
+
+
+NEAR = """
+sw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sg AS (SELECT DISTINCT doc_id, list_slice(w, i + 1, i + 5) AS gram
+       FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS i FROM sw WHERE len(w) > 0)),
+sn AS (SELECT doc_id, count(*) AS n FROM sg GROUP BY doc_id),
+sc AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sg x JOIN sg y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+sl AS (SELECT a, b FROM sc JOIN sn p ON p.doc_id = a JOIN sn q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sw UNION SELECT reach.a, sl.b FROM reach JOIN sl ON reach.b = sl.a),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+
+def op9() -> str:
+    return f"""WITH RECURSIVE {NEAR}
+SELECT sw.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM sw LEFT JOIN sn USING (doc_id) JOIN comp USING (doc_id)"""
