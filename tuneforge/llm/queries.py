@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneforge.llm import decontaminate, group_join, license, mixing, pii, quality_forest, secrets, sql, token_orc
+from tuneforge.llm import decontaminate, group_join, license, mixing, pii, pseudo_likelihood, quality_forest, secrets, sql, token_orc, url_filter
 from tuneforge.llm.common import base_spans, scratch_path, span_counts, span_text
 
 
@@ -57,6 +57,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -71,7 +79,7 @@ def op10_mix_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_orc, op2_secret_novelty, op3_quality_forest, op4_pii_anchors, op5_license_diagonals, op7_decontaminate, op9_jaccard_groups, op10_mix_budgets)
+    f.__name__: f for f in (op1_token_orc, op2_secret_novelty, op3_quality_forest, op4_pii_anchors, op5_license_diagonals, op6_pseudo_likelihood, op7_decontaminate, op8_url_aliases, op9_jaccard_groups, op10_mix_budgets)
 }
 
 SQL: dict[str, str] = {"op5_license_diagonals": sql.op5(), "op7_decontaminate": sql.op7(), "op9_jaccard_groups": sql.op9(), "op10_mix_budgets": sql.op10(**MIX)}
