@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneforge.llm import hashing as H
-from tuneforge.llm.common import blocks, small, text_or_empty, written
+from tuneforge.llm.common import blocks, small, text_or_empty, without_rows, written
 from tuneforge.llm.components import components
 
 MAX_HOT = 1 << 20
-SIGNATURE = "doc_id long, n int, cls string, gkey long, prefix array<long>"
+SIGNATURE = "doc_id long, text_hash long, n int, cls string, gkey long, prefix array<long>"
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -62,7 +62,9 @@ def prefix_of(grams: np.ndarray, hot: np.ndarray, num: int, den: int) -> np.ndar
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
+    """doc_id, the text's bytes, and their hash (not computed where it is not used)."""
+    text = text_or_empty()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def _prefix_counts(k: int, num: int, den: int):
@@ -78,7 +80,7 @@ def _prefix_counts(k: int, num: int, den: int):
 
 def hot_hashes(docs: DataFrame, k: int, num: int, den: int, hot_df: int) -> np.ndarray:
     """The upper halves of the hashes in more than ``hot_df`` prefixes, sorted; MAX_HOT at most."""
-    tops = _text_rows(docs).mapInArrow(_prefix_counts(k, num, den), "top int")
+    tops = _text_rows(docs).drop("text_hash").mapInArrow(_prefix_counts(k, num, den), "top int")
     counts = written(tops.groupBy("top").count().where(F.col("count") > hot_df))
     while counts.where(F.col("count") > hot_df).count() > MAX_HOT:
         hot_df *= 2
@@ -100,7 +102,7 @@ def _signatures(k: int, num: int, den: int, hot):
                     keys.append(xxhash.xxh3_64_intdigest(prefix.tobytes(), len(grams)) - (1 << 63))
                     prefixes.append(prefix)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int32()), pa.array(classes, pa.string()), pa.array(keys, pa.int64()), lists], names=["doc_id", "n", "cls", "gkey", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(sizes, pa.int32()), pa.array(classes, pa.string()), pa.array(keys, pa.int64()), lists], names=["doc_id", "text_hash", "n", "cls", "gkey", "prefix"])
     return run
 
 
@@ -144,7 +146,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num:
     roles = F.array(F.struct(F.lit(0).alias("role"), F.col("a").alias("cls")), F.struct(F.lit(1).alias("role"), F.col("b").alias("cls")))
     wanted = written(dealt.select("a", "part", F.explode(roles).alias("r")).select("a", "part", "r.*").distinct())
     ids = written(wanted.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct())
-    texts = _text_rows(docs).join(small(ids, 2_000_000), "doc_id", "left_semi").mapInArrow(_classed_texts(k), "cls string, text binary")
+    texts = _text_rows(docs).drop("text_hash").join(small(ids, 2_000_000), "doc_id", "left_semi").mapInArrow(_classed_texts(k), "cls string, text binary")
     rows = wanted.join(texts, "cls").select("a", "part", "role", "cls", "text")
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(_verify(k, num, den), "a string, b string").distinct()
 
@@ -194,12 +196,31 @@ def link_classes(docs: DataFrame, sigs: DataFrame, k: int, num: int, den: int, h
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, hot_df: int = 16) -> DataFrame:
-    """doc_id, n_shingles, cls and component_id (the least doc_id its links reach) of every row."""
+    """doc_id, text_hash, n_shingles, component (null for an empty set) and component_id (the least
+    doc_id its links reach) of every row."""
     hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(docs, k, num, den, hot_df))
     sigs = written(_text_rows(docs).mapInArrow(_signatures(k, num, den, hot), SIGNATURE))
     classes, found = link_classes(docs, sigs, k, num, den)
     labelled = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = labelled.join(least, "component").groupBy("cls").agg(F.min("component_id").alias("component_id"))
-    rows = sigs.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cls").join(by_class, "cls", "left")
-    return rows.select("doc_id", "n_shingles", "cls", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_class = labelled.join(least, "component").groupBy("cls").agg(F.min("component").alias("component"), F.min("component_id").alias("component_id"))
+    rows = sigs.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "cls").join(by_class, "cls", "left")
+    component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "cls").alias("component"), component_id.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each component, that of the least doc_id; rows without shingles stay."""
+    found = written(near_duplicates(docs, **options)).where("component is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")
+    first = found.groupBy("component").agg(F.min(place).alias("first"))
+    gone = found.join(first, "component").where(place != F.col("first"))
+    left = without_rows(docs, written(gone.select("doc_id", "text_hash")))
+    twice = written(found.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"))
+    if not twice.head(1):
+        return left
+    marked = left.withColumn("__row_hash", F.xxhash64(text_or_empty()))
+    again = F.broadcast(twice) if twice.count() <= 1_000_000 else twice
+    again = again.select(F.col("doc_id").alias("__twice_id"), F.col("text_hash").alias("__twice_hash"))
+    repeated = marked.join(again, F.col("doc_id").eqNullSafe(F.col("__twice_id")) & (F.col("__row_hash") == F.col("__twice_hash")), "left_semi")
+    return without_rows(docs, written(gone.select("doc_id", "text_hash").union(twice))).union(repeated.dropDuplicates(["doc_id", "__row_hash"]).drop("__row_hash"))

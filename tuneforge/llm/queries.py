@@ -82,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_orc, op2_secret_novelty, op3_quality_forest, op4_pii_anchors, op5_license_diagonals, op6_pseudo_likelihood, op7_decontaminate, op8_url_aliases, op9_jaccard_groups, op10_mix_budgets)
 }
 
-SQL: dict[str, str] = {"op5_license_diagonals": sql.op5(), "op7_decontaminate": sql.op7(), "op9_jaccard_groups": sql.op9(), "op10_mix_budgets": sql.op10(**MIX)}
+SQL: dict[str, str] = {"op5_license_diagonals": sql.op5(), "op7_decontaminate": sql.op7(), "op8_url_aliases": sql.op8(), "op9_jaccard_groups": sql.op9(), "op10_mix_budgets": sql.op10(**MIX)}

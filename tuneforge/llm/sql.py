@@ -118,3 +118,42 @@ comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)"""
 def op9() -> str:
     return f"""WITH RECURSIVE {NEAR}
 SELECT sw.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM sw LEFT JOIN sn USING (doc_id) JOIN comp USING (doc_id)"""
+
+
+def op8() -> str:
+    from tuneforge.llm.url_filter import RULES
+
+    bare = """regexp_replace(regexp_replace(regexp_replace({0}, '(?s)#.*$', ''),
+      '([?&])(?:(?:utm_[a-z]+|gclid|fbclid|ref)=[^&]*(?:&|$))+', '\\1', 'g'), '[?&]$', '')"""
+    low = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = "regexp_extract({0}, '(?s)^(.*?://[^/?]*)', 1)"
+
+    def alias(url: str) -> str:
+        cut = bare.format(url)
+        return f"({low.format(head.format(cut))} || substr({cut}, length({head.format(cut)}) + 1))"
+
+    rest = "CASE WHEN strpos({0}, '://') > 0 THEN substr({0}, strpos({0}, '://') + 3) END"
+    host = lambda u: f"coalesce({low.format(f'regexp_extract({rest.format(u)}, {chr(39)}^([^/?#]*){chr(39)}, 1)')}, '')"
+    path = lambda u: f"coalesce(regexp_extract({rest.format(u)}, '(?s)^[^/?#]*([^?#]*)', 1), '')"
+    rules = ", ".join(f"('{r.host}', '{r.path}', '{r.name}', '{r.verdict}')" for r in RULES)
+    link = """'(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'"""
+    refresh = """'(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'"""
+    return f"""
+WITH RECURSIVE r(rh, rp, name, v) AS (VALUES {rules}),
+p AS (SELECT row_number() OVER () AS rid, page_id, url, html, {host('url')} AS host, {path('url')} AS path, {alias('url')} AS alias FROM pages),
+t AS (SELECT url, regexp_extract(unnest(regexp_extract_all(html, {link})), '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS t FROM p
+      UNION ALL SELECT url, regexp_extract(unnest(regexp_extract_all(html, {refresh})), '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1) FROM p),
+tt AS (SELECT url, CASE WHEN strpos(t, '://') > 0 THEN t
+         WHEN starts_with(t, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) || t
+         WHEN starts_with(t, '/') AND regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) <> '' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || t END AS t FROM t WHERE url IS NOT NULL),
+e AS (SELECT DISTINCT {alias('url')} AS a, {alias('t')} AS b FROM tt WHERE t IS NOT NULL),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT DISTINCT x AS a, x AS b FROM (SELECT alias AS x FROM p WHERE url IS NOT NULL UNION SELECT a FROM s)
+          UNION SELECT reach.a, s.b FROM reach JOIN s ON reach.b = s.a),
+c AS (SELECT a AS alias, min(b) AS component FROM reach GROUP BY a),
+known AS (SELECT alias AS k, host, path FROM p WHERE url IS NOT NULL UNION SELECT b, {host('b')}, {path('b')} FROM e UNION SELECT a, {host('a')}, {path('a')} FROM e),
+kr AS (SELECT k, host, path, arg_max(v, length(name)) AS v FROM known JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL),
+spread AS (SELECT component, min(v) AS carried FROM kr JOIN c ON c.alias = kr.k GROUP BY component),
+pr AS (SELECT rid, arg_max(name, length(name)) AS name, arg_max(v, length(name)) AS v FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid)
+SELECT page_id, host, path, name AS rule, coalesce(v, carried, 'allow') AS verdict
+FROM p LEFT JOIN pr USING (rid) LEFT JOIN c USING (alias) LEFT JOIN spread USING (component)"""

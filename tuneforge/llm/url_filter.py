@@ -68,7 +68,7 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 def bare(url: Column) -> Column:
     """A URL without fragment, tracking parameters and a lone question mark; scheme and host folded."""
     cut = F.regexp_replace(url, r"(?s)#.*$", "")
-    cut = F.regexp_replace(cut, r"(?<=[?&])(utm_[a-z]+|gclid|fbclid|ref)=[^&]*&?", "")
+    cut = F.regexp_replace(cut, r"([?&])(?:(?:utm_[a-z]+|gclid|fbclid|ref)=[^&]*(?:&|$))+", "$1")
     cut = F.regexp_replace(cut, r"[?&]$", "")
     head = F.regexp_extract(cut, r"(?s)^(.*?://[^/?]*)", 1)
     return F.concat(ascii_lower(head), F.substring(cut, F.char_length(head) + 1, F.char_length(cut)))
