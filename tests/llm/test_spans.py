@@ -1,0 +1,85 @@
+"""Secrets and personal data against plain regular expressions."""
+
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tests.conftest import SF_SMALL
+from tuneforge.llm import pii, queries, secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_secrets(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def base_pii(text):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[ -]", "", m[0])
+        if 12 <= len(digits) <= 19 and pii.luhn(digits):
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.findall("[0-9]", m[0])) <= 15]
+    return sorted(out)
+
+
+def joined(spans, kinds):
+    return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
+
+
+PIECES = ["password", "TOKEN", "token", " ", "=", ":", '"', "api_key", "apikey", "secret", "AKIA", "A0" * 9, "abcdef", "0123456789" * 2, "ſecret", "é", "\n", "x"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_base_secrets(text):
+    data = text.encode()
+    spans = secrets._points(data, [(a, k, b, None) for a, k, b in sorted(secrets.base_spans(data, data.lower()))])
+    assert [(s["start"], secrets.KINDS.index(s["kind"]), s["end"]) for s in spans] == base_secrets(text)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="a@.-+0123 9()%é:/", max_size=60))
+def test_base_pii(text):
+    assert [s for s in pii.spans_of(text, pii.automaton()) if s[1] < 4] == base_pii(text)
+
+
+def test_novelty_tells_keys_from_identifiers():
+    novelty = secrets.Novelty()
+    scan = lambda text: [data[a:b] for data in [text.encode()] for a, _, b, _ in secrets.novel_spans(data, data.lower(), novelty, 0.6)]
+    assert scan("client_credential -> Zx81mQ7pLw03RtYuVb6n") == [b"Zx81mQ7pLw03RtYuVb6n"]
+    assert scan("api_key is named configuration_parameter_value") == []
+    assert scan("Zx81mQ7pLw03RtYuVb6n bearer Zx81mQ7pLw03RtYuVb6n") == []  # repeats its surroundings
+    assert scan("no cue here: Zx81mQ7pLw03RtYuVb6n") == []
+
+
+def test_account_and_address_anchors():
+    text = "IBAN: DE89 3704 0044 0532 0130 00. account no. 12345678, see https://joe:pw@host.example/x and http://10.1.2.3/y; IBAN DE00 3704 0044 0532 0130 00"
+    found = [(pii.KINDS[k], text[a:b]) for a, k, b in pii.spans_of(text, pii.automaton()) if k > 3]
+    assert found == [("account", "DE89 3704 0044 0532 0130 00"), ("account", "12345678"), ("address", "joe:pw@host.example"), ("address", "10.1.2.3")]
+
+
+@pytest.mark.parametrize("name,base,kinds", [("op2_secret_novelty", base_secrets, secrets.KINDS), ("op4_pii_anchors", base_pii, pii.KINDS)])
+def test_queries(spark, name, base, kinds):
+    texts = {r["doc_id"]: r["text"] for r in queries.table(spark, SF_SMALL, "documents").collect()}
+    for row in queries.QUERIES[name](spark, SF_SMALL).collect():
+        spans = base(texts.pop(row["doc_id"]))
+        assert row["base_sha256"] == hashlib.sha256(joined(spans, kinds).encode()).hexdigest()
+        assert set(joined(spans, kinds).split(",")) - {""} <= set(row["spans"].split(","))
+        assert [row[f"n_{k}"] for k in kinds if f"n_{k}" in row] == [sum(s[1] == n for s in spans) for n, k in enumerate(kinds) if f"n_{k}" in row]
+    assert not texts
+
+
+@pytest.mark.parametrize("find", [secrets.find_secrets, pii.find_personal_data])
+def test_odd_rows(find, odd_docs, make_docs):
+    assert find(odd_docs).count() == odd_docs.count()
+    assert all(r["spans"] == [] for r in find(odd_docs).where("doc_id < 4").collect())
+    assert find(make_docs([])).collect() == []

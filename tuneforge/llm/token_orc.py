@@ -155,6 +155,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(index_rows))
         .option("orc.stripe.size", str(stripe_bytes))
+        .option("orc.rows.between.memory.checks", str(index_rows // 2))
         .orc(path)
     )
 
