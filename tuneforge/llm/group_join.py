@@ -2,18 +2,21 @@
 
 A document's set holds the 64-bit hashes of its distinct word 5-grams. Under one global order
 of all hashes, two sets that link share a hash within their prefixes. The order puts frequent
-hashes last: a first pass counts prefix hashes and calls those of more than ``hot_df`` prefixes
-hot (at most ``MAX_HOT``: above, the threshold rises; they are the only hashes that reach the
-driver). Any order gives all links; this one keeps shared passages out of prefixes.
+hashes last: a first pass counts the lower half of the hash space over all documents and calls
+those in more than ``hot_df`` documents hot (at most ``MAX_HOT``: above, the threshold rises;
+they are the only hashes that reach the driver); the order is lower half, upper half, hot. Any
+order gives all links; this one keeps shared passages out of prefixes.
 
 Documents with identical sets are one class, and classes with identical prefixes and sizes one
-group; only a group's leader enters the posting lists. Of each list the first group is paired
-with the others (so pairs grow with the lists, not with their squares), pairs are filtered by
-size, expanded to their classes and verified on the sets of the whole texts. Verified links are
-contracted to components; lists that still hold more than one component are expanded from groups
-to all their classes and paired from 16 of their members, then from four times as many, until no
-list holds two components with an unverified pair. So every link between different components is
-verified, and components are exact.
+group; only a group's leader enters the posting lists. Groups are dealt into blocks by their
+least listed hash and their size, and a group is a candidate of a block if it shares a list with
+one of the block's groups and its size fits theirs. So group pairs are filtered block by block
+and never written out: a list of m groups gives m rows for each of its few blocks. Groups are
+then expanded to their classes, and each candidate's whole set is verified against the sets of
+the block's classes at once. A task holds one block (``BLOCK_HASHES``) and streams candidates;
+a block with many candidates is dealt to several tasks. It writes a link for each candidate and
+for each two of the block's classes that a candidate joins, so that components are exact and
+links grow with the rows.
 
 Definitions for odd rows: null and empty texts have empty sets and link with nothing. Rows that
 repeat a doc_id are separate sets under one id. A row with a null doc_id cannot name a component:
@@ -33,7 +36,10 @@ from tuneforge.llm import hashing as H
 from tuneforge.llm.common import blocks, small, text_or_empty, without_rows, written
 from tuneforge.llm.components import components
 
-MAX_HOT = 1 << 20
+MAX_HOT = 1 << 22
+
+#: The sets of a block hold about so many hashes.
+BLOCK_HASHES = 1_000_000
 SIGNATURE = "doc_id long, text_hash long, n int, cls string, gkey long, prefix array<long>"
 
 
@@ -67,20 +73,19 @@ def _text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def _prefix_counts(k: int, num: int, den: int):
-    none = np.empty(0, np.uint32)
-
+def _lower_half(k: int):
+    """The upper 32 bits of every hash below 2**63, one row each."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, buf, offsets in blocks(batch.column(1)):
-                tops = [(prefix_of(s, none, num, den) >> np.uint64(32)).astype(np.uint32) for s in shingle_sets(buf, offsets, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tops).view(np.int32))], names=["top"])
+                for_all = [s[: np.searchsorted(s, np.uint64(1 << 63))] for s in shingle_sets(buf, offsets, k)]
+                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(for_all) >> np.uint64(32)).astype(np.int32))], names=["top"])
     return run
 
 
-def hot_hashes(docs: DataFrame, k: int, num: int, den: int, hot_df: int) -> np.ndarray:
-    """The upper halves of the hashes in more than ``hot_df`` prefixes, sorted; MAX_HOT at most."""
-    tops = _text_rows(docs).drop("text_hash").mapInArrow(_prefix_counts(k, num, den), "top int")
+def hot_hashes(docs: DataFrame, k: int, hot_df: int) -> np.ndarray:
+    """The upper halves of the hashes in more than ``hot_df`` documents, sorted; MAX_HOT at most."""
+    tops = _text_rows(docs).drop("text_hash").mapInArrow(_lower_half(k), "top int")
     counts = written(tops.groupBy("top").count().where(F.col("count") > hot_df))
     while counts.where(F.col("count") > hot_df).count() > MAX_HOT:
         hot_df *= 2
@@ -118,40 +123,87 @@ def _classed_texts(k: int):
     return run
 
 
+class _Block:
+    """The sets of a block's classes as one sorted index, and what its candidates have joined."""
+
+    def __init__(self):
+        self.names, self.sets, self.index, self.sizes = [], [], None, None
+
+    def add(self, name: str, own: np.ndarray) -> None:
+        self.names.append(name)
+        self.sets.append(own)
+
+    def _close(self) -> None:
+        self.sizes = np.array([len(s) for s in self.sets])
+        every = np.concatenate(self.sets)
+        owner = np.repeat(np.arange(len(self.sets)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.index, self.owner, self.sets = every[order], owner[order], []
+        self.root = list(range(len(self.names)))
+
+    def _find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def links(self, name: str, own: np.ndarray, num: int, den: int) -> Iterator[tuple[str, str]]:
+        """Links of a candidate: one to the block, and those between its classes that are new."""
+        if self.sizes is None:
+            self._close()
+        low, high = np.searchsorted(self.index, own, "left"), np.searchsorted(self.index, own, "right")
+        hit = high > low
+        if not hit.any():
+            return
+        at = np.concatenate([np.arange(a, b) for a, b in zip(low[hit].tolist(), high[hit].tolist())]) if (high - low).max() > 1 else low[hit]
+        both = np.bincount(self.owner[at], minlength=len(self.names))
+        linked = [h for h in np.flatnonzero(den * both >= num * (self.sizes + len(own) - both)).tolist() if self.names[h] != name]
+        if linked:
+            yield name, self.names[linked[0]]
+            first = self._find(linked[0])
+            for h in linked[1:]:
+                if self._find(h) != first:
+                    self.root[self._find(h)] = first
+                    yield self.names[linked[0]], self.names[h]
+
+
 def _verify(k: int, num: int, den: int):
-    """Rows sorted by (a, part, role): the set of a, then those of its partners. One set is held."""
+    """Rows sorted by (block, part, role): a block's classes, then its candidates."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, np.empty(0, np.uint64)
+        key, block = None, None
         for batch in batches:
-            a, role, cls = batch.column("a").to_pylist(), batch.column("role").to_pylist(), batch.column("cls").to_pylist()
-            linked = []
+            keys = list(zip(batch.column("block").to_pylist(), batch.column("part").to_pylist()))
+            role, cls = batch.column("role").to_pylist(), batch.column("cls").to_pylist()
+            found: list[tuple[str, str]] = []
             for i, _, buf, offsets in blocks(batch.column("text")):
                 for r, own in enumerate(shingle_sets(buf, offsets, k), i):
+                    if keys[r] != key:
+                        key, block = keys[r], _Block()
                     if role[r] == 0:
-                        hub, hub_set = a[r], own
-                    elif hub == a[r] and len(own) and len(hub_set):
-                        at = np.minimum(np.searchsorted(hub_set, own), len(hub_set) - 1)
-                        both = int((hub_set[at] == own).sum())
-                        if den * both >= num * (len(own) + len(hub_set) - both):
-                            linked.append((a[r], cls[r]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in linked], pa.string()), pa.array([y for _, y in linked], pa.string())], names=["a", "b"])
+                        block.add(cls[r], own)
+                    elif block.names:
+                        found.extend(block.links(cls[r], own, num, den))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], names=["a", "b"])
     return run
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, part_rows: int = 256) -> DataFrame:
-    """The pairs (a, b) of classes that link. A class with many partners is dealt out in parts."""
-    per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_b"))
-    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n_b") / part_rows)).cast("int")
-    dealt = pairs.join(per, "a").withColumn("part", part)
-    roles = F.array(F.struct(F.lit(0).alias("role"), F.col("a").alias("cls")), F.struct(F.lit(1).alias("role"), F.col("b").alias("cls")))
-    wanted = written(dealt.select("a", "part", F.explode(roles).alias("r")).select("a", "part", "r.*").distinct())
-    ids = written(wanted.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct())
+def verified(docs: DataFrame, classes: DataFrame, blocked: DataFrame, wanted: DataFrame, k: int, num: int, den: int, part_rows: int = 4096) -> DataFrame:
+    """Links (a, b) of classes. blocked: (block, gkey) of a block's groups; wanted: of its candidates."""
+    hubs = blocked.join(wanted.select("block").distinct(), "block", "left_semi").join(classes, "gkey").select("block", "cls")
+    members = wanted.join(classes, "gkey").select("block", "cls")
+    many = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
+    many = written(many)
+    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    rows = members.join(many, "block").select("block", part.alias("part"), F.lit(1).alias("role"), "cls").union(
+        hubs.join(many, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "cls"))
+    rows = written(rows)
+    ids = written(rows.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct())
     texts = _text_rows(docs).drop("text_hash").join(small(ids, 2_000_000), "doc_id", "left_semi").mapInArrow(_classed_texts(k), "cls string, text binary")
-    rows = wanted.join(texts, "cls").select("a", "part", "role", "cls", "text")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(_verify(k, num, den), "a string, b string").distinct()
+    shipped = rows.join(texts, "cls").select("block", "part", "role", "cls", "text")
+    return shipped.repartition("block", "part").sortWithinPartitions("block", "part", "role").mapInArrow(_verify(k, num, den), "a string, b string").distinct()
 
 
-def link_classes(docs: DataFrame, sigs: DataFrame, k: int, num: int, den: int, hubs: int = 16) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, sigs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """classes (cls, n, gkey, rep) and components (node, component) of the classes that link."""
     named = sigs.where("n > 0 and doc_id is not null")
     classes = written(named.groupBy("cls", "n", "gkey").agg(F.min("doc_id").alias("rep")))
@@ -161,44 +213,30 @@ def link_classes(docs: DataFrame, sigs: DataFrame, k: int, num: int, den: int, h
     followers = written(named.select("doc_id", "cls").join(leaders.select("cls", "rep"), "cls", "left").where("rep is null or rep <> doc_id").select("doc_id").distinct())
     postings = named.select("doc_id", "gkey", "prefix").join(small(followers, 2_000_000), "doc_id", "left_anti").select(F.explode("prefix").alias("token"), "gkey")
     along = Window.partitionBy("token").orderBy("gkey")
-    lists = postings.select("token", "gkey", F.first("gkey").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("hub"), F.lead("gkey").over(along).alias("next"))
-    lists = written(lists.where("hub <> gkey or next <> gkey").select("token", "gkey", "hub").where("gkey is not null"))
-
-    near = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
-    first = lists.where("hub <> gkey").select("hub", "gkey").distinct()
-    side = lambda name: leaders.select(F.col("gkey").alias(name), F.col("cls").alias(f"{name}_cls"), F.col("n").alias(f"{name}_n"))
-    across = first.join(side("hub"), "hub").join(side("gkey"), "gkey").where(near(F.col("hub_n"), F.col("gkey_n")))
-    within = classes.select("cls", "gkey").join(leaders.where("n_classes > 1").select("gkey", F.col("cls").alias("a")), "gkey").where("cls <> a")
-    pairs = across.select(F.col("hub_cls").alias("a"), F.col("gkey_cls").alias("b")).union(within.select("a", F.col("cls").alias("b")))
-    done = written(pairs.distinct())
-    links = written(verified(docs, classes, done, k, num, den))
-    found = written(components(links))
-
-    open_lists = lists.select("token", "gkey").join(classes.select("gkey", "cls", "n"), "gkey").select("token", "cls", "n")
-    own_lists = classes.join(leaders.where("n_classes > 1").select("gkey"), "gkey", "left_semi").select(F.col("gkey").alias("token"), "cls", "n")
-    rows = open_lists.union(own_lists)
-    while True:
-        labelled = rows.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        ranked = labelled.join(mixed, "token", "left_semi").withColumn("at", F.row_number().over(Window.partitionBy("token").orderBy("n", "cls")))
-        ranked = written(ranked)
-        if not ranked.head(1):
-            return classes, found
-        hub = ranked.where(F.col("at") <= hubs).select("token", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_comp"), F.col("at").alias("a_at"))
-        pairs = ranked.join(hub, "token").where((F.col("a_at") < F.col("at")) & (F.col("a_comp") != F.col("component")) & near(F.col("a_n"), F.col("n")))
-        pairs = written(pairs.select("a", F.col("cls").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
-        if pairs.head(1):
-            done = done.union(pairs).union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            links = links.union(written(verified(docs, classes, pairs, k, num, den)))
-            found = written(components(links))
-        rows = ranked.where(F.col("at") > hubs).select("token", "cls", "n")
-        hubs *= 4
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, hot_df: int = 16) -> DataFrame:
+    lists = postings.select("token", "gkey", F.first("gkey").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("gkey").over(along).alias("next"))
+    lists = lists.where("first <> gkey or next <> gkey").select("token", "gkey")
+    lists = written(lists.union(leaders.where("n_classes > 1").select(F.col("gkey").alias("token"), "gkey")))
+
+    # a group's block: its least listed hash, its size to within a factor, and a run of BLOCK_HASHES
+    homes = lists.groupBy("gkey").agg(F.min("token").alias("home")).join(leaders.select("gkey", "n", "n_classes"), "gkey")
+    homes = homes.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))))
+    along = Window.partitionBy("home", "band").orderBy("n", "gkey").rowsBetween(Window.unboundedPreceding, 0)
+    run = F.floor(F.sum(F.col("n").cast("long") * F.col("n_classes")).over(along) / BLOCK_HASHES)
+    placed = written(homes.select("gkey", "n", "n_classes", F.xxhash64("home", "band", run).alias("block")))
+    sizes = placed.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("n_classes").alias("n_hubs"))
+    in_lists = lists.join(placed, "gkey").join(sizes, "block")
+    blocks_of = in_lists.select("token", F.col("block").alias("to"), "lo", "hi", "n_hubs").distinct()
+    near = (den * F.col("n") >= num * F.col("lo")) & (den * F.col("hi") >= num * F.col("n"))
+    alone = (F.col("block") == F.col("to")) & (F.col("n_hubs") == 1)
+    wanted = in_lists.select("token", "gkey", "n", "block").join(blocks_of, "token").where(near & ~alone).select(F.col("to").alias("block"), "gkey").distinct()
+    links = written(verified(docs, classes, placed.select("block", "gkey"), written(wanted), k, num, den))
+    return classes, written(components(links))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, hot_df: int = 4) -> DataFrame:
     """doc_id, text_hash, n_shingles, component (null for an empty set) and component_id (the least
     doc_id its links reach) of every row."""
-    hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(docs, k, num, den, hot_df))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(docs, k, hot_df))
     sigs = written(_text_rows(docs).mapInArrow(_signatures(k, num, den, hot), SIGNATURE))
     classes, found = link_classes(docs, sigs, k, num, den)
     labelled = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
