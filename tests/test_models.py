@@ -1,5 +1,7 @@
 """Model operators: MLP gradients and partition equivalence, swarm invariants, registry."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -31,16 +33,16 @@ def test_mlp_one_partition_equals_sequential(spark):
     X = rng.random((n, d))
     y = (X[:, 0] > 0.5).astype(float)
     rows = [(f"r{i}", [float(v) for v in X[i]], float(y[i]), "train") for i in range(n)]
-    df = spark.createDataFrame(rows, "key string, features array<double>, label double, split string").coalesce(1)
+    df = spark.createDataFrame(rows, "key string, features array<double>, label double, split string")
     c = {"trial_id": 0, "neurons": 4, "hiddenactivation": "tanh", "activation": "sigmoid", "loss": "binary_crossentropy",
          "optimizer": "adam", "learning_rate": 0.05, "batch_size": 12, "epochs": 2}
-    weights, _, _ = mlp.fit_mlp(df, [c], d, seed=3, epochs=2, patience=None)
+    weights, _, _ = mlp.fit_mlp(df, [c], d, seed=3, epochs=2, patience=None, n_shards=1)
     # sequential reference with the same order and initialisation
     w = mlp.init_params(0, d, 4, 3)
     slots, t = [np.zeros_like(w), np.zeros_like(w)], 0
     keys = np.array([r[0] for r in rows])
     for e in range(2):
-        order = np.lexsort((keys.astype(str), mlp._order_key(3, e, keys)))
+        order = sorted(range(n), key=lambda i: (hashlib.md5(f"3:{e}:{keys[i]}".encode()).hexdigest()[:8], keys[i]))
         Xo, yo = X[order], y[order]
         for s in range(0, n, 12):
             t += 1
@@ -48,6 +50,21 @@ def test_mlp_one_partition_equals_sequential(spark):
     assert np.allclose(weights[0], w, atol=1e-12)
 
 
+def test_mlp_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    X = rng.random((400, 2))
+    rows = [(f"r{i}", [float(v) for v in X[i]], float(X[i, 0] > X[i, 1]), "val" if i % 5 == 0 else "train") for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, features array<double>, label double, split string")
+    cands = [{"trial_id": k, "neurons": 4, "hiddenactivation": "relu", "activation": "sigmoid", "loss": "binary_crossentropy",
+              "optimizer": o, "learning_rate": 0.05, "batch_size": 16, "epochs": 4} for k, o in enumerate(["adam", "sgd", "RMSprop"])]
+    found = [mlp.fit_mlp(d, cands, 2, seed=1, epochs=4) for d in (df.coalesce(1), df.repartition(2, "key"), df.repartition(13, "label"))]
+    for weights, history, _ in found[1:]:
+        assert all(np.allclose(weights[k], found[0][0][k], atol=1e-10) for k in weights)
+        assert [h[:2] for h in history] == [h[:2] for h in found[0][1]] and np.allclose([h[2:] for h in history], [h[2:] for h in found[0][1]])
+    losses = [h[2] for h in found[0][1] if h[0] == 0]
+    assert len(losses) == 4 and losses[-1] < losses[0]
+
+
 def test_swarm_stays_in_bounds_and_best_is_monotone(spark):
     space = SearchSpace.from_dict({"a": [0, 1, 3], "b": [-2, 2, 3]})
 

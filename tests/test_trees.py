@@ -2,6 +2,7 @@
 below the root must not change any split or leaf)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from tools.check_oracle import duck_con
@@ -9,16 +10,15 @@ from tuneforge.operators import trees
 from tuneforge.plans import catalog, oracle
 
 
-@pytest.mark.parametrize("kind,label,volume", [("reg:linear", "reg", 0), ("reg:gamma", "reg_positive", 0),
-                                                ("reg:linear", "reg", 10 ** 12)])
-def test_deep_mixed_batch_matches_sql(spark, kind, label, volume):
-    """volume 0 forces histogram subtraction at every level; 10**12 disables it."""
+@pytest.mark.parametrize("kind,label", [("reg:linear", "reg"), ("reg:gamma", "reg_positive")])
+def test_deep_mixed_batch_matches_sql(spark, kind, label):
+    """Histograms below the root are half aggregated, half subtracted."""
     binned, b = catalog.tree_rows(spark, SF_SMALL, label)
     cands = [
         {"trial_id": 0, "objective": kind, "learning_rate": 0.3, "max_depth": 4, "n_estimators": 2, "subsample": 0.8},
         {"trial_id": 1, "objective": kind, "learning_rate": 0.5, "max_depth": 2, "n_estimators": 3, "subsample": 1.0},
     ]
-    cfg = trees.BoostConfig(seed=13, binning="uniform", n_bins=16, subtraction_min_volume=volume)
+    cfg = trees.BoostConfig(seed=13, binning="uniform", n_bins=16)
     res = trees.fit_boosted_trees(spark, binned, cands, "rmse", cfg, b)
     got = {r.trial_id: round(r.cost, 6) for r in res.costs.collect()}
     ctes, _ = oracle.boost_sql_cands(cands, label, "rmse", seed=13)
@@ -40,3 +40,16 @@ def test_invalid_candidates_fail_cleanly(spark):
     assert st[0][0] == "failed" and st[0][1] is None      # reg has non-positive targets
     assert st[1][0] == "failed"
     assert st[2][0] == "ok" and st[2][1] > 0
+
+
+def test_model_of_an_early_stop_predicts_the_reported_cost(spark):
+    """Where the stop fires, the model table ends at the best round: its RMSE is the reported cost."""
+    binned, b = catalog.tree_rows(spark, SF_SMALL, "reg")
+    cands = [{"trial_id": k, "objective": "reg:linear", "learning_rate": lr, "max_depth": 4, "n_estimators": 8, "subsample": 1.0} for k, lr in enumerate([1.9, 1.0, 0.3])]
+    res = trees.fit_boosted_trees(spark, binned, cands, "rmse", trees.BoostConfig(seed=13, binning="uniform", n_bins=16, early_stopping_rounds=2), b)
+    pred = trees.predict_boosted(binned.filter("split = 'val'"), res.model, res.cands)
+    got = {r.trial_id: r.c for r in pred.groupBy("trial_id").agg(F.sqrt(F.avg(F.pow(F.col("label") - F.col("score"), 2))).alias("c")).collect()}
+    want = {r.trial_id: r for r in res.costs.collect()}
+    assert all(abs(got[t] - r.cost) < 1e-9 for t, r in want.items())
+    assert any(r.best_round < 7 for r in want.values())
+    assert {r.trial_id: r.m for r in res.model.groupBy("trial_id").agg(F.max("round").alias("m")).collect()} == {t: r.best_round for t, r in want.items()}

@@ -1,35 +1,34 @@
 """One-hidden-layer perceptron fitted for a whole candidate batch (the ``mlp`` estimator).
 
-Each epoch is ONE Spark job: ``mapInPandas`` runs mini-batch gradient descent for every
-candidate inside each partition of the training rows, starting from the epoch's global
-weights, and emits the partition's final weights and optimiser slots; a row-weighted
-``groupBy(trial_id, idx)`` average gives the next global weights (parameter averaging).
-The same job scores the incoming weights on the validation rows (val loss per epoch).
-
-NumPy runs inside tasks only; Spark partitions the rows and shuffles the small partials.
-With one partition this is exactly sequential mini-batch training. Results depend on the
-partition count (fixed by the caller) and the per-epoch order ``hash(seed, epoch, key)``:
-a declared deviation from single-machine training.
+Rows are dealt into ``n_shards`` by a hash of their key: a declared number that is part of
+the result's definition. Each epoch is ONE Spark job: ``mapInPandas`` reads a shard's rows as
+a stream, in the order of a per-epoch hash of the key, and runs mini-batch gradient descent
+for every candidate from the epoch's global weights; a row-weighted
+``groupBy(trial_id, kind, idx)`` average of the shards gives the next global weights
+(parameter averaging). The same job scores the incoming weights on the validation rows.
+
+NumPy runs inside tasks only, on one Arrow batch and one open mini-batch at a time, so a task's
+memory does not grow with its shard. With one shard this is exactly sequential mini-batch
+training. Results do not depend on partitions or cores, but for the last digits of sums.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneforge.session import cut_lineage
+from tuneforge.operators.space import DEFAULT_SPACES
 
 # ---- fixed values: optimiser constants (Keras defaults) ----
 ADAM_B1, ADAM_B2, EPS = 0.9, 0.999, 1e-7
 RMS_RHO, ADADELTA_RHO = 0.9, 0.95
 # ---- end of fixed values ----
-OPTIMIZERS = ("RMSprop", "adam", "sgd", "adamax", "nadam", "adadelta")
-ACTIVATIONS = ("relu", "sigmoid", "tanh")
+N_SHARDS = 8
 OUT_SCHEMA = "trial_id long, kind string, idx long, value double, weight double"
 
 
@@ -143,63 +142,86 @@ def step(opt: str, lr: float, w, slots, t: int, g):
     raise ValueError(f"unknown optimizer {opt!r}")
 
 
-def _order_key(seed: int, epoch: int, keys) -> np.ndarray:
-    return np.array([int(hashlib.md5(f"{seed}:{epoch}:{k}".encode()).hexdigest()[:8], 16) for k in keys], dtype=np.int64)
-
-
-def _epoch_fn(train_c, val_c, state, d, epoch, seed):
-    """Per-partition function of one epoch: val loss of the incoming weights for ``val_c``,
-    then one pass of mini-batch training for ``train_c`` (closure over bounded state)."""
+def epoch_order(seed: int, epoch: int, key: Column | str = "key") -> Column:
+    """The order of the rows in an epoch: eight hex digits of an md5 of seed, epoch and key."""
+    return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), key)), 1, 8)
+
+
+class _ShardRun:
+    """One pass over one shard: training of ``train_c``, validation loss of ``val_c``."""
+
+    def __init__(self, train_c, val_c, state, d):
+        self.d, self.val_c = d, val_c
+        self.val = {c["trial_id"]: 0.0 for c in val_c}
+        self.n_val = 0
+        self.train = [[c, state[c["trial_id"]][0].copy(), [x.copy() for x in state[c["trial_id"]][1]], state[c["trial_id"]][2], 0.0, 0] for c in train_c]
+        self.state = state
+        self.open = [(np.empty((0, d)), np.empty(0)) for _ in train_c]
+
+    def add(self, X, y, is_train):
+        Xv, yv = X[~is_train], y[~is_train]
+        if len(yv):
+            self.n_val += len(yv)
+            for c in self.val_c:
+                p = forward(self.state[c["trial_id"]][0], Xv, self.d, int(c["neurons"]), c["hiddenactivation"], c["activation"])[3]
+                self.val[c["trial_id"]] += float(loss_value(c["loss"], yv, p).sum())
+        Xt, yt = X[is_train], y[is_train]
+        for k, run in enumerate(self.train):
+            size = int(run[0]["batch_size"])
+            Xo, yo = np.concatenate([self.open[k][0], Xt]), np.concatenate([self.open[k][1], yt])
+            whole = len(yo) - len(yo) % size
+            for at in range(0, whole, size):
+                self._step(run, Xo[at:at + size], yo[at:at + size])
+            self.open[k] = (Xo[whole:], yo[whole:])
+
+    def _step(self, run, X, y):
+        c, w, slots, t, total, n = run
+        batch_loss, g = loss_and_gradient(w, X, y, self.d, int(c["neurons"]), c["hiddenactivation"], c["activation"], c["loss"])
+        w, slots = step(c["optimizer"], float(c["learning_rate"]), w, slots, t + 1, g)
+        run[1:] = [w, slots, t + 1, total + batch_loss, n + len(y)]
+
+    def result(self) -> pd.DataFrame:
+        rows = [(tid, "val_loss", 0, v, float(self.n_val)) for tid, v in self.val.items() if self.n_val]
+        for run, (X, y) in zip(self.train, self.open):
+            if len(y):
+                self._step(run, X, y)
+            c, w, slots, t, total, n = run
+            if n:
+                tid = c["trial_id"]
+                rows += [(tid, "train_loss", 0, total, float(n)), (tid, "t", 0, float(t), float(n))]
+                rows += [(tid, "w", i, float(v), float(n)) for i, v in enumerate(np.concatenate([w] + slots))]
+        return pd.DataFrame(rows, columns=["trial_id", "kind", "idx", "value", "weight"])
+
+
+def _epoch_fn(shared, d):
+    """Rows sorted by (shard, order, key), read as a stream of batches."""
 
     def run(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if pdf.empty:
-            return
-        X_all = np.stack(pdf["features"].to_numpy()).astype(float)
-        y_all = pdf["label"].to_numpy(dtype=float)
-        is_tr = (pdf["split"] == "train").to_numpy()
-        is_va = (pdf["split"] == "val").to_numpy()
-        Xv, yv = X_all[is_va], y_all[is_va]
-        Xt, yt = X_all[is_tr], y_all[is_tr]
-        keys = pdf["key"].to_numpy()[is_tr]
-        if len(keys):
-            order = np.lexsort((keys.astype(str), _order_key(seed, epoch, keys)))
-            Xt, yt = Xt[order], yt[order]
-        rows = []
-        for c in val_c:
-            if len(yv):
-                w = state[c["trial_id"]][0]
-                _, _, _, pv = forward(w, Xv, d, int(c["neurons"]), c["hiddenactivation"], c["activation"])
-                rows.append((c["trial_id"], "val_loss", 0, float(loss_value(c["loss"], yv, pv).sum()), float(len(yv))))
-        for c in train_c:
-            if not len(yt):
-                continue
-            tid, h = c["trial_id"], int(c["neurons"])
-            a1, a2, loss, opt = c["hiddenactivation"], c["activation"], c["loss"], c["optimizer"]
-            w, slots, t = state[tid]
-            w, slots = w.copy(), [x.copy() for x in slots]
-            bs = int(c["batch_size"])
-            tr_loss = 0.0
-            for s0 in range(0, len(yt), bs):
-                xb, yb = Xt[s0:s0 + bs], yt[s0:s0 + bs]
-                batch_loss, g = loss_and_gradient(w, xb, yb, d, h, a1, a2, loss)
-                tr_loss += batch_loss
-                t += 1
-                w, slots = step(opt, float(c["learning_rate"]), w, slots, t, g)
-            n = float(len(yt))
-            rows.append((tid, "train_loss", 0, tr_loss, n))
-            rows.append((tid, "t", 0, float(t), n))
-            rows.extend((tid, "w", i, float(v), n) for i, v in enumerate(np.concatenate([w] + slots)))
-        if rows:
-            yield pd.DataFrame(rows, columns=["trial_id", "kind", "idx", "value", "weight"])
+        train_c, val_c, state = shared.value
+        shard, now = None, None
+        for pdf in batches:
+            ids = pdf["shard"].to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if ids[a] != shard:
+                    if now is not None:
+                        yield now.result()
+                    shard, now = ids[a], _ShardRun(train_c, val_c, state, d)
+                part = pdf.iloc[a:b]
+                now.add(np.stack(part["features"].to_numpy()).astype(float), part["label"].to_numpy(dtype=float), (part["split"] == "train").to_numpy())
+        if now is not None:
+            yield now.result()
 
     return run
 
 
 def validate_candidate(c: dict) -> str | None:
-    if c.get("optimizer") not in OPTIMIZERS:
+    known = {name: values for (est, _), space in DEFAULT_SPACES.items() if est == "mlp" for name, values in space.items()}
+    if c.get("optimizer") not in known["optimizer"]:
         return f"unknown optimizer {c.get('optimizer')!r}"
-    if c.get("hiddenactivation") not in ACTIVATIONS or c.get("activation") not in ACTIVATIONS:
+    if c.get("hiddenactivation") not in known["hiddenactivation"] or c.get("activation") not in known["hiddenactivation"]:
         return "unknown activation"
     if not c.get("neurons") or int(c["neurons"]) < 1:
         return "neurons must be >= 1"
@@ -209,11 +231,11 @@ def validate_candidate(c: dict) -> str | None:
 
 
 def fit_mlp(rows: DataFrame, cands: list[dict], n_features: int, seed: int = 0, epochs: int | None = None,
-            patience: int | None = 20):
+            patience: int | None = 20, n_shards: int = N_SHARDS):
     """Train every candidate; returns (final weights {trial: vec}, history rows, errors).
 
-    ``rows``: ``(key, features, label, split)``, already partitioned (the partition count
-    is part of the result's definition). Early stopping on val loss with ``patience``;
+    ``rows``: ``(key, features, label, split)``. ``n_shards`` bounds the tasks of an epoch and
+    is part of the result's definition: raise it with the data. Early stopping on val loss with ``patience``;
     the weights of the last trained epoch are kept (Keras EarlyStopping default).
     History rows: ``(trial_id, epoch, train_loss, val_loss)``.
     """
@@ -224,7 +246,10 @@ def fit_mlp(rows: DataFrame, cands: list[dict], n_features: int, seed: int = 0,
     for c in live:
         w = init_params(c["trial_id"], d, int(c["neurons"]), seed)
         state[c["trial_id"]] = (w, [np.zeros_like(w) for _ in range(n_slots(c["optimizer"]))], 0)
-    src = rows.filter(F.col("split").isin("train", "val")).select("key", "features", "label", "split")
+    shard = F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int")
+    src = rows.filter(F.col("split").isin("train", "val")).select("key", "features", "label", "split", shard.alias("shard"))
+    src = src.repartitionById(n_shards, F.col("shard")).persist(StorageLevel.MEMORY_AND_DISK)
+    sc = rows.sparkSession.sparkContext
     max_ep = {c["trial_id"]: int(epochs if epochs is not None else c.get("epochs", 50)) for c in live}
     hist: dict = {}
     best = {c["trial_id"]: (math.inf, -1) for c in live}
@@ -234,7 +259,9 @@ def fit_mlp(rows: DataFrame, cands: list[dict], n_features: int, seed: int = 0,
         val_c = [c for c in live if c["trial_id"] not in stopped and 1 <= e <= max_ep[c["trial_id"]]]
         if not train_c and not val_c:
             break
-        out = src.mapInPandas(_epoch_fn(train_c, val_c, state, d, e, seed), OUT_SCHEMA)
+        shared = sc.broadcast((train_c, val_c, state))
+        ordered = src.withColumn("order", epoch_order(seed, e)).sortWithinPartitions("shard", "order", "key")
+        out = ordered.select("shard", "features", "label", "split").mapInPandas(_epoch_fn(shared, d), OUT_SCHEMA)
         agg = out.groupBy("trial_id", "kind", "idx").agg(
             (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("avg"),
             F.sum("value").alias("total"), F.sum("weight").alias("n"))
@@ -261,6 +288,7 @@ def fit_mlp(rows: DataFrame, cands: list[dict], n_features: int, seed: int = 0,
             vec = np.array([g["w"][i][0] for i in range(len(g["w"]))])
             state[tid] = (vec[:ps], [vec[ps * (k + 1): ps * (k + 2)] for k in range(ns)], int(round(g["t"][0][0])))
             hist.setdefault((tid, e), [None, None])[0] = g["train_loss"][0][1] / g["train_loss"][0][2]
+    src.unpersist()
     hist_rows = [(tid, e, v[0], v[1]) for (tid, e), v in sorted(hist.items()) if v[0] is not None]
     return {tid: s[0] for tid, s in state.items()}, hist_rows, errors
 
@@ -268,9 +296,10 @@ def fit_mlp(rows: DataFrame, cands: list[dict], n_features: int, seed: int = 0,
 def predict_scores(rows: DataFrame, weights: dict, cands: list[dict], n_features: int, split: str = "val") -> DataFrame:
     """``(trial_id, key, label, score)`` network outputs on ``split`` rows (vectorised per partition)."""
     d = n_features
-    info = {c["trial_id"]: c for c in cands if c["trial_id"] in weights}
+    shared = rows.sparkSession.sparkContext.broadcast(({c["trial_id"]: c for c in cands if c["trial_id"] in weights}, weights))
 
     def run(batches):
+        info, weights = shared.value
         for pdf in batches:
             if pdf.empty:
                 continue

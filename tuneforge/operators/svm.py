@@ -8,7 +8,8 @@ sums, exactly the MLlib pattern (driver-side weights, distributed gradient aggre
 * SVR: epsilon-insensitive loss (epsilon = 0.1)
 * rbf kernel: random Fourier features (Rahimi & Recht 2007), then the linear model
 * poly kernel: explicit degree-d monomial map of ``(gamma x.x')^d`` (coef0 = 0), then linear
-* probabilities: Platt scaling fitted by Newton steps (one aggregate per step)
+* probabilities: Platt scaling fitted by Newton steps (one aggregate per step) on out-of-fold
+  scores of the training rows, never on the rows that are scored with it
 
 The exact kernel SMO solver is single-machine and is not rebuilt; the kernel models are
 approximations with a declared dimension and seed.
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneforge.functions.hashing import hash_uniform  # noqa: F401  (documented primitive)
+from tuneforge.functions.hashing import hash_uniform
 
 SVR_EPSILON = 0.1
 
@@ -155,6 +156,20 @@ def poly_transform(rows: DataFrame, n_features: int, degree: int, gamma: float,
 
 
 # ---------------------------------------------------------------- Platt scaling
+def out_of_fold_scores(rows: DataFrame, cands: list[dict], n_features: int, n_steps: int, lr: float = 0.5,
+                       kind: str = "svc", folds: int = 3, seed: int = 0, feature_col: str = "features") -> DataFrame:
+    """``(trial_id, key, label, score)`` of every training row by a model that has not seen it:
+    the folds are drawn by a hash of the key."""
+    fold = F.floor(hash_uniform(seed, F.lit("fold"), F.col("key")) * F.lit(float(folds)))
+    train = rows.filter(F.col("split") == "train").withColumn("_fold", fold)
+    out = None
+    for k in range(folds):
+        wts = hinge_steps(train.filter(F.col("_fold") != k), cands, n_features, n_steps, lr, kind, feature_col=feature_col)
+        held = decision_scores(train.filter(F.col("_fold") == k), wts, n_features, feature_col, keep=("key", "label"))
+        out = held if out is None else out.unionByName(held)
+    return out
+
+
 def platt_scaling(scores: DataFrame, n_steps: int = 2, sigma: float = 1e-12) -> dict:
     """Fit ``P(y=1|f) = 1 / (1 + exp(A f + B))`` per trial by Newton steps (no line search).
 

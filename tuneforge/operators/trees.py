@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tuneforge.functions.hashing import hash_uniform
 from tuneforge.operators import scoring
-from tuneforge.session import cut_lineage, default_parallelism, needs_spread
+from tuneforge.session import cut_lineage, materialize
 
 # objective names of both libraries -> loss family
 OBJECTIVES = {
@@ -55,9 +55,6 @@ class BoostConfig:
     gain_decimals: int = 9
     verbose: bool = False
     record_history: bool = False    # validation cost every round (always on with early stopping)
-    # histogram subtraction below the root once a level explodes at least this many rows
-    # (train rows x candidates x features); below it one direct aggregate is cheaper
-    subtraction_min_volume: int = 50_000_000
 
 
 # ---------------------------------------------------------------- binning
@@ -223,9 +220,7 @@ def fit_boosted_trees(
 
     base = F.array(*[F.lit(float(c["base"])) for c in cands]) if K else F.array().cast("array<double>")
     state = binned.select("key", "bins", "label", "split", base.alias("f"), base.alias("fb"), _weights(cands, 0, cfg).alias("w"))
-    if needs_spread(state):
-        state = state.repartition(default_parallelism(spark), "key")
-    state = cut_lineage(state)
+    state = materialize(state)
 
     model_rows: list[tuple] = []
     history_rows: list[tuple] = []
@@ -249,8 +244,7 @@ def fit_boosted_trees(
         for L in range(D):
             lev = [i for i in active if L < depth[i]]
             _t = time.time()
-            subtract = (st["n"] or 0) * len(lev) * (st["n_features"] or 0) >= cfg.subtraction_min_volume
-            stats, hist = _level_histogram_best(cur, cands, lev, r, cfg, parent_hist, keep=subtract and L + 1 < D)
+            stats, hist = _level_histogram_best(cur, cands, lev, r, cfg, parent_hist, keep=L + 1 < D)
             if parent_hist is not None:
                 parent_hist.unpersist()
             parent_hist = hist
@@ -277,20 +271,19 @@ def fit_boosted_trees(
             d = depth[i]
             lr = float(cands[i]["learning_rate"])
             vals = [0.0] * (2 ** d)
-            if True:
-                for (ii, node), s in level_stats[d - 1].items():
-                    if ii != i:
-                        continue
-                    if s["split"] is not None:
-                        gl, hl, gr, hr = s["split"][2:6]
-                        vals[2 * node] = -gl / (hl + lam) * lr
-                        vals[2 * node + 1] = -gr / (hr + lam) * lr
-                        model_rows.append((cands[i]["trial_id"], r, d, 2 * node, None, None, None, vals[2 * node]))
-                        model_rows.append((cands[i]["trial_id"], r, d, 2 * node + 1, None, None, None, vals[2 * node + 1]))
-                    else:
-                        gt, ht = s["tot"]
-                        vals[2 * node] = -gt / (ht + lam) * lr
-                        model_rows.append((cands[i]["trial_id"], r, d, 2 * node, None, None, None, vals[2 * node]))
+            for (ii, node), s in level_stats[d - 1].items():
+                if ii != i:
+                    continue
+                if s["split"] is not None:
+                    gl, hl, gr, hr = s["split"][2:6]
+                    vals[2 * node] = -gl / (hl + lam) * lr
+                    vals[2 * node + 1] = -gr / (hr + lam) * lr
+                    model_rows.append((cands[i]["trial_id"], r, d, 2 * node, None, None, None, vals[2 * node]))
+                    model_rows.append((cands[i]["trial_id"], r, d, 2 * node + 1, None, None, None, vals[2 * node + 1]))
+                else:
+                    gt, ht = s["tot"]
+                    vals[2 * node] = -gt / (ht + lam) * lr
+                    model_rows.append((cands[i]["trial_id"], r, d, 2 * node, None, None, None, vals[2 * node]))
             leaf_lits.append(vals)
             shifts.append(D - d)
         # fb <- f for candidates that improved at the previous round, then f += leaf
@@ -361,6 +354,8 @@ def fit_boosted_trees(
         bad = cost is None or math.isnan(cost) or math.isinf(cost)
         cost_rows.append((tid, None if bad else float(cost), rnd, "failed" if bad else "ok", "non-finite cost" if bad else None))
     costs = spark.createDataFrame(cost_rows, "trial_id bigint, cost double, best_round int, status string, error string")
+    if cfg.early_stopping_rounds is not None:   # the model ends with the round whose cost is reported
+        model_rows = [m for m in model_rows if m[1] <= best[m[0]][1]]
     model = spark.createDataFrame(model_rows, "trial_id bigint, round int, level int, node bigint, feature int, bin int, threshold double, leaf_value double")
     history = spark.createDataFrame(history_rows, "trial_id bigint, round int, val_cost double")
     return BoostResult(costs, model, history, state, cands, binning)

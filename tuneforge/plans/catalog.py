@@ -533,6 +533,7 @@ from tuneforge.operators import svm  # noqa: E402
 
 SVM_CANDS = [{"trial_id": 0, "C": 0.1}, {"trial_id": 1, "C": 1.0}, {"trial_id": 2, "C": 10.0}]
 SVM_STEPS, SVM_LR = 3, 0.5
+SVM_FOLDS, SVM_FOLD_SEED = 3, 17
 RFF_GAMMA, RFF_M, RFF_SEED = 0.5, 8, 21
 POLY_DEGREE, POLY_GAMMA = 2, 0.5
 
@@ -582,8 +583,7 @@ def q_poly_features(spark, sf):
 
 def q_svm_probability(spark, sf):
     rows = svm_rows(spark, sf)
-    wts = svm.hinge_steps(rows, SVM_CANDS, 4, SVM_STEPS, SVM_LR, "svc")
-    sc = svm.decision_scores(rows.filter(F.col("split") == "val"), wts, 4)
+    sc = svm.out_of_fold_scores(rows, SVM_CANDS, 4, SVM_STEPS, SVM_LR, "svc", SVM_FOLDS, SVM_FOLD_SEED)
     ab = svm.platt_scaling(sc.select("trial_id", "label", "score"), n_steps=2)
     out = spark.createDataFrame([(t, float(a), float(b)) for t, (a, b) in ab.items()], "trial_id bigint, A double, B double")
     return out.select("trial_id", r6("A").alias("A"), r6("B").alias("B"))
@@ -610,11 +610,10 @@ def q_fit_svm_poly(spark, sf):
 
 
 # ---------------------------------------------------------------- multi-layer perceptron
-MLP_EPOCHS = 3
+MLP_EPOCHS = 50     # the default of the search space's parameters
 
 
 def _mlp_search(spark, sf):
-    from tuneforge.plans import estimators
     from tuneforge.plans.facade import HyperSearch
     from tuneforge.sources.fixtures import events_planted
 
@@ -622,19 +621,20 @@ def _mlp_search(spark, sf):
     sc = prep.min_max_scale(ev, ["value", "hour"], fit_filter=F.col("split") == "train", suffix="_s")
     hs = HyperSearch(spark, "mlp", None, "binary classification", "auc", options={"epochs": MLP_EPOCHS, "seed": 4})
     data = hs.prepare(sc, ["value_s", "hour_s"], "label")
-    res = hs.fit_random(data, n_attempts=4, seed=12)
-    return res, estimators._fit_mlp.last_history
+    return hs, data, hs.fit_random(data, n_attempts=4, seed=12)
 
 
 def q_fit_mlp(spark, sf):
-    res, _ = _mlp_search(spark, sf)
+    _, _, res = _mlp_search(spark, sf)
     return res.trials.select("trial_id", "optimizer", r6("learning_rate").alias("learning_rate"), "neurons",
                              "hiddenactivation", "activation", r6("cost").alias("cost"))
 
 
 def q_training_history(spark, sf):
-    _, hist = _mlp_search(spark, sf)
-    return hist.select("trial_id", "epoch", r6("train_loss").alias("train_loss"), r6("val_loss").alias("val_loss"))
+    """The history of the winner's model, epoch by epoch."""
+    hs, data, res = _mlp_search(spark, sf)
+    hist = hs.best_model(data, res).history_table(spark)
+    return hist.select("epoch", r6("train_loss").alias("train_loss"), r6("val_loss").alias("val_loss"))
 
 
 # ---------------------------------------------------------------- sink
@@ -713,3 +713,30 @@ def q_predict_boosted(spark, sf):
     binned, _ = tree_rows(spark, sf, "reg")
     pred = trees.predict_boosted(binned.filter(F.col("split") == "test"), res.model, res.cands)
     return pred.select("trial_id", "key", r6("score").alias("pred"))
+
+
+# ---------------------------------------------------------------- the winner's model
+def q_rebuild_boosted(spark, sf):
+    """Flagship grid, then the winner's model from its trial row: cost on validation and test rows."""
+    from tuneforge.plans.facade import HyperSearch
+
+    li = lineitem_planted(spark, sf)
+    hs = HyperSearch(spark, "xgboost", FLAGSHIP_SPACE, "regression", "rmse", options=FLAGSHIP_OPTIONS)
+    data = hs.prepare(li, LINEITEM_FEATURES, "reg_positive")
+    model = hs.best_model(data, hs.fit_grid(data))
+    scored = model.scores(data.rows.filter(F.col("split").isin("val", "test")))
+    cost = scored.groupBy("split").agg(F.sqrt(F.avg(F.pow(F.col("label") - F.col("score"), 2))).alias("cost"))
+    return cost.select(F.lit(model.params["trial_id"]).cast("bigint").alias("trial_id"), "split", r6("cost").alias("cost"))
+
+
+def q_rebuild_svm(spark, sf):
+    """Random search of the linear support vector model, then the winner's classes on the test rows."""
+    from tuneforge.plans.facade import HyperSearch
+
+    li = lineitem_planted(spark, sf)
+    sc = prep.min_max_scale(li, LINEITEM_FEATURES, fit_filter=F.col("split") == "train", suffix="_s")
+    hs = HyperSearch(spark, "svm", {"kernel": ["linear"], "gamma": [0.1, 10, 1], "C": [0.1, 10, 1]}, "binary classification", "acc")
+    data = hs.prepare(sc, [f"{c}_s" for c in LINEITEM_FEATURES], "cls")
+    model = hs.best_model(data, hs.fit_random(data, n_attempts=4, seed=5))
+    pred = model.predict(data.rows.filter(F.col("split") == "test")).join(data.rows.select("key", "label"), "key")
+    return pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tuneforge.operators import trees
 from tuneforge.operators.space import DEFAULT_PARAMS, DEFAULT_SPACES
+from tuneforge.plans import model
 from tuneforge.plans.registry import register_estimator
+from tuneforge.session import materialize
 
 
 @dataclass
@@ -29,7 +31,8 @@ class PreparedData:
         k = (n_bins, method)
         if k not in self._binned:
             b = trees.fit_binning(self.rows, self.n_features, n_bins, method, fit_filter=F.col("split") == "train")
-            self._binned[k] = (trees.apply_binning(self.rows, b, self.n_features), b)
+            # written once for all batches and iterations of a search
+            self._binned[k] = (materialize(trees.apply_binning(self.rows, b, self.n_features)), b)
         return self._binned[k]
 
 
@@ -41,25 +44,26 @@ def _params(est):
     return lambda task: dict(DEFAULT_PARAMS.get((est, task)) or DEFAULT_PARAMS[(est, None)])
 
 
-def _fit_trees(default_es):
+def boost_config(options: dict | None, default_stop: int | None) -> trees.BoostConfig:
+    o = dict(options or {})
+    return trees.BoostConfig(
+        n_bins=o.get("n_bins", 32), binning=o.get("binning", "quantile"), seed=o.get("seed", 0),
+        early_stopping_rounds=o.get("early_stopping_rounds", default_stop), checkpoint_every=o.get("checkpoint_every", 4),
+    )
+
+
+def _fit_trees(default_stop):
     def fit(spark: SparkSession, data: PreparedData, cands: list[dict], task: str, score: str, options: dict | None = None) -> DataFrame:
-        o = dict(options or {})
-        cfg = trees.BoostConfig(
-            n_bins=o.get("n_bins", 32), binning=o.get("binning", "quantile"), seed=o.get("seed", 0),
-            early_stopping_rounds=o.get("early_stopping_rounds", default_es),
-            checkpoint_every=o.get("checkpoint_every", 1),
-        )
+        cfg = boost_config(options, default_stop)
         binned, binning = data.binned(cfg.n_bins, cfg.binning)
-        res = trees.fit_boosted_trees(spark, binned, cands, score, cfg, binning)
-        fit.last_result = res
-        return res.costs.select("trial_id", "cost", "status", "error")
+        return trees.fit_boosted_trees(spark, binned, cands, score, cfg, binning).costs.select("trial_id", "cost", "status", "error")
 
     return fit
 
 
 # xgboost: no early stopping by default (the reference stopped passing it); gbdt: patience 20
-register_estimator("xgboost", _space("xgboost"), _params("xgboost"), _fit_trees(None))
-register_estimator("gbdt", _space("gbdt"), _params("gbdt"), _fit_trees(20))
+register_estimator("xgboost", _space("xgboost"), _params("xgboost"), _fit_trees(None), model.fit_booster(None))
+register_estimator("gbdt", _space("gbdt"), _params("gbdt"), _fit_trees(20), model.fit_booster(20))
 
 
 # ---------------------------------------------------------------- svm
@@ -78,16 +82,10 @@ def _fit_svm(spark: SparkSession, data: PreparedData, cands: list[dict], task: s
         groups.setdefault(key, []).append(c)
     results = []
     for (kern, gamma, degree), group in groups.items():
-        rows, d = data.rows, data.n_features
-        if kern == "rbf":
-            omega, phase = svm.rff_params(d, M, gamma, seed)
-            rows, d = svm.rff_transform(rows, d, omega, phase), M
-        elif kern == "poly":
-            rows = svm.poly_transform(rows, d, degree, gamma)
-            d = len(svm.poly_monomials(data.n_features, degree))
-        elif kern != "linear":
+        if kern not in ("rbf", "poly", "linear"):
             results += [(c["trial_id"], None, "failed", f"unknown kernel {kern!r}") for c in group]
             continue
+        rows, d = model.svm_features(data.rows, data.n_features, group[0], M, seed)
         bad = [c for c in group if not (c.get("C") and float(c["C"]) > 0)]
         results += [(c["trial_id"], None, "failed", "C must be > 0") for c in bad]
         group = [c for c in group if c not in bad]
@@ -100,7 +98,9 @@ def _fit_svm(spark: SparkSession, data: PreparedData, cands: list[dict], task: s
         elif score == "acc":
             cost = scoring.accuracy_cost(sc.withColumn("pred_label", F.when(F.col("score") > 0, 1.0).otherwise(0.0)), ["trial_id"])
         else:
-            ab = svm.platt_scaling(sc.select("trial_id", "label", "score"))
+            # the scaling is fitted on training rows that their model has not seen
+            oof = svm.out_of_fold_scores(rows, group, d, n_steps, lr, kind, o.get("platt_folds", 3), seed)
+            ab = svm.platt_scaling(oof.select("trial_id", "label", "score"), o.get("platt_steps", 10))
             pmap = F.create_map(*[x for t, (a, b) in ab.items() for x in (F.lit(t), F.struct(F.lit(a).alias("A"), F.lit(b).alias("B")))])
             pr = sc.withColumn("_ab", F.element_at(pmap, F.col("trial_id"))).withColumn(
                 "score", F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_ab.A") * F.col("score") + F.col("_ab.B"))))
@@ -109,7 +109,7 @@ def _fit_svm(spark: SparkSession, data: PreparedData, cands: list[dict], task: s
     return spark.createDataFrame(results, "trial_id bigint, cost double, status string, error string")
 
 
-register_estimator("svm", _space("svm"), _params("svm"), _fit_svm)
+register_estimator("svm", _space("svm"), _params("svm"), _fit_svm, model.fit_svm)
 
 
 # ---------------------------------------------------------------- mlp
@@ -117,10 +117,8 @@ def _fit_mlp(spark: SparkSession, data: PreparedData, cands: list[dict], task: s
     from tuneforge.operators import mlp, scoring
 
     o = dict(options or {})
-    weights, hist, errors = mlp.fit_mlp(data.rows, cands, data.n_features, seed=o.get("seed", 0),
-                                        epochs=o.get("epochs"), patience=o.get("early_stopping_rounds", 20))
-    _fit_mlp.last_history = spark.createDataFrame(hist, "trial_id bigint, epoch int, train_loss double, val_loss double")
-    _fit_mlp.last_weights = weights
+    weights, _, errors = mlp.fit_mlp(data.rows, cands, data.n_features, seed=o.get("seed", 0), epochs=o.get("epochs"),
+                                     patience=o.get("early_stopping_rounds", 20), n_shards=o.get("n_shards", mlp.N_SHARDS))
     results = [(tid, None, "failed", e) for tid, e in errors.items()]
     if weights:
         sc = mlp.predict_scores(data.rows, weights, cands, data.n_features)
@@ -136,4 +134,4 @@ def _fit_mlp(spark: SparkSession, data: PreparedData, cands: list[dict], task: s
     return spark.createDataFrame(results, "trial_id bigint, cost double, status string, error string")
 
 
-register_estimator("mlp", _space("mlp"), _params("mlp"), _fit_mlp)
+register_estimator("mlp", _space("mlp"), _params("mlp"), _fit_mlp, model.fit_network)

@@ -17,6 +17,7 @@ from tuneforge.sources.features import load_features
 
 MAX_CHUNK = 64      # candidates fitted together per pass over the rows (grid search chunks)
 MAX_BATCH = 4096    # hard bound on a batch brought to the driver
+SWARM_IDS = 10 ** 12    # a swarm's trial id is iteration * SWARM_IDS + particle
 
 
 class HyperSearch:
@@ -39,26 +40,48 @@ class HyperSearch:
         """Candidate table ``(trial_id, params)`` -> ``(trial_id, cost)`` via the estimator's batched fit."""
 
         def fit(cands: DataFrame) -> DataFrame:
-            rows = cands.select("trial_id", "params").collect()   # bounded by construction (chunk / swarm size)
-            if len(rows) > MAX_BATCH:
+            batch = [self._candidate(r["trial_id"], r["params"].asDict()) for r in cands.select("trial_id", "params").limit(MAX_BATCH + 1).collect()]
+            if len(batch) > MAX_BATCH:
                 raise ValueError(f"candidate batch exceeds {MAX_BATCH}; use a smaller chunk")
-            batch = []
-            for r in rows:
-                d = dict(self.space.defaults)
-                d.update({k: v for k, v in r["params"].asDict().items()})
-                d["trial_id"] = r["trial_id"]
-                batch.append(d)
-            return self._est.fit_batch(self.spark, data, batch, self.task, self.score, self.options).select("trial_id", "cost")
+            run = lambda some: self._est.fit_batch(self.spark, data, some, self.task, self.score, self.options).select("trial_id", "cost", "status", "error")
+            try:
+                return run(batch)
+            except Exception as e:  # a fit that raises fails its own trial only
+                if len(batch) < 2:
+                    return self.spark.createDataFrame([(c["trial_id"], None, "failed", str(e)[:500]) for c in batch], "trial_id bigint, cost double, status string, error string")
+            rows = []
+            for c in batch:
+                try:
+                    rows += [tuple(r) for r in run([c]).collect()]
+                except Exception as e:  # noqa: BLE001
+                    rows.append((c["trial_id"], None, "failed", str(e)[:500]))
+            return self.spark.createDataFrame(rows, "trial_id bigint, cost double, status string, error string")
 
         return fit
 
+    def _candidate(self, trial_id: int, params: dict) -> dict:
+        return dict(self.space.defaults, **params, trial_id=trial_id)
+
+    def best_model(self, data: PreparedData, result: search.SearchResult):
+        """The winner's :class:`FittedModel`: fitted as in the search, from its trial row (same rows,
+        seed and trial id). It predicts, scores a hold-out, holds the training history, and is saved."""
+        if self._est.fit_model is None:
+            raise ValueError(f"estimator {self.estimator!r} has no fit_model")
+        best = selection.select_best(self._flat_trials(result)).first()
+        if best is None:
+            raise ValueError("no trial has a finite cost")
+        cand = self._candidate(best["trial_id"] % SWARM_IDS, {n: best[n] for n in self.space.names})
+        model = self._est.fit_model(self.spark, data, cand, self.task, self.score, self.options)
+        model.estimator = self.estimator
+        return model
+
     def fit_grid(self, data: PreparedData, chunk: int = MAX_CHUNK) -> search.SearchResult:
         res = search.search_grid(self.spark, self.space, self.fitness(data), chunk=chunk)
         res.extra["selection_type"] = "Grid"
         return res
 
     def fit_random(self, data: PreparedData, n_attempts: int = 20, seed: int = 0) -> search.SearchResult:
-        res = search.search_random(self.spark, self.space, self.fitness(data), n_attempts, seed)
+        res = search.search_random(self.spark, self.space, self.fitness(data), n_attempts, seed, MAX_CHUNK)
         res.extra["selection_type"] = "Random"
         return res
 
@@ -66,6 +89,7 @@ class HyperSearch:
                 options: dict | None = None, seed: int = 0, **kw) -> search.SearchResult:
         """Particle swarm search. Elite retention is on by default for the (stochastic) mlp."""
         kw.setdefault("elite", self.estimator == "mlp")
+        kw.setdefault("chunk", MAX_CHUNK)
         res = search.search_pso(self.spark, self.space, self.fitness(data), n_particles, n_iterations, options,
                                 psotype, seed=seed, **kw)
         res.extra["selection_type"] = "PSO"
@@ -75,7 +99,7 @@ class HyperSearch:
         t = result.trials
         cols = [c for c in t.columns if c not in ("pos", "x", "best_x")]
         if "trial_id" not in t.columns:
-            t = t.withColumn("trial_id", F.col("iteration") * F.lit(10 ** 6) + F.col("pid"))
+            t = t.withColumn("trial_id", F.col("iteration").cast("long") * F.lit(SWARM_IDS) + F.col("pid"))
             cols = cols + ["trial_id"]
         return selection.select_best(t.select(*cols))
 
@@ -84,8 +108,9 @@ class HyperSearch:
         if "params" in t.columns:   # swarm trace: one trial per (iteration, particle)
             t = t.select(*[c for c in t.columns if c not in ("params", "x", "best_x", "best_cost", "pbest_cost", "raw_cost")],
                          *[F.col(f"params.{n}").alias(n) for n in self.space.names])
-            t = t.withColumn("trial_id", F.col("iteration").cast("long") * F.lit(1_000_000) + F.col("pid"))
-        return t.select("trial_id", *self.space.names, "cost")
+            t = t.withColumn("trial_id", F.col("iteration").cast("long") * F.lit(SWARM_IDS) + F.col("pid"))
+        more = [c for c in ("status", "error") if c in t.columns]
+        return t.select("trial_id", *self.space.names, "cost", *more)
 
     def save(self, result: search.SearchResult, out_dir: str | None = None):
         """Write trials (+ swarm history) and a one-row summary as parquet; returns (folder, summary)."""

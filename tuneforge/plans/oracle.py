@@ -636,19 +636,20 @@ def _svm_rows_sql(label="cls"):
     mm = ", ".join(f"min({c}) AS mn{j}, max({c}) AS mx{j}" for j, c in enumerate(feats))
     xs = ", ".join(f"({c} - mn{j}) / CASE WHEN mx{j} > mn{j} THEN mx{j} - mn{j} ELSE 1.0 END AS x{j}" for j, c in enumerate(feats))
     return f"""smm AS (SELECT {mm} FROM li WHERE split = 'train'),
-    sv AS (SELECT key, split, {label} AS label, {xs} FROM li, smm),
-    ntr AS (SELECT count(*) AS n FROM sv WHERE split = 'train')"""
+    sv AS (SELECT key, split, {label} AS label, {xs} FROM li, smm)"""
 
 
-def hinge_sql(kind, label, steps=None, lr=None):
+def hinge_sql(kind, label, steps=None, lr=None, p="", train="r.split = 'train'", held="r.split = 'val'", rows=True):
+    """Steps as CTEs ``ws{p}{t}`` over the rows of ``train``; ``dv{p}``: scores of the rows of ``held``."""
     from tuneforge.operators.svm import SVR_EPSILON
     from tuneforge.plans.catalog import SVM_CANDS, SVM_LR, SVM_STEPS
 
     steps = SVM_STEPS if steps is None else steps
     lr = SVM_LR if lr is None else lr
     cv = ", ".join(f"({c['trial_id']}, {float(c['C'])!r}::DOUBLE)" for c in SVM_CANDS)
-    ctes = [_svm_rows_sql(label),
-            f"ws0 AS (SELECT trial_id, C, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3, 0.0::DOUBLE AS b "
+    ctes = [*[_svm_rows_sql(label)] * rows,
+            f"nt{p} AS (SELECT count(*) AS n FROM sv r WHERE {train})",
+            f"ws{p}0 AS (SELECT trial_id, C, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3, 0.0::DOUBLE AS b "
             f"FROM (VALUES {cv}) AS t(trial_id, C))"]
     f = "(((w.w0 * r.x0 + w.w1 * r.x1) + w.w2 * r.x2) + w.w3 * r.x3 + w.b)"
     for t in range(steps):
@@ -658,8 +659,8 @@ def hinge_sql(kind, label, steps=None, lr=None):
         else:
             cond, coef = f"abs({f} - r.label) > {SVR_EPSILON!r}", f"sign({f} - r.label)"
         sums = ", ".join(f"coalesce(sum(CASE WHEN {cond} THEN {coef} * r.x{j} END), 0.0) AS s{j}" for j in range(4))
-        ctes.append(f"ag{t} AS (SELECT w.trial_id, {sums}, coalesce(sum(CASE WHEN {cond} THEN {coef} END), 0.0) AS sb "
-                    f"FROM ws{t} w, sv r WHERE r.split = 'train' GROUP BY w.trial_id)")
+        ctes.append(f"ag{p}{t} AS (SELECT w.trial_id, {sums}, coalesce(sum(CASE WHEN {cond} THEN {coef} END), 0.0) AS sb "
+                    f"FROM ws{p}{t} w, sv r WHERE {train} GROUP BY w.trial_id)")
         lam = "(1.0 / (w.C * ntr.n))"
         if kind == "svc":
             upd = ", ".join(f"w.w{j} - {eta!r} * ({lam} * w.w{j} - a.s{j} / ntr.n) AS w{j}" for j in range(4))
@@ -667,8 +668,8 @@ def hinge_sql(kind, label, steps=None, lr=None):
         else:
             upd = ", ".join(f"w.w{j} - {eta!r} * ({lam} * w.w{j} + a.s{j} / ntr.n) AS w{j}" for j in range(4))
             ub = f"w.b - {eta!r} * (a.sb / ntr.n) AS b"
-        ctes.append(f"ws{t + 1} AS (SELECT w.trial_id, w.C, {upd}, {ub} FROM ws{t} w JOIN ag{t} a USING (trial_id), ntr)")
-    ctes.append(f"dv AS (SELECT w.trial_id, r.key, r.label, {f} AS score FROM ws{steps} w, sv r WHERE r.split = 'val')")
+        ctes.append(f"ws{p}{t + 1} AS (SELECT w.trial_id, w.C, {upd}, {ub} FROM ws{p}{t} w JOIN ag{p}{t} a USING (trial_id), nt{p} ntr)")
+    ctes.append(f"dv{p} AS (SELECT w.trial_id, r.key, r.label, {f} AS score FROM ws{p}{steps} w, sv r WHERE {held})")
     return ",\n".join(ctes), steps
 
 
@@ -722,7 +723,12 @@ def q_poly_features():
 
 
 def q_svm_probability():
-    ctes, T = hinge_sql("svc", "cls")
+    from tuneforge.plans.catalog import SVM_FOLD_SEED, SVM_FOLDS
+
+    fold = f"floor({U(SVM_FOLD_SEED, chr(39) + 'fold' + chr(39), 'r.key')} * {float(SVM_FOLDS)})"
+    each = [hinge_sql("svc", "cls", p=f"_{k}_", train=f"r.split = 'train' AND {fold} <> {k}", held=f"r.split = 'train' AND {fold} = {k}", rows=k == 0)[0]
+            for k in range(SVM_FOLDS)]
+    ctes = ", ".join(each) + ", dv AS (" + " UNION ALL ".join(f"SELECT * FROM dv_{k}_" for k in range(SVM_FOLDS)) + ")"
     out = [f"""cn AS (SELECT trial_id, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS np, sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS nn FROM dv GROUP BY trial_id)""",
            "pl0 AS (SELECT trial_id, 0.0::DOUBLE AS A, ln((nn + 1.0) / (np + 1.0)) AS B, (np + 1.0) / (np + 2.0) AS hi, 1.0 / (nn + 2.0) AS lo FROM cn)"]
     for s in range(2):
@@ -765,3 +771,18 @@ def q_predict_boosted():
     ctes, R, _ = boost_sql("boosted_depth2")
     return f"""WITH {LI}, {', '.join(ctes)}
     SELECT f.trial_id, f.key, round(f.f, 6) AS pred FROM f{R} f JOIN rws r USING (key) WHERE r.split = 'test'"""
+
+
+def q_rebuild_boosted():
+    from tuneforge.plans.catalog import flagship_candidates
+
+    cands = flagship_candidates()
+    ctes, R = boost_sql_cands(cands, "reg_positive", "rmse", seed=13)
+    last = " UNION ALL ".join(f"SELECT v.trial_id, v.val_cost FROM vc{t} v JOIN cand c USING (trial_id) WHERE c.nest = {t + 1}" for t in range(R))
+    final = " UNION ALL ".join(f"SELECT f.key, f.trial_id, f.f FROM f{t + 1} f JOIN cand c USING (trial_id) WHERE c.nest = {t + 1}" for t in range(R))
+    return f"""WITH {LI}, {', '.join(ctes)}, fin AS ({last}), ff AS ({final}),
+    best AS (SELECT trial_id FROM fin ORDER BY round(val_cost, 9), trial_id LIMIT 1)
+    SELECT CAST(ff.trial_id AS BIGINT) AS trial_id, r.split,
+           round(sqrt(avg(pow(r.label - CASE c.kind WHEN 'squared' THEN ff.f ELSE exp(ff.f) END, 2))), 6) AS cost
+    FROM ff JOIN best USING (trial_id) JOIN cand c USING (trial_id) JOIN rws r USING (key)
+    WHERE r.split IN ('val', 'test') GROUP BY ff.trial_id, r.split"""

@@ -19,16 +19,18 @@ class Estimator:
     default_space: Callable[[str], dict]
     default_params: Callable[[str], dict]
     fit_batch: Callable[..., DataFrame]
+    fit_model: Callable[..., object] | None = None
 
 
 _REGISTRY: dict[str, Estimator] = {}
 
 
-def register_estimator(name: str, default_space, default_params, fit_batch) -> Estimator:
-    """Register a new estimator; ``default_space``/``default_params`` take the task name."""
+def register_estimator(name: str, default_space, default_params, fit_batch, fit_model=None) -> Estimator:
+    """Register a new estimator; ``default_space``/``default_params`` take the task name.
+    ``fit_model(spark, data, candidate, task, score, options)`` fits one candidate to a model."""
     if not name or not isinstance(name, str):
         raise ValueError("estimator name must be a non-empty string")
-    est = Estimator(name, default_space, default_params, fit_batch)
+    est = Estimator(name, default_space, default_params, fit_batch, fit_model)
     _REGISTRY[name] = est
     return est
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 import os
 import sys
 import time
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,7 @@ from tuneforge.operators.candidates import decode_candidates, grid_enumerate, ra
 from tuneforge.operators.linear import collect_batch, linear_scores
 from tuneforge.operators.scoring import rmse_cost
 from tuneforge.operators.space import SearchSpace
-from tuneforge.session import cut_lineage, materialize
+from tuneforge.session import cut_lineage, ensure_checkpoint_dir, materialize
 
 Fitness = Callable[[DataFrame], DataFrame]
 
@@ -48,6 +50,30 @@ def linear_fitness(rows: DataFrame, features: list, weights: list[str], split: s
     return fit
 
 
+STATUS = ["cost", "status", "error"]
+
+
+def evaluated(fitness: Fitness, cands: DataFrame) -> DataFrame:
+    """``(trial_id, cost, status, error)`` of a batch: what the fitness returns, with the status
+    and error of a missing or non-finite cost where it gives none."""
+    costs = fitness(cands)
+    cost = sw.clean_cost(F.col("cost"))
+    status = F.when(cost.isNull(), F.lit("failed")).otherwise(F.lit("ok"))
+    own = [F.coalesce(F.col(c), F.lit(None).cast("string")) if c in costs.columns else F.lit(None).cast("string") for c in STATUS[1:]]
+    reason = F.when(cost.isNull(), F.coalesce(own[1], F.lit("no finite cost")))
+    return costs.select("trial_id", cost.alias("cost"), F.when(cost.isNull(), F.lit("failed")).otherwise(F.coalesce(own[0], status)).alias("status"), reason.alias("error"))
+
+
+def evaluate_in_chunks(fitness: Fitness, cands: DataFrame, n_ids: int, chunk: int) -> DataFrame:
+    """Evaluate candidates with trial ids below ``n_ids``, ``chunk`` ids at a time, into one
+    written table: a batch on the driver never exceeds ``chunk`` candidates."""
+    path = f"{ensure_checkpoint_dir(cands.sparkSession).rstrip('/')}/trials/{uuid.uuid4().hex}"
+    for start in range(0, n_ids, chunk):
+        batch = cands.filter((F.col("trial_id") >= start) & (F.col("trial_id") < start + chunk))
+        evaluated(fitness, batch).write.mode("append").parquet(path)
+    return cands.sparkSession.read.parquet(path)
+
+
 @dataclass
 class SearchResult:
     trials: DataFrame
@@ -63,29 +89,23 @@ def _param_cols(space: SearchSpace):
 
 
 def search_grid(spark: SparkSession, space: SearchSpace, fitness: Fitness, chunk: int = 256) -> SearchResult:
-    """Every grid point, fitted in chunks of ``chunk`` candidates per pass over the rows."""
+    """Every grid point, fitted in chunks of ``chunk`` candidates per pass over the rows.
+    All chunks append to one written trial table."""
     t0 = time.time()
     total = space.total
     grid = decode_candidates(grid_enumerate(spark, space), space, with_defaults=False)
-    parts = []
-    for start in range(0, total, chunk):
-        batch = grid.filter((F.col("trial_id") >= start) & (F.col("trial_id") < start + chunk))
-        costs = fitness(batch)
-        part = batch.join(costs, "trial_id", "left").select("trial_id", "pos", *_param_cols(space), sw.clean_cost(F.col("cost")).alias("cost"))
-        parts.append(cut_lineage(part) if total > chunk else part)
-    trials = parts[0]
-    for p in parts[1:]:
-        trials = trials.unionByName(p)
+    costs = evaluate_in_chunks(fitness, grid, total, chunk)
+    trials = cut_lineage(grid.join(costs, "trial_id", "left").select("trial_id", "pos", *_param_cols(space), *STATUS))
     return SearchResult(trials, total, total, time.time() - t0)
 
 
-def search_random(spark: SparkSession, space: SearchSpace, fitness: Fitness, n_attempts: int = 20, seed: int = 0) -> SearchResult:
+def search_random(spark: SparkSession, space: SearchSpace, fitness: Fitness, n_attempts: int = 20, seed: int = 0, chunk: int = 256) -> SearchResult:
     """``n_attempts`` grid points drawn uniformly with replacement; duplicates fitted once."""
     t0 = time.time()
     rc = decode_candidates(random_candidates(spark, space, seed=seed, n=n_attempts), space, with_defaults=False)
-    uniq = rc.groupBy("params").agg(F.min("trial_id").alias("trial_id"))
-    costs = uniq.join(fitness(uniq), "trial_id", "left").select("params", sw.clean_cost(F.col("cost")).alias("cost"))
-    trials = rc.join(costs, "params", "left").select("trial_id", "grid_index", "pos", *_param_cols(space), "cost")
+    uniq = cut_lineage(rc.groupBy("params").agg(F.min("trial_id").alias("trial_id")))
+    costs = uniq.join(evaluate_in_chunks(fitness, uniq, n_attempts, chunk), "trial_id", "left").select("params", *STATUS)
+    trials = cut_lineage(rc.join(costs, "params", "left").select("trial_id", "grid_index", "pos", *_param_cols(space), *STATUS))
     return SearchResult(trials, space.total, n_attempts, time.time() - t0)
 
 
@@ -102,6 +122,7 @@ def search_pso(
     seed: int = 0,
     boundary: str = "periodic",
     elite: bool = False,
+    chunk: int = 256,
 ) -> SearchResult:
     """Particle swarm search; ``psotype`` 'global' (star) or 'local' (k nearest, p-norm).
 
@@ -114,9 +135,16 @@ def search_pso(
     k = min(3, n_particles) if k is None else k
     state = sw.swarm_init(spark, space, n_particles, seed)
     elite_tbl = None
-    snaps = []
+    snaps, evaluations = [], []
+
+    def fit_swarm(cands: DataFrame) -> DataFrame:
+        found = evaluate_in_chunks(fitness, cut_lineage(cands), n_particles, chunk)
+        evaluations.append(found.withColumn("iteration", F.lit(len(evaluations))))
+        return found.select("trial_id", "cost")
+
+    start = sw.swarm_init(spark, space, n_particles, seed).select("pid", "x", "v")
     for it in range(iterations):
-        state = sw.swarm_evaluate(state, space, fitness)
+        state = sw.swarm_evaluate(state, space, fit_swarm)
         if elite:
             state, elite_tbl = sw.elite_retention(state, space, elite_tbl)
             raw = state.select("pid", "raw_cost")
@@ -146,4 +174,6 @@ def search_pso(
         trials = trials.unionByName(s)
     history = trials.groupBy("iteration").agg(F.min("best_cost").alias("best_cost"))
     return SearchResult(trials, space.total, n_particles * iterations, time.time() - t0, history,
-                        {"n_particles": n_particles, "iterations": iterations, "psotype": psotype})
+                        {"n_particles": n_particles, "iterations": iterations, "psotype": psotype, "options": dict(options or {}),
+                         "k": k, "p": p, "seed": seed, "boundary": boundary, "initial": start,
+                         "evaluations": reduce(DataFrame.unionByName, evaluations)})

@@ -32,23 +32,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only when none is configured.
 
     On a cluster the directory must be the shared folder named by ``spark.checkpoint.dir``;
-    a machine-local fallback is only taken in local mode (tests, bench).
+    a machine-local folder is only taken where driver and executors are one process
+    (``local`` and ``local[...]`` masters: tests, bench).
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # remote sessions: the server's spark.checkpoint.dir applies
-        return spark.conf.get("spark.checkpoint.dir", "")
+    sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder for iterative fits on a cluster")
-    path = tempfile.mkdtemp(prefix="tuneforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(path)
+    if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="tuneforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
@@ -68,35 +64,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    try:
-        return int(spark.sparkContext.defaultParallelism)
-    except Exception:  # sessions without a SparkContext handle (e.g. remote clients)
-        return int(spark.conf.get("spark.default.parallelism", "8"))
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows by ``keys`` (all columns if none are given) into the session's
+    ``spark.sql.shuffle.partitions``: one narrow shuffle, the same at every size."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *(keys or df.columns))
 
 
-def num_partitions(df: DataFrame) -> int | None:
-    """Partition count of a DataFrame's plan, or None where the RDD API is unavailable."""
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:
-        return None
-
-
-def needs_spread(df: DataFrame) -> bool:
-    """True when a table arrives in far fewer partitions than the cluster can run at once."""
-    n = num_partitions(df)
-    return n is not None and n * 2 <= default_parallelism(df.sparkSession)
-
-
-def materialize(df: DataFrame, key: str | None = "key") -> DataFrame:
-    """Checkpoint a table that an iterative search will scan many times.
-
-    If it has fewer partitions than the cluster's parallelism (small inputs, a single
-    parquet row group), it is first hash-partitioned by ``key`` (deterministic on task
-    retry); a large input already has enough partitions and is not shuffled.
-    """
-    if needs_spread(df):
-        target = default_parallelism(df.sparkSession)
-        df = df.repartition(target, key) if key and key in df.columns else df.repartition(target, *df.columns)
-    return cut_lineage(df)
+def materialize(df: DataFrame, key: str = "key") -> DataFrame:
+    """Write a table that an iterative search will scan many times, spread by ``key``."""
+    return cut_lineage(spread(df, key) if key in df.columns else spread(df))

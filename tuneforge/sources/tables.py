@@ -4,25 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuneforge.session import default_parallelism, needs_spread
+from tuneforge.session import spread
 
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Hash-partition a table that arrives in fewer partitions than the cluster can use
-    (e.g. one parquet row group), so per-row work is not done by a single task.
-
-    Keyed on all selected columns (balanced unless whole rows repeat; deterministic on task
-    retry). Large inputs already have enough splits and pass through unchanged.
-    """
-    if needs_spread(df):
-        return df.repartition(default_parallelism(df.sparkSession), *df.columns)
-    return df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A pruned scan. A file that gives fewer splits than half the cluster's slots (e.g. one row
+    group) is hash-partitioned, so that per-row work is not done by a single task; larger inputs
+    are not shuffled. No operator's result depends on partitions, so only the time differs."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return spread(df.select(*columns) if columns else df)
+    df = df.select(*columns) if columns else df
+    slots = spark.sparkContext.defaultParallelism
+    return spread(df) if df.rdd.getNumPartitions() * 2 <= slots else df
