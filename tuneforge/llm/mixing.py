@@ -97,7 +97,7 @@ def leaf_budgets(rows: DataFrame, share: tuple[int, int], max_epochs: int) -> Da
     return leaves.join(above.withColumnRenamed("budget", "alloc"), LEVELS).drop("cap")
 
 
-def leaf_cuts(rows: DataFrame, budgets: DataFrame, seed: int, bucket_rows: int = 10_000) -> DataFrame:
+def leaf_cuts(rows: DataFrame, budgets: DataFrame, seed: int, bucket_rows: int = 1000) -> DataFrame:
     """Budgets with ``epochs`` (full ones) and the cut of the next: its last key and the tokens
     taken of that document. rows: LEVELS, doc_id, tokens."""
     budgets = budgets.withColumn("epochs", F.when(F.col("supply") > 0, F.expr("alloc div supply")).otherwise(0).cast("int"))
@@ -122,7 +122,7 @@ def _key(seed: int) -> Column:
     return F.struct(order_hash(F.col("epochs") + 1, seed).alias("o"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"))
 
 
-def plan(docs: DataFrame, share: tuple[int, int], max_epochs: int, seed: int, bucket_rows: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, share: tuple[int, int], max_epochs: int, seed: int, bucket_rows: int = 1000) -> tuple[DataFrame, DataFrame]:
     """The narrow rows (LEVELS, doc_id, tokens) and the leaf table with budgets and cuts."""
     rows = written(docs.select(*leaf_columns(), F.col("doc_id").cast("long").alias("doc_id"), token_count().alias("tokens")))
     return rows, leaf_cuts(rows, leaf_budgets(rows, share, max_epochs), seed, bucket_rows)
