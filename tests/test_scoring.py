@@ -25,7 +25,7 @@ def test_auc_matches_pair_counting(spark, seed):
             s = round(rnd.random() * 0.6 + 0.4 * y, 1 if t == 0 else 3)   # heavy ties for t = 0
             rows.append((t, float(y), s))
     df = spark.createDataFrame(rows, "trial_id long, label double, score double")
-    got = {r["trial_id"]: r["auc"] for r in scoring.auc_value(df, ["trial_id"], n_buckets=8).collect()}
+    got = {r["trial_id"]: r["auc"] for r in scoring.auc_value(df, ["trial_id"]).collect()}
     for t in range(3):
         lab = [r[1] for r in rows if r[0] == t]
         sc = [r[2] for r in rows if r[0] == t]
@@ -47,3 +47,20 @@ def test_roc_endpoints(spark):
     assert roc[0.8] == (0.0, 0.5)
     assert roc[0.3] == (0.5, 1.0)
     assert roc[0.1] == (1.0, 1.0)
+
+
+def test_auc_of_many_distinct_scores(spark):
+    """Two million distinct scores of two trials, against the rank sum by numpy."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    n = 1_000_000
+    df = spark.range(n).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("trial_id"), "id")
+    df = df.select("trial_id", ((F.col("id") * 7919) % 1_000_003).alias("s"), ((F.col("id") * 31 + F.col("trial_id")) % 3 == 0).cast("double").alias("label"))
+    got = {r["trial_id"]: r["auc"] for r in scoring.auc_value(df.withColumn("score", F.col("s") / 1e7), ["trial_id"]).collect()}
+    ids = np.arange(n)
+    for t in (0, 1):
+        order = np.argsort(ids * 7919 % 1_000_003)
+        y = ((ids * 31 + t) % 3 == 0)[order]
+        P, N = int(y.sum()), int((~y).sum())
+        assert abs(got[t] - float((np.cumsum(~y)[y]).sum()) / (P * N)) < 1e-12

@@ -65,10 +65,10 @@ def stratified_split(
     Within each class rows are ranked by ``(hash32(seed, key), key)`` and the first
     ``round(test_size * class_size)`` go to ``picked``. The rank is never computed by a
     window over a whole class: counts per (class, hash bucket) give each bucket its offset,
-    only the one bucket straddling the quota is counted per exact hash value, and rows
-    sharing a hash value there are ordered by key. Both side tables are bounded by
-    classes x 65,536 rows, checkpointed once and broadcast; the big side never shuffles
-    (three scans of the input in total). Keys must be unique.
+    only the one bucket straddling the quota is counted per exact hash value, and keys are
+    gathered and ordered for the one hash value of each class that straddles the quota. Side
+    tables are counts, bounded by classes x 65,536 rows; the big side never shuffles (four
+    scans of the input in total). Keys must be unique.
     """
     d = df.withColumn("_h", _hash32(seed, key)).withColumn("_b", F.shiftright(F.col("_h"), _LEVEL1_SHIFT))
     d = d.withColumn("_e", F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False)))
@@ -91,33 +91,36 @@ def stratified_split(
     )
     d = d.withColumn("_s", s1)
 
-    # level 2: exact hash values inside the straddling bucket; rows sharing a hash value keep
-    # their (unique) keys sorted in the group, a handful per group
+    # level 2: exact hash values inside the straddling bucket, counts only
     c2 = (
         d.filter((F.col("_s") == -1) & F.col("_e"))
         .groupBy(label, "_h")
-        .agg(F.count(F.lit(1)).alias("_c2"), F.first("_before1").alias("_b1"), F.first("_quota").alias("_q"),
-             F.sort_array(F.collect_list(F.col(key))).alias("_keys"))
+        .agg(F.count(F.lit(1)).alias("_c2"), F.first("_before1").alias("_b1"))
     )
     c2 = c2.withColumn(
         "_before2",
         F.col("_b1") + F.coalesce(F.sum("_c2").over(wl.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).select(label, "_h", "_c2", "_before2", "_keys")
+    ).select(label, "_h", "_c2", "_before2")
     d = d.join(_checked_side(c2), [label, "_h"], "left")
     s2 = (
         F.when(F.col("_s") != -1, F.col("_s"))
         .when(~F.col("_e"), F.lit(0))
         .when(F.col("_before2") + F.col("_c2") <= F.col("_quota"), F.lit(1))
         .when(F.col("_before2") >= F.col("_quota"), F.lit(0))
-        # level 3: tie on the boundary hash value -> rank by key inside the group
-        .when(F.col("_before2") + F.array_position(F.col("_keys"), F.col(key)) <= F.col("_quota"), F.lit(1))
-        .otherwise(F.lit(0))
+        .otherwise(F.lit(-1))
     )
+    d = d.withColumn("_s2", s2)
+
+    # level 3: the rows of one hash value for each class, ranked by key
+    c3 = d.filter((F.col("_s2") == -1) & F.col("_e")).groupBy(label).agg(F.sort_array(F.collect_list(F.col(key))).alias("_keys"))
+    d = d.join(_checked_side(c3), label, "left")
+    s2 = F.when(F.col("_s2") != -1, F.col("_s2")).when(
+        F.col("_before2") + F.array_position(F.col("_keys"), F.col(key)) <= F.col("_quota"), F.lit(1)).otherwise(F.lit(0))
     decision = F.when(s2 == 1, F.lit(picked)).otherwise(F.lit(rest))
     if eligible is not None:
         decision = F.when(F.col("_e"), decision).otherwise(F.col(out_col))
     out = d.withColumn(out_col, decision)
-    return out.drop("_e", "_h", "_b", "_c1", "_before1", "_quota", "_s", "_c2", "_before2", "_keys")
+    return out.drop("_e", "_h", "_b", "_c1", "_before1", "_quota", "_s", "_c2", "_before2", "_s2", "_keys")
 
 
 def min_max_fit(df: DataFrame, cols: list[str], fit_filter: Column | None = None) -> dict[str, tuple[float, float]]:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuneforge.session import cut_lineage
+
 
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
@@ -44,28 +46,25 @@ def _distinct_scores(pred: DataFrame, group: list[str], label: str, score: str)
     )
 
 
-def _below_counts(pred: DataFrame, group: list[str], label: str, score: str, n_buckets: int) -> DataFrame:
-    """Distinct-score table with ``_pos_below``/``_neg_below`` = counts at strictly lower scores."""
+def _below_counts(pred: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
+    """Distinct-score table with ``_pos_below``/``_neg_below`` = counts at strictly lower scores.
+
+    Distinct scores are range-partitioned by (group, score) and written once; a partition is a
+    bucket, so buckets grow in number with the data and not in size. Prefix sums run over the
+    bucket totals (a row for each partition and group) and then inside a bucket only."""
     if not group:
         raise ValueError("group by at least one column (e.g. trial_id)")
-    d = _distinct_scores(pred, group, label, score)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = d.groupBy(*group).agg(
-        F.percentile_approx(score, probs, 10000).alias("_cuts"),
-        F.sum("_pos").alias("_P"),
-        F.sum("_neg").alias("_N"),
-    )
-    # one row per candidate group: bounded by the candidate batch size
-    d = d.join(F.broadcast(cuts), group, "inner")
-    d = d.withColumn("_bucket", F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(score)))).drop("_cuts")
+    d = _distinct_scores(pred, group, label, score).repartitionByRange(*group, score)
+    d = cut_lineage(d.withColumn("_bucket", F.spark_partition_id()))
     bt = d.groupBy(*group, "_bucket").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
-    wb = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy(*group)
+    wb = all_.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(
-        *group, "_bucket",
+        *group, "_bucket", F.sum("_bp").over(all_).alias("_P"), F.sum("_bn").over(all_).alias("_N"),
         F.coalesce(F.sum("_bp").over(wb), F.lit(0)).alias("_bp_before"),
         F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_bn_before"),
     )
-    # bucket totals: candidates x buckets rows, bounded
+    # bucket totals: at most partitions + groups rows
     d = d.join(F.broadcast(bt), group + ["_bucket"], "inner")
     wi = Window.partitionBy(*group, "_bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     return d.select(
@@ -75,23 +74,23 @@ def _below_counts(pred: DataFrame, group: list[str], label: str, score: str, n_b
     )
 
 
-def auc_value(pred: DataFrame, group: list[str], label: str = "label", score: str = "score", n_buckets: int = 64, alias: str = "auc") -> DataFrame:
+def auc_value(pred: DataFrame, group: list[str], label: str = "label", score: str = "score", alias: str = "auc") -> DataFrame:
     """Exact ROC AUC per group (trapezoid area = Mann-Whitney with half credit for ties)."""
-    b = _below_counts(pred, group, label, score, n_buckets)
+    b = _below_counts(pred, group, label, score)
     contrib = F.col("_pos").cast("double") * (F.col("_neg_below").cast("double") + F.lit(0.5) * F.col("_neg").cast("double"))
     out = b.groupBy(*group).agg(F.sum(contrib).alias("_num"), F.first("_P").alias("_P"), F.first("_N").alias("_N"))
     auc = F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_num") / (F.col("_P").cast("double") * F.col("_N").cast("double")))
     return out.select(*group, auc.alias(alias))
 
 
-def auc_cost(pred: DataFrame, group: list[str], label: str = "label", score: str = "score", n_buckets: int = 64, alias: str = "cost") -> DataFrame:
-    a = auc_value(pred, group, label, score, n_buckets, "_auc")
+def auc_cost(pred: DataFrame, group: list[str], label: str = "label", score: str = "score", alias: str = "cost") -> DataFrame:
+    a = auc_value(pred, group, label, score, "_auc")
     return a.select(*group, (F.lit(1.0) - F.col("_auc")).alias(alias))
 
 
-def roc_curve(pred: DataFrame, group: list[str], label: str = "label", score: str = "score", n_buckets: int = 64) -> DataFrame:
+def roc_curve(pred: DataFrame, group: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """One row per (group, distinct score threshold): ``fpr``, ``tpr`` of the rule ``score >= threshold``."""
-    b = _below_counts(pred, group, label, score, n_buckets)
+    b = _below_counts(pred, group, label, score)
     tp = F.col("_P") - F.col("_pos_below")
     fp = F.col("_N") - F.col("_neg_below")
     return b.select(

@@ -194,6 +194,12 @@ def q_score_auc(spark, sf):
     return a.select("trial_id", r6("auc").alias("auc"), r6(F.lit(1.0) - F.col("auc")).alias("cost"))
 
 
+def q_score_auc_distinct(spark, sf):
+    """AUC on scores at 9 decimals: about as many distinct ones as rows."""
+    a = scoring.auc_value(_cls_proba(spark, sf).withColumn("score", F.round("score", 9)), ["trial_id"], alias="auc")
+    return a.select("trial_id", r6("auc").alias("auc"))
+
+
 def q_score_holdout(spark, sf):
     """Best candidate by validation AUC (first strict minimum of 1-AUC), scored on the test split."""
     both = _cls_proba(spark, sf, split=None)

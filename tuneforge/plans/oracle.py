@@ -220,6 +220,11 @@ def q_score_auc():
     SELECT trial_id, round(auc, 6) AS auc, round(1.0 - auc, 6) AS cost FROM a"""
 
 
+def q_score_auc_distinct():
+    return f"""WITH {LI}, {_cls_pred()}, a AS {_auc_sql(src="(SELECT trial_id, label, round(score, 9) AS score FROM pr)")}
+    SELECT trial_id, round(auc, 6) AS auc FROM a"""
+
+
 def q_score_holdout():
     return f"""WITH {LI}, {_cls_pred(split=None)},
     v AS {_auc_sql(extra_where="WHERE split = 'val'")},
