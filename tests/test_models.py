@@ -154,3 +154,60 @@ def test_long_elite_swarm_does_not_compound(spark):
     # an elite refit never reports more than the elite cost known before it
     rows = sorted(res.trials.collect(), key=lambda r: (r["iteration"], r["pid"]))
     assert all(r["cost"] <= r["raw_cost"] for r in rows if r["raw_cost"] is not None)
+
+
+def _small(spark, task):
+    rng = np.random.default_rng(6)
+    X = rng.random((240, 2))
+    y = X[:, 0] + 0.3 * X[:, 1] if task == "regression" else (X[:, 0] + 0.3 * rng.random(240) > 0.6).astype(float)
+    rows = [(f"k{i}", float(X[i, 0]), float(X[i, 1]), float(y[i]), ("val", "test", "train", "train")[i % 4]) for i in range(240)]
+    return spark.createDataFrame(rows, "key string, a double, b double, label double, split string")
+
+
+@pytest.mark.parametrize("estimator,task,score,space,options", [
+    ("xgboost", "regression", "rmse", {"learning_rate": [0.2, 0.6, 1], "max_depth": [1, 3, 0], "n_estimators": [2, 4, 0]}, {"n_bins": 8}),
+    ("gbdt", "binary classification", "auc", {"learning_rate": [0.2, 0.6, 1], "max_depth": [1, 2, 0], "n_estimators": [4, 6, 0]}, {"n_bins": 8, "early_stopping_rounds": 1}),
+    ("svm", "binary classification", "acc", {"kernel": ["rbf"], "gamma": [1, 5, 0], "C": [1, 10, 0]}, {"n_steps": 3, "n_components": 8}),
+    ("mlp", "binary classification", "auc", None, {"epochs": 2}),
+])
+def test_the_winners_model_gives_the_trials_cost(spark, tmp_path, estimator, task, score, space, options):
+    from tuneforge.plans.facade import HyperSearch
+    from tuneforge.plans.model import FittedModel
+
+    hs = HyperSearch(spark, estimator, space, task, score, options=options)
+    data = hs.prepare(_small(spark, task), ["a", "b"], "label")
+    res = hs.fit_random(data, n_attempts=3, seed=2)
+    assert {r["status"] for r in res.trials.collect()} == {"ok"}
+    model = hs.best_model(data, res)
+    assert model.score_holdout(data.rows, score, "val") == pytest.approx(hs.best(res).first()["cost"], abs=1e-8)
+    model.save(spark, str(tmp_path / "m"))
+    again = FittedModel.load(spark, str(tmp_path / "m"))
+    test = data.rows.filter("split = 'test'")
+    assert sorted(again.predict(test).collect()) == sorted(model.predict(test).collect()) and again.predict(test).count() == 60
+
+
+def test_a_fit_that_raises_fails_its_own_trial(spark):
+    from tuneforge.plans.facade import HyperSearch
+    from tuneforge.plans.registry import register_estimator
+
+    def fit_batch(spark_, data, cands, task, score, options=None):
+        if any(c["c"] > 1.5 for c in cands):
+            raise RuntimeError("no fit above 1.5")
+        return spark_.createDataFrame([(c["trial_id"], float(c["c"]), "ok", None) for c in cands], "trial_id bigint, cost double, status string, error string")
+
+    register_estimator("touchy", lambda task: {"c": [0, 2, 0]}, lambda task: {}, fit_batch)
+    hs = HyperSearch(spark, "touchy", None, "regression", "rmse")
+    res = hs.fit_grid(hs.prepare(_small(spark, "regression"), ["a", "b"], "label"), chunk=2)
+    got = {r["c"]: (r["cost"], r["status"], r["error"]) for r in res.trials.collect()}
+    assert got == {0: (0.0, "ok", None), 1: (1.0, "ok", None), 2: (None, "failed", "no fit above 1.5")}
+
+
+def test_platt_scaling_does_not_see_the_scored_labels(spark):
+    """Validation labels turned round: the AUC of an honest probability stays below one half."""
+    from tuneforge.plans.facade import HyperSearch
+
+    df = _small(spark, "binary classification")
+    turned = df.withColumn("label", F.when(F.col("split") == "val", 1.0 - F.col("label")).otherwise(F.col("label")))
+    hs = HyperSearch(spark, "svm", {"kernel": ["linear"], "gamma": [1, 2, 0], "C": [5, 6, 0]}, "binary classification", "auc", options={"n_steps": 10})
+    res = hs.fit_grid(hs.prepare(turned, ["a", "b"], "label"))
+    assert all(r["cost"] > 0.5 for r in res.trials.collect())

@@ -29,15 +29,25 @@ class FittedModel:
     history: list = field(default_factory=list)
 
     def scores(self, rows: DataFrame) -> DataFrame:
-        """``(key, label, split, score)`` of rows ``(key, features, label, split)``; for
-        classification the score is a probability (mlp: the network's output)."""
-        return _SCORERS[self.payload["kind"]](self, rows).select("key", "label", "split", "score")
+        """``(key, label, split, score, decision)`` of rows ``(key, features, label, split)``; for
+        classification the score is a probability (mlp: the network's output). The decision is
+        what classes are told by: a support vector model's own value, else the score."""
+        scored = _SCORERS[self.payload["kind"]](self, rows)
+        if "decision" not in scored.columns:
+            scored = scored.withColumn("decision", F.col("score"))
+        return scored.select("key", "label", "split", "score", "decision")
+
+    def _class(self):
+        kind, decision = self.payload["kind"], F.col("decision")
+        if kind == "svm":
+            return F.when(decision > 0, 1.0).otherwise(0.0)
+        return scoring.rounded_label(decision) if kind == "mlp" else scoring.threshold_label(decision)
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``(key, prediction)``: a value, or a class 0/1."""
         scored = self.scores(rows)
         if self.task == "binary classification":
-            return scored.select("key", scoring.threshold_label(F.col("score")).alias("prediction"))
+            return scored.select("key", self._class().alias("prediction"))
         return scored.select("key", F.col("score").alias("prediction"))
 
     def predict_proba(self, rows: DataFrame) -> DataFrame:
@@ -51,7 +61,7 @@ class FittedModel:
         if score == "rmse":
             cost = scoring.rmse_cost(s, ["trial_id"])
         elif score == "acc":
-            cost = scoring.accuracy_cost(s.withColumn("pred_label", scoring.threshold_label(F.col("score"))), ["trial_id"])
+            cost = scoring.accuracy_cost(s.withColumn("pred_label", self._class()), ["trial_id"])
         else:
             cost = scoring.auc_cost(s, ["trial_id"])
         return cost.first()["cost"]
@@ -127,7 +137,7 @@ def _svm_scores(m: FittedModel, rows: DataFrame) -> DataFrame:
     if m.payload["platt"] is None:
         return scored
     a, b = m.payload["platt"]
-    return scored.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(a) * F.col("score") + F.lit(b))))
+    return scored.withColumn("decision", F.col("score")).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(a) * F.col("score") + F.lit(b))))
 
 
 # ---------------------------------------------------------------- perceptron
