@@ -69,3 +69,21 @@ def test_odd_rows(odd_docs, make_docs):
     assert all(np.isfinite(r["log_prob"]) for r in rows)
     assert P.score_documents(make_docs([])).collect() == []
     assert [r["log_prob"] for r in P.score_documents(make_docs([(1, None)])).collect()] == [0]
+
+
+def test_words_beyond_the_vocabulary_have_their_own_probability(make_docs):
+    """P(word) by the counts in its bucket: a word that stands once costs more than one that stands often."""
+    common = "a b c d " * 50
+    docs = make_docs([(1, common), (2, "twice"), (3, "twice"), (4, "once"), (5, "twice twice twice twice"), (6, None)])
+    score = {r["doc_id"]: r["log_prob"] for r in P.score_documents(docs, vocabulary=4, n_classes=3, hidden=4, rounds=0).collect()}
+    assert np.isclose(score[2] - score[4], np.log(6)) and score[2] == score[3] and score[6] == 0
+    index, counts, total, repeated = P.build_vocabulary(docs, 4)
+    assert sorted(index) == [b"a", b"b", b"c", b"d"] and counts.tolist() == [50, 50, 50, 50, 7] and total == 207
+    assert [(bytes(r["word"]), r["count"]) for r in repeated.collect()] == [(b"twice", 6)]
+
+
+def test_vocabulary_grows_with_the_corpus():
+    assert P.vocabulary_size(0) == 8191 < P.vocabulary_size(10**8) < P.vocabulary_size(10**10)
+    m = P.make_model({b"a": 0}, np.array([9, 3, 4]), 3, 2, 0)
+    tokens, rare = m.tokens(b"A zz a y")
+    assert rare == [b"zz", b"y"] and tokens[0] == tokens[2] == 0 and all(t in (1, 2) for t in tokens[[1, 3]])

@@ -2,17 +2,20 @@
 
 Every token is predicted from the two tokens on either side, by a small bidirectional network
 trained in numpy; a document's score is the sum of its conditional log-probabilities. Words are
-counted over all documents; the ``vocabulary`` most frequent ones are tokens (a documented
-bound), all others the token <unk>. Tokens are dealt into classes of about equal mass by
-frequency, and P(token | window) = P(class | window) * P(token | class): the network gives the
-first factor, the corpus counts the second.
+counted over all documents; the most frequent ones are tokens, in a number that grows with the
+corpus (``vocabulary_size``). All others are dealt into buckets by a hash; a bucket is a token too,
+and a word in it has P(word | bucket) = its count / the bucket's, joined back from the distributed
+counts. The scored documents are the counted ones, so every word has a count. Tokens are dealt into
+classes of about equal mass by frequency (the buckets are the last class), and
+P(token | window) = P(class | window) * P(token | class): the network gives the first factor, the
+corpus counts the second.
 
 Training reads all documents: they are dealt into shards by a hash of the text, as many as the
 token total over ``shard_tokens``, so results do not depend on partitions or cores. A round
 starts each shard from the same parameters and runs one pass of mini-batch SGD over it; the
 shards' parameters, weighted by their tokens, are averaged by a grouped sum, a row for each
-parameter. Only the bounded vocabulary and parameters reach the driver. Long texts are read in
-blocks of windows. Scoring is one pass without a shuffle.
+parameter. Only the vocabulary and the parameters reach the driver. Long texts are read in blocks
+of windows. Scoring is one pass; only words beyond the vocabulary and a row for each document are shuffled.
 
 Null and empty texts have no tokens and a score of 0 (mean null). Repeated rows are scored
 alike; null doc_ids are kept; an empty corpus scores nothing. Only doc_id and text are read.
@@ -20,6 +23,8 @@ alike; null doc_ids are kept; an empty corpus scores nothing. Only doc_id and te
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,24 +36,32 @@ from pyspark.sql import functions as F
 from tuneforge.llm.common import text_or_empty, written
 
 SIDES = (-2, -1, 1, 2)
-SCORE_SCHEMA = "doc_id long, n_tokens long, log_prob double"
+SCORE_SCHEMA = "row long, doc_id long, n_tokens long, log_prob double"
+TOKEN_SCHEMA = "row long, doc_id long, text_hash long, tokens binary, rare array<binary>"
 
 
 @dataclass
 class Model:
-    """Class of each token (the last is the edge of a text), log P(token | class), parameters."""
+    """Class of each token (words, then buckets of other words), log P(token | class), what a word's
+    log count in its bucket is less by, parameters."""
 
     index: dict[bytes, int]
     classes: np.ndarray
     within: np.ndarray
+    less: np.ndarray
     n_classes: int
     hidden: int
     params: dict[str, np.ndarray]
 
-    def tokens(self, data: bytes) -> np.ndarray:
+    def tokens(self, data: bytes) -> tuple[np.ndarray, list[bytes]]:
+        """The tokens of a text, and its words that are in a bucket."""
         words = data.lower().split()
-        unk = len(self.index)
-        return np.fromiter((self.index.get(w, unk) for w in words), np.int32, len(words))
+        known, n_buckets = len(self.index), len(self.classes) - len(self.index)
+        tokens = np.fromiter((self.index.get(w, -1) for w in words), np.int32, len(words))
+        at = np.flatnonzero(tokens < 0)
+        rare = [words[k] for k in at]
+        tokens[at] = [known + zlib.crc32(w) % n_buckets for w in rare]
+        return tokens, rare
 
 
 def initial_params(n_classes: int, hidden: int, seed: int) -> dict[str, np.ndarray]:
@@ -97,26 +110,42 @@ def windows(classes: np.ndarray, edge: int) -> np.ndarray:
     return np.stack([padded[2 + s : 2 + s + len(classes)] for s in SIDES])
 
 
-def build_vocabulary(docs: DataFrame, vocabulary: int) -> tuple[dict[bytes, int], np.ndarray, int]:
-    """The most frequent words over all documents, their counts (the last: all others), the total."""
+def vocabulary_size(total: int) -> int:
+    """Words that are tokens of their own: 8,191 at least, and with the square root of the corpus."""
+    return max(8191, 4 * math.isqrt(total))
+
+
+def build_vocabulary(docs: DataFrame, vocabulary: int | None) -> tuple[dict[bytes, int], np.ndarray, int, DataFrame]:
+    """The most frequent words over all documents, their counts (then those of the buckets of other
+    words, one for every 32 words), the total, and the other words that stand more than once with their counts."""
     words = docs.select(F.explode(F.split(F.trim(F.regexp_replace(text_or_empty(), r"[\x09-\x0D]", " ")), " +")).alias("word")).where("word <> ''")
     folded = words.select(F.translate("word", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("word"))
     counts = written(folded.groupBy("word").count())
     total = counts.agg(F.sum("count")).first()[0] or 0
+    vocabulary = vocabulary or vocabulary_size(total)
     top = counts.orderBy(F.desc("count"), "word").limit(vocabulary).toPandas()
     index = {w.encode(): k for k, w in enumerate(top["word"])}
-    own = top["count"].to_numpy(np.int64)
-    return index, np.append(own, total - own.sum()), int(total)
+    others = counts.where("false")
+    if len(top) == vocabulary:
+        least, last = int(top["count"].iloc[-1]), top["word"].iloc[-1]
+        others = counts.where((F.col("count") < least) | ((F.col("count") == least) & (F.col("word") > last)))
+    n_buckets = max(1, vocabulary // 32)
+    buckets = np.zeros(n_buckets, np.int64)
+    for bucket, count in others.groupBy((F.crc32(F.col("word").cast("binary")) % n_buckets).alias("bucket")).agg(F.sum("count")).collect():
+        buckets[bucket] = count
+    repeated = others.where("count > 1").select(F.col("word").cast("binary").alias("word"), "count")
+    return index, np.append(top["count"].to_numpy(np.int64), buckets), int(total), repeated
 
 
 def make_model(index: dict[bytes, int], counts: np.ndarray, n_classes: int, hidden: int, seed: int) -> Model:
-    """Classes of about equal mass along the frequency order; <unk> has the last class to itself."""
-    mass = np.maximum(counts, 1).astype(np.float64)
-    known = np.cumsum(mass[:-1]) - mass[:-1] / 2
-    classes = np.minimum((known / max(mass[:-1].sum(), 1) * (n_classes - 1)).astype(np.int64), n_classes - 2) if len(mass) > 1 else np.empty(0, np.int64)
-    classes = np.append(classes, n_classes - 1)
+    """Classes of about equal mass along the frequency order; the buckets have the last class to themselves."""
+    mass, n = np.maximum(counts, 1).astype(np.float64), len(index)
+    known = np.cumsum(mass[:n]) - mass[:n] / 2
+    classes = np.minimum((known / max(mass[:n].sum(), 1) * (n_classes - 1)).astype(np.int64), n_classes - 2)
+    classes = np.append(classes, np.full(len(mass) - n, n_classes - 1))
     sums = np.bincount(classes, mass, n_classes)
-    return Model(index, classes.astype(np.int32), np.log(mass / sums[classes]), n_classes, hidden, initial_params(n_classes, hidden, seed))
+    less = np.append(np.zeros(n), np.log(mass[n:]))
+    return Model(index, classes.astype(np.int32), np.log(mass / sums[classes]), less, n_classes, hidden, initial_params(n_classes, hidden, seed))
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -132,14 +161,24 @@ def _unflat(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]
 
 
 def tokenise(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, text_hash and the token numbers of each text as 16-bit integers, in one pass."""
+    """A number for each row, doc_id, text_hash, the token numbers of each text as 32-bit integers
+    and its words beyond the vocabulary, in one pass."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [shared.value.tokens(x.as_py()).astype("<u2").tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.binary())], names=["doc_id", "text_hash", "tokens"])
+            found = [shared.value.tokens(x.as_py()) for x in batch.column(3)]
+            tokens, rare = pa.array([t.astype("<u4").tobytes() for t, _ in found], pa.binary()), pa.array([r for _, r in found], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], tokens, rare], names=["row", "doc_id", "text_hash", "tokens", "rare"])
 
     text = text_or_empty()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, text_hash long, tokens binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    return rows.mapInArrow(run, TOKEN_SCHEMA)
+
+
+def rare_log_counts(tokens: DataFrame, repeated: DataFrame) -> DataFrame:
+    """For each row, the sum of the log counts of its words beyond the vocabulary (0 for words that
+    stand once, so that these are left out)."""
+    words = tokens.select("row", F.explode("rare").alias("word"))
+    return words.join(repeated, "word").groupBy("row").agg(F.sum(F.log("count")).alias("rare_log"))
 
 
 def _train(shared, batch_size: int, rate: float):
@@ -173,7 +212,7 @@ def _train(shared, batch_size: int, rate: float):
                         yield result()
                     shard, seen, held, size = shards[k], 0, [], 0
                     p = {name: value.copy() for name, value in model.params.items()}
-                classes = model.classes[np.frombuffer(batch.column(1)[k].as_py(), "<u2")]
+                classes = model.classes[np.frombuffer(batch.column(1)[k].as_py(), "<u4")]
                 around = windows(classes, model.n_classes)
                 for at in range(0, len(classes), 1 << 16):
                     held.append((around[:, at : at + (1 << 16)], classes[at : at + (1 << 16)]))
@@ -202,10 +241,11 @@ def train(tokens: DataFrame, model: Model, total: int, shard_tokens: int, rounds
 
 
 def document_log_prob(model: Model, tokens: np.ndarray, block: int = 4096) -> float:
-    """Sum over all positions of log P(token | both sides), in blocks of windows."""
+    """Sum over all positions of log P(token | both sides), in blocks of windows; a word in a bucket
+    counts as one that stands once (its log count comes from ``rare_log_counts``)."""
     classes = model.classes[tokens]
     around = windows(classes, model.n_classes)
-    total = float(model.within[tokens].sum())
+    total = float(model.within[tokens].sum() - model.less[tokens].sum())
     for at in range(0, len(tokens), block):
         target = classes[at : at + block]
         _, z = forward(model.params, around[:, at : at + block])
@@ -217,20 +257,22 @@ def _score(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            tokens = [np.frombuffer(x.as_py(), "<u2") for x in batch.column(1)]
+            tokens = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(2)]
             scores = [document_log_prob(model, t) if len(t) else 0.0 for t in tokens]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in tokens], pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_tokens", "log_prob"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(t) for t in tokens], pa.int64()), pa.array(scores, pa.float64())], names=["row", "doc_id", "n_tokens", "log_prob"])
     return run
 
 
-def score_documents(docs: DataFrame, vocabulary: int = 8191, n_classes: int = 32, hidden: int = 16, shard_tokens: int = 2_000_000, rounds: int = 1, batch_size: int = 1024, rate: float = 0.5, seed: int = 3) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: int | None = None, n_classes: int = 32, hidden: int = 16, shard_tokens: int = 2_000_000, rounds: int = 1, batch_size: int = 1024, rate: float = 0.5, seed: int = 3) -> DataFrame:
     """doc_id, n_tokens, log_prob and mean_log_prob of every document."""
-    if not 0 < vocabulary < 1 << 16 or n_classes < 2:
-        raise ValueError("vocabulary must be below 65536 and n_classes above 1")
+    if (vocabulary is not None and vocabulary < 1) or n_classes < 2:
+        raise ValueError("vocabulary must be above 0 and n_classes above 1")
     sc = docs.sparkSession.sparkContext
-    index, counts, total = build_vocabulary(docs, vocabulary)
+    index, counts, total, repeated = build_vocabulary(docs, vocabulary)
     model = make_model(index, counts, n_classes, hidden, seed)
     tokens = written(tokenise(docs, sc.broadcast(model)))
     model = train(tokens, model, total, shard_tokens, rounds, batch_size, rate)
-    scored = tokens.select("doc_id", "tokens").mapInArrow(_score(sc.broadcast(model)), SCORE_SCHEMA)
+    scored = tokens.select("row", "doc_id", "tokens").mapInArrow(_score(sc.broadcast(model)), SCORE_SCHEMA)
+    scored = scored.join(rare_log_counts(tokens, repeated), "row", "left")
+    scored = scored.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("rare_log", F.lit(0.0))).alias("log_prob"))
     return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
