@@ -87,3 +87,48 @@ def test_vocabulary_grows_with_the_corpus():
     m = P.make_model({b"a": 0}, np.array([9, 3, 4]), 3, 2, 0)
     tokens, rare = m.tokens(b"A zz a y")
     assert rare == [b"zz", b"y"] and tokens[0] == tokens[2] == 0 and all(t in (1, 2) for t in tokens[[1, 3]])
+
+
+def test_gradients_of_decisions_by_differences():
+    rng = np.random.default_rng(0)
+    m = P.make_model({b"w%d" % k: k for k in range(9)}, rng.integers(1, 50, 11), 4, 4, 1)
+    p = {k: v.astype(np.float64) + (rng.normal(0, 0.3, v.shape) if k == "u" else 0) for k, v in m.params.items()}
+    tokens = rng.integers(0, 11, 40)
+    around, classes, steps = P.windows(tokens, 11), m.classes[tokens], m.paths.steps(tokens)
+
+    def loss():
+        h, z = P.forward(p, around)
+        return (np.log1p(np.exp(-P.decide(p["u"], h, *steps))).sum() - z[np.arange(40), classes].sum()) / 40
+
+    for name, g in P.gradients(p, around, classes, steps).items():
+        for at in [tuple(rng.integers(0, n) for n in p[name].shape) for _ in range(8)]:
+            keep = p[name][at]
+            p[name][at] = keep + 1e-5
+            up = loss()
+            p[name][at] = keep - 1e-5
+            down = loss()
+            p[name][at] = keep
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-5
+
+
+def test_token_probabilities_sum_to_one_in_any_window():
+    rng = np.random.default_rng(1)
+    m = P.make_model({b"w%d" % k: k for k in range(20)}, rng.integers(1, 90, 23), 5, 4, 1)
+    unigram = P.decide(m.params["u"], np.zeros((23, 4)), *m.paths.steps(np.arange(23)))
+    logs = np.bincount(m.paths.steps(np.arange(23))[0], -np.log1p(np.exp(-unigram)), 23)
+    assert np.allclose(logs, m.within, atol=1e-5)  # the counts, before any training
+    m.params["u"] += rng.normal(0, 1, m.params["u"].shape).astype(np.float32)
+    h, z = P.forward(m.params, np.repeat(rng.integers(0, 23, (4, 1)), 23, 1))
+    position, node, sign = m.paths.steps(np.arange(23))
+    each = z[np.arange(23), m.classes] + np.bincount(position, -np.log1p(np.exp(-P.decide(m.params["u"], h, position, node, sign))), 23)
+    assert np.isclose(np.exp(each).sum(), 1)
+
+
+def test_texts_score_above_shuffled_copies(make_docs):
+    """All words are of one frequency and in one class: only which words stand around tells the order."""
+    rng = np.random.default_rng(4)
+    texts = [[f"w{(k + j) % 16}" for j in range(48)] for k in range(16) for _ in range(12)]
+    shuffled = [list(rng.permutation(t)) for t in texts[:16]]
+    docs = make_docs([(k, " ".join(t)) for k, t in enumerate(texts + shuffled)])
+    score = {r["doc_id"]: r["log_prob"] for r in P.score_documents(docs, vocabulary=16, n_classes=2, hidden=16, rounds=3, batch_size=64).collect()}
+    assert all(score[k] > score[len(texts) + k] + 10 for k in range(16))

@@ -7,14 +7,15 @@ corpus (``vocabulary_size``). All others are dealt into buckets by a hash; a buc
 and a word in it has P(word | bucket) = its count / the bucket's, joined back from the distributed
 counts. The scored documents are the counted ones, so every word has a count. Tokens are dealt into
 classes of about equal mass by frequency (the buckets are the last class), and
-P(token | window) = P(class | window) * P(token | class): the network gives the first factor, the
-corpus counts the second.
+P(token | window) = P(class | window) * P(token | class, window). The network embeds the tokens
+around, scaled for each side; its hidden layer gives the class by a softmax and the token by the
+binary decisions of a Huffman tree in each class, which start from the corpus counts.
 
 Training reads all documents: they are dealt into shards by a hash of the text, as many as the
 token total over ``shard_tokens``, so results do not depend on partitions or cores. A round
 starts each shard from the same parameters and runs one pass of mini-batch SGD over it; the
-shards' parameters, weighted by their tokens, are averaged by a grouped sum, a row for each
-parameter. Only the vocabulary and the parameters reach the driver. Long texts are read in blocks
+shards' changes are averaged by a grouped sum over rows of parameters, weighted by the shard's tokens,
+or by how often the shard met the token or decision a row belongs to. Only the vocabulary and the parameters reach the driver. Long texts are read in blocks
 of windows. Scoring is one pass; only words beyond the vocabulary and a row for each document are shuffled.
 
 Null and empty texts have no tokens and a score of 0 (mean null). Repeated rows are scored
@@ -23,6 +24,7 @@ alike; null doc_ids are kept; an empty corpus scores nothing. Only doc_id and te
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections.abc import Iterable, Iterator
@@ -40,15 +42,31 @@ SCORE_SCHEMA = "row long, doc_id long, n_tokens long, log_prob double"
 TOKEN_SCHEMA = "row long, doc_id long, text_hash long, tokens binary, rare array<binary>"
 
 
+@dataclass
+class Paths:
+    """Decisions from the root of its class to each token: where a token's begin, their nodes and signs."""
+
+    begin: np.ndarray
+    nodes: np.ndarray
+    signs: np.ndarray
+
+    def steps(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, node and sign of all decisions to the tokens, in order of position."""
+        n = self.begin[tokens + 1] - self.begin[tokens]
+        at = np.arange(n.sum()) + np.repeat(self.begin[tokens] - (np.cumsum(n) - n), n)
+        return np.repeat(np.arange(len(tokens)), n), self.nodes[at], self.signs[at]
+
+
 @dataclass
 class Model:
-    """Class of each token (words, then buckets of other words), log P(token | class), what a word's
-    log count in its bucket is less by, parameters."""
+    """Class of each token (words, then buckets of other words), log P(token | class) by the counts,
+    what a word's log count in its bucket is less by, the trees, parameters."""
 
     index: dict[bytes, int]
     classes: np.ndarray
     within: np.ndarray
     less: np.ndarray
+    paths: Paths
     n_classes: int
     hidden: int
     params: dict[str, np.ndarray]
@@ -64,21 +82,52 @@ class Model:
         return tokens, rare
 
 
-def initial_params(n_classes: int, hidden: int, seed: int) -> dict[str, np.ndarray]:
+def make_paths(classes: np.ndarray, within: np.ndarray) -> tuple[Paths, np.ndarray]:
+    """A Huffman tree over the tokens of each class, and the log odds of its decisions by the counts."""
+    n = len(classes)
+    parent, sign, odds = [-1] * n, [0] * n, []
+    for members in np.split(np.argsort(classes, kind="stable"), np.flatnonzero(np.diff(np.sort(classes))) + 1):
+        heap = [(float(np.exp(within[t])), int(t)) for t in members]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (less, a), (more, b) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[a] = parent[b] = n + len(odds)
+            sign[a], sign[b] = -1, 1
+            parent.append(-1)
+            sign.append(0)
+            odds.append(math.log(more / less))
+            heapq.heappush(heap, (less + more, parent[a]))
+    begin, nodes, signs = [0], [], []
+    for at in range(n):
+        while parent[at] >= 0:
+            nodes.append(parent[at] - n)
+            signs.append(sign[at])
+            at = parent[at]
+        begin.append(len(nodes))
+    return Paths(np.array(begin, np.int64), np.array(nodes, np.int32), np.array(signs, np.float32)), np.array(odds)
+
+
+def initial_params(n_classes: int, hidden: int, seed: int, n_tokens: int | None = None, odds: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """e, a: embeddings and their scale on each side; b; w, c: classes; u: decisions, the last column their bias."""
     rng = np.random.default_rng(seed)
-    return {
-        "e": rng.normal(0, 0.3, (len(SIDES), n_classes + 1, hidden)).astype(np.float32),
+    p = {
+        "e": rng.normal(0, 0.3, ((n_tokens or n_classes) + 1, hidden)).astype(np.float32),
+        "a": rng.normal(0, 1, (len(SIDES), hidden)).astype(np.float32),
         "b": np.zeros(hidden, np.float32),
         "w": rng.normal(0, 0.3, (hidden, n_classes)).astype(np.float32),
         "c": np.zeros(n_classes, np.float32),
     }
+    if odds is not None:
+        p["u"] = np.zeros((len(odds), hidden + 1), np.float32)
+        p["u"][:, -1] = odds
+    return p
 
 
 def forward(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden values and class log-probabilities; around: a column of classes for each side."""
-    h = p["e"][0][around[0]]
+    """Hidden values and class log-probabilities; around: a column of tokens for each side."""
+    h = p["e"][around[0]] * p["a"][0]
     for s in range(1, len(SIDES)):
-        h += p["e"][s][around[s]]
+        h += p["e"][around[s]] * p["a"][s]
     h += p["b"]
     np.maximum(h, 0, out=h)
     z = h @ p["w"] + p["c"]
@@ -87,25 +136,54 @@ def forward(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, n
     return h, z
 
 
-def gradients(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-    """Mean gradient of the negative log-probability of the target classes."""
+def decide(u: np.ndarray, h: np.ndarray, position: np.ndarray, node: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """Signed log odds of decisions: log P of one is -log(1 + exp(-odds))."""
+    at = u[node]
+    return sign * (np.einsum("ij,ij->i", at[:, :-1], h[position]) + at[:, -1])
+
+
+def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sums of their values, how often they stand."""
+    order = np.argsort(rows, kind="stable")
+    inside = rows[order]
+    first = np.flatnonzero(np.append(True, inside[1:] != inside[:-1])) if len(rows) else np.empty(0, np.int64)
+    sums = np.add.reduceat(values[order], first, axis=0) if len(rows) else values
+    return inside[first], sums, np.diff(np.append(first, len(rows)))
+
+
+def row_gradients(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, steps: tuple | None = None) -> tuple[dict[str, np.ndarray], dict[str, tuple]]:
+    """Mean gradient of the negative log-probability of the target classes and decisions: whole
+    arrays, and of embeddings and decisions only the rows met (rows, gradient, how often)."""
     n = len(target)
     h, z = forward(p, around)
     d = np.exp(z)
     d[np.arange(n), target] -= 1
     d /= n
     dh = d @ p["w"].T
+    rows = {}
+    if steps is not None and len(steps[0]):
+        position, node, sign = steps
+        g = (-sign / (1 + np.exp(np.minimum(decide(p["u"], h, position, node, sign), 80))) / n).astype(h.dtype)
+        first = np.flatnonzero(np.append(True, position[1:] != position[:-1]))
+        dh[position[first]] += np.add.reduceat(g[:, None] * p["u"][node, :-1], first, axis=0)
+        rows["u"] = _row_sums(node, g[:, None] * np.concatenate([h, np.ones((n, 1), h.dtype)], 1)[position])
     dh[h <= 0] = 0
-    e = np.empty_like(p["e"])
-    for s in range(len(SIDES)):
-        one = np.zeros((n, e.shape[1]), np.float32)
-        one[np.arange(n), around[s]] = 1
-        e[s] = one.T @ dh
-    return {"e": e, "b": dh.sum(0), "w": h.T @ d, "c": d.sum(0)}
+    a = np.stack([np.einsum("ij,ij->j", dh, p["e"][around[s]]) for s in range(len(SIDES))])
+    rows["e"] = _row_sums(around.ravel(), (dh[None] * p["a"][:, None]).reshape(-1, dh.shape[1]))
+    return {"a": a, "b": dh.sum(0), "w": h.T @ d, "c": d.sum(0)}, rows
+
+
+def gradients(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, steps: tuple | None = None) -> dict[str, np.ndarray]:
+    """The same as whole arrays."""
+    whole, rows = row_gradients(p, around, target, steps)
+    for k, (at, g, _) in rows.items():
+        whole[k] = np.zeros_like(p[k])
+        whole[k][at] = g
+    return whole
 
 
 def windows(classes: np.ndarray, edge: int) -> np.ndarray:
-    """The classes around each position of a text, a row for each side."""
+    """The classes (or tokens) around each position of a text, a row for each side."""
     padded = np.concatenate([[edge, edge], classes, [edge, edge]]).astype(np.int32)
     return np.stack([padded[2 + s : 2 + s + len(classes)] for s in SIDES])
 
@@ -145,19 +223,25 @@ def make_model(index: dict[bytes, int], counts: np.ndarray, n_classes: int, hidd
     classes = np.append(classes, np.full(len(mass) - n, n_classes - 1))
     sums = np.bincount(classes, mass, n_classes)
     less = np.append(np.zeros(n), np.log(mass[n:]))
-    return Model(index, classes.astype(np.int32), np.log(mass / sums[classes]), less, n_classes, hidden, initial_params(n_classes, hidden, seed))
+    within = np.log(mass / sums[classes])
+    paths, odds = make_paths(classes, within)
+    return Model(index, classes.astype(np.int32), within, less, paths, n_classes, hidden, initial_params(n_classes, hidden, seed, len(classes), odds))
 
 
-def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in sorted(p)])
+def _rows(p: dict[str, np.ndarray], hidden: int) -> np.ndarray:
+    """All parameters as rows of hidden + 1 values: embeddings, decisions, then the others."""
+    rest = np.concatenate([p[k].ravel() for k in "abcw"])
+    rest = np.pad(rest, (0, -len(rest) % (hidden + 1))).reshape(-1, hidden + 1)
+    return np.concatenate([np.pad(p["e"], ((0, 0), (0, 1))), p["u"], rest])
 
 
-def _unflat(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in sorted(like):
-        out[k] = x[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+def _unrows(x: np.ndarray, like: dict[str, np.ndarray], hidden: int) -> dict[str, np.ndarray]:
+    n, m = len(like["e"]), len(like["u"])
+    out, rest, at = {"e": x[:n, :hidden], "u": x[n : n + m]}, x[n + m :].ravel(), 0
+    for k in "abcw":
+        out[k] = rest[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
-    return out
+    return {k: np.ascontiguousarray(v, np.float32) for k, v in out.items()}
 
 
 def tokenise(docs: DataFrame, shared) -> DataFrame:
@@ -181,27 +265,37 @@ def rare_log_counts(tokens: DataFrame, repeated: DataFrame) -> DataFrame:
     return words.join(repeated, "word").groupBy("row").agg(F.sum(F.log("count")).alias("rare_log"))
 
 
-def _train(shared, batch_size: int, rate: float):
-    """Rows sorted by shard: one pass of SGD over each shard from the shared parameters."""
+def _train(shared, batch_size: int, rate: float, row_rate: float):
+    """Rows sorted by shard: one pass of SGD over each shard from the shared parameters, with
+    steps of embeddings and decisions shortened by their own past gradients."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        shard, p, seen, held, size = None, None, 0, [], 0
+        shard, p, past, met, seen, held, size = None, None, None, None, 0, [], 0
 
         def step(force: bool) -> None:
             nonlocal held, size, seen
             if not size or not (force or size >= batch_size):
                 return
-            around, target = np.concatenate([a for a, _ in held], 1), np.concatenate([t for _, t in held])
-            whole = len(target) if force else len(target) - len(target) % batch_size
+            around, tokens = np.concatenate([a for a, _ in held], 1), np.concatenate([t for _, t in held])
+            whole = len(tokens) if force else len(tokens) - len(tokens) % batch_size
             for at in range(0, whole, batch_size):
                 part = slice(at, min(at + batch_size, whole))
-                for k, g in gradients(p, around[:, part], target[part]).items():
+                dense, rows = row_gradients(p, around[:, part], model.classes[tokens[part]], model.paths.steps(tokens[part]))
+                for k, g in dense.items():
                     p[k] -= np.float32(rate) * g
+                for k, (row, g, n) in rows.items():
+                    past[k][row] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+                    p[k][row] -= g * (np.float32(row_rate) / np.sqrt(past[k][row] + np.float32(1e-20)))[:, None]
+                    met[k][row] += n
             seen += whole
-            held, size = [(around[:, whole:], target[whole:])], len(target) - whole
+            held, size = [(around[:, whole:], tokens[whole:])], len(tokens) - whole
 
         def result() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([_flat(p).astype(np.float64).tolist()], pa.list_(pa.float64()))], names=["shard", "seen", "params"])
+            change = _rows(p, model.hidden).astype(np.float64) - _rows(model.params, model.hidden)
+            weight = np.concatenate([met["e"], met["u"], np.full(len(change) - len(met["e"]) - len(met["u"]), seen)])
+            row = np.flatnonzero(weight)
+            change = (change[row] * weight[row, None]).astype(np.float32)
+            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(weight[row], pa.int64()), *(pa.array(x) for x in change.T)], names=["row", "weight", *(f"d{k}" for k in range(model.hidden + 1))])
 
         for batch in batches:
             shards = batch.column(0).to_pylist()
@@ -212,10 +306,12 @@ def _train(shared, batch_size: int, rate: float):
                         yield result()
                     shard, seen, held, size = shards[k], 0, [], 0
                     p = {name: value.copy() for name, value in model.params.items()}
-                classes = model.classes[np.frombuffer(batch.column(1)[k].as_py(), "<u4")]
-                around = windows(classes, model.n_classes)
-                for at in range(0, len(classes), 1 << 16):
-                    held.append((around[:, at : at + (1 << 16)], classes[at : at + (1 << 16)]))
+                    past = {name: np.zeros(len(p[name]), np.float32) for name in "eu"}
+                    met = {name: np.zeros(len(p[name]), np.int64) for name in "eu"}
+                tokens = np.frombuffer(batch.column(1)[k].as_py(), "<u4").astype(np.int32)
+                around = windows(tokens, len(model.classes))
+                for at in range(0, len(tokens), 1 << 16):
+                    held.append((around[:, at : at + (1 << 16)], tokens[at : at + (1 << 16)]))
                     size += len(held[-1][1])
                     if size >= 16 * batch_size:
                         step(False)
@@ -225,31 +321,34 @@ def _train(shared, batch_size: int, rate: float):
     return run
 
 
-def train(tokens: DataFrame, model: Model, total: int, shard_tokens: int, rounds: int, batch_size: int, rate: float) -> Model:
+def train(tokens: DataFrame, model: Model, total: int, shard_tokens: int, rounds: int, batch_size: int, rate: float, row_rate: float) -> Model:
     sc = tokens.sparkSession.sparkContext
     n_shards = max(1, -(-total // shard_tokens))
     dealt = tokens.where(F.octet_length("tokens") > 0).select(F.pmod(F.xxhash64("text_hash"), F.lit(n_shards)).alias("shard"), "tokens", "text_hash", "doc_id")
     dealt = dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", "text_hash", "doc_id").select("shard", "tokens")
+    values = [f"d{k}" for k in range(model.hidden + 1)]
     for _ in range(rounds):
-        fitted = dealt.mapInArrow(_train(sc.broadcast(model), batch_size, rate), "shard long, seen long, params array<double>")
-        each = fitted.select("seen", F.posexplode("params").alias("at", "value"))
-        mean = each.groupBy("at").agg((F.sum(F.col("value") * F.col("seen")) / F.sum("seen")).alias("value"))
-        flat = mean.orderBy("at").toPandas()["value"].to_numpy()
-        if len(flat):
-            model.params = _unflat(flat, model.params)
+        fitted = dealt.mapInArrow(_train(sc.broadcast(model), batch_size, rate, row_rate), ", ".join(["row long", "weight long", *(f"{v} float" for v in values)]))
+        mean = fitted.groupBy("row").agg(*((F.sum(v) / F.sum("weight")).cast("float").alias(v) for v in values))
+        change = mean.toArrow()
+        params = _rows(model.params, model.hidden)
+        params[change.column("row").to_numpy()] += np.stack([change.column(v).to_numpy() for v in values], 1)
+        model.params = _unrows(params, model.params, model.hidden)
     return model
 
 
 def document_log_prob(model: Model, tokens: np.ndarray, block: int = 4096) -> float:
     """Sum over all positions of log P(token | both sides), in blocks of windows; a word in a bucket
     counts as one that stands once (its log count comes from ``rare_log_counts``)."""
-    classes = model.classes[tokens]
-    around = windows(classes, model.n_classes)
-    total = float(model.within[tokens].sum() - model.less[tokens].sum())
+    tokens = tokens.astype(np.int32)
+    around = windows(tokens, len(model.classes))
+    total = -float(model.less[tokens].sum())
     for at in range(0, len(tokens), block):
-        target = classes[at : at + block]
-        _, z = forward(model.params, around[:, at : at + block])
-        total += float(z[np.arange(len(target)), target].sum(dtype=np.float64))
+        target = tokens[at : at + block]
+        h, z = forward(model.params, around[:, at : at + block])
+        total += float(z[np.arange(len(target)), model.classes[target]].sum(dtype=np.float64))
+        odds = decide(model.params["u"], h, *model.paths.steps(target))
+        total -= float((np.log1p(np.exp(-np.abs(odds))) + np.maximum(-odds, 0)).sum(dtype=np.float64))
     return total
 
 
@@ -263,7 +362,7 @@ def _score(shared):
     return run
 
 
-def score_documents(docs: DataFrame, vocabulary: int | None = None, n_classes: int = 32, hidden: int = 16, shard_tokens: int = 2_000_000, rounds: int = 1, batch_size: int = 1024, rate: float = 0.5, seed: int = 3) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: int | None = None, n_classes: int = 32, hidden: int = 16, shard_tokens: int = 2_000_000, rounds: int = 1, batch_size: int = 1024, rate: float = 0.5, row_rate: float = 0.1, seed: int = 3) -> DataFrame:
     """doc_id, n_tokens, log_prob and mean_log_prob of every document."""
     if (vocabulary is not None and vocabulary < 1) or n_classes < 2:
         raise ValueError("vocabulary must be above 0 and n_classes above 1")
@@ -271,7 +370,7 @@ def score_documents(docs: DataFrame, vocabulary: int | None = None, n_classes: i
     index, counts, total, repeated = build_vocabulary(docs, vocabulary)
     model = make_model(index, counts, n_classes, hidden, seed)
     tokens = written(tokenise(docs, sc.broadcast(model)))
-    model = train(tokens, model, total, shard_tokens, rounds, batch_size, rate)
+    model = train(tokens, model, total, shard_tokens, rounds, batch_size, rate, row_rate)
     scored = tokens.select("row", "doc_id", "tokens").mapInArrow(_score(sc.broadcast(model)), SCORE_SCHEMA)
     scored = scored.join(rare_log_counts(tokens, repeated), "row", "left")
     scored = scored.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("rare_log", F.lit(0.0))).alias("log_prob"))
