@@ -67,6 +67,21 @@ def test_account_and_address_anchors():
     assert found == [("account", "DE89 3704 0044 0532 0130 00"), ("account", "12345678"), ("address", "joe:pw@host.example"), ("address", "10.1.2.3")]
 
 
+@pytest.mark.parametrize("text,value", [
+    ("IBAN DE89 3704 0044 0532 0130 00 The invoice", "DE89 3704 0044 0532 0130 00"),
+    ("IBAN DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000"),
+    ("IBAN DE89 3704 0044 0532 0130 00 IS PAID ON DAY 12", "DE89 3704 0044 0532 0130 00"),
+    ("IBAN DE00 3704 0044 0532 0130 00 BIC COBADEFFXXX", None),
+    ("account 12345678 The", "12345678"),
+    ("account 12345678 IS CLOSED FOR ALL OF THE FOLLOWING MONTHS AND YEARS", "12345678"),
+    ("account 1234-5678 9", "1234-5678 9"),
+    ("passport AB12 345678 ISSUED IN BERN", "AB12 345678"),
+])
+def test_identifiers_end_before_following_words(text, value):
+    found = [text[a:b] for a, k, b in pii.spans_of(text, pii.automaton()) if k == 5]
+    assert found == ([value] if value else [])
+
+
 @pytest.mark.parametrize("name,base,kinds", [("op2_secret_novelty", base_secrets, secrets.KINDS), ("op4_pii_anchors", base_pii, pii.KINDS)])
 def test_queries(spark, name, base, kinds):
     texts = {r["doc_id"]: r["text"] for r in queries.table(spark, SF_SMALL, "documents").collect()}

@@ -4,8 +4,9 @@ An Aho-Corasick automaton finds the anchors of a text in one pass: at-signs, plu
 URL schemes and identifier cues. At each anchor a deterministic local parser expands to both
 sides and validates: ``email``, ``ip``, ``card`` and ``phone`` by the base grammar, ``address``
 (the authority after a scheme, if it carries user information or an IP host) and ``account`` (an
-identifier of digits, or letters and digits, behind an identifier cue; an IBAN must pass its
-check digits). Parsers never look back beyond the end of their kind's last match, so that
+identifier of digits, or letters and digits, behind an identifier cue; of what has the form of an
+IBAN, the longest run of whole groups that passes the check digits; of others, the groups up to the
+first without a digit). Parsers never look back beyond the end of their kind's last match, so that
 results equal leftmost non-overlapping search, and each character is read a bounded number of times.
 
 Null texts are empty and give no spans. Offsets are code points, end exclusive. Each row is
@@ -33,7 +34,8 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 AUTHORITY = re.compile(r"[A-Za-z0-9._%+:@\[\]-]+")
-IDENTIFIER = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|id))?\x20?[:#=]?\x20?([A-Z]{0,4}[0-9][A-Z0-9]*(?:[\x20-][A-Z0-9]+)*)")
+IDENTIFIER = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|id))?\x20?[:#=]?\x20?([A-Z]{0,4}[0-9][A-Z0-9]*(?:[\x20-][A-Z0-9]+(?!\w))*)")
+GROUP_END = re.compile(r"(?=[\x20-]|\Z)")
 SCHEMES = ["://"]
 CUES = ["account", "Account", "ACCOUNT", "acct", "Acct", "IBAN", "iban", "Konto", "konto", "compte", "cuenta", "passport", "Passport", "SSN", "ssn", "tax id", "Tax ID"]
 
@@ -52,6 +54,19 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def account_length(run: str) -> int:
+    """How much of a run of groups is an identifier, 0 if none of it is."""
+    ends = [m.start() for m in GROUP_END.finditer(run)]
+    values = [run[:end].replace(" ", "").replace("-", "") for end in ends]
+    form = re.match(r"[A-Z]{2}[0-9]{2}", values[-1])
+    if form and (passed := [end for end, value in zip(ends, values) if 15 <= len(value) <= 34 and iban(value)]):
+        return passed[-1]
+    groups = re.split(r"[\x20-]", run)
+    last = next((k for k, g in enumerate(groups) if not re.search("[0-9]", g)), len(groups)) - 1
+    value = values[last]
+    return ends[last] if len(value) <= 34 and sum(c in "0123456789" for c in value) >= 6 and not (form and len(value) >= 15) else 0
+
+
 def automaton():
     import ahocorasick
 
@@ -95,10 +110,8 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, int]]:
             if (m := AUTHORITY.match(text, last + 1)) and ("@" in m[0] or IP.match(m[0])):
                 out.append((last + 1, 4, m.end()))
         elif last + 1 >= account_end and (m := IDENTIFIER.match(text, last + 1)):
-            value = m[1].replace(" ", "").replace("-", "")
-            letters = re.match(r"[A-Z]{2}[0-9]{2}", value)
-            if 6 <= sum(c in "0123456789" for c in value) and len(value) <= 34 and (not (letters and len(value) >= 15) or iban(value)):
-                account_end = m.end(1)
+            if length := account_length(m[1]):
+                account_end = m.start(1) + length
                 out.append((m.start(1), 5, account_end))
     out.sort()
     return out
