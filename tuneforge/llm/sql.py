@@ -157,3 +157,37 @@ spread AS (SELECT component, min(v) AS carried FROM kr JOIN c ON c.alias = kr.k
 pr AS (SELECT rid, arg_max(name, length(name)) AS name, arg_max(v, length(name)) AS v FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid)
 SELECT page_id, host, path, name AS rule, coalesce(v, carried, 'allow') AS verdict
 FROM p LEFT JOIN pr USING (rid) LEFT JOIN c USING (alias) LEFT JOIN spread USING (component)"""
+
+def op13() -> str:
+    words = "regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')"
+    letters = "(VALUES ('A', 0), ('B', 1), ('C', 2), ('D', 3), ('E', 4))"
+    orders = ", ".join(f"{letters} AS l{i}(f{i}, b{i})" for i in range(1, 6))
+    apart = " AND ".join(f"b{i} <> b{j}" for i in range(1, 6) for j in range(i + 1, 6))
+    steps = " UNION ALL ".join(
+        f"SELECT f1 || f2 || f3 || f4 || f5 AS filter_order, {i} AS step, b{i} AS bit, {' + '.join(['0', *[f'(1 << b{j})' for j in range(1, i)]])} AS before FROM orders" for i in range(1, 6))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, len({words}) AS n, len(list_distinct({words})) AS u FROM d),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT d.part, coalesce(marks.good, 0) AS good, coalesce(marks.toxic, 0) AS toxic,
+        CASE WHEN n < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * u < 50 * n THEN 2 ELSE 0 END
+        + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * len(t) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > first_id THEN 16 ELSE 0 END AS mask
+      FROM d JOIN w USING (rid) JOIN firsts USING (t) LEFT JOIN marks ON marks.doc_id = d.doc_id),
+cell AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+orders AS (SELECT * FROM {orders} WHERE {apart}),
+steps AS ({steps}),
+s AS (SELECT part, filter_order, step, bit,
+        sum(CASE WHEN mask & (before + (1 << bit)) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & before = 0 AND mask & (1 << bit) <> 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & before <> 0 AND mask & (1 << bit) <> 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = (1 << bit) THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & before = 0 AND mask & (1 << bit) <> 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & before = 0 AND mask & (1 << bit) <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM cell, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM s
+"""
