@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneforge.llm import decontaminate, filter_audit, group_join, license, mixing, pii, pseudo_likelihood, quality_forest, secrets, sql, token_orc, url_filter
+from tuneforge.llm import conversation_repair, decontaminate, filter_audit, group_join, license, mixing, pii, pseudo_likelihood, quality_forest, secrets, sql, suffix_dedup, token_orc, url_filter
 from tuneforge.llm.common import base_spans, scratch_path, span_counts, span_text
 
 
@@ -78,12 +78,21 @@ def op10_mix_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(rows, leaves, MIX["seed"]).withColumnsRenamed(names)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations"))))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_orc, op2_secret_novelty, op3_quality_forest, op4_pii_anchors, op5_license_diagonals, op6_pseudo_likelihood, op7_decontaminate, op8_url_aliases, op9_jaccard_groups, op10_mix_budgets, op13_filter_audit)
+    f.__name__: f for f in (op1_token_orc, op2_secret_novelty, op3_quality_forest, op4_pii_anchors, op5_license_diagonals, op6_pseudo_likelihood, op7_decontaminate, op8_url_aliases, op9_jaccard_groups, op10_mix_budgets, op11_conversation_repair, op12_suffix_dedup, op13_filter_audit)
 }
 
-SQL: dict[str, str] = {"op5_license_diagonals": sql.op5(), "op7_decontaminate": sql.op7(), "op8_url_aliases": sql.op8(), "op9_jaccard_groups": sql.op9(), "op10_mix_budgets": sql.op10(**MIX), "op13_filter_audit": sql.op13()}
+SQL: dict[str, str] = {"op5_license_diagonals": sql.op5(), "op7_decontaminate": sql.op7(), "op8_url_aliases": sql.op8(), "op9_jaccard_groups": sql.op9(), "op10_mix_budgets": sql.op10(**MIX), "op11_conversation_repair": sql.op11(), "op13_filter_audit": sql.op13()}

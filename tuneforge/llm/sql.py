@@ -191,3 +191,41 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
        CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
 FROM s
 """
+
+
+def op11() -> str:
+    key = "(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))"
+    bits = f"list_transform(range(8 * length({key})), lambda p: CASE WHEN p % 8 = 0 THEN CAST(ascii(substr({key}, p // 8 + 1, 1)) AS BIGINT) ELSE 0 END)"
+    crc = f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))))"
+    return f"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS fault FROM conversations),
+dm AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+       FROM src WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM dm),
+f AS (SELECT *, left(role, 1) AS c, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS c2, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut FROM o),
+ins(state, k, mid, added) AS (VALUES (0, 0, 0, CAST([] AS VARCHAR[])), (1, 0, 1, []), (2, 0, 2, []), (3, 0, 3, []), (0, 1, 2, ['user:']), (1, 1, 2, ['user:']), (2, 1, 3, ['assistant:']),
+   (3, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']), (1, 2, 3, ['user:', 'assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 2, 3, ['user:', 'assistant:'])),
+ed(letter, price) AS (VALUES ('D', 2), ('K', 0), ('R', 1)),
+walk(conv_id, i, state, cost, audit, rest) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]) FROM src
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, rest FROM (
+    SELECT w.conv_id, f.i, CASE letter WHEN 'D' THEN mid WHEN 'R' THEN CASE mid WHEN 2 THEN 3 ELSE 2 END ELSE CASE c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS state,
+      CAST(cost + 5 * k + price + CASE WHEN letter <> 'D' AND cut THEN 5 ELSE 0 END AS BIGINT) AS cost, audit || repeat('I', k) || letter AS audit,
+      list_concat(rest, list_concat(added, CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE mid WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] END)) AS rest
+    FROM walk AS w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1 JOIN ins ON ins.state = w.state CROSS JOIN ed
+    WHERE letter = 'D' OR (NOT blank AND NOT again AND (letter = 'R' OR (c = 's' AND mid = 0) OR (c = 'u' AND mid <> 2) OR (c = 'a' AND mid = 2))))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+size AS (SELECT conv_id, count(*) AS n FROM f GROUP BY conv_id),
+fin AS (SELECT w.conv_id, cost + 5 * k AS cost, audit || repeat('I', k) AS audit, list_concat(rest, added) AS rest
+        FROM walk AS w LEFT JOIN size ON w.conv_id IS NOT DISTINCT FROM size.conv_id JOIN ins ON ins.state = w.state
+        WHERE w.i = coalesce(n, 0) AND mid IN (0, 3)
+        QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY cost + 5 * k, audit || repeat('I', k)) = 1),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+            count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated, count(*) FILTER (c2 IS NOT NULL AND c || c2 NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT fin.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, cost, audit, sha256(array_to_string(rest, chr(10))) AS repaired_sha256
+FROM fin LEFT JOIN stats ON fin.conv_id IS NOT DISTINCT FROM stats.conv_id
+"""
