@@ -12,8 +12,10 @@ all strings of the phrase hold), so phrases whose core is found once are done. T
 the dictionary: distinct phrases, each with its first occurrence in the parse (by document, then
 place). A later occurrence of a phrase repeats it wholly.
 
-*Suffix order.* Dictionary phrases that share their core with another one may share strings. Their
-suffixes of ``LENGTH`` bytes or more, at the first occurrence, are sorted by their first ``LENGTH`` bytes
+*Suffix order.* Dictionary phrases that share their core with another one may share strings. These
+phrases are parsed once more, into parts of ``PART`` starts counted from the trigger, with a dictionary of
+their own: it drops parts whose core is found once and merges equal ones. Of the parts that still
+share a core, the suffixes of ``LENGTH`` bytes or more are sorted by their first ``LENGTH`` bytes
 and then by corpus position (a range partition and a sort in each part, with the last string of each part
 carried on to the next). Phrases never end within those bytes, so the order of the parse matters only
 between equal strings, as the position. A suffix whose predecessor has the same ``LENGTH`` bytes also
@@ -32,21 +34,23 @@ parsed in overlapping pieces. An empty table gives no rows. Further columns are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneforge.llm.common import scratch_path
+from tuneforge.llm.common import scratch_path, small, text_or_empty
 from tuneforge.llm.hashing import _powers, mix
 
 #: Bytes of a repeated string, and 8-grams of which a start's trigger is the least.
 LENGTH, GAP, GRAM = 100, 64, 8
 CORE = LENGTH - GAP + 1
+#: Starts of one part of a phrase.
+PART = 8
 #: Bytes parsed at once; longer texts are cut into pieces that overlap.
 PIECE = 1 << 20
 _U = np.uint64
@@ -139,86 +143,152 @@ def _packed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield np.array(rows), np.array(places), np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
-def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, buf, ends in _packed(batch):
-            trigger, _, _ = parse(buf, ends)
-            core, n = np.unique(_hashes(_sums(buf, 0), 0, trigger, trigger + CORE), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(n)], names=["core", "n"])
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows, places, buf, ends in _packed(batch):
-            trigger, first, n = parse(buf, ends)
-            text = np.searchsorted(ends, first, side="right")
-            begins = np.concatenate([[0], ends[:-1]])
-            sums = _sums(buf, 0), _sums(buf, 1)
-            stop = first + n - 1 + LENGTH
-            hashes = [_hashes(sums[0], 0, trigger, trigger + CORE), *(_hashes(s, i, first, stop) for i, s in enumerate(sums))]
-            take = pa.array(rows[text])
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(h.view(np.int64)) for h in hashes), batch.column("doc_id").take(take), batch.column("text_hash").take(take),
-                 pa.array(first - begins[text] + places[text]), pa.array(n.astype(np.int16))],
-                names=["core", "f1", "f2", "doc_id", "text_hash", "at", "n"],
-            )
-
-
-KEY = ["doc_id", "text_hash"]
-_OCCURRENCE = "core long, f1 long, f2 long, doc_id long, text_hash long, at long, n short"
-#: Kinds of rows that meet a document: an occurrence of a phrase, a first one, a repeated start, the text.
-OCCURRENCE, FIRST, START, TEXT = range(4)
+Cores = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def phrases(buf: np.ndarray, ends: np.ndarray) -> Cores:
+    """First start, number of starts, and core (begin, end) of each phrase."""
+    trigger, first, n = parse(buf, ends)
+    return first, n, trigger, trigger + CORE
+
+
+def parts(buf: np.ndarray, ends: np.ndarray) -> Cores:
+    """The same of the parts of phrases: runs of ``PART`` starts, counted back from the trigger."""
+    trigger, first, n = parse(buf, ends)
+    low, high = (trigger - first - n + 1) // PART, (trigger - first) // PART  # parts of the last and of the first start
+    some = high - low + 1
+    of = np.repeat(np.arange(len(first)), some)
+    q = np.repeat(high + 1, some) - 1 - (np.arange(len(of)) - np.repeat(np.cumsum(some) - some, some))
+    core = trigger[of] - PART * q
+    begin, stop = np.maximum(first[of], core - PART + 1), np.minimum((first + n)[of], core + 1)
+    return begin, stop - begin, core, core + LENGTH - PART + 1
+
+
+def _cores(cut: Callable[..., Cores]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, ends in _packed(batch):
+                _, _, begin, stop = cut(buf, ends)
+                core, n = np.unique(_hashes(_sums(buf, 0), 0, begin, stop), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(n)], names=["core", "n"])
+    return run
+
+
+def _occurrences(cut: Callable[..., Cores]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bases = batch.column("base").to_numpy()
+            for rows, places, buf, ends in _packed(batch):
+                first, n, begin, end = cut(buf, ends)
+                text = np.searchsorted(ends, first, side="right")
+                begins = np.concatenate([[0], ends[:-1]])
+                sums = _sums(buf, 0), _sums(buf, 1)
+                stop = first + n - 1 + LENGTH
+                hashes = [_hashes(sums[0], 0, begin, end), *(_hashes(s, i, first, stop) for i, s in enumerate(sums))]
+                take = pa.array(rows[text])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(h.view(np.int64)) for h in hashes), *(batch.column(c).take(take) for c in KEY), pa.array(first - begins[text] + (places + bases[rows])[text]), pa.array(n.astype(np.int16))],
+                    names=["core", "f1", "f2", *KEY, "at", "n"],
+                )
+    return run
+
+
+#: A document by its id and its number among the rows of that id; the place of a piece of its text.
+KEY = ["doc_id", "nth", "base"]
+_TEXT = "doc_id long, nth int, base long, data binary"
+_OCCURRENCE = "core long, f1 long, f2 long, doc_id long, nth int, base long, at long, n short"
+#: Kinds of rows that meet a document: an occurrence of a phrase, a first one, the same of parts, a repeated start, the text.
+OCCURRENCE, FIRST, PART_OCCURRENCE, FIRST_PART, START, TEXT = range(6)
+
+
+def _resolved(texts: DataFrame, cut: Callable[..., Cores]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences of what ``cut`` makes of the texts whose cores are found twice or more, the first
+    occurrence of each distinct one, and those that share their core with another."""
+    repeated = texts.mapInArrow(_cores(cut), "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("core").alias("known"))
+    found = texts.mapInArrow(_occurrences(cut), _OCCURRENCE)
+    found = swept(found.join(swept(repeated), F.col("core") == F.col("known"), "left_semi"))
+    dictionary = swept(found.groupBy("core", "f1", "f2", "n").agg(F.min(F.struct("doc_id", "nth", "at", "base")).alias("first")).select("core", "n", "first.*"))
+    shared = dictionary.groupBy("core").count().where("count > 1").select(F.col("core").alias("known"))
+    return found, dictionary, dictionary.join(shared, F.col("core") == F.col("known"), "left_semi")
 
 
 def _meeting(texts: DataFrame, *notes: tuple[int, DataFrame]) -> DataFrame:
-    """Texts and notes (doc_id, text_hash, at, n) on them, dealt by document, notes in order before the
-    text: a streaming cogroup that holds one document at a time."""
+    """Texts and notes (key, at, n) on them, dealt by key, notes in order before the text: a
+    streaming cogroup that holds one text at a time."""
     rows = texts.select(*KEY, F.lit(TEXT).alias("kind"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("short").alias("n"), "data")
     for kind, df in notes:
         rows = rows.unionByName(df.select(*KEY, F.lit(kind).alias("kind"), "at", F.col("n").cast("short").alias("n"), F.lit(None).cast("binary").alias("data")))
     return rows.repartition(*KEY).sortWithinPartitions(*KEY, "kind", "at")
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, bool, dict[int, tuple[np.ndarray, np.ndarray]], pa.Buffer]]:
-    """Each text of ``_meeting`` with its notes by kind (at, n); copies of a row are marked."""
+Notes = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, Notes, pa.Buffer]]:
+    """Each text of ``_meeting``: its key, whether it is a copy of the row before, its notes by kind (at, n)."""
     key, notes, copy = None, {}, False
     for batch in batches:
-        doc_ids, hashes = batch.column("doc_id"), batch.column("text_hash").to_numpy(zero_copy_only=False)
-        kinds, ats, ns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "at", "n"))
-        ids = doc_ids.to_pylist()
-        text_rows = np.flatnonzero(kinds == TEXT)
-        cuts = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (kinds[1:] != kinds[:-1]) | (kinds[1:] == TEXT)])) if len(ids) else []
-        cuts = sorted({*np.asarray(cuts, np.int64).tolist(), *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1])})
-        for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-            if key != (ids[a], hashes[a]):
-                key, notes, copy = (ids[a], hashes[a]), {}, False
+        if not len(batch):
+            continue
+        ids, kinds, ats, ns = batch.column("doc_id"), *(batch.column(c).to_numpy() for c in ("kind", "at", "n"))
+        known, filled = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        columns = [known, filled, batch.column("nth").to_numpy(), batch.column("base").to_numpy(), kinds]
+        new = np.any([c[1:] != c[:-1] for c in columns], axis=0) | (kinds[1:] == TEXT)
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(batch)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = tuple(batch.column(c)[a].as_py() for c in KEY)
+            if key != own:
+                key, notes, copy = own, {}, False
             if kinds[a] == TEXT:
-                yield ids[a], int(hashes[a]), copy, notes, batch.column("data")[a].as_buffer()
+                yield own, copy, notes, batch.column("data")[a].as_buffer()
                 copy = True
             else:
-                old = notes.get(int(kinds[a]))
-                now = ats[a:b], ns[a:b]
+                old, now = notes.get(int(kinds[a])), (ats[a:b], ns[a:b])
                 notes[int(kinds[a])] = now if old is None else tuple(np.concatenate(x) for x in zip(old, now, strict=True))
-        del text_rows
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes of dictionary phrases at their first occurrence, by their first LENGTH bytes."""
-    for doc_id, text_hash, copy, notes, value in _met(batches):
+def _phrase_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of dictionary phrases, each a text of its own."""
+    for (doc_id, nth, _), copy, notes, value in _met(batches):
         if copy or FIRST not in notes:
             continue
-        text = np.frombuffer(value, np.uint8)
-        first, n = notes[FIRST]
-        for i in range(0, len(first), 256):
-            some, size = first[i : i + 256], n[i : i + 256].astype(np.int64)
-            at = np.repeat(some - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            data = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, LENGTH)[at])
-            strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(at), [None, pa.py_buffer(data)]).cast(pa.binary())
-            m = len(at)
-            yield pa.RecordBatch.from_arrays([strings, pa.array([doc_id] * m, pa.int64()), pa.array(np.full(m, text_hash)), pa.array(at)], names=["prefix", "doc_id", "text_hash", "at"])
+        data = value.to_pybytes()
+        at, n = notes[FIRST]
+        pieces = [data[a : a + k - 1 + LENGTH] for a, k in zip(at.tolist(), n.tolist(), strict=True)]
+        m = len(at)
+        yield pa.RecordBatch.from_arrays([pa.array([doc_id] * m, pa.int64()), pa.array([nth] * m, pa.int32()), pa.array(at), pa.array(pieces, pa.binary())], names=[*KEY, "data"])
+
+
+_SUFFIX = "prefix binary, doc_id long, nth int, at long"
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes of dictionary parts by their first LENGTH bytes, gathered over several phrases."""
+    held, keys, ats = [], [], []
+
+    def give() -> pa.RecordBatch:
+        data = np.concatenate(held)
+        strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(data), [None, pa.py_buffer(data)]).cast(pa.binary())
+        out = pa.RecordBatch.from_arrays([strings, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array(np.concatenate(ats))], names=["prefix", "doc_id", "nth", "at"])
+        held.clear(), keys.clear(), ats.clear()
+        return out
+
+    for key, copy, notes, value in _met(batches):
+        if copy or FIRST_PART not in notes:
+            continue
+        first, n = notes[FIRST_PART]
+        size = n.astype(np.int64)
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        held.append(np.lib.stride_tricks.sliding_window_view(np.frombuffer(value, np.uint8), LENGTH)[at - key[2]])
+        keys.extend([key[:2]] * len(at))
+        ats.append(at)
+        if len(keys) > 8192:
+            yield give()
+    if keys:
+        yield give()
 
 
-_ORDERED = "doc_id long, text_hash long, at long, part int, first binary, last binary"
+_ORDERED = "doc_id long, nth int, at long, part int, first binary, last binary"
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,10 +296,10 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first suffix and its first and last string, for the seam to the part before."""
     part, seam, last = TaskContext.get().partitionId(), None, None
 
-    def rows(doc_id, text_hash, at, ends=None) -> pa.RecordBatch:  # noqa: ANN001
+    def rows(doc_id, nth, at, ends=None) -> pa.RecordBatch:  # noqa: ANN001
         n = len(at)
         a, b = ends or (None, None)
-        return pa.RecordBatch.from_arrays([doc_id, text_hash, at, pa.array(np.full(n, part, np.int32)), pa.array([a] * n, pa.binary()), pa.array([b] * n, pa.binary())], names=[c.split()[0] for c in _ORDERED.split(", ")])
+        return pa.RecordBatch.from_arrays([doc_id, nth, at, pa.array(np.full(n, part, np.int32)), pa.array([a] * n, pa.binary()), pa.array([b] * n, pa.binary())], names=[c.split()[0] for c in _ORDERED.split(", ")])
 
     for batch in batches:
         if not len(batch):
@@ -240,11 +310,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[1:] = (data[1:] == data[:-1]).all(1)
         same[0] = last is not None and data[0].tobytes() == last
         if seam is None:
-            seam = [batch.column(c).slice(0, 1) for c in ("doc_id", "text_hash", "at")], data[0].tobytes()
+            seam = [batch.column(c).slice(0, 1) for c in ("doc_id", "nth", "at")], data[0].tobytes()
         last = data[-1].tobytes()
         take = pa.array(np.flatnonzero(same))
         if len(take):
-            yield rows(*(batch.column(c).take(take) for c in ("doc_id", "text_hash", "at")))
+            yield rows(*(batch.column(c).take(take) for c in ("doc_id", "nth", "at")))
     if seam is not None:
         yield rows(*seam[0], (seam[1], last))
 
@@ -259,9 +329,12 @@ def removed_mask(size: int, notes: dict[int, tuple[np.ndarray, np.ndarray]], cop
     if copy and size >= LENGTH:
         return np.ones(size, bool)
     none = np.empty(0, np.int64), np.empty(0, np.int64)
-    at, n = notes.get(OCCURRENCE, none)
-    later = ~np.isin(at, notes.get(FIRST, none)[0])
-    for first, count in ((at[later], n[later]), notes.get(START, none)):
+    runs = [notes.get(START, none)]
+    for every, first in ((OCCURRENCE, FIRST), (PART_OCCURRENCE, FIRST_PART)):
+        at, n = notes.get(every, none)
+        later = ~np.isin(at, notes.get(first, none)[0])
+        runs.append((at[later], n[later]))
+    for first, count in runs:
         np.add.at(change, first, 1)
         np.add.at(change, first + count.astype(np.int64) - 1 + LENGTH, -1)
     return np.cumsum(change[:-1]) > 0
@@ -269,7 +342,7 @@ def removed_mask(size: int, notes: dict[int, tuple[np.ndarray, np.ndarray]], cop
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _KEPT.split(", ")]
-    for doc_id, _, copy, notes, value in _met(batches):
+    for (doc_id, _, _), copy, notes, value in _met(batches):
         text = np.frombuffer(value, np.uint8)
         gone = removed_mask(len(text), notes, copy)
         spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
@@ -278,28 +351,35 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts_of(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("data"))
+    """Texts by key. Rows that share a doc_id are numbered by a hash of their text; ids that are not
+    shared need no number, so only those of shared ids are worked out."""
+    text = text_or_empty()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("data"))
+    ids = rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("shared"))
+    pairs = rows.select("doc_id", "text_hash").join(small(swept(ids)), F.col("doc_id").eqNullSafe(F.col("shared")), "left_semi").distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text_hash")) - 1
+    later = pairs.select(F.col("doc_id").alias("later_id"), F.col("text_hash").alias("later_hash"), nth.alias("nth")).where("nth > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("later_id")) & (F.col("text_hash") == F.col("later_hash"))
+    numbered = rows.join(small(swept(later)), same, "left")
+    return numbered.select("doc_id", F.coalesce("nth", F.lit(0)).alias("nth"), F.lit(0).cast("long").alias("base"), "data")
 
 
-def _least(*names: str) -> Column:
-    return F.min(F.struct(*names))
+def _of_document(rows: DataFrame) -> DataFrame:
+    """Notes on a phrase as notes on its document."""
+    return rows.withColumn("base", F.lit(0).cast("long"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of each document."""
     texts = _texts_of(docs)
-    repeated = texts.mapInArrow(_cores, "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("core").alias("known"))
-    found = texts.mapInArrow(_occurrences, _OCCURRENCE)
-    found = swept(found.join(swept(repeated), F.col("core") == F.col("known"), "left_semi"))
-    dictionary = swept(found.groupBy("core", "f1", "f2", "n").agg(_least(*KEY, "at").alias("first")).select("core", "n", "first.*"))
-    shared = dictionary.groupBy("core").count().where("count > 1").select(F.col("core").alias("known"))
-    entries = dictionary.join(shared, F.col("core") == F.col("known"), "left_semi").select(*KEY, "at", "n")
-    suffixes = _meeting(texts, (FIRST, entries)).mapInArrow(_suffixes, "prefix binary, doc_id long, text_hash long, at long")
-    order = ["prefix", *KEY, "at"]
+    found, dictionary, shared = _resolved(texts, phrases)
+    phrase_texts = swept(_meeting(texts, (FIRST, shared)).mapInArrow(_phrase_texts, _TEXT))
+    part_found, part_dictionary, part_shared = _resolved(phrase_texts, parts)
+    suffixes = _meeting(phrase_texts, (FIRST_PART, part_shared)).mapInArrow(_suffixes, _SUFFIX)
+    order = ["prefix", "doc_id", "nth", "at"]
     ordered = swept(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_repeats, _ORDERED))
     # One row a part: whether its first string is the last one of the part before.
     seams = ordered.where("first IS NOT NULL").withColumn("before", F.lag("last").over(Window.orderBy("part"))).where("first = before")
-    starts = ordered.where("first IS NULL").select(*KEY, "at").unionByName(seams.select(*KEY, "at")).withColumn("n", F.lit(1))
-    rows = _meeting(texts, (OCCURRENCE, found), (FIRST, dictionary), (START, starts))
-    return rows.mapInArrow(_remove, _KEPT)
+    starts = ordered.where("first IS NULL").select(*order[1:]).unionByName(seams.select(*order[1:])).withColumn("n", F.lit(1)).withColumn("base", F.lit(0).cast("long"))
+    parts_of = (PART_OCCURRENCE, _of_document(part_found)), (FIRST_PART, _of_document(part_dictionary))
+    return _meeting(texts, (OCCURRENCE, found), (FIRST, dictionary), *parts_of, (START, starts)).mapInArrow(_remove, _KEPT)
