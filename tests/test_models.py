@@ -211,3 +211,37 @@ def test_platt_scaling_does_not_see_the_scored_labels(spark):
     hs = HyperSearch(spark, "svm", {"kernel": ["linear"], "gamma": [1, 2, 0], "C": [5, 6, 0]}, "binary classification", "auc", options={"n_steps": 10})
     res = hs.fit_grid(hs.prepare(turned, ["a", "b"], "label"))
     assert all(r["cost"] > 0.5 for r in res.trials.collect())
+
+
+def test_mlp_epoch_of_several_shards_equals_plain_averaging(spark):
+    """One epoch over three shards: the row-weighted mean of plain runs, and the losses of the history."""
+    rng = np.random.default_rng(6)
+    n, d = 150, 2
+    X = rng.random((n, d))
+    y = (X[:, 0] > X[:, 1]).astype(float)
+    split = np.where(np.arange(n) % 5 == 0, "val", "train")
+    df = spark.createDataFrame([(f"r{i}", X[i].tolist(), float(y[i]), str(split[i])) for i in range(n)], "key string, features array<double>, label double, split string")
+    c = {"trial_id": 3, "neurons": 5, "hiddenactivation": "sigmoid", "activation": "sigmoid", "loss": "binary_crossentropy", "optimizer": "nadam", "learning_rate": 0.05, "batch_size": 8}
+    weights, history, _ = mlp.fit_mlp(df, [c], d, seed=9, epochs=1, n_shards=3)
+    shard = {r.key: r.s for r in df.select("key", F.pmod(F.xxhash64("key"), F.lit(3)).alias("s")).collect()}
+    w0, total, loss, rows = mlp.init_params(3, d, 5, 9), 0.0, 0.0, 0
+    for s in range(3):
+        order = sorted((i for i in range(n) if split[i] == "train" and shard[f"r{i}"] == s), key=lambda i: (hashlib.md5(f"9:0:r{i}".encode()).hexdigest()[:8], f"r{i}"))
+        w, slots, t = w0, [np.zeros_like(w0), np.zeros_like(w0)], 0
+        for k in range(0, len(order), 8):
+            some = order[k : k + 8]
+            t += 1
+            part, g = mlp.loss_and_gradient(w, X[some], y[some], d, 5, "sigmoid", "sigmoid", "binary_crossentropy")
+            w, slots = mlp.step("nadam", 0.05, w, slots, t, g)
+            loss += part
+        total, rows = total + len(order) * w, rows + len(order)
+    assert np.allclose(weights[3], total / rows, atol=1e-12)
+    val = split == "val"
+    out = mlp.forward(weights[3], X[val], d, 5, "sigmoid", "sigmoid")[3]
+    assert history == [(3, 0, pytest.approx(loss / rows), pytest.approx(float(mlp.loss_value("binary_crossentropy", y[val], out).mean())))]
+
+
+def test_mlp_tasks_grow_with_rows(spark):
+    df = spark.range(40_000).select(F.col("id").cast("string").alias("key"), F.array(F.rand(1), F.rand(2)).alias("features"), (F.rand(3) > 0.5).cast("double").alias("label"), F.lit("train").alias("split"))
+    src = mlp._packed_shards(df, round(40_000 / mlp.SHARD_ROWS))
+    assert src.rdd.getNumPartitions() == 5 and src.count() == 5

@@ -1,35 +1,40 @@
 """One-hidden-layer perceptron fitted for a whole candidate batch (the ``mlp`` estimator).
 
-Rows are dealt into ``n_shards`` by a hash of their key: a declared number that is part of
-the result's definition. Each epoch is ONE Spark job: ``mapInPandas`` reads a shard's rows as
-a stream, in the order of a per-epoch hash of the key, and runs mini-batch gradient descent
-for every candidate from the epoch's global weights; a row-weighted
-``groupBy(trial_id, kind, idx)`` average of the shards gives the next global weights
-(parameter averaging). The same job scores the incoming weights on the validation rows.
-
-NumPy runs inside tasks only, on one Arrow batch and one open mini-batch at a time, so a task's
-memory does not grow with its shard. With one shard this is exactly sequential mini-batch
-training. Results do not depend on partitions or cores, but for the last digits of sums.
+Rows are dealt into shards by a hash of their key, one for each ``SHARD_ROWS`` rows unless a number
+is given: the number is part of the result's definition. A shard is packed into one row of a table that is
+written and dealt to the tasks once. Each epoch is ONE Spark job: a task takes its shards' rows in
+the order of a per-epoch hash of the key and runs mini-batch gradient descent for every candidate from
+the epoch's global weights; the row-weighted mean of the shards' parameters (``packed_sum``: partitions
+first, then the partial sums) gives the next global weights (parameter averaging). The same job
+scores the incoming weights on the validation rows.
+
+NumPy runs inside tasks only, on one shard at a time, so a task's memory does not grow with the
+table. With one shard this is exactly sequential mini-batch training. Results do not depend on
+partitions or cores, but for the last digits of sums.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tuneforge.operators.packed import packed_sum
 from tuneforge.operators.space import DEFAULT_SPACES
+from tuneforge.session import cut_lineage
 
 # ---- fixed values: optimiser constants (Keras defaults) ----
 ADAM_B1, ADAM_B2, EPS = 0.9, 0.999, 1e-7
 RMS_RHO, ADADELTA_RHO = 0.9, 0.95
 # ---- end of fixed values ----
-N_SHARDS = 8
-OUT_SCHEMA = "trial_id long, kind string, idx long, value double, weight double"
+#: Rows of a shard, and tasks of an epoch at most (beyond, a task takes several shards).
+SHARD_ROWS, MAX_TASKS = 8192, 10_000
 
 
 def _act(name, z):
@@ -142,11 +147,6 @@ def step(opt: str, lr: float, w, slots, t: int, g):
     raise ValueError(f"unknown optimizer {opt!r}")
 
 
-def epoch_order(seed: int, epoch: int, key: Column | str = "key") -> Column:
-    """The order of the rows in an epoch: eight hex digits of an md5 of seed, epoch and key."""
-    return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), key)), 1, 8)
-
-
 class _ShardRun:
     """One pass over one shard: training of ``train_c``, validation loss of ``val_c``."""
 
@@ -180,41 +180,68 @@ class _ShardRun:
         w, slots = step(c["optimizer"], float(c["learning_rate"]), w, slots, t + 1, g)
         run[1:] = [w, slots, t + 1, total + batch_loss, n + len(y)]
 
-    def result(self) -> pd.DataFrame:
-        rows = [(tid, "val_loss", 0, v, float(self.n_val)) for tid, v in self.val.items() if self.n_val]
-        for run, (X, y) in zip(self.train, self.open):
+    def close(self) -> None:
+        """Train on what is left of the last mini-batches."""
+        for run, (X, y) in zip(self.train, self.open, strict=True):
             if len(y):
                 self._step(run, X, y)
-            c, w, slots, t, total, n = run
-            if n:
-                tid = c["trial_id"]
-                rows += [(tid, "train_loss", 0, total, float(n)), (tid, "t", 0, float(t), float(n))]
-                rows += [(tid, "w", i, float(v), float(n)) for i, v in enumerate(np.concatenate([w] + slots))]
-        return pd.DataFrame(rows, columns=["trial_id", "kind", "idx", "value", "weight"])
 
 
-def _epoch_fn(shared, d):
-    """Rows sorted by (shard, order, key), read as a stream of batches."""
+def _packed_shards(rows: DataFrame, n_shards: int) -> DataFrame:
+    """One row for each shard: keys, training flags, features and labels of its rows. Written once and
+    dealt to the tasks once; an epoch ships nothing anew."""
+    def pack(table: pa.Table) -> pa.Table:
+        flat = table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        y = table.column("label").to_numpy().astype(float)
+        return pa.table({
+            "shard": table.column("shard").slice(0, 1), "keys": pa.array([table.column("key").to_pylist()], pa.list_(pa.string())), "train": pa.array([table.column("train").to_pylist()], pa.list_(pa.bool_())),
+            "x": pa.array([np.ascontiguousarray(flat, float).tobytes()], pa.binary()), "y": pa.array([y.tobytes()], pa.binary())})
 
-    def run(batches):
+    shard = F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int")
+    src = rows.filter(F.col("split").isin("train", "val")).select(F.col("key").cast("string").alias("key"), "features", F.col("label").cast("double").alias("label"), (F.col("split") == "train").alias("train"), shard.alias("shard"))
+    packed = cut_lineage(src.groupBy("shard").applyInArrow(pack, "shard int, keys array<string>, train array<boolean>, x binary, y binary"))
+    tasks = min(n_shards, MAX_TASKS)
+    return packed.repartitionById(tasks, F.pmod(F.col("shard"), F.lit(tasks)))
+
+
+def in_epoch_order(seed: int, epoch: int, keys: list[str]) -> list[int]:
+    """The rows of a shard in the order of an epoch: by eight hex digits of an md5 of seed, epoch and key."""
+    drawn = [(hashlib.md5(f"{seed}:{epoch}:{k}".encode()).hexdigest()[:8], k, i) for i, k in enumerate(keys)]
+    return [i for _, _, i in sorted(drawn)]
+
+
+def _layout(cands: list[dict], d: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """Where each candidate's numbers stand in the packed sum: the row-weighted parameters and optimiser
+    slots, then update count, rows, training loss, validation loss, validation rows."""
+    at, out = 0, {}
+    for c in cands:
+        size = param_size(d, int(c["neurons"])) * (1 + n_slots(c["optimizer"]))
+        out[c["trial_id"]] = at, size
+        at += size + 5
+    return out, at
+
+
+def _train_shards(shared, d: int, seed: int, epoch: int, places: dict[int, tuple[int, int]]):
+    """Add the shards of a batch to the packed sum: each is trained through from the shared state."""
+    def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
         train_c, val_c, state = shared.value
-        shard, now = None, None
-        for pdf in batches:
-            ids = pdf["shard"].to_numpy()
-            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a == b:
-                    continue
-                if ids[a] != shard:
-                    if now is not None:
-                        yield now.result()
-                    shard, now = ids[a], _ShardRun(train_c, val_c, state, d)
-                part = pdf.iloc[a:b]
-                now.add(np.stack(part["features"].to_numpy()).astype(float), part["label"].to_numpy(dtype=float), (part["split"] == "train").to_numpy())
-        if now is not None:
-            yield now.result()
-
-    return run
+        for row in range(len(batch)):
+            keys, flags = batch.column("keys")[row].as_py(), np.array(batch.column("train")[row].as_py(), bool)
+            X = np.frombuffer(batch.column("x")[row].as_buffer(), float).reshape(-1, d)
+            y = np.frombuffer(batch.column("y")[row].as_buffer(), float)
+            order = np.array(in_epoch_order(seed, epoch, keys))
+            run = _ShardRun(train_c, val_c, state, d)
+            run.add(X[order], y[order], flags[order])
+            run.close()
+            for tid, loss in run.val.items():
+                end = sum(places[tid])
+                total[end + 3 : end + 5] += (loss, run.n_val)
+            for c, w, slots, t, loss, n in run.train:
+                if n:
+                    at, size = places[c["trial_id"]]
+                    total[at : at + size] += n * np.concatenate([w, *slots])
+                    total[at + size : at + size + 3] += (n * t, n, loss)
+    return add
 
 
 def validate_candidate(c: dict) -> str | None:
@@ -231,25 +258,30 @@ def validate_candidate(c: dict) -> str | None:
 
 
 def fit_mlp(rows: DataFrame, cands: list[dict], n_features: int, seed: int = 0, epochs: int | None = None,
-            patience: int | None = 20, n_shards: int = N_SHARDS):
+            patience: int | None = 20, n_shards: int | None = None):
     """Train every candidate; returns (final weights {trial: vec}, history rows, errors).
 
-    ``rows``: ``(key, features, label, split)``. ``n_shards`` bounds the tasks of an epoch and
-    is part of the result's definition: raise it with the data. Early stopping on val loss with ``patience``;
-    the weights of the last trained epoch are kept (Keras EarlyStopping default).
-    History rows: ``(trial_id, epoch, train_loss, val_loss)``.
+    ``rows``: ``(key, features, label, split)``. Rows are dealt to ``n_shards`` shards by a hash of their key
+    (by default one for each ``SHARD_ROWS`` rows, so tasks grow with the rows); the shard count is part
+    of the result's definition, cores and partitions are not. An epoch is ONE job: each shard is trained through
+    from the same state, partitions add up their shards' parameters weighted by rows, and partial sums
+    are summed in two levels. Early stopping on val loss with ``patience``; the weights of the last trained
+    epoch are kept (Keras EarlyStopping default). History rows: ``(trial_id, epoch, train_loss, val_loss)``.
     """
     d = n_features
     errors = {c["trial_id"]: e for c in cands if (e := validate_candidate(c))}
     live = [c for c in cands if c["trial_id"] not in errors]
+    if not live:
+        return {}, [], errors
     state = {}
     for c in live:
         w = init_params(c["trial_id"], d, int(c["neurons"]), seed)
         state[c["trial_id"]] = (w, [np.zeros_like(w) for _ in range(n_slots(c["optimizer"]))], 0)
-    shard = F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int")
-    src = rows.filter(F.col("split").isin("train", "val")).select("key", "features", "label", "split", shard.alias("shard"))
-    src = src.repartitionById(n_shards, F.col("shard")).persist(StorageLevel.MEMORY_AND_DISK)
+    if n_shards is None:
+        n_shards = max(1, round(rows.filter(F.col("split").isin("train", "val")).count() / SHARD_ROWS))
+    src = _packed_shards(rows, n_shards).persist(StorageLevel.MEMORY_AND_DISK)
     sc = rows.sparkSession.sparkContext
+    places, size = _layout(live, d)
     max_ep = {c["trial_id"]: int(epochs if epochs is not None else c.get("epochs", 50)) for c in live}
     hist: dict = {}
     best = {c["trial_id"]: (math.inf, -1) for c in live}
@@ -260,20 +292,14 @@ def fit_mlp(rows: DataFrame, cands: list[dict], n_features: int, seed: int = 0,
         if not train_c and not val_c:
             break
         shared = sc.broadcast((train_c, val_c, state))
-        ordered = src.withColumn("order", epoch_order(seed, e)).sortWithinPartitions("shard", "order", "key")
-        out = ordered.select("shard", "features", "label", "split").mapInPandas(_epoch_fn(shared, d), OUT_SCHEMA)
-        agg = out.groupBy("trial_id", "kind", "idx").agg(
-            (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("avg"),
-            F.sum("value").alias("total"), F.sum("weight").alias("n"))
-        got: dict = {}
-        for r in agg.collect():   # bounded: candidates x parameters
-            got.setdefault(r["trial_id"], {}).setdefault(r["kind"], {})[r["idx"]] = (r["avg"], r["total"], r["n"])
+        total = packed_sum(src, _train_shards(shared, d, seed, e, places), size)
+        shared.unpersist()
         for c in val_c:
             tid = c["trial_id"]
-            v = got.get(tid, {}).get("val_loss")
-            if not v:
+            loss, n = total[sum(places[tid]) + 3 : sum(places[tid]) + 5]
+            if not n:
                 continue
-            vl = v[0][1] / v[0][2]
+            vl = loss / n
             hist.setdefault((tid, e - 1), [None, None])[1] = vl
             if vl < best[tid][0]:
                 best[tid] = (vl, e - 1)
@@ -281,15 +307,16 @@ def fit_mlp(rows: DataFrame, cands: list[dict], n_features: int, seed: int = 0,
                 stopped.add(tid)
         for c in train_c:
             tid = c["trial_id"]
-            g = got.get(tid, {})
-            if tid in stopped or "w" not in g:
+            at, own = places[tid]
+            steps, n, loss = total[at + own : at + own + 3]
+            if tid in stopped or not n:
                 continue   # an epoch trained past the stop is discarded
             ps, ns = param_size(d, int(c["neurons"])), n_slots(c["optimizer"])
-            vec = np.array([g["w"][i][0] for i in range(len(g["w"]))])
-            state[tid] = (vec[:ps], [vec[ps * (k + 1): ps * (k + 2)] for k in range(ns)], int(round(g["t"][0][0])))
-            hist.setdefault((tid, e), [None, None])[0] = g["train_loss"][0][1] / g["train_loss"][0][2]
+            vec = total[at : at + own] / n
+            state[tid] = (vec[:ps], [vec[ps * (k + 1): ps * (k + 2)] for k in range(ns)], int(round(steps / n)))
+            hist.setdefault((tid, e), [None, None])[0] = loss / n
     src.unpersist()
-    hist_rows = [(tid, e, v[0], v[1]) for (tid, e), v in sorted(hist.items()) if v[0] is not None]
+    hist_rows = [(tid, e, float(v[0]), None if v[1] is None else float(v[1])) for (tid, e), v in sorted(hist.items()) if v[0] is not None]
     return {tid: s[0] for tid, s in state.items()}, hist_rows, errors
 
 

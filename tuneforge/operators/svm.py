@@ -1,13 +1,14 @@
 """Support vector models as full-batch distributed optimisation (the ``svm`` estimator).
 
 Weights of a candidate batch live on the driver (K x (d+1) numbers, bounded); every
-optimisation step is ONE aggregate job over the rows that returns per-candidate gradient
-sums, exactly the MLlib pattern (driver-side weights, distributed gradient aggregation).
+optimisation step is ONE job over the rows that returns the gradients of all candidates as one
+packed vector (``kernels.fit_steps``): driver-side weights, distributed gradient aggregation.
 
 * linear SVC: hinge loss, ``lambda = 1 / (C n)`` (same minimiser as ``C sum hinge + |w|^2 / 2``)
 * SVR: epsilon-insensitive loss (epsilon = 0.1)
 * rbf kernel: random Fourier features (Rahimi & Recht 2007), then the linear model
-* poly kernel: explicit degree-d monomial map of ``(gamma x.x')^d`` (coef0 = 0), then linear
+* poly kernel: explicit degree-d monomial map of ``(gamma x.x')^d`` (coef0 = 0), beyond a number of
+  monomials TensorSketch, then linear
 * probabilities: Platt scaling fitted by Newton steps (one aggregate per step) on out-of-fold
   scores of the training rows, never on the rows that are scored with it
 
@@ -20,78 +21,35 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneforge.functions.hashing import hash_uniform
+from tuneforge.operators.kernels import SVR_EPSILON, FeatureMaps, Fit, batch_scores, fit_steps, new_fits
 
-SVR_EPSILON = 0.1
-
-
-def _dot(w: list[float], b: float, x_cols: list[Column]) -> Column:
-    acc = None
-    for wj, xj in zip(w, x_cols):
-        t = F.lit(float(wj)) * xj
-        acc = t if acc is None else acc + t
-    return acc + F.lit(float(b))
+def _linear_table(rows: DataFrame, feature_col: str, fold: Column | None = None) -> DataFrame:
+    return rows.select(F.col(feature_col).alias("features"), "label", (F.lit(0) if fold is None else fold).cast("int").alias("fold"))
 
 
 def hinge_steps(rows: DataFrame, cands: list[dict], n_features: int, n_steps: int, lr: float = 0.5,
                 kind: str = "svc", eps: float = SVR_EPSILON, feature_col: str = "features") -> dict:
-    """Full-batch subgradient descent for every candidate (``C`` from the dict).
+    """Full-batch subgradient descent of linear models for every candidate (``C`` from the dict): one
+    job a step, the gradients of all candidates in one packed vector.
 
     Returns ``{trial_id: (w list, b)}``. Step t uses ``eta = lr / (1 + t)``.
     """
-    train = rows.filter(F.col("split") == "train")
-    n = train.count()
-    xs = [F.element_at(feature_col, j + 1) for j in range(n_features)]
-    state = {c["trial_id"]: ([0.0] * n_features, 0.0) for c in cands}
-    for t in range(n_steps):
-        eta = lr / (1.0 + t)
-        aggs = []
-        for c in cands:
-            tid = c["trial_id"]
-            w, b = state[tid]
-            f = _dot(w, b, xs)
-            if kind == "svc":
-                ys = F.col("label") * 2.0 - 1.0
-                act = ys * f < F.lit(1.0)
-                coef = F.when(act, ys)
-            else:
-                r = f - F.col("label")
-                act = F.abs(r) > F.lit(eps)
-                coef = F.when(act, F.signum(r))
-            aggs += [F.sum(coef * xs[j]).alias(f"s{tid}_{j}") for j in range(n_features)]
-            aggs.append(F.sum(coef).alias(f"s{tid}_b"))
-        g = train.agg(*aggs).first()     # one job per step for the whole batch
-        for c in cands:
-            tid = c["trial_id"]
-            w, b = state[tid]
-            lam = 1.0 / (float(c["C"]) * n)
-            sb = g[f"s{tid}_b"] or 0.0
-            if kind == "svc":
-                w2 = [w[j] - eta * (lam * w[j] - (g[f"s{tid}_{j}"] or 0.0) / n) for j in range(n_features)]
-                b2 = b - eta * (-sb / n)
-            else:
-                w2 = [w[j] - eta * (lam * w[j] + (g[f"s{tid}_{j}"] or 0.0) / n) for j in range(n_features)]
-                b2 = b - eta * (sb / n)
-            state[tid] = (w2, b2)
-    return state
+    maps = FeatureMaps(n_features)
+    fits = new_fits([dict(c, kernel="linear") for c in cands], maps)
+    train = _linear_table(rows.filter(F.col("split") == "train"), feature_col)
+    return {f.trial_id: (f.w.tolist(), float(f.b)) for f in fit_steps(train, fits, maps, n_steps, lr, kind, eps)}
 
 
 def decision_scores(rows: DataFrame, weights: dict, n_features: int, feature_col: str = "features",
                     keep=("key", "label", "split")) -> DataFrame:
     """``(trial_id, *keep, score)``: decision value of every candidate on every row."""
-    xs = [F.element_at(feature_col, j + 1) for j in range(n_features)]
-    lit = F.array(*[F.struct(F.lit(tid).alias("trial_id"), F.array(*[F.lit(float(v)) for v in w]).alias("w"), F.lit(float(b)).alias("b"))
-                    for tid, (w, b) in weights.items()])
-    ex = rows.select(*keep, feature_col, F.explode(lit).alias("_c"))
-    f = None
-    for j in range(n_features):
-        t = F.element_at("_c.w", j + 1) * F.element_at(feature_col, j + 1)
-        f = t if f is None else f + t
-    f = f + F.col("_c.b")
-    return ex.select(F.col("_c.trial_id").alias("trial_id"), *keep, f.alias("score"))
+    fits = [Fit(tid, ("linear",), 1.0, -1, np.array(w, float), float(b)) for tid, (w, b) in weights.items()]
+    return batch_scores(rows.select(*keep, F.col(feature_col).alias("features")), fits, FeatureMaps(n_features), tuple(keep))
 
 
 # ---------------------------------------------------------------- kernel feature maps
@@ -156,16 +114,22 @@ def poly_transform(rows: DataFrame, n_features: int, degree: int, gamma: float,
 
 
 # ---------------------------------------------------------------- Platt scaling
+def fold_of(folds: int, seed: int) -> Column:
+    """The fold of a row, drawn by a hash of its key."""
+    return F.floor(hash_uniform(seed, F.lit("fold"), F.col("key")) * F.lit(float(folds))).cast("int")
+
+
 def out_of_fold_scores(rows: DataFrame, cands: list[dict], n_features: int, n_steps: int, lr: float = 0.5,
                        kind: str = "svc", folds: int = 3, seed: int = 0, feature_col: str = "features") -> DataFrame:
-    """``(trial_id, key, label, score)`` of every training row by a model that has not seen it:
-    the folds are drawn by a hash of the key."""
-    fold = F.floor(hash_uniform(seed, F.lit("fold"), F.col("key")) * F.lit(float(folds)))
-    train = rows.filter(F.col("split") == "train").withColumn("_fold", fold)
+    """``(trial_id, key, label, score)`` of every training row by a model that has not seen it. The
+    models of all folds are fitted in the same passes."""
+    maps = FeatureMaps(n_features)
+    train = rows.filter(F.col("split") == "train").select("key", F.col(feature_col).alias("features"), "label", fold_of(folds, seed).alias("fold"))
+    fits = [f for f in new_fits([dict(c, kernel="linear") for c in cands], maps, folds) if f.held_out >= 0]
+    fits = fit_steps(_linear_table(train, "features", F.col("fold")), fits, maps, n_steps, lr, kind)
     out = None
     for k in range(folds):
-        wts = hinge_steps(train.filter(F.col("_fold") != k), cands, n_features, n_steps, lr, kind, feature_col=feature_col)
-        held = decision_scores(train.filter(F.col("_fold") == k), wts, n_features, feature_col, keep=("key", "label"))
+        held = batch_scores(train.filter(F.col("fold") == k), [f for f in fits if f.held_out == k], maps, ("key", "label"))
         out = held if out is None else out.unionByName(held)
     return out
 

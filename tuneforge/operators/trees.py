@@ -1,36 +1,44 @@
 """Batched histogram gradient boosting (the ``xgboost`` and ``gbdt`` estimators).
 
-One candidate batch (K hyper-parameter sets) is boosted together. Per tree level there is
-ONE distributed job: every training row is exploded over the active candidates and its
-features, gradients/hessians are summed per (candidate, node, feature, bin) with map-side
-partial aggregation, so the shuffle carries at most K x nodes x features x bins rows no
-matter how many rows there are. Best splits are picked on that small histogram (windows
-over bins), collected (bounded by K x 2^depth) and inlined into the next level's node
-assignment as literal arrays, as MLlib does with its split tables.
-
-Per-row state is ``f ARRAY<DOUBLE>`` (raw score per candidate) and ``fb`` (raw score at the
-best validation round so far). It is reliably checkpointed every ``checkpoint_every`` rounds,
-so lineage never grows with the number of rounds and a lost executor replays at most that
-many rounds.
-
-Deviations from the native libraries (declared): level-wise growth for both estimators
-(LightGBM grows leaf-wise), base score = mean-based (``boost_from_average``), L2 = 1,
-min_child_weight = 1, no column sampling; ``subsample`` is applied to both estimators.
+One candidate batch (K hyper-parameter sets) is boosted together. A pass over the rows evaluates a
+set of tree nodes of all candidates in ONE job: each partition holds its gradient sums as one packed
+array per candidate (a ``bincount`` over node x feature x bin), gives one row for each node that it
+has met, and rows are summed by (candidate, parent). Only left children are counted; a right
+child is its parent's histogram less its sibling's. The reducer of a parent finds the best split of
+both children, and only splits (K x nodes rows) reach the driver. Trees go to the tasks as arrays, not as
+literals of the plan, so a plan has the same size at every depth.
+
+* ``xgboost``: level-wise, a pass for each level.
+* ``gbdt``: best-first. Leaves wait in a queue by gain; the best one is split until the tree has
+  ``max_leaves`` leaves. A pass evaluates the children of the best open leaves at once, as many as could
+  still be split, so a tree takes about as many passes as it is deep; the queue is then played on the driver.
+
+Per-row state is one block of bytes for the bins and one for the raw scores of all candidates. It is
+persisted each round and written every ``checkpoint_every`` rounds, so lineage never grows with the number of
+rounds and a lost executor replays at most that many rounds.
+
+Deviations from the native libraries (declared): base score = mean-based (``boost_from_average``),
+L2 = 1, min_child_weight = 1, no column sampling; ``subsample`` is applied to both estimators.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import sys
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneforge.functions.hashing import hash_uniform
 from tuneforge.operators import scoring
+from tuneforge.operators.packed import matrix, packed_sum
 from tuneforge.session import cut_lineage, materialize
 
 # objective names of both libraries -> loss family
@@ -45,7 +53,7 @@ OBJECTIVES = {
 @dataclass
 class BoostConfig:
     n_bins: int = 32
-    binning: str = "quantile"          # 'quantile' (percentile_approx cuts) or 'uniform' (min/max)
+    binning: str = "quantile"          # 'quantile' (exact cuts) or 'uniform' (min/max)
     lambda_l2: float = 1.0
     min_child_weight: float = 1.0
     tweedie_power: float = 1.5
@@ -55,6 +63,7 @@ class BoostConfig:
     gain_decimals: int = 9
     verbose: bool = False
     record_history: bool = False    # validation cost every round (always on with early stopping)
+    max_leaves: int | None = None   # a limit: best-first growth; None: level-wise
 
 
 # ---------------------------------------------------------------- binning
@@ -75,19 +84,70 @@ class Binning:
         return lo + (b + 1) * (hi - lo) / self.n_bins if hi > lo else None
 
 
-def fit_binning(rows: DataFrame, n_features: int, n_bins: int, method: str = "quantile",
-                fit_filter: Column | None = None, accuracy: int = 10000) -> Binning:
-    """Cut points from the training rows: one aggregate job, F x n_bins numbers back."""
+#: Bits of a value that one pass of the quantile selection settles.
+DIGIT = 11
+
+
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)
+    top = np.uint64(1 << 63)
+    return np.where(bits & top, ~bits, bits | top)
+
+
+def exact_quantiles(rows: DataFrame, n_features: int, n_bins: int) -> list[list[float]]:
+    """For each feature the value of rank ``ceil(n i / n_bins)``, i = 1 .. n_bins - 1, of its n values.
+
+    Selection by range counts: a pass counts, for each value prefix that a wanted rank lies in, the next
+    ``DIGIT`` bits of the values that have it. Six passes settle all 64 bits of all ranks; each gives one packed
+    vector of counts whose size depends on features and bins alone."""
+    n = rows.count()
+    if n == 0:
+        return [[] for _ in range(n_features)]
+    # wanted: for each feature and rank the prefix found so far, and the rank among the values that have it
+    wanted = [[[0, -(-n * i // n_bins)] for i in range(1, n_bins)] for _ in range(n_features)]
+    done = 0
+    while done < 64:
+        width = min(DIGIT, 64 - done)
+        prefixes = [np.array(sorted({p for p, _ in w}), np.uint64) for w in wanted]
+        starts = np.cumsum([0, *(len(p) << width for p in prefixes)])
+        rest = np.uint64(64 - done - width)
+
+        def add(batch: pa.RecordBatch, total: np.ndarray, done=done, width=width, prefixes=prefixes, starts=starts, rest=rest) -> None:
+            x = matrix(batch.column("features"), n_features)
+            for j, known in enumerate(prefixes):
+                bits = _ordered_bits(x[:, j])
+                own = bits >> np.uint64(64 - done) if done else np.zeros(len(bits), np.uint64)
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                hit = known[at] == own
+                digit = (bits[hit] >> rest) & np.uint64((1 << width) - 1)
+                total[starts[j] : starts[j + 1]] += np.bincount((at[hit] << width) + digit.astype(np.int64), minlength=len(known) << width)
+
+        counts = packed_sum(rows.select("features"), add, int(starts[-1]))
+        for j, known in enumerate(prefixes):
+            below = np.cumsum(counts[starts[j] : starts[j + 1]].reshape(len(known), -1), axis=1)
+            for w in wanted[j]:
+                row = below[np.searchsorted(known, np.uint64(w[0]))]
+                digit = int(np.searchsorted(row, w[1]))
+                w[0], w[1] = (w[0] << width) | digit, w[1] - (int(row[digit - 1]) if digit else 0)
+        done += width
+    out = []
+    for w in wanted:
+        bits = np.array([p for p, _ in w], np.uint64)
+        top = np.uint64(1 << 63)
+        out.append(np.where(bits & top, bits ^ top, ~bits).view(np.float64).tolist())
+    return out
+
+
+def fit_binning(rows: DataFrame, n_features: int, n_bins: int, method: str = "quantile", fit_filter: Column | None = None) -> Binning:
+    """Cut points from the training rows: F x n_bins numbers. Quantile cuts are exact."""
     src = rows if fit_filter is None else rows.filter(fit_filter)
-    feats = [F.element_at("features", j + 1) for j in range(n_features)]
     if method == "quantile":
-        probs = [i / n_bins for i in range(1, n_bins)]
-        row = src.agg(*[F.percentile_approx(x, probs, accuracy).alias(f"c{j}") for j, x in enumerate(feats)]).first()
-        cuts = [sorted(set(float(v) for v in row[f"c{j}"] if v is not None)) for j in range(n_features)]
-        return Binning(method, n_bins, cuts=cuts)
+        return Binning(method, n_bins, cuts=[sorted(set(q)) for q in exact_quantiles(src, n_features, n_bins)])
     if method == "uniform":
         aggs = []
-        for j, x in enumerate(feats):
+        for j in range(n_features):
+            x = F.element_at("features", j + 1)
             aggs += [F.min(x).alias(f"mn{j}"), F.max(x).alias(f"mx{j}")]
         row = src.agg(*aggs).first()
         return Binning(method, n_bins, lo=[row[f"mn{j}"] for j in range(n_features)], hi=[row[f"mx{j}"] for j in range(n_features)])
@@ -117,33 +177,23 @@ def apply_binning(rows: DataFrame, binning: Binning, n_features: int) -> DataFra
 
 
 # ---------------------------------------------------------------- objectives
-def grad_hess(kind: Column, f: Column, y: Column, rho: float) -> tuple[Column, Column]:
-    """Gradient and hessian of the loss at raw score ``f``, per loss family."""
-    p = scoring.sigmoid(f)
-    e1 = F.exp(F.lit(1.0 - rho) * f)
-    e2 = F.exp(F.lit(2.0 - rho) * f)
-    eg = F.exp(-f)
-    g = (
-        F.when(kind == "squared", f - y)
-        .when(kind == "logistic", p - y)
-        .when(kind == "gamma", F.lit(1.0) - y * eg)
-        .otherwise(-y * e1 + e2)
-    )
-    h = (
-        F.when(kind == "squared", F.lit(1.0))
-        .when(kind == "logistic", F.greatest(p * (F.lit(1.0) - p), F.lit(1e-16)))
-        .when(kind == "gamma", y * eg)
-        .otherwise(-y * F.lit(1.0 - rho) * e1 + F.lit(2.0 - rho) * e2)
-    )
-    return g, h
-
-
-def predict_transform(kind: str, f: Column) -> Column:
+def gradients(kind: str, f: np.ndarray, y: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and hessian of the loss at raw scores ``f``, per loss family."""
     if kind == "squared":
-        return f
+        return f - y, np.ones_like(f)
     if kind == "logistic":
-        return scoring.sigmoid(f)
-    return F.exp(f)
+        p = 1.0 / (1.0 + np.exp(-f))
+        return p - y, np.maximum(p * (1.0 - p), 1e-16)
+    if kind == "gamma":
+        e = np.exp(-f)
+        return 1.0 - y * e, y * e
+    e1, e2 = np.exp((1.0 - rho) * f), np.exp((2.0 - rho) * f)
+    return -y * e1 + e2, -y * (1.0 - rho) * e1 + (2.0 - rho) * e2
+
+
+def transformed(kind: str, f: np.ndarray) -> np.ndarray:
+    """Predictions of raw scores."""
+    return f if kind == "squared" else 1.0 / (1.0 + np.exp(-f)) if kind == "logistic" else np.exp(f)
 
 
 def base_score(kind: str, mean: float) -> float:
@@ -161,7 +211,6 @@ class BoostResult:
     costs: DataFrame          # (trial_id, cost, best_round, status, error)
     model: DataFrame          # (trial_id, round, level, node, feature, bin, threshold, leaf_value)
     history: DataFrame        # (trial_id, round, val_cost)
-    state: DataFrame          # (key, label, split, f, fb) final raw scores per candidate slot
     cands: list[dict]
     binning: Binning | None = None
 
@@ -179,6 +228,233 @@ def _check_valid(stats, kind: str) -> str | None:
     return None
 
 
+class Tree:
+    """A growing tree of one candidate. Nodes are numbered as in a heap: 1 is the root, 2n and 2n + 1 the
+    children of n. ``stats``: what the passes found for each evaluated node."""
+
+    def __init__(self, depth: int, max_leaves: int | None):
+        self.depth, self.max_leaves, self.stats = depth, max_leaves, {}
+        self.splits: list[int] = []
+
+    def _splittable(self, node: int) -> bool:
+        return node in self.stats and self.stats[node]["j"] is not None
+
+    def _deeper(self, node: int) -> bool:
+        """Whether children of a node may be split."""
+        return node.bit_length() < self.depth
+
+    def wanted(self) -> list[int]:
+        """Parents whose children the next pass must evaluate (0: the root itself); none: it is grown."""
+        if not self.stats:
+            return [] if self.splits else [0]
+        known = [n for n in self.stats if self._splittable(n)]
+        if self.max_leaves is None:
+            self.splits = known
+            return [n for n in known if self._deeper(n) and 2 * n not in self.stats and 2 * n + 1 not in self.stats]
+        self.splits, queue, leaves = [], [], 1
+        if self._splittable(1):
+            queue.append((-self.stats[1]["gain"], 1))
+        while queue and leaves < self.max_leaves:
+            _, node = heapq.heappop(queue)
+            self.splits.append(node)
+            leaves += 1
+            if self._deeper(node):
+                if 2 * node not in self.stats and 2 * node + 1 not in self.stats:
+                    break  # its children must be known before the next leaf is chosen
+                for child in (2 * node, 2 * node + 1):
+                    if self._splittable(child):
+                        heapq.heappush(queue, (-self.stats[child]["gain"], child))
+        else:
+            return []
+        open_ = sorted((n for n in known if self._deeper(n) and 2 * n not in self.stats and 2 * n + 1 not in self.stats), key=lambda n: (-self.stats[n]["gain"], n))
+        return open_[: self.max_leaves - 1]
+
+    def arrays(self, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Feature (-1: none) and bin by node, for the given split nodes."""
+        size = 2 * max([1, *nodes]) + 2
+        feat, thr = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        for n in nodes:
+            feat[n], thr[n] = self.stats[n]["j"], self.stats[n]["b"]
+        return feat, thr
+
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.arrays([n for n in self.stats if self._splittable(n)])
+
+    def leaves(self, lam: float, lr: float) -> dict[int, float]:
+        out = {}
+        for n in ([1] if 1 in self.stats else []) + [c for s in self.splits for c in (2 * s, 2 * s + 1)]:
+            if n in self.splits:
+                continue
+            up = self.stats.get(n // 2)
+            g, h = (up["gl"], up["hl"]) if n > 1 and n % 2 == 0 else (up["gr"], up["hr"]) if n > 1 else (self.stats[1]["gt"], self.stats[1]["ht"])
+            out[n] = -g / (h + lam) * lr
+        return out
+
+
+def descend(bins: np.ndarray, feat: np.ndarray, thr: np.ndarray) -> np.ndarray:
+    """The node at which each row ends."""
+    node, rows = np.ones(len(bins), np.int64), np.arange(len(bins))
+    while len(rows):
+        f = feat[node[rows]]
+        rows, f = rows[f >= 0], f[f >= 0]
+        if len(rows):
+            at = node[rows]
+            node[rows] = 2 * at + (bins[rows, f] > thr[at])
+    return node
+
+
+def _block(column: pa.Array, dtype, width: int) -> np.ndarray:
+    """A binary column of ``width`` numbers a row as a matrix."""
+    if not len(column):
+        return np.empty((0, width), dtype)
+    start = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+    return np.frombuffer(column.buffers()[2], np.uint8)[start : start + len(column) * width * np.dtype(dtype).itemsize].view(dtype).reshape(len(column), width)
+
+
+def _binary(m: np.ndarray) -> pa.Array:
+    m = np.ascontiguousarray(m)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(m.shape[1] * m.itemsize), len(m), [None, pa.py_buffer(m)]).cast(pa.binary())
+
+
+#: Bytes of histograms that a task holds before it gives them.
+HELD = 256_000_000
+_PARTIAL = "slot int, parent int, part int, hist binary"
+_EVALUATED = "slot int, node int, hist binary, gt double, ht double, rows double, j int, b int, gain double, gl double, hl double, gr double, hr double"
+
+
+def _partials(trees: dict[int, tuple], kinds: dict[int, str], n_features: int, n_bins: int, n_slots: int, rho: float, dtype):
+    """Histograms (gradient, hessian, rows) of the wanted left children, or roots, of one partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size = TaskContext.get().partitionId(), {}, n_features * n_bins
+
+        def give() -> Iterator[pa.RecordBatch]:
+            for slot, total in held.items():
+                parents = trees[slot][3]
+                met = np.flatnonzero(total[:, :, 2].any(axis=1))
+                if len(met):
+                    n = len(met)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, slot, np.int32)), pa.array(parents[met].astype(np.int32)), pa.array(np.full(n, part, np.int32)), _binary(total[met].reshape(n, -1))], names=["slot", "parent", "part", "hist"])
+            held.clear()
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            bins = _block(batch.column("bins"), dtype, n_features)
+            f, y = _block(batch.column("f"), np.float64, n_slots), batch.column("label").to_numpy(zero_copy_only=False)
+            drawn = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            for slot, (feat, thr, place, parents, draw) in trees.items():
+                at = place[np.minimum(descend(bins, feat, thr), len(place) - 1)]
+                rows = np.flatnonzero((at >= 0) & drawn[:, draw] if draw is not None else at >= 0)
+                if not len(rows):
+                    continue
+                g, h = gradients(kinds[slot], f[rows, slot], y[rows], rho)
+                if slot not in held:
+                    held[slot] = np.zeros((len(parents), size, 3))
+                flat = (at[rows][:, None] * size + np.arange(n_features) * n_bins + bins[rows]).ravel()
+                total = held[slot].reshape(-1, 3)
+                for k, weight in enumerate((g, h, None)):
+                    total[:, k] += np.bincount(flat, None if weight is None else np.repeat(weight, n_features), minlength=len(total))
+            if sum(t.nbytes for t in held.values()) > HELD:
+                yield from give()
+        yield from give()
+    return run
+
+
+def best_split(hist: np.ndarray, cfg: BoostConfig) -> dict:
+    """Totals and best split of a histogram [features, bins, 3]; ties go to the least feature, then bin."""
+    left = np.cumsum(hist, axis=1)
+    gl, hl = left[:, :, 0], left[:, :, 1]
+    gt, ht = gl[:, -1:], hl[:, -1:]
+    gr, hr = gt - gl, ht - hl
+    lam = cfg.lambda_l2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.round(gl * gl / (hl + lam) + gr * gr / (hr + lam) - gt * gt / (ht + lam), cfg.gain_decimals)
+    ok = (hl >= cfg.min_child_weight) & (hr >= cfg.min_child_weight) & (gain > 0)
+    out = {"gt": gt[0, 0], "ht": ht[0, 0], "rows": left[0, -1, 2]} | dict.fromkeys(("j", "b", "gain", "gl", "hl", "gr", "hr"))
+    if ok.any():
+        j, b = np.unravel_index(np.argmax(np.where(ok, gain, -np.inf)), gain.shape)
+        out |= {"j": int(j), "b": int(b), "gain": gain[j, b], "gl": gl[j, b], "hl": hl[j, b], "gr": gr[j, b], "hr": hr[j, b]}
+    return out
+
+
+def _hists(table: pa.Table) -> np.ndarray:
+    return np.stack([np.frombuffer(h.as_buffer(), np.float64) for h in table.column("hist")])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    table = table.sort_by("part")
+    return table.slice(0, 1).set_column(3, "hist", pa.array([_hists(table).sum(axis=0).tobytes()], pa.binary()))
+
+
+def _evaluate(n_features: int, n_bins: int, cfg: BoostConfig):
+    """Sum the partial histograms of a parent's left child, take the right one as the rest, and find
+    the best split of both. The parent's own histogram has part -1."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(_EVALUATED))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        slot, parent, parts = table.column("slot")[0].as_py(), table.column("parent")[0].as_py(), table.column("part").to_numpy()
+        hists = _hists(table)
+        left = hists[parts >= 0].sum(axis=0).reshape(n_features, n_bins, 3)
+        nodes = {1: left}
+        if parent:
+            right = hists[0].reshape(left.shape) - left
+            right[right[:, :, 2] <= 0] = 0.0  # bins without rows hold nothing
+            nodes = {2 * parent: left, 2 * parent + 1: right}
+        rows = [{"slot": slot, "node": n, "hist": h.tobytes()} | best_split(h, cfg) for n, h in nodes.items() if h[0, :, 2].any()]
+        return pa.Table.from_pylist(rows, schema=schema)
+    return run
+
+
+def evaluate_nodes(spark: SparkSession, train: DataFrame, wanted: dict[int, list[int]], trees: dict[int, Tree], draws: dict[int, int | None], kinds: dict[int, str],
+                   hists: list[DataFrame], n_features: int, n_bins: int, n_slots: int, cfg: BoostConfig, dtype, n_parts: int) -> DataFrame:
+    """One job: ``_EVALUATED`` rows of the children of the wanted parents (or of roots) of all candidates."""
+    sent = {}
+    for slot, parents in wanted.items():
+        feat, thr = trees[slot].known()
+        targets = np.array([2 * p if p else 1 for p in parents])
+        place = np.full(int(targets.max()) + 2, -1, np.int64)
+        place[targets] = np.arange(len(targets))
+        sent[slot] = feat, thr, place, np.array(parents), draws[slot]
+    parts = train.mapInArrow(_partials(sent, kinds, n_features, n_bins, n_slots, cfg.tweedie_power, dtype), _PARTIAL)
+    if n_parts > 64:
+        parts = parts.groupBy("slot", "parent", F.floor(F.col("part") / 64).alias("run")).applyInArrow(_summed, _PARTIAL)
+    pairs = [(s, p) for s, ps in wanted.items() for p in ps if p]
+    if pairs:
+        # the wanted parents are known by number: as many rows as nodes of the batch's trees
+        asked = F.broadcast(spark.createDataFrame(pairs, "slot int, node int"))
+        for h in hists:
+            own = h.join(asked, ["slot", "node"], "left_semi")
+            parts = parts.unionByName(own.select("slot", F.col("node").alias("parent"), F.lit(-1).alias("part"), "hist"))
+    return parts.groupBy("slot", "parent").applyInArrow(_evaluate(n_features, n_bins, cfg), _EVALUATED)
+
+
+def _first_state(bases: list[float], n_features: int, dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), n_features).astype(dtype)
+            f = np.tile(np.array(bases), (len(batch), 1))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), _binary(bins), batch.column("label"), batch.column("split"), _binary(f)], names=["key", "bins", "label", "split", "f"])
+    return run
+
+
+def _next_state(grown: dict[int, tuple], n_features: int, n_slots: int, dtype):
+    """Add the leaf of each grown tree to the raw scores."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, f = _block(batch.column("bins"), dtype, n_features), _block(batch.column("f"), np.float64, n_slots).copy()
+            for slot, (feat, thr, leaf) in grown.items():
+                f[:, slot] += leaf[descend(bins, feat, thr)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("bins"), batch.column("label"), batch.column("split"), _binary(f)], names=["key", "bins", "label", "split", "f"])
+    return run
+
+
 def fit_boosted_trees(
     spark: SparkSession,
     binned: DataFrame,
@@ -193,7 +469,6 @@ def fit_boosted_trees(
     ``cands``: dicts with ``trial_id, objective, learning_rate, max_depth, n_estimators, subsample``.
     """
     cfg = config or BoostConfig()
-    lam, mcw, rho = cfg.lambda_l2, cfg.min_child_weight, cfg.tweedie_power
     K = len(cands)
     cands = [dict(c) for c in cands]
     for c in cands:
@@ -201,7 +476,7 @@ def fit_boosted_trees(
     st = binned.filter(F.col("split") == "train").agg(
         F.count(F.lit(1)).alias("n"), F.min("label").alias("mn"), F.max("label").alias("mx"), F.avg("label").alias("mean"),
         F.sum(F.when(~F.col("label").isin(0.0, 1.0), 1).otherwise(0)).alias("nonbin"),
-        F.max(F.size("bins")).alias("n_features"),
+        F.max(F.size("bins")).alias("n_features"), F.max(F.array_max("bins")).alias("last_bin"),
     ).first().asDict()
     errors = {}
     for c in cands:
@@ -218,108 +493,86 @@ def fit_boosted_trees(
         c["ok"] = c["trial_id"] not in errors
         c["base"] = base_score(c["kind"], st["mean"]) if c["ok"] else 0.0
 
-    base = F.array(*[F.lit(float(c["base"])) for c in cands]) if K else F.array().cast("array<double>")
-    state = binned.select("key", "bins", "label", "split", base.alias("f"), base.alias("fb"), _weights(cands, 0, cfg).alias("w"))
-    state = materialize(state)
+    n_features, n_bins = st["n_features"] or 0, (st["last_bin"] or 0) + 1
+    dtype = np.uint8 if max(cfg.n_bins, n_bins) <= 256 else np.uint16
+    drawing = [i for i, c in enumerate(cands) if c["ok"] and float(c["subsample"]) < 1.0]
+    draws: dict[int, int | None] = {i: drawing.index(i) if i in drawing else None for i in range(K)}
+    kinds = {i: c["kind"] for i, c in enumerate(cands) if c["ok"]}
+    key_type = binned.schema["key"].dataType.simpleString()
+    state_ddl = f"key {key_type}, bins binary, label double, split string, f binary"
+    T = max([int(c["n_estimators"]) for c in cands if c["ok"]] or [0])
+
+    def with_draws(state: DataFrame, r: int) -> DataFrame:
+        """Draws of round r are made once, not once per pass."""
+        return state.withColumn("w", _weights([cands[i] for i in drawing], r, cfg))
+
+    state = n_parts = None
+    if T:
+        first = binned.select("key", "bins", F.col("label").cast("double").alias("label"), "split").mapInArrow(_first_state([float(c["base"]) for c in cands], n_features, dtype), state_ddl)
+        state = materialize(with_draws(first, 0))
+        n_parts = state.rdd.getNumPartitions()
 
     model_rows: list[tuple] = []
     history_rows: list[tuple] = []
     best = {c["trial_id"]: (None, -1) for c in cands}     # trial -> (best cost, best round)
     last_cost = {c["trial_id"]: None for c in cands}
     stopped: set = set()
-    improved_prev: set = set()
     state_persisted = None
-    T = max([int(c["n_estimators"]) for c in cands if c["ok"]] or [0])
 
     for r in range(T):
         active = [i for i, c in enumerate(cands) if c["ok"] and r < int(c["n_estimators"]) and c["trial_id"] not in stopped]
         if not active:
             break
-        depth = {i: int(cands[i]["max_depth"]) for i in active}
-        D = max(depth.values())
-        base_cols = ["key", "bins", "label", "split", "f", "fb", "w"]
-        cur = state.select(*base_cols, *[F.lit(0).alias(f"_n{k}") for k in range(K)])
-        level_stats: dict[int, dict] = {}
-        parent_hist = None
-        for L in range(D):
-            lev = [i for i in active if L < depth[i]]
+        trees = {i: Tree(int(cands[i]["max_depth"]), cfg.max_leaves) for i in active}
+        train, hists = state.filter(F.col("split") == "train"), []
+        wanted = {i: [0] for i in active}
+        while wanted:
             _t = time.time()
-            stats, hist = _level_histogram_best(cur, cands, lev, r, cfg, parent_hist, keep=L + 1 < D)
-            if parent_hist is not None:
-                parent_hist.unpersist()
-            parent_hist = hist
+            found = evaluate_nodes(spark, train, wanted, trees, draws, kinds, hists, n_features, n_bins, K, cfg, dtype, n_parts).persist(StorageLevel.MEMORY_AND_DISK)
+            for row in found.drop("hist").collect():   # bounded: the children of the wanted parents
+                trees[row["slot"]].stats[row["node"]] = row.asDict()
+            hists.append(found)
             if cfg.verbose:
-                print(f"[boost] round {r} level {L}: {time.time() - _t:.2f}s", file=sys.stderr)
-            level_stats[L] = stats
-            feat = [[-1] * (2 ** L) for _ in range(K)]
-            thr = [[0] * (2 ** L) for _ in range(K)]
-            for (i, node), s in stats.items():
-                if s["split"] is not None:
-                    feat[i][node], thr[i][node] = s["split"][0], s["split"][1]
-                    model_rows.append((cands[i]["trial_id"], r, L, node, s["split"][0], s["split"][1],
-                                       binning.threshold(s["split"][0], s["split"][1]) if binning else None, None))
-            cur = cur.select(*base_cols, *[c.alias(f"_n{k}") for k, c in enumerate(_child_nodes(feat, thr))])
-        if parent_hist is not None:
-            parent_hist.unpersist()
-        # leaves from the last level's statistics of each candidate
-        leaf_lits, shifts = [], []
-        for i in range(K):
-            if i not in active:
-                leaf_lits.append([0.0])
-                shifts.append(D)
+                print(f"[boost] round {r}, {sum(map(len, wanted.values()))} parents of {len(wanted)} trees: {time.time() - _t:.2f}s", file=sys.stderr)
+            wanted = {i: w for i in wanted if (w := trees[i].wanted()) and trees[i].stats}
+        for h in hists:
+            h.unpersist()
+        grown = {}
+        for i, tree in trees.items():
+            tid, d = cands[i]["trial_id"], tree.depth
+            leaves = tree.leaves(cfg.lambda_l2, float(cands[i]["learning_rate"]))
+            if not leaves:
                 continue
-            d = depth[i]
-            lr = float(cands[i]["learning_rate"])
-            vals = [0.0] * (2 ** d)
-            for (ii, node), s in level_stats[d - 1].items():
-                if ii != i:
-                    continue
-                if s["split"] is not None:
-                    gl, hl, gr, hr = s["split"][2:6]
-                    vals[2 * node] = -gl / (hl + lam) * lr
-                    vals[2 * node + 1] = -gr / (hr + lam) * lr
-                    model_rows.append((cands[i]["trial_id"], r, d, 2 * node, None, None, None, vals[2 * node]))
-                    model_rows.append((cands[i]["trial_id"], r, d, 2 * node + 1, None, None, None, vals[2 * node + 1]))
-                else:
-                    gt, ht = s["tot"]
-                    vals[2 * node] = -gt / (ht + lam) * lr
-                    model_rows.append((cands[i]["trial_id"], r, d, 2 * node, None, None, None, vals[2 * node]))
-            leaf_lits.append(vals)
-            shifts.append(D - d)
-        # fb <- f for candidates that improved at the previous round, then f += leaf
-        new_f, new_fb = [], []
-        for k in range(K):
-            fk = F.element_at("f", k + 1)
-            if k in active:
-                leaf = F.element_at(F.array(*[F.lit(float(x)) for x in leaf_lits[k]]),
-                                    F.floor(F.col(f"_n{k}") / F.lit(float(2 ** shifts[k]))).cast("int") + 1)
-                new_f.append(fk + leaf)
-            else:
-                new_f.append(fk)
-            new_fb.append(fk if cands[k]["trial_id"] in improved_prev else F.element_at("fb", k + 1))
-        new_f, new_fb = F.array(*new_f), F.array(*new_fb)
-        # next round's row-subsample weights are drawn here, once per round, not once per level
-        state = cur.select("key", "bins", "label", "split", new_f.alias("f"), new_fb.alias("fb"), _weights(cands, r + 1, cfg).alias("w"))
+            feat, thr = tree.arrays(tree.splits)
+            leaf = np.zeros(len(feat))
+            for n in tree.splits:
+                level = n.bit_length() - 1
+                j, b = tree.stats[n]["j"], tree.stats[n]["b"]
+                model_rows.append((tid, r, level, n - (1 << level), j, b, binning.threshold(j, b) if binning else None, None))
+            for n, value in leaves.items():  # named by the place it would have if its rows went left to the full depth
+                level = n.bit_length() - 1
+                leaf[n] = value
+                model_rows.append((tid, r, d, (n - (1 << level)) << (d - level), None, None, None, float(value)))
+            grown[i] = feat, thr, leaf
         _t = time.time()
         prev = state_persisted
+        state = with_draws(state.drop("w").mapInArrow(_next_state(grown, n_features, K, dtype), state_ddl), r + 1)
         if (r + 1) % cfg.checkpoint_every == 0 or r == T - 1:
             state = cut_lineage(state)          # lineage cut: a lost executor replays < cadence rounds
             state_persisted = None
         else:
             state = state.persist(StorageLevel.MEMORY_AND_DISK)
             state_persisted = state
-        if cfg.verbose:
-            print(f"[boost] round {r} update+checkpoint: {time.time() - _t:.2f}s", file=sys.stderr)
-        _t = time.time()
         # validation cost of this round for the active candidates
         every_round = cfg.record_history or cfg.early_stopping_rounds is not None
         act_cands = [dict(cands[i], slot=i) for i in active if every_round or int(cands[i]["n_estimators"]) == r + 1]
-        vc = {row["trial_id"]: row["cost"] for row in _val_costs_slots(state, act_cands, score).collect()} if act_cands else {}
-        if prev is not None:      # the new state is materialised (cached or checkpointed) by now
+        vc = {row["trial_id"]: row["cost"] for row in _val_costs_slots(state, act_cands, score, K).collect()} if act_cands else {}
+        if state_persisted is not None and not act_cands:
+            state.select("f").write.format("noop").mode("overwrite").save()  # held before its predecessor is let go
+        if prev is not None:
             prev.unpersist()
         if cfg.verbose:
-            print(f"[boost] round {r} val cost: {time.time() - _t:.2f}s", file=sys.stderr)
-        improved_prev = set()
+            print(f"[boost] round {r} update and val cost: {time.time() - _t:.2f}s", file=sys.stderr)
         for i in active:
             tid = cands[i]["trial_id"]
             if tid not in vc and not every_round:
@@ -330,13 +583,10 @@ def fit_boosted_trees(
             bc, br = best[tid]
             if cost is not None and not math.isnan(cost) and (bc is None or round(cost, cfg.gain_decimals) < round(bc, cfg.gain_decimals)):
                 best[tid] = (cost, r)
-                improved_prev.add(tid)
             elif cfg.early_stopping_rounds is not None and r - best[tid][1] >= cfg.early_stopping_rounds:
                 stopped.add(tid)
-    # final fb for candidates improved at their last round
-    if improved_prev:
-        fb = F.array(*[F.element_at("f", k + 1) if cands[k]["trial_id"] in improved_prev else F.element_at("fb", k + 1) for k in range(K)])
-        state = state.select("key", "bins", "label", "split", "f", fb.alias("fb"), "w")
+    if state_persisted is not None:
+        state_persisted.unpersist()
 
     cost_rows = []
     for c in cands:
@@ -358,15 +608,17 @@ def fit_boosted_trees(
         model_rows = [m for m in model_rows if m[1] <= best[m[0]][1]]
     model = spark.createDataFrame(model_rows, "trial_id bigint, round int, level int, node bigint, feature int, bin int, threshold double, leaf_value double")
     history = spark.createDataFrame(history_rows, "trial_id bigint, round int, val_cost double")
-    return BoostResult(costs, model, history, state, cands, binning)
+    return BoostResult(costs, model, history, cands, binning)
+
 
+def _val_costs_slots(state: DataFrame, act: list[dict], score: str, n_slots: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = _block(batch.column("f"), np.float64, n_slots)
+            for c in act:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), c["trial_id"], np.int64)), batch.column("label"), pa.array(transformed(c["kind"], f[:, c["slot"]]))], names=["trial_id", "label", "score"])
 
-def _val_costs_slots(state: DataFrame, act: list[dict], score: str) -> DataFrame:
-    lit = F.array(*[F.struct(F.lit(c["slot"]).alias("slot"), F.lit(c["trial_id"]).alias("trial_id"), F.lit(c["kind"]).alias("kind")) for c in act])
-    x = state.filter(F.col("split") == "val").select("label", "f", F.explode(lit).alias("c"))
-    fk = F.element_at("f", F.col("c.slot") + 1)
-    pred = F.when(F.col("c.kind") == "squared", fk).when(F.col("c.kind") == "logistic", scoring.sigmoid(fk)).otherwise(F.exp(fk))
-    x = x.select(F.col("c.trial_id").alias("trial_id"), "label", pred.alias("score"))
+    x = state.filter(F.col("split") == "val").select("label", "f").mapInArrow(run, "trial_id bigint, label double, score double")
     if score == "rmse":
         return scoring.rmse_cost(x, ["trial_id"])
     if score == "acc":
@@ -390,153 +642,75 @@ def _weights(cands: list[dict], r: int, cfg: BoostConfig) -> Column:
     return F.array(*out) if out else F.array().cast("array<boolean>")
 
 
-def _child_nodes(feat: list[list[int]], thr: list[list[int]]) -> list[Column]:
-    """Next-level node id per candidate slot: ``2 n + (bins[feat[n]] > thr[n])``; a node
-    without a split sends its rows left. Plain expressions over one int column per slot
-    (no lambdas: stays inside whole-stage codegen; the split tables fold to literals)."""
-    out = []
-    for k, (fr, tr) in enumerate(zip(feat, thr)):
-        n = F.col(f"_n{k}")
-        if all(v < 0 for v in fr):
-            out.append(n * 2)
-            continue
-        fk = F.element_at(F.array(*[F.lit(int(v)) for v in fr]), n + 1)
-        tk = F.element_at(F.array(*[F.lit(int(v)) for v in tr]), n + 1)
-        right = F.when((fk >= 0) & (F.element_at("bins", F.greatest(fk, F.lit(0)) + 1) > tk), F.lit(1)).otherwise(F.lit(0))
-        out.append(n * 2 + right)
-    return out
-
-
-def _level_histogram_best(cur: DataFrame, cands: list[dict], lev: list[int], r: int, cfg: BoostConfig,
-                          parent: DataFrame | None = None, keep: bool = False):
-    """One job: gradient histogram of the level for candidates ``lev`` -> best split per node.
-
-    Returns (stats, histogram); with ``keep`` the histogram is persisted for the next level's
-    subtraction, otherwise None is returned in its place."""
-    if not lev:
-        return {}, None
-    hist = level_histogram(cur, cands, lev, cfg, parent)
-    if keep:
-        hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
-    best = split_table(hist, cfg)
-    out = {}
-    for row in best.collect():   # bounded: candidates x 2^level rows
-        s = row["s"]
-        out[(row["slot"], row["nd"])] = {
-            "split": None if s is None else (int(s["j"]), int(s["b"]), s["GL"], s["HL"], s["GR"], s["HR"]),
-            "tot": (row["t"]["GT"], row["t"]["HT"]),
-        }
-    return out, (hist if keep else None)
-
-
-def level_histogram(cur: DataFrame, cands: list[dict], lev: list[int], cfg: BoostConfig,
-                    parent: DataFrame | None = None) -> DataFrame:
-    """Gradient histogram ``(slot, nd, j, b, G, H, C)`` of one level for the slots in ``lev``.
-
-    Rows are exploded over (candidate, feature) under a partial aggregate, so only
-    K x nodes x features x bins rows are shuffled. Below the root, only left children
-    (even node ids) are aggregated; a right child is its parent's histogram minus its left
-    sibling's, and bins whose row count ``C`` drops to 0 are removed (exact)."""
-    lit = F.array(*[F.struct(
-        F.lit(i).alias("slot"), F.lit(cands[i]["trial_id"]).alias("trial_id"), F.lit(cands[i]["kind"]).alias("kind"),
-        F.lit(float(cands[i]["subsample"])).alias("subsample")) for i in lev])
-    K = len(cands)
-    node_arr = F.array(*[F.col(f"_n{k}") for k in range(K)])
-    x = cur.filter(F.col("split") == "train").select("bins", "label", "f", "w", node_arr.alias("node"), F.explode(lit).alias("c"))
-    x = x.filter(F.element_at("w", F.col("c.slot") + 1))
-    fk = F.element_at("f", F.col("c.slot") + 1)
-    g, h = grad_hess(F.col("c.kind"), fk, F.col("label"), cfg.tweedie_power)
-    x = x.select(F.col("c.slot").alias("slot"), F.element_at("node", F.col("c.slot") + 1).alias("nd"),
-                 g.alias("g"), h.alias("h"), "bins")
-    if parent is not None:
-        x = x.filter(F.col("nd") % 2 == 0)
-    x = x.select("slot", "nd", "g", "h", F.posexplode("bins").alias("j", "b"))
-    hist = x.groupBy("slot", "nd", "j", "b").agg(F.sum("g").alias("G"), F.sum("h").alias("H"), F.count(F.lit(1)).alias("C"))
-    if parent is None:
-        return hist
-    keys = ["slot", "pnd", "j", "b"]
-    p = parent.filter(F.col("slot").isin(lev)).select("slot", F.col("nd").alias("pnd"), "j", "b",
-                                                       F.col("G").alias("GP"), F.col("H").alias("HP"), F.col("C").alias("CP"))
-    left = hist.select("slot", (F.col("nd") / 2).cast("int").alias("pnd"), "j", "b", "G", "H", "C")
-    right = p.join(left, keys, "left").select(
-        "slot", (F.col("pnd") * 2 + 1).alias("nd"), "j", "b",
-        (F.col("GP") - F.coalesce(F.col("G"), F.lit(0.0))).alias("G"),
-        (F.col("HP") - F.coalesce(F.col("H"), F.lit(0.0))).alias("H"),
-        (F.col("CP") - F.coalesce(F.col("C"), F.lit(0))).alias("C"),
-    ).filter(F.col("C") > 0)
-    return hist.unionByName(right.select("slot", F.col("nd").cast("int").alias("nd"), "j", "b", "G", "H", "C"))
-
-
-def split_table(hist: DataFrame, cfg: BoostConfig) -> DataFrame:
-    """Best split per (slot, node) of a level histogram: running sums over bins, then min(struct)."""
-    lam, mcw = cfg.lambda_l2, cfg.min_child_weight
-    w = Window.partitionBy("slot", "nd", "j").orderBy("b")
-    hist = hist.select(
-        "slot", "nd", "j", "b",
-        F.sum("G").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("GL"),
-        F.sum("H").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("HL"),
-        F.sum("G").over(Window.partitionBy("slot", "nd", "j")).alias("GT"),
-        F.sum("H").over(Window.partitionBy("slot", "nd", "j")).alias("HT"),
-    )
-    GR, HR = F.col("GT") - F.col("GL"), F.col("HT") - F.col("HL")
-    gain = F.round(F.col("GL") * F.col("GL") / (F.col("HL") + F.lit(lam)) + GR * GR / (HR + F.lit(lam))
-                   - F.col("GT") * F.col("GT") / (F.col("HT") + F.lit(lam)), cfg.gain_decimals)
-    ok = (F.col("HL") >= mcw) & (HR >= mcw) & (gain > 0)
-    return hist.groupBy("slot", "nd").agg(
-        F.min(F.when(ok, F.struct((-gain).alias("ng"), F.col("j"), F.col("b"), F.col("GL"), F.col("HL"), GR.alias("GR"), HR.alias("HR")))).alias("s"),
-        F.min(F.struct(F.col("j"), F.col("GT"), F.col("HT"))).alias("t"),
-    )
-
+# ---------------------------------------------------------------- prediction
+@dataclass
+class Forest:
+    """All trees of a batch as node arrays: feature (-1: a leaf), bin, left child (the right one follows),
+    leaf value; trees by candidate in the order of rounds."""
+
+    feat: np.ndarray
+    thr: np.ndarray
+    left: np.ndarray
+    value: np.ndarray
+    roots: dict[int, list[int]]
+
+    @staticmethod
+    def of(rows: list) -> Forest:
+        """From rows of a model table."""
+        trees: dict[tuple, list] = {}
+        for r in rows:
+            trees.setdefault((r["trial_id"], r["round"]), []).append(r)
+        feat, thr, left, value, roots = [], [], [], [], {}
+        for (trial, _), own in sorted(trees.items()):
+            splits = {(r["level"], r["node"]): r for r in own if r["leaf_value"] is None}
+            leaves = {r["node"]: r["leaf_value"] for r in own if r["leaf_value"] is not None}
+            depth = max(r["level"] for r in own if r["leaf_value"] is not None)
+            roots.setdefault(trial, []).append(len(feat))
+            todo = [(0, 0)]
+            first = len(feat)
+            for at, (level, node) in enumerate(todo):  # grows while it is walked: children lie side by side
+                split = splits.get((level, node))
+                feat.append(split["feature"] if split else -1)
+                thr.append(split["bin"] if split else 0)
+                left.append(first + len(todo) if split else first + at)
+                value.append(0.0 if split else leaves.get(node << (depth - level), 0.0))
+                if split:
+                    todo += [(level + 1, 2 * node), (level + 1, 2 * node + 1)]
+        return Forest(np.array(feat, np.int32), np.array(thr, np.int32), np.array(left, np.int64), np.array(value), roots)
+
+    def raw(self, bins: np.ndarray, trial: int, base: float) -> np.ndarray:
+        out = np.full(len(bins), base)
+        for root in self.roots.get(trial, []):
+            node, rows = np.full(len(bins), root), np.arange(len(bins))
+            while len(rows):
+                f = self.feat[node[rows]]
+                rows, f = rows[f >= 0], f[f >= 0]
+                if len(rows):
+                    at = node[rows]
+                    node[rows] = self.left[at] + (bins[rows, f] > self.thr[at])
+            out += self.value[node]
+        return out
 
 
 def predict_boosted(binned: DataFrame, model: DataFrame, cands: list[dict], keep=("key", "label", "split")) -> DataFrame:
     """Apply fitted boosters (the ``model`` table) to binned rows: ``(trial_id, *keep, raw, score)``.
 
-    The model is bounded (candidates x rounds x 2^depth rows) and is inlined as split and
-    leaf arrays; each tree is walked level by level with plain column expressions (one
-    projection per level, no lambdas), then leaf values are summed per candidate.
+    The model (candidates x rounds x nodes rows) goes to the tasks once, as node arrays that are
+    walked in vectors over Arrow batches; the plan is the same for any forest.
     """
-    rows = model.collect()   # bounded model table
-    by = {}
-    for r in rows:
-        by.setdefault((r["trial_id"], r["round"]), []).append(r)
-    trees_ = {}
-    for (tid, rnd), rs in by.items():
-        depth = max(r["level"] for r in rs if r["leaf_value"] is not None)
-        feat = [[-1] * (2 ** L) for L in range(depth)]
-        thr = [[0] * (2 ** L) for L in range(depth)]
-        leaf = [0.0] * (2 ** depth)
-        for r in rs:
-            if r["leaf_value"] is None:
-                feat[r["level"]][r["node"]], thr[r["level"]][r["node"]] = r["feature"], r["bin"]
-            else:
-                leaf[r["node"]] = r["leaf_value"]
-        trees_[(tid, rnd)] = (depth, feat, thr, leaf)
-    keys = sorted(trees_)
-    cols = [f"_t{i}" for i in range(len(keys))]
-    cur = binned.select(*keep, "bins", *[F.lit(0).alias(c) for c in cols])
-    D = max([t[0] for t in trees_.values()] or [0])
-    for L in range(D):
-        nxt = []
-        for c, key in zip(cols, keys):
-            depth, feat, thr, _ = trees_[key]
-            n = F.col(c)
-            if L >= depth or all(v < 0 for v in feat[L]):
-                nxt.append((n * 2 if L < depth else n).alias(c))
+    forest = Forest.of(model.collect())   # the model table: bounded by the batch
+    wanted = [(c["trial_id"], float(c.get("base", 0.0)), c["kind"]) for c in cands]
+    fields = {f.name: f.dataType.simpleString() for f in binned.schema}
+    shared = binned.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
                 continue
-            fk = F.element_at(F.array(*[F.lit(int(v)) for v in feat[L]]), n + 1)
-            tk = F.element_at(F.array(*[F.lit(int(v)) for v in thr[L]]), n + 1)
-            right = F.when((fk >= 0) & (F.element_at("bins", F.greatest(fk, F.lit(0)) + 1) > tk), F.lit(1)).otherwise(F.lit(0))
-            nxt.append((n * 2 + right).alias(c))
-        cur = cur.select(*keep, "bins", *nxt)
-    per_cand = []
-    for cnd in cands:
-        raw = F.lit(float(cnd.get("base", 0.0)))
-        for c, key in zip(cols, keys):
-            if key[0] != cnd["trial_id"]:
-                continue
-            raw = raw + F.element_at(F.array(*[F.lit(float(v)) for v in trees_[key][3]]), F.col(c) + 1)
-        per_cand.append(F.struct(F.lit(cnd["trial_id"]).alias("trial_id"), raw.alias("raw"),
-                                 predict_transform(cnd["kind"], raw).alias("score")))
-    out = cur.select(*keep, F.explode(F.array(*per_cand)).alias("_p"))
-    return out.select(F.col("_p.trial_id").alias("trial_id"), *keep, "_p.raw", "_p.score")
+            bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            for trial, base, kind in wanted:
+                raw = shared.value.raw(bins, trial, base)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(batch), trial, np.int64)), *(batch.column(c) for c in keep), pa.array(raw), pa.array(transformed(kind, raw))], names=["trial_id", *keep, "raw", "score"])
+
+    return binned.select(*keep, "bins").mapInArrow(run, "trial_id bigint, " + ", ".join(f"{c} {fields[c]}" for c in keep) + ", raw double, score double")

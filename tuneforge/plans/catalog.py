@@ -455,7 +455,7 @@ def q_quantile_bin(spark, sf):
     rows = load_features(li, LINEITEM_FEATURES, "reg")
     b = trees.fit_binning(rows, len(LINEITEM_FEATURES), 32, "quantile", fit_filter=F.col("split") == "train")
     binned = trees.apply_binning(rows, b, len(LINEITEM_FEATURES))
-    # bin occupancy per feature: the binned table aggregated (rows-only check: approximate quantiles)
+    # bin occupancy per feature: the binned table aggregated
     return binned.select(F.posexplode("bins").alias("feature", "bin")).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -497,6 +497,17 @@ def q_early_stopping(spark, sf):
     return res.costs.select("trial_id", r6("cost").alias("cost"), "best_round")
 
 
+LEAF_WISE = [{"trial_id": 0, "objective": "regression", "learning_rate": 0.5, "max_depth": 5, "n_estimators": 1, "subsample": 1.0},
+             {"trial_id": 1, "objective": "tweedie", "learning_rate": 0.3, "max_depth": 2, "n_estimators": 1, "subsample": 0.8}]
+
+
+def q_gbdt_leaf_wise(spark, sf):
+    """One round of best-first growth to 4 leaves: the tree of each candidate."""
+    binned, binning = tree_rows(spark, sf, "reg_positive")
+    res = trees.fit_boosted_trees(spark, binned, LEAF_WISE, "rmse", trees.BoostConfig(seed=13, max_leaves=4), binning)
+    return res.model.select("trial_id", "level", "node", "feature", "bin", r6("leaf_value").alias("leaf_value"))
+
+
 # ---------------------------------------------------------------- flagship: booster grid search
 FLAGSHIP_SPACE = {
     "objective": ["reg:linear", "reg:tweedie"],
@@ -596,15 +607,16 @@ def q_svm_probability(spark, sf):
 
 
 def _svm_search(spark, sf, space, seed):
+    """Random search with the estimator's default options over planted lineitem."""
     from tuneforge.plans.facade import HyperSearch
 
     li = lineitem_planted(spark, sf)
     sc = prep.min_max_scale(li, LINEITEM_FEATURES, fit_filter=F.col("split") == "train", suffix="_s")
-    hs = HyperSearch(spark, "svm", space, "binary classification", "acc", options={"n_steps": 5, "n_components": 16})
+    hs = HyperSearch(spark, "svm", space, "binary classification", "acc")
     data = hs.prepare(sc, [f"{c}_s" for c in LINEITEM_FEATURES], "cls")
-    res = hs.fit_random(data, n_attempts=4, seed=seed)
+    res = hs.fit_random(data, seed=seed)
     return res.trials.select("trial_id", "kernel", r6("gamma").alias("gamma"), r6("C").alias("C"), r6("cost").alias("cost"),
-                             *(["degree"] if "degree" in space else []))
+                             *(["degree"] if space is None or "degree" in space else []))
 
 
 def q_fit_svm_rbf(spark, sf):
@@ -612,7 +624,12 @@ def q_fit_svm_rbf(spark, sf):
 
 
 def q_fit_svm_poly(spark, sf):
-    return _svm_search(spark, sf, {"kernel": ["poly"], "gamma": [0.1, 2, 1], "C": [0.1, 10, 1], "degree": [1, 3, 0]}, 6)
+    return _svm_search(spark, sf, {"kernel": ["poly"], "gamma": [0.1, 2, 1], "C": [0.1, 10, 1], "degree": [0, 6, 0]}, 6)
+
+
+def q_search_random_svm(spark, sf):
+    """The estimator's default space: three kernels, 100 values of gamma and of C, degrees 0 to 6."""
+    return _svm_search(spark, sf, None, 8)
 
 
 # ---------------------------------------------------------------- multi-layer perceptron

@@ -11,6 +11,7 @@ from tuneforge.operators import selection
 from tuneforge.operators.space import SearchSpace, validate
 from tuneforge.plans import search
 from tuneforge.plans.estimators import PreparedData
+from tuneforge.plans.failures import fit_or_bisect
 from tuneforge.plans.registry import get_estimator
 from tuneforge.session import materialize
 from tuneforge.sources.features import load_features
@@ -37,26 +38,21 @@ class HyperSearch:
         return PreparedData(materialize(rows), len(feature_cols))
 
     def fitness(self, data: PreparedData):
-        """Candidate table ``(trial_id, params)`` -> ``(trial_id, cost)`` via the estimator's batched fit."""
+        """Candidate table ``(trial_id, params)`` -> ``(trial_id, cost, status, error)`` via the estimator's
+        batched fit. A model's own error fails its trial; errors of data and cluster end the search."""
 
         def fit(cands: DataFrame) -> DataFrame:
             batch = [self._candidate(r["trial_id"], r["params"].asDict()) for r in cands.select("trial_id", "params").limit(MAX_BATCH + 1).collect()]
             if len(batch) > MAX_BATCH:
                 raise ValueError(f"candidate batch exceeds {MAX_BATCH}; use a smaller chunk")
-            run = lambda some: self._est.fit_batch(self.spark, data, some, self.task, self.score, self.options).select("trial_id", "cost", "status", "error")
-            try:
-                return run(batch)
-            except Exception as e:  # a fit that raises fails its own trial only
-                if len(batch) < 2:
-                    return self.spark.createDataFrame([(c["trial_id"], None, "failed", str(e)[:500]) for c in batch], "trial_id bigint, cost double, status string, error string")
-            rows = []
-            for c in batch:
-                try:
-                    rows += [tuple(r) for r in run([c]).collect()]
-                except Exception as e:  # noqa: BLE001
-                    rows.append((c["trial_id"], None, "failed", str(e)[:500]))
+            rows = fit_or_bisect(run, batch) if batch else []
             return self.spark.createDataFrame(rows, "trial_id bigint, cost double, status string, error string")
 
+        def run(some: list[dict]) -> list[tuple]:
+            # a row for each candidate of the batch: collected here, so that its errors are met here
+            found = self._est.fit_batch(self.spark, data, some, self.task, self.score, self.options)
+            return [tuple(r) for r in found.select("trial_id", "cost", "status", "error").collect()]
+
         return fit
 
     def _candidate(self, trial_id: int, params: dict) -> dict:

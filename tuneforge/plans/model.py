@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneforge.operators import mlp, scoring, svm, trees
+from tuneforge.operators import kernels, mlp, scoring, trees
 
 
 @dataclass
@@ -79,11 +79,11 @@ class FittedModel:
 
 
 # ---------------------------------------------------------------- boosters
-def fit_booster(default_stop: int | None):
+def fit_booster(default_stop: int | None, default_leaves: int | None = None):
     def fit(spark, data, cand: dict, task: str, score: str, options: dict | None = None) -> FittedModel:
         from tuneforge.plans.estimators import boost_config
 
-        cfg = boost_config(options, default_stop)
+        cfg = boost_config(options, default_stop, default_leaves)
         binned, binning = data.binned(cfg.n_bins, cfg.binning)
         res = trees.fit_boosted_trees(spark, binned, [cand], score, cfg, binning)
         _raise_failed(res.costs.first())
@@ -104,36 +104,27 @@ def _booster_scores(m: FittedModel, rows: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- support vector models
-def svm_features(rows: DataFrame, n_features: int, cand: dict, n_components: int, seed: int) -> tuple[DataFrame, int]:
-    """Rows with the kernel's feature map in ``features``, and its dimension."""
-    kernel, gamma = cand.get("kernel", "rbf"), float(cand.get("gamma", 5))
-    if kernel == "rbf":
-        omega, phase = svm.rff_params(n_features, n_components, gamma, seed)
-        return svm.rff_transform(rows, n_features, omega, phase), n_components
-    if kernel == "poly":
-        degree = int(cand.get("degree", 3))
-        return svm.poly_transform(rows, n_features, degree, gamma), len(svm.poly_monomials(n_features, degree))
-    if kernel != "linear":
-        raise ValueError(f"unknown kernel {kernel!r}")
-    return rows, n_features
+def svm_maps(n_features: int, o: dict) -> kernels.FeatureMaps:
+    return kernels.FeatureMaps(n_features, o.get("n_components", 64), o.get("seed", 0), o.get("sketch", kernels.SKETCH))
 
 
 def fit_svm(spark, data, cand: dict, task: str, score: str, options: dict | None = None) -> FittedModel:
     o = dict(options or {})
-    steps, lr, comps, seed = o.get("n_steps", 20), o.get("lr", 0.5), o.get("n_components", 64), o.get("seed", 0)
     kind = "svc" if task == "binary classification" else "svr"
-    rows, d = svm_features(data.rows, data.n_features, cand, comps, seed)
-    w, b = svm.hinge_steps(rows, [cand], d, steps, lr, kind)[cand["trial_id"]]
-    payload = {"kind": "svm", "w": list(w), "b": b, "n_components": comps, "seed": seed, "platt": None}
+    folds = o.get("platt_folds", 3) if kind == "svc" else 0
+    maps = svm_maps(data.n_features, o)
+    train = data.folded(folds, maps.seed)
+    fits = kernels.fit_steps(train, kernels.new_fits([cand], maps, folds), maps, o.get("n_steps", 20), o.get("lr", 0.5), kind)
+    payload = {"kind": "svm", "w": fits[0].w.tolist(), "b": float(fits[0].b), "n_components": maps.n_components, "seed": maps.seed, "sketch": maps.sketch, "platt": None}
     if kind == "svc":
-        oof = svm.out_of_fold_scores(rows, [cand], d, steps, lr, kind, o.get("platt_folds", 3), seed)
-        payload["platt"] = list(svm.platt_scaling(oof.select("trial_id", "label", "score"), o.get("platt_steps", 10))[cand["trial_id"]])
+        payload["platt"] = list(kernels.platt_steps(train, fits, maps, o.get("platt_steps", 10))[cand["trial_id"]])
     return FittedModel("svm", task, _plain(cand), data.n_features, payload)
 
 
 def _svm_scores(m: FittedModel, rows: DataFrame) -> DataFrame:
-    mapped, d = svm_features(rows, m.n_features, m.params, m.payload["n_components"], m.payload["seed"])
-    scored = svm.decision_scores(mapped, {0: (m.payload["w"], m.payload["b"])}, d)
+    maps = svm_maps(m.n_features, m.payload)
+    fit = kernels.Fit(0, maps.key(m.params), 1.0, -1, np.array(m.payload["w"]), m.payload["b"])
+    scored = kernels.batch_scores(rows, [fit], maps)
     if m.payload["platt"] is None:
         return scored
     a, b = m.payload["platt"]
@@ -144,7 +135,7 @@ def _svm_scores(m: FittedModel, rows: DataFrame) -> DataFrame:
 def fit_network(spark, data, cand: dict, task: str, score: str, options: dict | None = None) -> FittedModel:
     o = dict(options or {})
     weights, history, errors = mlp.fit_mlp(data.rows, [cand], data.n_features, seed=o.get("seed", 0), epochs=o.get("epochs"),
-                                           patience=o.get("early_stopping_rounds", 20), n_shards=o.get("n_shards", mlp.N_SHARDS))
+                                           patience=o.get("early_stopping_rounds", 20), n_shards=o.get("n_shards"))
     if errors:
         raise ValueError(errors[cand["trial_id"]])
     payload = {"kind": "mlp", "w": [float(v) for v in weights[cand["trial_id"]]]}

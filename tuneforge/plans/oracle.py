@@ -635,6 +635,39 @@ def q_fit_boosted_trees():
     FROM cand c JOIN fin USING (trial_id)"""
 
 
+def q_quantile_bin():
+    feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    probs = "[" + ", ".join(f"{i / 32!r}" for i in range(1, 32)) + "]"
+    cuts = ", ".join(f"list_distinct(quantile_disc({c}, {probs})) AS c{j}" for j, c in enumerate(feats))
+    bins = " UNION ALL ".join(f"SELECT {j} AS feature, len(list_filter(c{j}, lambda c: c < {c_})) AS bin FROM li, cuts" for j, c_ in enumerate(feats))
+    return f"""WITH {LI}, cuts AS (SELECT {cuts} FROM li WHERE split = 'train')
+    SELECT CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, count(*) AS n_rows FROM ({bins}) AS b GROUP BY feature, bin"""
+
+
+def q_gbdt_leaf_wise():
+    """The queue of leaf gains played over the splits of a level-wise derivation."""
+    from tuneforge.plans.catalog import LEAF_WISE
+
+    ctes, _ = boost_sql_cands([dict(c, max_depth=min(c["max_depth"], 3)) for c in LEAF_WISE], "reg_positive", "rmse", seed=13)
+    every = " UNION ALL ".join(
+        f"SELECT s.trial_id, {1 << L} + s.node AS n, s.j, s.b, gain, GL, HL, GR, HR FROM s0_{L} s JOIN b0_{L} b ON b.trial_id = s.trial_id AND b.node = s.node AND b.j = s.j AND b.b = s.b" for L in range(3))
+    full = ", ".join(f"({c['trial_id']}, {c['max_depth']})" for c in LEAF_WISE)
+    return f"""WITH {LI}, {', '.join(ctes)}, sp AS ({every}),
+    full_depth(trial_id, d) AS (VALUES {full}),
+    p1 AS (SELECT trial_id, 1 AS n FROM sp WHERE n = 1),
+    p2 AS (SELECT trial_id, n FROM sp JOIN p1 USING (trial_id) WHERE sp.n IN (2, 3) QUALIFY row_number() OVER (PARTITION BY trial_id ORDER BY gain DESC, sp.n) = 1),
+    p3 AS (SELECT sp.trial_id, sp.n FROM sp JOIN p2 ON p2.trial_id = sp.trial_id WHERE (sp.n IN (2, 3) AND sp.n <> p2.n) OR sp.n IN (2 * p2.n, 2 * p2.n + 1)
+           QUALIFY row_number() OVER (PARTITION BY sp.trial_id ORDER BY gain DESC, sp.n) = 1),
+    chosen AS (SELECT * FROM p1 UNION ALL SELECT trial_id, n FROM p2 UNION ALL SELECT * FROM p3),
+    cs AS (SELECT sp.* FROM sp JOIN chosen USING (trial_id, n)),
+    ends AS (SELECT trial_id, 2 * n AS n, GL AS g, HL AS h FROM cs UNION ALL SELECT trial_id, 2 * n + 1, GR, HR FROM cs),
+    leaf AS (SELECT e.trial_id, e.n, -g / (h + {LAM}::DOUBLE) * lr AS w FROM ends e JOIN cand USING (trial_id) WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.trial_id = e.trial_id AND cs.n = e.n)),
+    lv AS (SELECT trial_id, n, w, CASE WHEN n < 2 THEN 0 WHEN n < 4 THEN 1 WHEN n < 8 THEN 2 ELSE 3 END AS l FROM leaf)
+    SELECT trial_id, CAST(CASE WHEN n < 2 THEN 0 WHEN n < 4 THEN 1 ELSE 2 END AS INTEGER) AS level, CAST(CASE WHEN n < 2 THEN n - 1 WHEN n < 4 THEN n - 2 ELSE n - 4 END AS BIGINT) AS node,
+           CAST(j AS INTEGER) AS feature, CAST(b AS INTEGER) AS bin, NULL::DOUBLE AS leaf_value FROM cs
+    UNION ALL SELECT trial_id, CAST(d AS INTEGER), CAST((n - (1 << l)) << (d - l) AS BIGINT), NULL, NULL, round(w, 6) FROM lv JOIN full_depth USING (trial_id)"""
+
+
 # ---------------------------------------------------------------- support vector models
 def _svm_rows_sql(label="cls"):
     feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

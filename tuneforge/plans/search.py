@@ -12,12 +12,15 @@ import os
 import sys
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from threading import Lock
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tuneforge.operators import swarm as sw
 from tuneforge.operators.candidates import decode_candidates, grid_enumerate, random_candidates
@@ -36,10 +39,12 @@ def linear_fitness(rows: DataFrame, features: list, weights: list[str], split: s
     feats = [F.col(f) if isinstance(f, str) else f for f in features]
     src = src.select("key", "label", "split", *[f.alias(f"_in{i}") for i, f in enumerate(feats)])
     cache: dict = {}
+    lock = Lock()
 
     def fit(cands: DataFrame) -> DataFrame:
-        if "rows" not in cache:   # scanned once per search, then read from the checkpoint
-            cache["rows"] = materialize(src)
+        with lock:
+            if "rows" not in cache:   # scanned once per search, then read from the checkpoint
+                cache["rows"] = materialize(src)
         fields = list(weights) + ([intercept] if intercept else [])
         batch = collect_batch(cands, fields)
         scores = linear_scores(cache["rows"], batch, [f"_in{i}" for i in range(len(feats))], weights, intercept)
@@ -64,14 +69,42 @@ def evaluated(fitness: Fitness, cands: DataFrame) -> DataFrame:
     return costs.select("trial_id", cost.alias("cost"), F.when(cost.isNull(), F.lit("failed")).otherwise(F.coalesce(own[0], status)).alias("status"), reason.alias("error"))
 
 
-def evaluate_in_chunks(fitness: Fitness, cands: DataFrame, n_ids: int, chunk: int) -> DataFrame:
-    """Evaluate candidates with trial ids below ``n_ids``, ``chunk`` ids at a time, into one
-    written table: a batch on the driver never exceeds ``chunk`` candidates."""
-    path = f"{ensure_checkpoint_dir(cands.sparkSession).rstrip('/')}/trials/{uuid.uuid4().hex}"
-    for start in range(0, n_ids, chunk):
-        batch = cands.filter((F.col("trial_id") >= start) & (F.col("trial_id") < start + chunk))
-        evaluated(fitness, batch).write.mode("append").parquet(path)
-    return cands.sparkSession.read.parquet(path)
+#: Chunks of candidates whose jobs run side by side.
+IN_FLIGHT = 2
+
+
+def evaluate_in_chunks(fitness: Fitness, cands: DataFrame, n_ids: int, chunk: int, in_flight: int = IN_FLIGHT) -> DataFrame:
+    """Evaluate candidates with trial ids below ``n_ids``, ``chunk`` ids at a time, into written
+    tables: a batch on the driver never exceeds ``chunk`` candidates.
+
+    Chunks depend on nothing but the rows, so up to ``in_flight`` of them run at once, each in its own
+    scheduler pool (they share the cores evenly if ``spark.scheduler.mode`` is FAIR): while one waits for
+    its last tasks, another's fill the cores. The first error ends the search."""
+    spark = cands.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trials/{uuid.uuid4().hex}"
+    starts = list(range(0, n_ids, chunk))
+
+    def one(start: int) -> str:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"chunks-{start // chunk % in_flight}")
+        try:
+            batch = cands.filter((F.col("trial_id") >= start) & (F.col("trial_id") < start + chunk))
+            own = f"{path}/{start}"
+            evaluated(fitness, batch).write.parquet(own)
+            return own
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    if in_flight < 2 or len(starts) < 2:
+        paths = [one(s) for s in starts]
+    else:
+        with ThreadPoolExecutor(in_flight) as pool:
+            waiting = [pool.submit(inheritable_thread_target(spark)(one), s) for s in starts]
+            try:
+                paths = [f.result() for f in waiting]
+            except BaseException:
+                pool.shutdown(wait=False, cancel_futures=True)
+                raise
+    return spark.read.parquet(*paths)
 
 
 @dataclass
