@@ -655,7 +655,7 @@ def q_gbdt_leaf_wise():
     return f"""WITH {LI}, {', '.join(ctes)}, sp AS ({every}),
     full_depth(trial_id, d) AS (VALUES {full}),
     p1 AS (SELECT trial_id, 1 AS n FROM sp WHERE n = 1),
-    p2 AS (SELECT trial_id, n FROM sp JOIN p1 USING (trial_id) WHERE sp.n IN (2, 3) QUALIFY row_number() OVER (PARTITION BY trial_id ORDER BY gain DESC, sp.n) = 1),
+    p2 AS (SELECT trial_id, sp.n FROM sp JOIN p1 USING (trial_id) WHERE sp.n IN (2, 3) QUALIFY row_number() OVER (PARTITION BY trial_id ORDER BY gain DESC, sp.n) = 1),
     p3 AS (SELECT sp.trial_id, sp.n FROM sp JOIN p2 ON p2.trial_id = sp.trial_id WHERE (sp.n IN (2, 3) AND sp.n <> p2.n) OR sp.n IN (2 * p2.n, 2 * p2.n + 1)
            QUALIFY row_number() OVER (PARTITION BY sp.trial_id ORDER BY gain DESC, sp.n) = 1),
     chosen AS (SELECT * FROM p1 UNION ALL SELECT trial_id, n FROM p2 UNION ALL SELECT * FROM p3),
