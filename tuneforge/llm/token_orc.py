@@ -14,11 +14,12 @@ folder. Only doc_id and text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,21 +29,25 @@ SCHEMA = "doc_id long, block int, block_start long, n_tokens int, ids array<int>
 
 #: Words kept with their ids by a worker process: the first ones, until too many others come.
 CACHE_WORDS = 1_000_000
+#: A space that is followed by white space or the end of the text, and how the vocabulary writes a space.
+ODD, SPACE_MARK = r" (?:[\s\x0b\x1c-\x1f\x{85}\pZ]|$)", "\u0120"
 
 
 class WordCachedEncoder:
     """Whole-text ids of a tokenizers file, with the ids of repeated words remembered.
 
     A byte-level pre-tokenizer without prefix space never joins what stands before a space
-    with what follows it, if a character other than white space follows. Texts are cut at
-    those spaces, and each piece with its leading space is encoded once by the tokenizer.
-    For other kinds of tokenizers whole texts are encoded as they are.
+    with what follows it, if a character other than white space follows. Texts in which each space is
+    followed by such a character are split at their spaces by Arrow, and the words of a block of texts are
+    dictionary-encoded, so that Python sees each distinct word once a block. New words are encoded by the
+    tokenizer, many in one call: a word's ids begin where a token begins with the space. The ids of all
+    words are then gathered by their places in one array. Other texts, and all texts of
+    other kinds of tokenizers, are encoded as they are.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import json
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -53,63 +58,117 @@ class WordCachedEncoder:
         pre = spec.get("pre_tokenizer") or {}
         spaced = any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spaced
-        self.cache_words, self.words, self.late = cache_words, {}, 0
-        self.odd = re.compile(r" (?:\s|\Z)")
-        self.cut = re.compile(r" (?=\S)")
-        self.marks = dict(zip(".,", self._encode([".", ","])))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.begins[i] = token.startswith(SPACE_MARK)
+        self.cache_words = cache_words
+        self.marks = {m: self._encode([m])[0] for m in ".,"}
+        self._forget()
+
+    def _forget(self) -> None:
+        """words: the number of each kept word; its ids are pool[start:start + size]."""
+        self.words, self.late = {}, 0
+        self.start, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words with their leading space, end to end, and the size of each."""
+        joined = [" " + " ".join(words[k : k + 512]) for k in range(0, len(words), 512)]
+        ids = np.concatenate(self._encode(joined)) if joined else np.empty(0, np.uint32)
+        begin = np.flatnonzero(self.begins[ids])
+        if len(begin) != len(words):  # a word that does not begin with the space's token
+            parts = self._encode([" " + w for w in words])
+            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, np.diff(begin, append=len(ids))
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.words), len(words)
+        self.start, self.size = _grown(self.start, n + m), _grown(self.size, n + m)
+        self.pool = _grown(self.pool, self.used + len(ids))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + m] = sizes
+        self.words.update(zip(words, range(n, n + m), strict=True))
+        self.used += len(ids)
+
+    def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """start and size of the ids of distinct words in an array, which is the third result."""
+        number = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(number < 0)
+        if not len(missing):
+            return self.start[number], self.size[number], self.pool[: self.used]
+        new, extra_ids, extra_at, extra_sizes = [], [], [], []
+        for k in missing.tolist():
+            word = words[k]
+            mark = self.marks.get(word[-1:])
+            stem = self.words.get(word[:-1], -1) if mark is not None and word[-2:-1].isalpha() else -1  # a mark behind a letter is a piece of its own
+            if stem >= 0:
+                ids = np.concatenate([self.pool[self.start[stem] : self.start[stem] + self.size[stem]], mark])
+                extra_at.append(k)
+                extra_ids.append(ids)
+                extra_sizes.append(len(ids))
+            else:
+                new.append(k)
+        ids, sizes = self._encode_words([words[k] for k in new])
+        order = np.array(new + extra_at, np.int64)
+        ids, sizes = np.concatenate([ids, *extra_ids]), np.concatenate([sizes, np.array(extra_sizes, np.int64)])
+        start, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        had = number >= 0
+        start[had], size[had] = self.start[number[had]], self.size[number[had]]
+        start[order], size[order] = self.used + np.cumsum(sizes) - sizes, sizes
+        if len(self.words) + len(order) <= self.cache_words:
+            self._keep([words[k] for k in order.tolist()], ids, sizes)
+            return start, size, self.pool[: self.used]
+        self.late += len(order)
+        return start, size, np.concatenate([self.pool[: self.used], ids])
+
+    def encode_column(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end (with the id ``end`` after each), and the number of each text's."""
+        if self.late > 8 * self.cache_words:  # the words of these texts are others than those kept
+            self._forget()
+        n = len(texts)
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.by_word else np.ones(n, bool)
+        # One list of pieces for each text: itself if it is odd, else its words; the first has no leading space.
+        split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        counts = np.ones(n, np.int64)
+        counts[~odd] = np.diff(split.offsets.to_numpy())
+        ends = np.cumsum(counts)
+        heads = ends - counts
+        plain_heads = split.offsets.to_numpy()[:-1]
+        flat = split.flatten()
+        tail = np.ones(len(flat), bool)
+        tail[plain_heads - split.offsets[0].as_py()] = False
+        coded = flat.filter(pa.array(tail)).dictionary_encode()
+        starts, sizes, pool = self._known(coded.dictionary.to_pylist())
+        first = np.empty(n, object)
+        first[odd] = texts.filter(pa.array(odd)).to_pylist()
+        first[~odd] = flat.filter(pa.array(~tail)).to_pylist()
+        head_ids = self._encode(first.tolist())
+        head_sizes = np.array([len(h) for h in head_ids], np.int64)
+        pool = np.concatenate([pool, *head_ids, np.array([0 if end is None else end], np.uint32)])
+        at, size = np.empty(int(counts.sum()), np.int64), np.empty(int(counts.sum()), np.int64)
+        which = coded.indices.to_numpy()
+        words = np.ones(len(at), bool)
+        words[heads] = False
+        at[words], size[words] = starts[which], sizes[which]
+        at[heads], size[heads] = len(pool) - 1 - int(head_sizes.sum()) + np.cumsum(head_sizes) - head_sizes, head_sizes
+        if end is not None:  # a piece of one id behind each text
+            at, size = np.insert(at, ends, len(pool) - 1), np.insert(size, ends, 1)
+            ends = ends + np.arange(1, n + 1)
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = pool[np.arange(int(before[-1])) + np.repeat(at - before[:-1], size)]
+        return ids, np.diff(before[ends], prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if not self.by_word:
-            return self._encode(texts)
-        if self.late > 8 * self.cache_words:  # the words of these texts are others than those kept
-            self.words, self.late = {}, 0
-        pieces, heads = [], []
-        for text in texts:
-            parts = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-            heads.append(parts[0])
-            pieces.append(parts)
-        words = self.words
-        found, holes, missing = [], [], set()
-        for parts in pieces:
-            got = list(map(words.get, parts))
-            got[0] = b""
-            hole = []
-            for k in [k for k, ids in enumerate(got) if ids is None]:
-                word = parts[k]
-                mark = self.marks.get(word[-1:])
-                if mark and word[-2:-1].isalpha():  # a mark behind a letter is a piece of its own
-                    stem = words.get(word[:-1])
-                    if stem is None:
-                        missing.add(word[:-1])
-                        hole.append((k, word[:-1], mark))
-                    else:
-                        got[k] = stem + mark
-                        if len(words) < self.cache_words:
-                            words[word] = got[k]
-                else:
-                    missing.add(word)
-                    hole.append((k, word, b""))
-            found.append(got)
-            holes.append(hole)
-        new, fresh = list(missing), {}
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            fresh.update(zip(some, self._encode([" " + w for w in some])))
-        if len(words) < self.cache_words:
-            words.update(fresh)
-        else:
-            self.late += len(fresh)
-        out = []
-        for head, parts, got, hole in zip(self._encode(heads), pieces, found, holes):
-            for k, word, mark in hole:
-                got[k] = fresh[word] + mark
-            got[0] = head
-            out.append(b"".join(got))
-        return out
+        ids, sizes = self.encode_column(pa.array(texts, pa.string()))
+        return [part.astype("<u4").tobytes() for part in np.split(ids, np.cumsum(sizes)[:-1])] if len(texts) else []
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
 _ENCODERS: dict[tuple[str, int], WordCachedEncoder] = {}
@@ -122,20 +181,25 @@ def _encoder(path: str, cache_words: int) -> WordCachedEncoder:
     return _ENCODERS[path, cache_words]
 
 
+def _strings(texts: pa.Array) -> pa.Array:
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are not UTF-8
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+
 def _encode_blocks(path: str, end_id: int, cache_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before, block = _encoder(path, cache_words), 0, None
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids, block_ids, texts = batch.column(0), batch.column(1), batch.column(2)
-            for i, j, _, _ in blocks(texts, 1_000_000):
-                ids = [np.frombuffer(x + end, "<i4") for x in encoder.encode([t.decode("utf-8", "replace") for t in texts.slice(i, j - i).to_pylist()])]
-                sizes = np.array([len(x) for x in ids], np.int64)
+            for i, j, _, _ in blocks(texts, 4_000_000):
+                ids, sizes = encoder.encode_column(_strings(texts.slice(i, j - i)), end_id)
                 if block_ids[i].as_py() != block:
                     block, before = block_ids[i].as_py(), 0
                 starts = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(i, j - i), block_ids.slice(i, j - i), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "block", "block_start", "n_tokens", "ids"])
     return run
 
