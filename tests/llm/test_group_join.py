@@ -65,6 +65,55 @@ def corpus(seed, n):
     return list(enumerate(texts, 10))
 
 
+def brute_rows(rows):
+    """(doc_id, n_shingles, component_id) of rows whose ids may repeat or be null: each row is a set of its own."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=repr)
+
+
+def got_rows(frame):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in frame.collect()), key=repr)
+
+
+def test_a_leader_under_an_id_that_also_follows(make_docs):
+    """Document 5 leads the group of A and repeats the text B of document 2: its link to 9 stays."""
+    a = " ".join(f"a{k}" for k in range(60))
+    b = " ".join(f"b{k}" for k in range(60))
+    rows = [(2, b), (5, a), (5, b), (9, a + " more")]
+    assert got_rows(G.near_duplicates(make_docs(rows))) == brute_rows(rows)
+    assert (9, 57, 5) in brute_rows(rows)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_repeated_and_null_ids_against_all_pairs(make_docs, seed):
+    rng = random.Random(seed)
+    rows = [(None if rng.random() < 0.2 else rng.randrange(60), t) for _, t in corpus(seed, 200)]
+    rows += rng.choices(rows, k=30)
+    assert got_rows(G.near_duplicates(make_docs(rows))) == brute_rows(rows)
+
+
+def test_near_copies_without_ids_go(make_docs):
+    base = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, base), (None, base + " x"), (None, base + " y"), (3, "another text of its own that stays"), (None, "")]
+    left = G.one_of_each(make_docs(rows)).collect()
+    assert sorted((r["doc_id"] or 0, len(r["text"])) for r in left) in [[(0, 0), (0, n), (3, 34)] for n in (len(base), len(base) + 2)]
+
+
 @pytest.mark.parametrize("seed,hot_df", [(1, 16), (2, 2), (3, 10_000)])
 def test_components_against_all_pairs(make_docs, seed, hot_df):
     rows = corpus(seed, 250)

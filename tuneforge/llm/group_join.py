@@ -19,8 +19,9 @@ for each two of the block's classes that a candidate joins, so that components a
 links grow with the rows.
 
 Definitions for odd rows: null and empty texts have empty sets and link with nothing. Rows that
-repeat a doc_id are separate sets under one id. A row with a null doc_id cannot name a component:
-it gets that of its identical sets, else null. Only doc_id and text are read.
+repeat a doc_id are separate sets under one id. Rows with a null doc_id link like all others (they
+stand under a hash of their text), but cannot name a component: one without any doc_id has a null
+component_id. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ MAX_HOT = 1 << 22
 #: The sets of a block hold about so many hashes.
 BLOCK_HASHES = 1_000_000
 SIGNATURE = "doc_id long, text_hash long, n int, cls string, gkey long, prefix array<long>"
+#: What a row is looked up by: its doc_id, or a hash of its text.
+REF = "coalesce(doc_id, text_hash)"
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -192,26 +195,28 @@ def verified(docs: DataFrame, classes: DataFrame, blocked: DataFrame, wanted: Da
     hubs = blocked.join(wanted.select("block").distinct(), "block", "left_semi").join(classes, "gkey").select("block", "cls")
     members = wanted.join(classes, "gkey").select("block", "cls")
     many = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
-    many = written(many)
+    many = small(written(many))  # so that a block's many candidates are not dealt by block
     part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     rows = members.join(many, "block").select("block", part.alias("part"), F.lit(1).alias("role"), "cls").union(
         hubs.join(many, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "cls"))
     rows = written(rows)
-    ids = written(rows.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct())
-    texts = _text_rows(docs).drop("text_hash").join(small(ids, 2_000_000), "doc_id", "left_semi").mapInArrow(_classed_texts(k), "cls string, text binary")
+    ids = written(rows.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("ref")).distinct())
+    texts = _text_rows(docs).selectExpr(f"{REF} AS ref", "text").join(small(ids, 2_000_000), "ref", "left_semi").mapInArrow(_classed_texts(k), "cls string, text binary")
     shipped = rows.join(texts, "cls").select("block", "part", "role", "cls", "text")
     return shipped.repartition("block", "part").sortWithinPartitions("block", "part", "role").mapInArrow(_verify(k, num, den), "a string, b string").distinct()
 
 
 def link_classes(docs: DataFrame, sigs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """classes (cls, n, gkey, rep) and components (node, component) of the classes that link."""
-    named = sigs.where("n > 0 and doc_id is not null")
-    classes = written(named.groupBy("cls", "n", "gkey").agg(F.min("doc_id").alias("rep")))
+    """classes (cls, n, gkey, rep, least_id) and components (node, component) of the classes that link."""
+    named = sigs.where("n > 0").withColumn("ref", F.expr(REF))
+    classes = written(named.groupBy("cls", "n", "gkey").agg(F.min("ref").alias("rep"), F.min("doc_id").alias("least_id")))
     leaders = classes.groupBy("gkey", "n").agg(F.min(F.struct("rep", "cls")).alias("leader"), F.count(F.lit(1)).alias("n_classes"))
     leaders = written(leaders.select("gkey", "n", "leader.rep", "leader.cls", "n_classes"))
 
-    followers = written(named.select("doc_id", "cls").join(leaders.select("cls", "rep"), "cls", "left").where("rep is null or rep <> doc_id").select("doc_id").distinct())
-    postings = named.select("doc_id", "gkey", "prefix").join(small(followers, 2_000_000), "doc_id", "left_anti").select(F.explode("prefix").alias("token"), "gkey")
+    # A row follows by its class: another row under its id may lead.
+    followers = named.select("ref", "cls").join(leaders.select("cls", "rep"), "cls", "left").where("rep is null or rep <> ref")
+    followers = written(followers.select("ref", F.xxhash64("cls").alias("of")).distinct())
+    postings = named.select("ref", "gkey", "prefix", F.xxhash64("cls").alias("of")).join(small(followers, 2_000_000), ["ref", "of"], "left_anti").select(F.explode("prefix").alias("token"), "gkey")
     along = Window.partitionBy("token").orderBy("gkey")
     lists = postings.select("token", "gkey", F.first("gkey").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("gkey").over(along).alias("next"))
     lists = lists.where("first <> gkey or next <> gkey").select("token", "gkey")
@@ -239,8 +244,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100,
     hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(docs, k, hot_df))
     sigs = written(_text_rows(docs).mapInArrow(_signatures(k, num, den, hot), SIGNATURE))
     classes, found = link_classes(docs, sigs, k, num, den)
-    labelled = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labelled = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least_id", F.coalesce("component", "cls").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_class = labelled.join(least, "component").groupBy("cls").agg(F.min("component").alias("component"), F.min("component_id").alias("component_id"))
     rows = sigs.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "cls").join(by_class, "cls", "left")
     component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
