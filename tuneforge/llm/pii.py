@@ -3,10 +3,10 @@
 An Aho-Corasick automaton finds the anchors of a text in one pass: at-signs, plus signs, digits,
 URL schemes and identifier cues. At each anchor a deterministic local parser expands to both
 sides and validates: ``email``, ``ip``, ``card`` and ``phone`` by the base grammar, ``address``
-(the authority after a scheme, if it carries user information or an IP host) and ``account`` (an
+(the authority after a scheme, if it carries user information or an IPv4 or IPv6 host) and ``account`` (an
 identifier of digits, or letters and digits, behind an identifier cue; of what has the form of an
 IBAN, the longest run of whole groups that passes the check digits; of others, the groups up to the
-first without a digit). Parsers never look back beyond the end of their kind's last match, so that
+first without a digit, 34 characters at most). Parsers never look back beyond the end of their kind's last match, so that
 results equal leftmost non-overlapping search, and each character is read a bounded number of times.
 
 Null texts are empty and give no spans. Offsets are code points, end exclusive. Each row is
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,9 +35,13 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 AUTHORITY = re.compile(r"[A-Za-z0-9._%+:@\[\]-]+")
-IDENTIFIER = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|id))?\x20?[:#=]?\x20?([A-Z]{0,4}[0-9][A-Z0-9]*(?:[\x20-][A-Z0-9]+(?!\w))*)")
-GROUP_END = re.compile(r"(?=[\x20-]|\Z)")
+LEAD = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|id))?\x20?[:#=]?\x20?(?=[A-Z]{0,4}[0-9])")
+GROUP = re.compile(r"[A-Z0-9]{1,35}")
+IPV6 = re.compile(r"\[([0-9A-Fa-f:.]{2,45})\]")
 SCHEMES = ["://"]
+DIGITS = frozenset("0123456789")
+#: An identifier has at most so many letters and digits (the longest IBAN).
+MAX_IDENTIFIER = 34
 CUES = ["account", "Account", "ACCOUNT", "acct", "Acct", "IBAN", "iban", "Konto", "konto", "compte", "cuenta", "passport", "Passport", "SSN", "ssn", "tax id", "Tax ID"]
 
 
@@ -54,17 +59,35 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
-def account_length(run: str) -> int:
-    """How much of a run of groups is an identifier, 0 if none of it is."""
-    ends = [m.start() for m in GROUP_END.finditer(run)]
-    values = [run[:end].replace(" ", "").replace("-", "") for end in ends]
-    form = re.match(r"[A-Z]{2}[0-9]{2}", values[-1])
-    if form and (passed := [end for end, value in zip(ends, values) if 15 <= len(value) <= 34 and iban(value)]):
+def account_end(text: str, at: int) -> int:
+    """Where an identifier that begins at ``at`` ends, 0 if there is none. Whole groups are read up to
+    ``MAX_IDENTIFIER`` characters, so the time does not depend on what follows."""
+    value, ends, numeric, plain_value = "", [], 0, ""
+    pos, still = at, True
+    while m := GROUP.match(text, pos):
+        whole = m.end() == len(text) or not (text[m.end()].isalnum() or text[m.end()] == "_")
+        if len(value) + len(m[0]) > MAX_IDENTIFIER or (ends and not whole):
+            break
+        value += m[0]
+        ends.append((m.end(), value))
+        still = still and any(c in DIGITS for c in m[0])
+        if still:
+            numeric, plain_value = m.end(), value
+        if not whole or m.end() == len(text) or text[m.end()] not in " -":
+            break
+        pos = m.end() + 1
+    form = re.match(r"[A-Z]{2}[0-9]{2}", value)
+    if form and (passed := [end for end, v in ends if len(v) >= 15 and iban(v)]):
         return passed[-1]
-    groups = re.split(r"[\x20-]", run)
-    last = next((k for k, g in enumerate(groups) if not re.search("[0-9]", g)), len(groups)) - 1
-    value = values[last]
-    return ends[last] if len(value) <= 34 and sum(c in "0123456789" for c in value) >= 6 and not (form and len(value) >= 15) else 0
+    return numeric if sum(c in DIGITS for c in plain_value) >= 6 and not (form and len(plain_value) >= 15) else 0
+
+
+def ipv6(authority: str) -> bool:
+    m = IPV6.match(authority)
+    try:
+        return bool(m) and IPv6Address(m[1]) is not None
+    except ValueError:
+        return False
 
 
 def automaton():
@@ -80,7 +103,7 @@ def automaton():
 def spans_of(text: str, anchors) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of every span of a text, by start and kind."""
     out: list[tuple[int, int, int]] = []
-    email_end = ip_end = card_end = phone_end = account_end = 0
+    email_end = ip_end = card_end = phone_end = identifier_end = 0
     for last, word in anchors.iter(text):
         if word in "0123456789":
             if last and text[last - 1] in "0123456789":
@@ -107,12 +130,11 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, int]]:
                 if 9 <= sum(c in "0123456789" for c in m[0]) <= 15:
                     out.append((last, 3, phone_end))
         elif word == "://":
-            if (m := AUTHORITY.match(text, last + 1)) and ("@" in m[0] or IP.match(m[0])):
+            if (m := AUTHORITY.match(text, last + 1)) and ("@" in m[0] or IP.match(m[0]) or ipv6(m[0])):
                 out.append((last + 1, 4, m.end()))
-        elif last + 1 >= account_end and (m := IDENTIFIER.match(text, last + 1)):
-            if length := account_length(m[1]):
-                account_end = m.start(1) + length
-                out.append((m.start(1), 5, account_end))
+        elif last + 1 >= identifier_end and (m := LEAD.match(text, last + 1)) and (end := account_end(text, m.end())):
+            identifier_end = end
+            out.append((m.end(), 5, end))
     out.sort()
     return out
 
