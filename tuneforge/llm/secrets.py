@@ -1,11 +1,16 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty of strings in context.
 
-Base kinds are ``assign``, ``access`` and ``hex``. The method adds ``novel``: a candidate is a
-run of 16 or more key characters with a sensitive cue in the 48 bytes before it on its line. It
-is compressed after its surroundings (256 bytes on either side, without the candidate), by a
-compressor primed with a dictionary of code identifiers; the bytes it adds to the compressed
-size, over its length, are its novelty. Text that repeats its surroundings or consists of known
-identifiers adds little; keys and passwords add nearly their length and are reported.
+Base kinds are ``assign``, ``access`` and ``hex``. The method adds ``novel``: a candidate is a whole run
+of 16 or more key characters that begins at most ``REACH`` bytes after a sensitive cue or ends at most so
+many before it, in whatever line (of a name that holds the cue, what stands behind it), or that follows a reported string with nothing but white space between (values of several
+lines). It is compressed after its surroundings (``CONTEXT`` bytes on either side, less its own copies), by a
+compressor primed with a dictionary of identifiers: a fixed list of code words and the ``DICTIONARY``
+most frequent words of the corpus (counted over all documents). The bytes it adds to the
+compressed size, over its length, are its novelty. Text that consists of known identifiers or of what
+stands around it adds little; keys and passwords add nearly their length and are reported, each copy.
+
+Limits, all parameters: 16 characters, ``REACH``, ``CONTEXT``, ``DICTIONARY`` and the threshold (0.6: random keys of
+nine forms score 0.75 or more, see the tests). Runs without a cue in reach are not judged.
 
 Null texts are empty and give no spans. Offsets are code points, end exclusive. Rows that
 repeat are each judged alone; null doc_ids and extra columns do not matter. A text is searched
@@ -55,7 +60,13 @@ string struct style submit subscribe success super switch system table target ta
 timestamp title token transaction true type undefined unique unit update upload user username utils valid validate
 value variable vector version view virtual void widget width window worker write xml yaml
 """.split()
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
+MIN_KEY = 16
+CANDIDATE, RUN = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}"), re.compile(rb"[A-Za-z0-9+/_.=-]+")
+KEY_BYTES = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+NAME = re.compile(rb"(?:[A-Za-z_.-]*=+)?")
+BLANK = re.compile(rb"[\x20\t\r\n]{0,16}")
+#: Bytes between a cue and a candidate, bytes of surroundings on either side, words of the corpus that prime the compressor.
+REACH, CONTEXT, DICTIONARY = 48, 256, 4096
 
 
 def _starts(data: bytes, cue: bytes) -> Iterator[int]:
@@ -68,11 +79,12 @@ def _starts(data: bytes, cue: bytes) -> Iterator[int]:
 class Novelty:
     """Marginal compressed bytes of a candidate, over its length."""
 
-    def __init__(self, level: int = 3):
+    def __init__(self, corpus_words: list[str] = (), level: int = 3):
         import zstandard
 
-        words = "\n".join(IDENTIFIERS + [w.upper() for w in IDENTIFIERS] + [w.capitalize() for w in IDENTIFIERS]).encode()
+        words = "\n".join([*corpus_words, *IDENTIFIERS, *(w.upper() for w in IDENTIFIERS), *(w.capitalize() for w in IDENTIFIERS)]).encode()
         prior = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        prior.precompute_compress(level=level)
         self._compress = zstandard.ZstdCompressor(level=level, dict_data=prior, write_content_size=False).compress
 
     def __call__(self, around: bytes, candidate: bytes) -> float:
@@ -99,33 +111,43 @@ def base_spans(data: bytes, low: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
-def novel_spans(data: bytes, low: bytes, novelty: Novelty, threshold: float, context: int = 256, reach: int = 48) -> list[tuple[int, int, int, float]]:
+def near_cues(low: bytes, reach: int) -> list[tuple[int, int]]:
+    """Stretches within reach of a cue, merged."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted((at, at + len(cue)) for cue in CUES for at in _starts(low, cue)):
+        if out and begin - reach <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end + reach)
+        else:
+            out.append((begin - reach, end + reach))
+    return out
+
+
+def novel_spans(data: bytes, low: bytes, novelty: Novelty, threshold: float, context: int = CONTEXT, reach: int = REACH) -> list[tuple[int, int, int, float]]:
     """(start, kind number, end, novelty) of incompressible strings within reach of a cue."""
-    found: dict[int, tuple[int, int, int, float]] = {}
-    seen: set[int] = set()
-    for cue in CUES:
-        for at in _starts(low, cue):
-            pos = at + len(cue)
-            line = data.find(b"\n", pos, pos + reach)
-            until = pos + reach if line < 0 else line
-            while m := CANDIDATE.search(data, pos, until + 16 if line < 0 else line):
-                start = m.start()
-                if start in seen:
-                    break
-                seen.add(start)
-                value = CANDIDATE.match(data, start)[0]
-                pos = start + len(value)
-                score = novelty(data[max(0, start - context) : start] + data[pos : pos + context], value)
-                if score >= threshold and re.search(rb"[0-9]", value):
-                    found[start] = (start, 3, pos, score)
-                if pos > until:
-                    break
-    return list(found.values())
-
-
-def _scan(threshold: float):
+    found, done = [], 0
+    for begin, until in near_cues(low, reach):
+        pos = max(done, begin)
+        while pos > done and data[pos - 1] in KEY_BYTES:  # a run that ends within reach counts whole
+            pos -= 1
+        while m := CANDIDATE.search(data, pos, until + MIN_KEY):
+            start, stop = m.start(), RUN.match(data, m.start()).end()
+            pos = done = stop
+            if (inner := max(low.rfind(cue, start, stop) + len(cue) if cue in low[start:stop] else 0 for cue in CUES)) > start:
+                start = NAME.match(data, inner, stop).end()  # a name with a cue: what stands behind it
+                if stop - start < MIN_KEY:
+                    continue
+            value = data[start:stop]
+            score = novelty((data[max(0, start - context) : start] + data[stop : stop + context]).replace(value, b""), value)
+            if score >= threshold:
+                found.append((start, 3, stop, score))
+                blank = BLANK.match(data, stop).end()  # a value of several lines goes on behind white space
+                until = max(until, blank)
+    return found
+
+
+def _scan(threshold: float, corpus_words: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(corpus_words)
         schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("novelty", pa.float64())])))])
         for batch in batches:
             rows = []
@@ -154,7 +176,15 @@ def _points(data: bytes, spans: list[tuple]) -> list[dict]:
     return [{"kind": KINDS[k], "start": at[a], "end": at[b], "value": data[a:b].decode("utf-8", "replace"), "novelty": score} for a, k, b, score in spans]
 
 
+def corpus_words(docs: DataFrame, n: int = DICTIONARY) -> list[str]:
+    """The ``n`` most frequent words (4 to 40 letters or underscores) of all documents that occur twice
+    or more, the most frequent last (nearest to what the compressor reads)."""
+    words = docs.select(F.explode(F.regexp_extract_all(text_or_empty(), F.lit("[A-Za-z_]{4,40}"), F.lit(0))).alias("word"))
+    top = words.groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(n).collect()  # n rows
+    return [r["word"] for r in reversed(top)]
+
+
 def find_secrets(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
     """doc_id and the spans of each text, by start and kind, with values and novelty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(_scan(threshold), SCHEMA)
+    return rows.mapInArrow(_scan(threshold, corpus_words(docs)), SCHEMA)
