@@ -19,11 +19,40 @@ WANT = {1: ("net/", "block"), 2: (None, "block"), 3: (None, "block"), 4: ("examp
         10: ("example.com/de/", "block"), 11: (None, "block"), 12: (None, "allow"), None: (None, "allow"), 13: ("net/", "block"), 14: (None, "allow"), 15: (None, "block"), 16: (None, "block"), 17: (None, "allow"), 18: (None, "allow")}
 
 
+#: Links of every form to a blocked page and to an allowed one: (page, link); each page must share their verdicts.
+LINKS = [
+    ("http://n.io/a/b/page", "target.html"), ("http://n.io/a/b/c/page", "../target.html"), ("http://n.io/a/b/c/d/page?x=/y", "./.././../target.html"), ("http://n.io/z#f", "/q/.././a/b/target.html"),
+    ("http://n.io", "a/b/target.html"), ("http://n.io/up", "../../a/b/target.html"), ("http://n.io/s/", "//n.io/a/b/target.html"), ("http://n.io/a/b/target.html?k=1", "?k=2&amp;l=3"), ("http://n.io/amp", "/a/b/target.html?k=2&#38;l=3"),
+    ("http://m.io/go", "/t?u=https://zz.io/x"), ("http://m.io/away", "http://n.io/t/../a/b/target.html"),
+]
+FORMS = [(100 + i, page, (canonical if i % 2 else refresh)(link)) for i, (page, link) in enumerate(LINKS)]
+FORMS += [(200, "http://n.io/a/b/target.html", canonical("http://blocked.net/")), (201, "http://n.io/a/b/target.html?k=2&l=3", canonical("/a/b/target.html")), (202, "http://m.io/t?u=https://zz.io/x", canonical("http://other.net/")),
+          (203, "https://zz.io/x", ""), (204, "http://m.io/mail", canonical("mailto:a@blocked.net")), (205, "http://m.io/self", canonical("#top")), (206, "http://m.io/none", canonical(""))]
+FORMS_WANT = {p: "block" for p, _, _ in FORMS} | {203: "allow", 204: "allow", 205: "allow", 206: "allow"}
+
+
+@pytest.fixture(params=[ROWS, FORMS], ids=["rules", "links"])
+def table(request):
+    return request.param
+
+
 @pytest.fixture
-def pages(spark):
-    return spark.createDataFrame([(*r, "clash", "clash") for r in ROWS], PAGE)
+def pages(spark, table):
+    return spark.createDataFrame([(*r, "clash", "clash") for r in table], PAGE)
+
+
+@pytest.mark.parametrize("table", [FORMS], indirect=True)
+def test_links_of_every_form(pages):
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_pages(pages).collect()} == FORMS_WANT
+
+
+def test_very_long_page(spark):
+    html = "<p>" + "x " * 1_000_000 + canonical("../b") + "<link " * 1000
+    pages = spark.createDataFrame([(1, "http://a.io/c/d", html, "", ""), (2, "http://a.io/b", canonical("http://x.net/"), "", "")], PAGE)
+    assert [r["verdict"] for r in url_filter.judge_pages(pages).orderBy("page_id").collect()] == ["block", "block"]
 
 
+@pytest.mark.parametrize("table", [ROWS], indirect=True)
 def test_rules_and_aliases(pages):
     rows = url_filter.judge_pages(pages).collect()
     assert len(rows) == len(ROWS)
@@ -41,5 +70,6 @@ def test_sql_agrees_on_aliases(spark, pages, tmp_path):
     assert rows_of([tuple(r) for r in rows.collect()], rows.columns) == rows_of(rel.fetchall(), rel.columns)
 
 
+@pytest.mark.parametrize("table", [ROWS], indirect=True)
 def test_empty(pages):
     assert url_filter.judge_pages(pages.where("false")).collect() == []

@@ -121,7 +121,7 @@ SELECT sw.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FRO
 
 
 def op8() -> str:
-    from tuneforge.llm.url_filter import RULES
+    from tuneforge.llm.url_filter import ENTITIES, RULES
 
     bare = """regexp_replace(regexp_replace(regexp_replace({0}, '(?s)#.*$', ''),
       '([?&])(?:(?:utm_[a-z]+|gclid|fbclid|ref)=[^&]*(?:&|$))+', '\\1', 'g'), '[?&]$', '')"""
@@ -136,16 +136,26 @@ def op8() -> str:
     host = lambda u: f"coalesce({low.format(f'regexp_extract({rest.format(u)}, {chr(39)}^([^/?#]*){chr(39)}, 1)')}, '')"
     path = lambda u: f"coalesce(regexp_extract({rest.format(u)}, '(?s)^[^/?#]*([^?#]*)', 1), '')"
     rules = ", ".join(f"('{r.host}', '{r.path}', '{r.name}', '{r.verdict}')" for r in RULES)
+    decoded = "t"
+    for entity, char in ENTITIES:
+        decoded = f"replace({decoded}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    folded = "list_reduce(list_prepend('', string_split(substr(p, 2), '/')), lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END)"
     link = """'(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'"""
     refresh = """'(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'"""
     return f"""
 WITH RECURSIVE r(rh, rp, name, v) AS (VALUES {rules}),
 p AS (SELECT row_number() OVER () AS rid, page_id, url, html, {host('url')} AS host, {path('url')} AS path, {alias('url')} AS alias FROM pages),
 t AS (SELECT url, regexp_extract(unnest(regexp_extract_all(html, {link})), '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS t FROM p
-      UNION ALL SELECT url, regexp_extract(unnest(regexp_extract_all(html, {refresh})), '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1) FROM p),
-tt AS (SELECT url, CASE WHEN strpos(t, '://') > 0 THEN t
-         WHEN starts_with(t, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) || t
-         WHEN starts_with(t, '/') AND regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) <> '' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || t END AS t FROM t WHERE url IS NOT NULL),
+      UNION ALL SELECT url, regexp_extract(unnest(regexp_extract_all(html, {refresh})), '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM p),
+dt AS (SELECT url, {decoded} AS t, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*:') AS bs, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS bo,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS bp FROM t WHERE url IS NOT NULL),
+ft AS (SELECT url, regexp_matches(t, '^[?]') AS bare_query, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+         WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR bo = '' OR t = '' OR t[1] = '#' THEN NULL
+         WHEN t[1:2] = '//' THEN bs || t WHEN t[1] = '/' THEN bo || t WHEN t[1] = '?' THEN bo || bp || t
+         ELSE bo || coalesce(nullif(regexp_extract(bp, '(?s)^.*/'), ''), '/') || t END AS t FROM dt),
+st AS (SELECT url, t, bare_query, regexp_extract(t, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS o, regexp_extract(t, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM ft WHERE t IS NOT NULL),
+tt AS (SELECT url, CASE WHEN bare_query OR strpos(p, '/.') = 0 THEN t ELSE o
+         || CASE WHEN regexp_matches(p, '/[.][.]?$') THEN {folded} || '/' ELSE {folded} END || substr(t, length(o) + length(p) + 1) END AS t FROM st),
 e AS (SELECT DISTINCT {alias('url')} AS a, {alias('t')} AS b FROM tt WHERE t IS NOT NULL),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT DISTINCT x AS a, x AS b FROM (SELECT alias AS x FROM p WHERE url IS NOT NULL UNION SELECT a FROM s)

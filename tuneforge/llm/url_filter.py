@@ -1,7 +1,8 @@
 """URL filter with decisions carried along redirects and canonical links.
 
 Nodes are URLs without fragment and tracking parameters. Edges come from the pages: a canonical
-link (``link rel=canonical``), a meta refresh, and the page's own URL to its bare form. Connected
+link (``link rel=canonical``), a meta refresh, and the page's own URL to its bare form. Links are
+resolved as a browser does (absolute, rooted, relative, dotted, a query alone; entities decoded). Connected
 components (distributed, see ``components``) join the aliases of a page. A page that a rule fits
 gets the rule's verdict. Of the others, those in a component where some alias has an explicit
 allow are allowed, else those where some alias is blocked are blocked, and all others allowed:
@@ -77,7 +78,11 @@ def bare(url: Column) -> Column:
 LINK = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-TARGET = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+TARGET = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: Entities that stand in links, the ampersand last.
+ENTITIES = [("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")]
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+ORIGIN = SCHEME + "//[^/?#]*"
 
 
 def targets(html: Column) -> Column:
@@ -87,17 +92,48 @@ def targets(html: Column) -> Column:
     return F.concat(link, refresh)
 
 
+def decoded(target: Column) -> Column:
+    for entity, char in ENTITIES:
+        target = F.replace(target, F.lit(entity), F.lit(char))
+    return target
+
+
+def without_dots(path: Column) -> Column:
+    """A rooted path with its ``.`` and ``..`` segments carried out."""
+    parts = F.split(F.substring(path, 2, F.char_length(path)), "/", -1)
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, F.expr("CAST(array() AS array<string>)"), lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def cleaned(url: Column) -> Column:
+    head = F.regexp_extract(url, f"({ORIGIN})", 1)
+    rest = F.substring(url, F.char_length(head) + 1, F.char_length(url))
+    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
+    return F.concat(head, without_dots(path), F.substring(rest, F.char_length(path) + 1, F.char_length(rest)))
+
+
 def resolve(target: Column, base: Column) -> Column:
-    """An absolute URL of a target that is absolute or begins with a slash."""
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    return F.when(F.instr(target, "://") > 0, target).when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/") & (origin != ""), F.concat(origin, target))
+    """The URL that a link names on the page ``base``: absolute, without scheme, rooted, relative or a
+    query alone; null for other schemes (mailto:), places in the page itself, and pages without an origin."""
+    scheme, origin = F.regexp_extract(base, f"({SCHEME})//", 1), F.regexp_extract(base, f"({ORIGIN})", 1)
+    path = F.regexp_extract(base, f"{ORIGIN}([^?#]*)", 1)
+    folder = F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise(F.lit("/"))
+    return (
+        F.when(target.rlike(SCHEME + "//"), cleaned(target))
+        .when(target.rlike(SCHEME) | (origin == "") | (target == "") | target.startswith("#"), F.lit(None))
+        .when(target.startswith("//"), cleaned(F.concat(scheme, target)))
+        .when(target.startswith("/"), cleaned(F.concat(origin, target)))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .otherwise(cleaned(F.concat(origin, folder, target)))
+    )
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): a page's own bare URL and the bare form of each target. One scan of the html."""
     rows = pages.where("url is not null and html is not null").select("url", F.explode(targets(F.col("html"))).alias("target"))
-    return rows.select(bare(F.col("url")).alias("a"), bare(resolve(F.col("target"), F.col("url"))).alias("b")).where("b is not null and a <> b").distinct()
+    return rows.select(bare(F.col("url")).alias("a"), bare(resolve(decoded(F.col("target")), F.col("url"))).alias("b")).where("b is not null and a <> b").distinct()
 
 
 def judge_pages(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
