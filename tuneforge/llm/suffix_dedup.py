@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneforge.llm.common import scratch_path, small, text_or_empty
+from tuneforge.llm.common import blocks, scratch_path, small, text_or_empty
 from tuneforge.llm.hashing import _powers, mix
 
 #: Bytes of a repeated string, and 8-grams of which a start's trigger is the least.
@@ -118,29 +118,16 @@ def parse(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return trigger[new], starts[new], np.diff(new, append=len(starts))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    column = batch.column("data")
-    for i in range(len(column)):
-        value = column[i].as_buffer()
-        yield i, value
-
-
 def _packed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts of a batch side by side, up to PIECE bytes: rows, place of each in its text, bytes, ends."""
-    rows, places, parts, size = [], [], [], 0
-    for i, value in _texts(batch):
-        text = np.frombuffer(value, np.uint8)
-        for at in range(0, max(len(text) - LENGTH + 1, 0), PIECE):
-            piece = text[at : at + PIECE + LENGTH - 1]
-            if size and size + len(piece) > PIECE + LENGTH:
-                yield np.array(rows), np.array(places), np.concatenate(parts), np.cumsum([len(p) for p in parts])
-                rows, places, parts, size = [], [], [], 0
-            rows.append(i)
-            places.append(at)
-            parts.append(piece)
-            size += len(piece)
-    if rows:
-        yield np.array(rows), np.array(places), np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    """Texts of a batch side by side, up to PIECE bytes: rows, place of each in its text, bytes, ends. A
+    longer text is given in pieces that overlap, so that each start has its bytes in one of them."""
+    for i, j, buf, offsets in blocks(batch.column("data"), PIECE):
+        if len(buf) <= PIECE:
+            yield np.arange(i, j), np.zeros(j - i, np.int64), buf, offsets[1:]
+        else:
+            for at in range(0, len(buf) - LENGTH + 1, PIECE):
+                piece = buf[at : at + PIECE + LENGTH - 1]
+                yield np.array([i]), np.array([at]), piece, np.array([len(piece)])
 
 
 Cores = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -235,16 +222,18 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, Notes
         columns = [known, filled, batch.column("nth").to_numpy(), batch.column("base").to_numpy(), kinds]
         new = np.any([c[1:] != c[:-1] for c in columns], axis=0) | (kinds[1:] == TEXT)
         cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(batch)]])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = tuple(batch.column(c)[a].as_py() for c in KEY)
+        starts = cuts[:-1]
+        values = zip(starts.tolist(), cuts[1:].tolist(), known[starts].tolist(), *(c[starts].tolist() for c in columns[1:]), strict=True)
+        for a, b, has_id, doc_id, nth, base, kind in values:
+            own = doc_id if has_id else None, nth, base
             if key != own:
                 key, notes, copy = own, {}, False
-            if kinds[a] == TEXT:
+            if kind == TEXT:
                 yield own, copy, notes, batch.column("data")[a].as_buffer()
                 copy = True
             else:
-                old, now = notes.get(int(kinds[a])), (ats[a:b], ns[a:b])
-                notes[int(kinds[a])] = now if old is None else tuple(np.concatenate(x) for x in zip(old, now, strict=True))
+                old, now = notes.get(kind), (ats[a:b], ns[a:b])
+                notes[kind] = now if old is None else tuple(np.concatenate(x) for x in zip(old, now, strict=True))
 
 
 def _phrase_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,10 +311,9 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def removed_mask(size: int, notes: dict[int, tuple[np.ndarray, np.ndarray]], copy: bool) -> np.ndarray:
-    """Which bytes of a text go: those of later occurrences of phrases, of repeated starts, and all
-    strings of a copy of an earlier row."""
-    change = np.zeros(size + 1, np.int64)
+def removed_mask(size: int, notes: Notes, copy: bool) -> np.ndarray:
+    """Which bytes of a text go: those of later occurrences of phrases and parts, of repeated starts, and
+    all strings of a copy of an earlier row."""
     if copy and size >= LENGTH:
         return np.ones(size, bool)
     none = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -334,20 +322,34 @@ def removed_mask(size: int, notes: dict[int, tuple[np.ndarray, np.ndarray]], cop
         at, n = notes.get(every, none)
         later = ~np.isin(at, notes.get(first, none)[0])
         runs.append((at[later], n[later]))
-    for first, count in runs:
-        np.add.at(change, first, 1)
-        np.add.at(change, first + count.astype(np.int64) - 1 + LENGTH, -1)
-    return np.cumsum(change[:-1]) > 0
+    begin = np.concatenate([r[0] for r in runs])
+    end = np.concatenate([r[0] + r[1].astype(np.int64) for r in runs]) - 1 + LENGTH
+    return np.cumsum(np.bincount(begin, minlength=size + 1)[:size] - np.bincount(end, minlength=size + 1)[:size]) > 0
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in _KEPT.split(", ")]
+    names, types = [c.split()[0] for c in _KEPT.split(", ")], [pa.int64()] * 4 + [pa.binary()]
+    rows, size = [], 0
+
+    def give() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        rows.clear()
+        return out
+
     for (doc_id, _, _), copy, notes, value in _met(batches):
-        text = np.frombuffer(value, np.uint8)
-        gone = removed_mask(len(text), notes, copy)
-        spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
-        row = [doc_id, len(text), int(gone.sum()), spans, text[~gone].tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=names)
+        if not notes and not copy:
+            rows.append((doc_id, value.size, 0, 0, value.to_pybytes()))
+        else:
+            text = np.frombuffer(value, np.uint8)
+            gone = removed_mask(len(text), notes, copy)
+            spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
+            rows.append((doc_id, len(text), int(gone.sum()), spans, text[~gone].tobytes()))
+        size += value.size
+        if size > PIECE:
+            yield give()
+            size = 0
+    if rows:
+        yield give()
 
 
 def _texts_of(docs: DataFrame) -> DataFrame:
