@@ -245,3 +245,26 @@ def test_mlp_tasks_grow_with_rows(spark):
     df = spark.range(40_000).select(F.col("id").cast("string").alias("key"), F.array(F.rand(1), F.rand(2)).alias("features"), (F.rand(3) > 0.5).cast("double").alias("label"), F.lit("train").alias("split"))
     src = mlp._packed_shards(df, round(40_000 / mlp.SHARD_ROWS))
     assert src.rdd.getNumPartitions() == 5 and src.count() == 5
+
+
+@pytest.mark.parametrize("shape", ["spread", "clusters", "one place"])
+def test_local_best_of_a_large_swarm(spark, shape):
+    """Neighbours by cells are those of all distances, whatever the density of the swarm."""
+    rng = np.random.default_rng(8)
+    n, k = 10_000, 3
+    x = rng.random((n, 3)) * 10
+    if shape == "clusters":
+        x = np.round(np.concatenate([rng.normal(c, 0.01, (n // 4, 3)) for c in (1, 1.5, 8, 9)]), 2)  # many meet in one place
+    if shape == "one place":
+        x[50:] = 4.0
+    cost = np.where(rng.random(n) < 0.1, np.nan, rng.random(n))
+    rows = [(i, 0, x[i].tolist(), [0.0] * 3, None, [float(i)] * 3, None if np.isnan(cost[i]) else float(cost[i]), None, None, None, None) for i in range(n)]
+    schema = "pid long, sid int, x array<double>, v array<double>, cost double, pbest_x array<double>, pbest_cost double, nbest_x array<double>, nbest_cost double, gbest_x array<double>, gbest_cost double"
+    found = {r.pid: r for r in sw.local_best(spark.createDataFrame(rows, schema), k).collect()}
+    assert len(found) == n
+    for i in range(0, n, 37):
+        d = ((x - x[i]) ** 2).sum(1)
+        near = np.lexsort((np.arange(n), d))[:k]
+        known = [(cost[j], j) for j in near if not np.isnan(cost[j])]
+        assert found[i].nbest_cost == (min(known)[0] if known else None)
+        assert found[i].nbest_x == ([float(min(known)[1])] * 3 if known else None)

@@ -11,14 +11,16 @@ so a re-run (or a lost task) reproduces the same swarm.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tuneforge.functions.hashing import hash_uniform
 from tuneforge.operators.candidates import params_struct
 from tuneforge.operators.space import SearchSpace
+from tuneforge.session import cut_lineage
 
 # ---- fixed values: default swarm coefficients of the reference ----
 DEFAULT_OPTIONS = {"c1": 1.49618, "c2": 1.49618, "w": 0.7298}
@@ -27,6 +29,8 @@ DEFAULT_OPTIONS = {"c1": 1.49618, "c2": 1.49618, "w": 0.7298}
 INF = float("inf")
 _SCHEMA_COLS = ["pid", "sid", "x", "v", "cost", "pbest_x", "pbest_cost", "nbest_x", "nbest_cost", "gbest_x", "gbest_cost"]
 MAX_SWARM = 100_000
+#: Particles of one cell in a search for neighbours; smaller swarms are one list.
+CELL_ROWS = 64
 
 
 def swarm_init(spark: SparkSession, space: SearchSpace, n_particles: int, seed: int) -> DataFrame:
@@ -86,33 +90,98 @@ def global_best(swarm: DataFrame) -> DataFrame:
     return sw.select(*_SCHEMA_COLS)
 
 
-def local_best(swarm: DataFrame, k: int = 3, p: float = 2.0) -> DataFrame:
+def _distance(a: Column, b: Column, p: float) -> Column:
+    """Sum of the p-th powers of the differences: in the order of the p-norm."""
+    if p == 2:
+        terms = F.zip_with(a, b, lambda u, v: (u - v) * (u - v))
+    else:
+        terms = F.zip_with(a, b, lambda u, v: F.pow(F.abs(u - v), F.lit(float(p))))
+    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
+
+
+def _count_up_to(values: str, limit: Column) -> Column:
+    return F.size(F.filter(values, lambda c: c <= limit))
+
+
+def local_best(swarm: DataFrame, k: int = 3, p: float = 2.0, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Best personal best among each particle's ``k`` nearest particles (itself included),
-    distance = p-norm of current positions, ties by pid. The member list of one swarm is
-    bounded by ``n_particles``."""
-    members = swarm.groupBy("sid").agg(
-        F.collect_list(F.struct(F.col("pid").alias("pid"), F.col("x").alias("x"),
-                                F.col("pbest_cost").alias("c"), F.col("pbest_x").alias("px"))).alias("_m")
-    )
-    sw = swarm.join(members, "sid")   # one row per swarm, list bounded by n_particles
+    distance = p-norm of current positions, ties by pid.
 
-    def dist(m):
-        if p == 2:
-            terms = F.zip_with(F.col("x"), m["x"], lambda a, b: (a - b) * (a - b))
-        else:
-            terms = F.zip_with(F.col("x"), m["x"], lambda a, b: F.pow(F.abs(a - b), F.lit(float(p))))
-        return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
-
-    ranked = F.array_sort(F.transform(F.col("_m"), lambda m: F.struct(
-        dist(m).alias("d"), m["pid"].alias("pid"), F.coalesce(m["c"], F.lit(INF)).alias("c"), m["px"].alias("px"))))
-    neigh = F.slice(ranked, 1, int(k))
-    best = F.array_min(F.transform(neigh, lambda n: F.struct(n["c"].alias("c"), n["pid"].alias("pid"), n["px"].alias("px"))))
-    sw = sw.withColumn("_b", best)
+    Swarms of up to ``cell_rows`` particles are ranked in one list a swarm. Larger ones are cut into cells of
+    the position space (``_nearest_by_cells``); both give the same neighbours."""
+    found = swarm.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
+    if (found["n"] or 0) <= cell_rows:
+        members = swarm.groupBy("sid").agg(
+            F.collect_list(F.struct(F.col("pid").alias("pid"), F.col("x").alias("x"),
+                                    F.col("pbest_cost").alias("c"), F.col("pbest_x").alias("px"))).alias("_m")
+        )
+        sw = swarm.join(members, "sid")   # one row per swarm, list bounded by cell_rows
+        ranked = F.array_sort(F.transform(F.col("_m"), lambda m: F.struct(
+            _distance(F.col("x"), m["x"], p).alias("d"), m["pid"].alias("pid"), F.coalesce(m["c"], F.lit(INF)).alias("c"), m["px"].alias("px"))))
+        neigh = F.slice(ranked, 1, int(k))
+        best = F.array_min(F.transform(neigh, lambda n: F.struct(n["c"].alias("c"), n["pid"].alias("pid"), n["px"].alias("px"))))
+        sw = sw.withColumn("_b", best)
+    else:
+        sw = swarm.join(_nearest_by_cells(swarm, k, p, found["n"], found["d"], cell_rows), ["sid", "x"])
     ok = F.col("_b.c") < F.lit(INF)
     sw = sw.withColumn("nbest_x", F.when(ok, F.col("_b.px"))).withColumn("nbest_cost", F.when(ok, F.col("_b.c")))
     return sw.select(*_SCHEMA_COLS)
 
 
+def _nearest_by_cells(swarm: DataFrame, k: int, p: float, n: int, d: int, cell_rows: int) -> DataFrame:
+    """``(sid, x, _b)``: the best of the k nearest particles of each distinct position.
+
+    Each axis is cut at quantiles into so many ranges that a cell holds about ``cell_rows`` particles. A
+    position takes its candidates from its own cell and those around it, and is done if its k-th
+    distance is less than that to the border of these cells; the others look ``ring`` = 2, 4, ... cells far, at
+    last everywhere. Of the particles at one position only the k least pids can be anyone's neighbours, so a
+    swarm that has met in one place is k rows."""
+    g = max(1, int((n / cell_rows) ** (1.0 / d)))
+    axes = [F.element_at("x", j + 1) for j in range(d)]
+    probs = [i / g for i in range(1, g)]
+    cuts = swarm.groupBy("sid").agg(*[(F.percentile_approx(a, probs, 1000) if probs else F.array().cast("array<double>")).alias(f"cuts{j}") for j, a in enumerate(axes)])
+    # the k least pids of a position, in two steps: a position that many share is not sorted in one task
+    own = swarm.select("sid", "x", "pid", F.coalesce("pbest_cost", F.lit(INF)).alias("c"), F.col("pbest_x").alias("px"))
+    for keys in ([*("sid", "x"), F.pmod("pid", F.lit(64))], ["sid", "x"]):
+        own = own.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("pid"))).where(F.col("_r") <= k).drop("_r")
+    placed = own.join(cuts, "sid")   # one row per swarm
+    for j, a in enumerate(axes):
+        placed = placed.withColumn(f"cell{j}", _count_up_to(f"cuts{j}", a))
+    cell_cols, cut_cols = [f"cell{j}" for j in range(d)], [f"cuts{j}" for j in range(d)]
+    placed = cut_lineage(placed)
+    members = placed.select("sid", *cell_cols, F.col("x").alias("mx"), "pid", "c", "px")
+    open_ = placed.select("sid", "x", *cell_cols, *cut_cols).distinct()
+    done, ring = [], 1
+    while True:
+        everywhere = ring >= g
+        reach = open_
+        for j in range(d):
+            around = F.sequence(F.greatest(F.col(f"cell{j}") - ring, F.lit(0)), F.least(F.col(f"cell{j}") + ring, F.lit(g - 1)))
+            reach = reach.withColumn(f"to{j}", F.explode(around))
+        # how far the nearest cell that is not looked at lies, along any axis
+        gaps = []
+        for j, a in enumerate(axes):
+            at, cut = F.col(f"cell{j}"), F.col(f"cuts{j}")
+            gaps.append(F.when(at - ring > 0, a - F.element_at(cut, F.greatest(at - ring, F.lit(1)))).otherwise(F.lit(INF)))
+            gaps.append(F.when(at + ring < g - 1, F.element_at(cut, F.least(at + ring + 1, F.lit(max(g - 1, 1)))) - a).otherwise(F.lit(INF)))
+        reach = reach.select("sid", "x", *[F.col(f"to{j}").alias(f"cell{j}") for j in range(d)])
+        pairs = reach.join(members, ["sid", *cell_cols]).select("sid", "x", _distance(F.col("x"), F.col("mx"), p).alias("dist"), "pid", "c", "px")
+        near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("sid", "x").orderBy("dist", "pid"))).where(F.col("_r") <= k)
+        best = near.groupBy("sid", "x").agg(F.min(F.struct("c", "pid", "px")).alias("_b"), F.max("dist").alias("far"), F.count(F.lit(1)).alias("m"))
+        if everywhere:
+            done.append(best.select("sid", "x", "_b"))
+            break
+        gap = F.least(*gaps)
+        tried = cut_lineage(open_.withColumn("gap", F.when(gap < INF, F.pow(gap, F.lit(float(p)))).otherwise(F.lit(INF))).join(best, ["sid", "x"]))
+        sure = (F.col("m") == k) & (F.col("far") < F.col("gap")) | (F.col("gap") == INF)
+        done.append(tried.where(sure).select("sid", "x", "_b"))
+        open_ = tried.where(~sure).select("sid", "x", *cell_cols, *cut_cols)
+        if open_.isEmpty():
+            break
+        ring *= 2
+    return reduce(DataFrame.unionByName, done)
+
+
 def swarm_move(
     swarm: DataFrame,
     space: SearchSpace,

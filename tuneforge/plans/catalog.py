@@ -752,6 +752,30 @@ def q_rebuild_boosted(spark, sf):
     return cost.select(F.lit(model.params["trial_id"]).cast("bigint").alias("trial_id"), "split", r6("cost").alias("cost"))
 
 
+WALK_SPACE = {"objective": ["reg:linear"], "max_depth": [1, 3, 0], "learning_rate": [0.1, 0.5, 1], "n_estimators": [2, 3, 0]}
+
+
+def q_regression_walkthrough(spark, sf):
+    """The regression use from end to end: features and target min-max scaled on the training rows, grid
+    search by validation RMSE, the winner's model, and its RMSE on the test rows in the target's own units."""
+    from tuneforge.plans.facade import HyperSearch
+
+    li, train = lineitem_planted(spark, sf), F.col("split") == "train"
+    target = prep.min_max_fit(li, ["reg"], train)
+    scaled = prep.min_max_apply(prep.min_max_scale(li, LINEITEM_FEATURES, fit_filter=train, suffix="_s"), target, suffix="_s")
+    hs = HyperSearch(spark, "xgboost", WALK_SPACE, "regression", "rmse", options=FLAGSHIP_OPTIONS)
+    data = hs.prepare(scaled, [f"{c}_s" for c in LINEITEM_FEATURES], "reg_s")
+    res = hs.fit_grid(data)
+    model = hs.best_model(data, res)
+    low, high = target["reg"]
+    held = model.scores(data.rows.filter(F.col("split") == "test"))
+    error = F.pow((F.col("label") - F.col("score")) * F.lit(high - low), 2)
+    won = hs.best(res).first()
+    return held.agg(F.count(F.lit(1)).alias("n_test"), r6(F.sqrt(F.avg(error))).alias("test_rmse")).select(
+        F.lit(won["trial_id"]).cast("bigint").alias("trial_id"), F.lit(won["max_depth"]).cast("bigint").alias("max_depth"), r6(F.lit(won["learning_rate"])).alias("learning_rate"),
+        F.lit(won["n_estimators"]).cast("bigint").alias("n_estimators"), r6(F.lit(won["cost"])).alias("cost"), "n_test", "test_rmse")
+
+
 def q_rebuild_svm(spark, sf):
     """Random search of the linear support vector model, then the winner's classes on the test rows."""
     from tuneforge.plans.facade import HyperSearch

@@ -811,6 +811,20 @@ def q_predict_boosted():
     SELECT f.trial_id, f.key, round(f.f, 6) AS pred FROM f{R} f JOIN rws r USING (key) WHERE r.split = 'test'"""
 
 
+def q_regression_walkthrough():
+    from tuneforge.plans.catalog import WALK_SPACE, flagship_candidates
+
+    ctes, R = boost_sql_cands(flagship_candidates(WALK_SPACE), "(reg - tmn) / (tmx - tmn)", "rmse", seed=13)
+    ctes[0] = ctes[0].replace(" FROM li", ", min(reg) AS tmn, max(reg) AS tmx FROM li")
+    last = " UNION ALL ".join(f"SELECT v.trial_id, v.val_cost FROM vc{t} v JOIN cand c USING (trial_id) WHERE c.nest = {t + 1}" for t in range(R))
+    final = " UNION ALL ".join(f"SELECT f.key, f.trial_id, f.f FROM f{t + 1} f JOIN cand c USING (trial_id) WHERE c.nest = {t + 1}" for t in range(R))
+    return f"""WITH {LI}, {', '.join(ctes)}, fin AS ({last}), ff AS ({final}),
+    best AS (SELECT trial_id, val_cost FROM fin ORDER BY round(val_cost, 9), trial_id LIMIT 1)
+    SELECT CAST(c.trial_id AS BIGINT) AS trial_id, CAST(c.depth AS BIGINT) AS max_depth, round(c.lr, 6) AS learning_rate, CAST(c.nest AS BIGINT) AS n_estimators,
+           round(round(max(b.val_cost), 9), 6) AS cost, count(*) AS n_test, round(sqrt(avg(pow(li.reg - (ff.f * (tmx - tmn) + tmn), 2))), 6) AS test_rmse
+    FROM ff JOIN best b USING (trial_id) JOIN cand c USING (trial_id) JOIN li USING (key), bx WHERE li.split = 'test' GROUP BY c.trial_id, c.depth, c.lr, c.nest"""
+
+
 def q_rebuild_boosted():
     from tuneforge.plans.catalog import flagship_candidates
 
