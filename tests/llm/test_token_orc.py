@@ -72,3 +72,33 @@ def test_stripes_and_pruning(spark, make_docs, tmp_path):
     one = token_orc.read_tokens(spark, str(path)).where("doc_id = 1234")
     assert "EqualTo(doc_id,1234)" in one._jdf.queryExecution().executedPlan().toString()
     assert one.first()["ids"] == [*ids_of("text number 1234 " * 40), 2]
+
+
+def test_files_hold_run_lengths_row_indexes_and_bloom_filters(spark, make_docs, tmp_path):
+    """Read from the stripe footers by the ORC library itself: encodings and streams of every stripe."""
+    path = tmp_path / "t"
+    token_orc.write_tokens(make_docs([(k, f"text number {k} " * 40) for k in range(3000)]).coalesce(1), str(path), tokenizer_path(), 2, stripe_bytes=1 << 16)
+    jvm, stripes, compressed = spark._jvm, 0, 0
+    for f in path.glob("*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        rows, names = reader.rows(), list(reader.getSchema().getFieldNames())
+        doc_id = reader.getSchema().getChildren()[names.index("doc_id")].getId()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            streams = [(s.getColumn(), s.getKind().toString(), s.getLength()) for s in footer.getStreamsList()]
+            kinds = [c.getKind().toString() for c in footer.getColumnsList()]
+            assert kinds[0] == "DIRECT" and set(kinds[1:]) == {"DIRECT_V2"}  # the row itself, then integer run-length coding (version 2)
+            assert {c for c, kind, _ in streams if kind == "ROW_INDEX"} == set(range(len(kinds)))
+            assert [c for c, kind, n in streams if kind == "BLOOM_FILTER_UTF8" and n > 0] == [doc_id]
+            stripes += 1
+            compressed += sum(n for _, kind, n in streams if kind == "DATA")
+        rows.close()
+    n_ids = sum(r["n_tokens"] for r in token_orc.read_tokens(spark, str(path)).collect())
+    assert stripes > 1 and compressed < 2 * n_ids  # four bytes an id without coding
+
+
+def test_new_words_in_one_call_are_told_apart():
+    texts = [" ".join(f"word{k}é" for k in range(2000)), "a <|endoftext|> b " + " ".join("xyz."[: 1 + k % 4] for k in range(50)), " lead", ""]
+    encoder = token_orc.WordCachedEncoder(tokenizer_path(), 100)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [ids_of(t) for t in texts]
