@@ -11,7 +11,7 @@ P(token | window) = P(class | window) * P(token | class, window). The network em
 around, scaled for each side; its hidden layer gives the class by a softmax and the token by the
 binary decisions of a Huffman tree in each class, which start from the corpus counts.
 
-Training reads all documents: they are dealt into shards by a hash of the text, as many as the
+Training reads all documents: they are dealt into shards by a hash of text and doc_id, as many as the
 token total over ``shard_tokens``, so results do not depend on partitions or cores. A round
 starts each shard from the same parameters and runs one pass of mini-batch SGD over it; the
 shards' changes are averaged by a grouped sum over rows of parameters, weighted by the shard's tokens,
@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneforge.llm.common import text_or_empty, written
+from tuneforge.llm.common import text_or_empty
+from tuneforge.llm.suffix_dedup import swept
 
 SIDES = (-2, -1, 1, 2)
 SCORE_SCHEMA = "row long, doc_id long, n_tokens long, log_prob double"
@@ -71,6 +72,11 @@ class Model:
     hidden: int
     params: dict[str, np.ndarray]
 
+    @property
+    def width(self) -> str:
+        """How a token number is written: in 16 bits if all fit."""
+        return "<u2" if len(self.classes) <= 1 << 16 else "<u4"
+
     def tokens(self, data: bytes) -> tuple[np.ndarray, list[bytes]]:
         """The tokens of a text, and its words that are in a bucket."""
         words = data.lower().split()
@@ -144,11 +150,23 @@ def decide(u: np.ndarray, h: np.ndarray, position: np.ndarray, node: np.ndarray,
 
 def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sums of their values, how often they stand."""
-    order = np.argsort(rows, kind="stable")
+    if not len(rows):
+        return rows, values, np.empty(0, np.int64)
+    order = _order(rows)
     inside = rows[order]
-    first = np.flatnonzero(np.append(True, inside[1:] != inside[:-1])) if len(rows) else np.empty(0, np.int64)
-    sums = np.add.reduceat(values[order], first, axis=0) if len(rows) else values
-    return inside[first], sums, np.diff(np.append(first, len(rows)))
+    new = np.empty(len(rows), bool)
+    new[0] = True
+    np.not_equal(inside[1:], inside[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return inside[first], np.add.reduceat(values[order], first, axis=0), np.diff(first, append=len(rows))
+
+
+def _order(rows: np.ndarray) -> np.ndarray:
+    """A stable order of row numbers, 16 bits at a time: numpy sorts such integers by radix."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    if rows.max() >> 16:
+        order = order[np.argsort((rows[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
 
 
 def row_gradients(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, steps: tuple | None = None) -> tuple[dict[str, np.ndarray], dict[str, tuple]]:
@@ -198,7 +216,7 @@ def build_vocabulary(docs: DataFrame, vocabulary: int | None) -> tuple[dict[byte
     words, one for every 32 words), the total, and the other words that stand more than once with their counts."""
     words = docs.select(F.explode(F.split(F.trim(F.regexp_replace(text_or_empty(), r"[\x09-\x0D]", " ")), " +")).alias("word")).where("word <> ''")
     folded = words.select(F.translate("word", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("word"))
-    counts = written(folded.groupBy("word").count())
+    counts = swept(folded.groupBy("word").count())
     total = counts.agg(F.sum("count")).first()[0] or 0
     vocabulary = vocabulary or vocabulary_size(total)
     top = counts.orderBy(F.desc("count"), "word").limit(vocabulary).toPandas()
@@ -245,12 +263,13 @@ def _unrows(x: np.ndarray, like: dict[str, np.ndarray], hidden: int) -> dict[str
 
 
 def tokenise(docs: DataFrame, shared) -> DataFrame:
-    """A number for each row, doc_id, text_hash, the token numbers of each text as 32-bit integers
+    """A number for each row, doc_id, text_hash, the token numbers of each text as 16- or 32-bit integers
     and its words beyond the vocabulary, in one pass."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.tokens(x.as_py()) for x in batch.column(3)]
-            tokens, rare = pa.array([t.astype("<u4").tobytes() for t, _ in found], pa.binary()), pa.array([r for _, r in found], pa.list_(pa.binary()))
+            width = shared.value.width
+            tokens, rare = pa.array([t.astype(width).tobytes() for t, _ in found], pa.binary()), pa.array([r for _, r in found], pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], tokens, rare], names=["row", "doc_id", "text_hash", "tokens", "rare"])
 
     text = text_or_empty()
@@ -308,7 +327,7 @@ def _train(shared, batch_size: int, rate: float, row_rate: float):
                     p = {name: value.copy() for name, value in model.params.items()}
                     past = {name: np.zeros(len(p[name]), np.float32) for name in "eu"}
                     met = {name: np.zeros(len(p[name]), np.int64) for name in "eu"}
-                tokens = np.frombuffer(batch.column(1)[k].as_py(), "<u4").astype(np.int32)
+                tokens = np.frombuffer(batch.column(1)[k].as_py(), model.width).astype(np.int32)
                 around = windows(tokens, len(model.classes))
                 for at in range(0, len(tokens), 1 << 16):
                     held.append((around[:, at : at + (1 << 16)], tokens[at : at + (1 << 16)]))
@@ -324,8 +343,9 @@ def _train(shared, batch_size: int, rate: float, row_rate: float):
 def train(tokens: DataFrame, model: Model, total: int, shard_tokens: int, rounds: int, batch_size: int, rate: float, row_rate: float) -> Model:
     sc = tokens.sparkSession.sparkContext
     n_shards = max(1, -(-total // shard_tokens))
-    dealt = tokens.where(F.octet_length("tokens") > 0).select(F.pmod(F.xxhash64("text_hash"), F.lit(n_shards)).alias("shard"), "tokens", "text_hash", "doc_id")
-    dealt = dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", "text_hash", "doc_id").select("shard", "tokens")
+    # Copies of a text are dealt by their doc_id too; a shard is a task of its own.
+    dealt = tokens.where(F.octet_length("tokens") > 0).select(F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(n_shards)).cast("int").alias("shard"), "tokens", "text_hash", "doc_id")
+    dealt = dealt.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "text_hash", "doc_id").select("shard", "tokens")
     values = [f"d{k}" for k in range(model.hidden + 1)]
     for _ in range(rounds):
         fitted = dealt.mapInArrow(_train(sc.broadcast(model), batch_size, rate, row_rate), ", ".join(["row long", "weight long", *(f"{v} float" for v in values)]))
@@ -356,7 +376,7 @@ def _score(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            tokens = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(2)]
+            tokens = [np.frombuffer(x.as_py(), model.width) for x in batch.column(2)]
             scores = [document_log_prob(model, t) if len(t) else 0.0 for t in tokens]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(t) for t in tokens], pa.int64()), pa.array(scores, pa.float64())], names=["row", "doc_id", "n_tokens", "log_prob"])
     return run
@@ -369,7 +389,7 @@ def score_documents(docs: DataFrame, vocabulary: int | None = None, n_classes: i
     sc = docs.sparkSession.sparkContext
     index, counts, total, repeated = build_vocabulary(docs, vocabulary)
     model = make_model(index, counts, n_classes, hidden, seed)
-    tokens = written(tokenise(docs, sc.broadcast(model)))
+    tokens = swept(tokenise(docs, sc.broadcast(model)))
     model = train(tokens, model, total, shard_tokens, rounds, batch_size, rate, row_rate)
     scored = tokens.select("row", "doc_id", "tokens").mapInArrow(_score(sc.broadcast(model)), SCORE_SCHEMA)
     scored = scored.join(rare_log_counts(tokens, repeated), "row", "left")
