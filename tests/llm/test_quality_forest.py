@@ -68,3 +68,15 @@ def test_forest_scores_and_threshold():
     assert (scores[marks] > cut).mean() <= 0.01 and (scores[~marks] > cut).all()
     same = np.ones((40, 3))
     assert np.allclose(Q.IsolationForest(5, 16).fit(same).score(same), 0.5)
+
+
+def test_threshold_comes_from_all_labelled_rows(spark):
+    """Beyond max_fit_rows Spark calibrates on every labelled row, as calibrate does."""
+    stats = Q.written(Q.rule_statistics(queries.table(spark, "/root/testdata/sf0.01", "documents")))
+    labels = queries.table(spark, "/root/testdata/sf0.01", "labels")
+    forest, threshold = Q.fit(stats, labels, trees=20, subsample=16, max_good_rejected=0.05, max_fit_rows=10)
+    rows = stats.where("n_words >= 20").join(labels, "doc_id").toPandas()
+    assert len(rows) > 100
+    want = Q.calibrate(forest.score(Q.features(rows[Q.COUNTS].to_numpy())), rows["quality"].to_numpy() > 0, 0.05)
+    assert np.isfinite(want) and threshold == pytest.approx(want, abs=1e-12)
+    assert Q.fit(stats, labels.where("quality = 1"), max_fit_rows=10) == (None, float("inf"))

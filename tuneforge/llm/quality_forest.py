@@ -1,12 +1,12 @@
 """Quality rules with an isolation forest on rule statistics.
 
-One pass over whole texts gives each document its statistics. The forest is fitted on a sample
-of labelled rows that is bounded by a documented parameter (``max_fit_rows``, chosen by a hash
-of the doc_id): each tree splits a subsample at random values of random features, and a
-document's score is 2 ** (-mean path length / expected length). The threshold is calibrated on
-the labelled rows: of all cut points, the one with the highest balanced accuracy among those
-that reject at most ``max_good_rejected`` of the rows labelled good. Statistics, scores and
-decisions cover all documents.
+One pass over whole texts gives each document its statistics. Each tree of the forest splits a
+subsample, drawn from all labelled rows, at random values of random features (the method's own
+``subsample``), and a document's score is 2 ** (-mean path length / expected length). The threshold is
+calibrated on all labelled rows: of all cut points, the one with the highest balanced accuracy among those
+that reject at most ``max_good_rejected`` of the rows labelled good. Up to ``max_fit_rows`` labelled
+rows this is done on the driver; beyond, the subsamples alone are drawn to it (by a hash of the
+row), and the rows are scored and the cut found by Spark. Statistics, scores and decisions cover all documents.
 
 Definitions for odd rows: null and empty texts have no words, fail the base rule and are
 rejected. Rows repeated under one doc_id are judged one by one. Where the labels hold no row of
@@ -20,16 +20,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneforge.llm import hashing as H
 from tuneforge.llm.common import blocks, text_or_empty, written
+from tuneforge.operators.scoring import roc_curve
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks"]
 STATS_SCHEMA = "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS)
 
-#: At most so many labelled rows fit the forest and set the threshold.
+#: Up to so many labelled rows are fitted and calibrated on the driver; beyond, Spark calibrates on all of them.
 MAX_FIT_ROWS = 20_000
 
 
@@ -121,11 +122,12 @@ class IsolationForest:
         self.trees, self.subsample, self.seed = trees, subsample, seed
         self.feature, self.cut, self.child, self.path = [], [], [], []
 
-    def fit(self, x: np.ndarray) -> IsolationForest:
+    def fit(self, x: np.ndarray, dealt: bool = False) -> IsolationForest:
+        """``dealt``: the rows are the subsamples themselves, tree after tree in turn."""
         rng = np.random.default_rng(self.seed)
-        size = min(self.subsample, len(x))
+        size = min(self.subsample, len(x) // self.trees if dealt else len(x))
         limit = int(np.ceil(np.log2(max(size, 2)))) + 4
-        for _ in range(self.trees):
+        for tree in range(self.trees):
             feature, cut, child, path = [], [], [], []
 
             def grow(own: np.ndarray, depth: int) -> int:
@@ -143,7 +145,7 @@ class IsolationForest:
                         child[node] = (grow(own[left], depth + 1), grow(own[~left], depth + 1))
                 return node
 
-            grow(x[rng.choice(len(x), size, replace=False)], 0)
+            grow(x[tree :: self.trees][:size] if dealt else x[rng.choice(len(x), size, replace=False)], 0)
             for mine, new in ((self.feature, feature), (self.cut, cut), (self.child, child), (self.path, path)):
                 mine.append(np.array(new))
         self.scale = float(expected_path(float(size)))
@@ -185,9 +187,9 @@ def fit(stats: DataFrame, labels: DataFrame, trees: int = 100, subsample: int =
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     joined = stats.where("doc_id is not null and n_words >= 20").join(marks, "doc_id").select("doc_id", "quality", *COUNTS)
     joined = written(joined)
-    share = min(1.0, 1.2 * max_fit_rows / max(joined.count(), 1))  # leaves little more than the bound to be ordered
-    unit = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = joined.where(unit < share).orderBy(unit, "doc_id", *COUNTS).limit(max_fit_rows).toPandas()
+    if joined.count() > max_fit_rows:
+        return _fit_many(joined, trees, subsample, junk_share, max_good_rejected, seed)
+    rows = joined.toPandas()
     if not len(rows):
         return None, float("inf")
     rows = rows.sort_values(["doc_id", *COUNTS])
@@ -202,19 +204,52 @@ def fit(stats: DataFrame, labels: DataFrame, trees: int = 100, subsample: int =
     return forest, calibrate(forest.score(x), good, max_good_rejected)
 
 
-def judge(stats: DataFrame, forest: IsolationForest | None, threshold: float) -> DataFrame:
-    """Add base_failed, score and kept to each row of the statistics."""
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    if forest is None:
-        return stats.withColumn("score", F.lit(None).cast("double")).withColumn("base_failed", failed).withColumn("kept", ~failed)
+def _fit_many(joined: DataFrame, trees: int, subsample: int, junk_share: float, max_good_rejected: float, seed: int) -> tuple[IsolationForest | None, float]:
+    """Forest and threshold from labelled rows of any number: the driver gets the trees' subsamples alone."""
+    def unit(k: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "doc_id", *COUNTS), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+    n = {r["good"]: r["count"] for r in joined.groupBy((F.col("quality") > 0).alias("good")).count().collect()}
+    if len(n) < 2:
+        return None, float("inf")
+    bad_share = min(1.0, n[True] * junk_share / (1 - junk_share) / n[False])
+    pool = joined.where((F.col("quality") > 0) | (unit(0) < bad_share))
+    wanted = trees * subsample
+    share = min(1.0, 1.2 * wanted / max(pool.count(), 1))  # leaves little more than the subsamples to be ordered
+    drawn = pool.where(unit(1) < share).orderBy(unit(1), "doc_id", *COUNTS).limit(wanted).toPandas()
+    forest = IsolationForest(trees, subsample, seed).fit(features(drawn[COUNTS].to_numpy()), dealt=len(drawn) >= 2 * trees)
+    return forest, calibrate_all(scored(joined, forest, "doc_id long, quality int").selectExpr("0 AS one", "double(quality > 0) AS label", "score"), max_good_rejected)
+
+
+def calibrate_all(rows: DataFrame, max_good_rejected: float) -> float:
+    """``calibrate`` of rows (one, label, score) on Spark: ``one`` is constant, label 1 is good."""
+    curve = roc_curve(rows, ["one"]).where((F.col("tpr") <= max_good_rejected) & (F.col("fpr") > F.col("tpr")))
+    above = curve.agg(F.min_by("threshold", F.struct(F.col("tpr") - F.col("fpr"), "threshold"))).first()[0]
+    if above is None:
+        return float("inf")
+    below = rows.where(F.col("score") < above).agg(F.max("score")).first()[0]
+    return float((below + above) / 2)
+
+
+def scored(stats: DataFrame, forest: IsolationForest, others: str) -> DataFrame:
+    """``stats`` (the columns ``others`` and COUNTS) with the score of the forest."""
     shared = stats.sparkSession.sparkContext.broadcast(forest)
 
-    def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(np.column_stack([batch.column(c).to_numpy() for c in COUNTS]).reshape(-1, len(COUNTS)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x))], names=[*batch.schema.names, "score"])
 
-    return stats.mapInArrow(scored, STATS_SCHEMA + ", score double").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") <= F.lit(threshold)))
+    return stats.mapInArrow(run, ", ".join([others, *(f"{c} long" for c in COUNTS), "score double"]))
+
+
+def judge(stats: DataFrame, forest: IsolationForest | None, threshold: float) -> DataFrame:
+    """Add base_failed, score and kept to each row of the statistics."""
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    if forest is None:
+        return stats.withColumn("score", F.lit(None).cast("double")).withColumn("base_failed", failed).withColumn("kept", ~failed)
+    found = scored(stats, forest, "doc_id long, text_hash long")
+    return found.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") <= F.lit(threshold)))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
