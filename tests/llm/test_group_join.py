@@ -190,3 +190,18 @@ def test_components_of_paths_stars_and_nothing(spark):
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert set(found.values()) == {"p000", "s"} and len(found) == 65 + 301
     assert components(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
+def test_numbers_are_gathered_as_bytes(spark):
+    """What reaches the driver is a few values of bytes, whatever the session's Arrow setting."""
+    df = spark.range(0, 50_000, 1, 7).selectExpr("25000 - id AS id")
+    assert G.gathered(df, np.int64).tolist() == list(range(-24_999, 25_001))
+    assert len(G.gathered(df.limit(0), np.int64)) == 0
+
+
+def test_many_wanted_texts_are_joined_by_shuffle(make_docs, monkeypatch):
+    rows = [(i, " ".join(f"w{i // 3}x{k}" for k in range(40)) + (" tail" if i % 3 else "")) for i in range(30)]
+    few = got(G.near_duplicates(make_docs(rows)))
+    monkeypatch.setattr(G, "MAX_IDS", 3)
+    monkeypatch.setattr(G, "SMALL_ROWS", 3)
+    assert got(G.near_duplicates(make_docs(rows))) == few == brute(rows)

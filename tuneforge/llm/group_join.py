@@ -39,6 +39,11 @@ from tuneforge.llm.components import components
 
 MAX_HOT = 1 << 22
 
+#: Ids of wanted texts that the driver holds at most, 8 bytes each; beyond, the join with the texts is shuffled.
+MAX_IDS = 1 << 22
+#: Rows of a table that Spark broadcasts (through the driver's heap, about 100 bytes each) at most.
+SMALL_ROWS = 200_000
+
 #: The sets of a block hold about so many hashes.
 BLOCK_HASHES = 1_000_000
 SIGNATURE = "doc_id long, text_hash long, n int, cls string, gkey long, prefix array<long>"
@@ -86,14 +91,23 @@ def _lower_half(k: int):
     return run
 
 
+def gathered(numbers: DataFrame, dtype) -> np.ndarray:
+    """A column of whole numbers on the driver, sorted: it comes as bytes of whole batches, not row by row."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy(zero_copy_only=False).astype(dtype).tobytes()], pa.binary())], names=["bytes"])
+
+    return np.sort(np.frombuffer(b"".join(r[0] for r in numbers.mapInArrow(run, "bytes binary").collect()), dtype))
+
+
 def hot_hashes(docs: DataFrame, k: int, hot_df: int) -> np.ndarray:
     """The upper halves of the hashes in more than ``hot_df`` documents, sorted; MAX_HOT at most."""
     tops = _text_rows(docs).drop("text_hash").mapInArrow(_lower_half(k), "top int")
     counts = written(tops.groupBy("top").count().where(F.col("count") > hot_df))
     while counts.where(F.col("count") > hot_df).count() > MAX_HOT:
         hot_df *= 2
-    found = counts.where(F.col("count") > hot_df).select("top").toPandas()["top"].to_numpy(np.int32)
-    return np.sort(found.view(np.uint32))
+    return np.sort(gathered(counts.where(F.col("count") > hot_df).select("top"), np.int32).view(np.uint32))
 
 
 def _signatures(k: int, num: int, den: int, hot):
@@ -114,12 +128,16 @@ def _signatures(k: int, num: int, den: int, hot):
     return run
 
 
-def _classed_texts(k: int):
-    """Texts with the class of their set."""
+def _classed_texts(k: int, ids=None):
+    """Texts with the class of their set; of all refs, or of those in a broadcast sorted array."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
+            if ids is not None:
+                ref, known = batch.column(0).to_numpy(), ids.value
+                at = np.minimum(np.searchsorted(known, ref), max(len(known) - 1, 0))
+                batch = batch.filter(pa.array(known[at] == ref if len(known) else np.zeros(len(ref), bool)))
             for i, j, buf, offsets in blocks(batch.column(1)):
                 classes = [xxhash.xxh3_128_hexdigest(grams.tobytes()) if len(grams) else None for grams in shingle_sets(buf, offsets, k)]
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.string()), batch.column(1).slice(i, j - i)], names=["cls", "text"])
@@ -195,13 +213,18 @@ def verified(docs: DataFrame, classes: DataFrame, blocked: DataFrame, wanted: Da
     hubs = blocked.join(wanted.select("block").distinct(), "block", "left_semi").join(classes, "gkey").select("block", "cls")
     members = wanted.join(classes, "gkey").select("block", "cls")
     many = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
-    many = small(written(many))  # so that a block's many candidates are not dealt by block
+    many = small(written(many), SMALL_ROWS)  # so that a block's many candidates are not dealt by block
     part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     rows = members.join(many, "block").select("block", part.alias("part"), F.lit(1).alias("role"), "cls").union(
         hubs.join(many, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "cls"))
     rows = written(rows)
     ids = written(rows.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("ref")).distinct())
-    texts = _text_rows(docs).selectExpr(f"{REF} AS ref", "text").join(small(ids, 2_000_000), "ref", "left_semi").mapInArrow(_classed_texts(k), "cls string, text binary")
+    texts = _text_rows(docs).selectExpr(f"{REF} AS ref", "text")
+    if ids.limit(MAX_IDS + 1).count() <= MAX_IDS:
+        known = docs.sparkSession.sparkContext.broadcast(gathered(ids, np.int64))
+        texts = texts.mapInArrow(_classed_texts(k, known), "cls string, text binary")
+    else:
+        texts = texts.join(ids, "ref", "left_semi").mapInArrow(_classed_texts(k), "cls string, text binary")
     shipped = rows.join(texts, "cls").select("block", "part", "role", "cls", "text")
     return shipped.repartition("block", "part").sortWithinPartitions("block", "part", "role").mapInArrow(_verify(k, num, den), "a string, b string").distinct()
 
@@ -216,7 +239,7 @@ def link_classes(docs: DataFrame, sigs: DataFrame, k: int, num: int, den: int) -
     # A row follows by its class: another row under its id may lead.
     followers = named.select("ref", "cls").join(leaders.select("cls", "rep"), "cls", "left").where("rep is null or rep <> ref")
     followers = written(followers.select("ref", F.xxhash64("cls").alias("of")).distinct())
-    postings = named.select("ref", "gkey", "prefix", F.xxhash64("cls").alias("of")).join(small(followers, 2_000_000), ["ref", "of"], "left_anti").select(F.explode("prefix").alias("token"), "gkey")
+    postings = named.select("ref", "gkey", "prefix", F.xxhash64("cls").alias("of")).join(small(followers, SMALL_ROWS), ["ref", "of"], "left_anti").select(F.explode("prefix").alias("token"), "gkey")
     along = Window.partitionBy("token").orderBy("gkey")
     lists = postings.select("token", "gkey", F.first("gkey").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("gkey").over(along).alias("next"))
     lists = lists.where("first <> gkey or next <> gkey").select("token", "gkey")
