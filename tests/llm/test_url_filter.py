@@ -73,3 +73,10 @@ def test_sql_agrees_on_aliases(spark, pages, tmp_path):
 @pytest.mark.parametrize("table", [ROWS], indirect=True)
 def test_empty(pages):
     assert url_filter.judge_pages(pages.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("table", [FORMS], indirect=True)
+def test_steps_of_a_link_do_not_repeat_one_another(pages):
+    """The plan is written, optimized and compiled by the driver: it holds each step once, not each within all later ones."""
+    plan = url_filter.alias_edges(pages)._jdf.queryExecution().optimizedPlan()
+    assert len(plan.toString()) < 50_000
