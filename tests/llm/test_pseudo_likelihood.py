@@ -1,4 +1,8 @@
+import time
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 
 from tests.conftest import SF_SMALL
 from tuneforge.llm import pseudo_likelihood as P
@@ -175,3 +179,56 @@ def test_texts_score_above_shuffled_copies(make_docs):
     docs = make_docs([(k, " ".join(t)) for k, t in enumerate(texts + shuffled)])
     score = {r["doc_id"]: r["log_prob"] for r in P.score_documents(docs, vocabulary=16, n_classes=2, hidden=16, rounds=3, batch_size=64).collect()}
     assert all(score[k] > score[len(texts) + k] + 10 for k in range(16))
+
+
+def test_run_sums_are_those_of_reduceat_to_the_bit():
+    rng = np.random.default_rng(5)
+    for dtype in (np.float32, np.float64):
+        n = np.concatenate([np.arange(1, 40), rng.permutation(np.arange(1, 300)) % 23 + 1, [500]])
+        values, first = rng.normal(size=(n.sum(), 5)).astype(dtype), np.cumsum(n) - n
+        order = rng.permutation(len(values))
+        for some in (slice(None), n == 1, n > 16):
+            assert (P._run_sums(values, first[some], n[some]) == np.stack([np.add.reduceat(values, [f, f + k], axis=0)[0] if f + k < len(values) else np.add.reduceat(values, [f], axis=0)[0] for f, k in zip(first[some], n[some], strict=True)])).all()
+        assert (P._run_sums(values, first, n, order) == np.add.reduceat(values[order], first, axis=0)).all()
+
+
+def test_texts_scored_together_score_as_alone():
+    rng = np.random.default_rng(6)
+    m = P.make_model({b"w%d" % k: k for k in range(30)}, rng.integers(1, 90, 33), 4, 4, 1)
+    m.params["u"] += rng.normal(0, 1, m.params["u"].shape).astype(np.float32)
+    texts = [rng.integers(0, 33, n) for n in (0, 5, 1, 0, 0, 70, 3, 200, 0)]
+    for block in (1, 4, 64, 1000):
+        assert np.allclose(P.log_probs(m, texts, block), [P.document_log_prob(m, t) for t in texts], rtol=1e-6)
+    assert P.log_probs(m, []).tolist() == [] and P.log_probs(m, [texts[0]]).tolist() == [0]
+
+
+def test_words_are_counted_as_the_model_splits_them(spark, odd_docs, make_docs, monkeypatch):
+    docs = odd_docs.unionByName(make_docs([(50, "A\x0bB\tc\x0cd e f É é\r\nA a"), (51, "x\x1cy \x00 z")]), allowMissingColumns=True)
+    want = Counter(w for r in docs.collect() for w in (r["text"] or "").encode().lower().split())
+    for held in (P.WORDS_HELD, 3):
+        batch = pa.RecordBatch.from_arrays([pa.array([(r["text"] or "").encode() for r in docs.collect()], pa.binary())], names=["text"])
+        monkeypatch.setattr(P, "WORDS_HELD", held)
+        found = Counter()
+        for part in P._count_words([batch]):
+            found.update(dict(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)))
+        assert found == want
+    index, counts, total, repeated = P.build_vocabulary(docs, 40)
+    assert total == sum(want.values()) == counts.sum()
+    assert list(index) == sorted(want, key=lambda w: (-want[w], w))[:40] and counts[:40].tolist() == [want[w] for w in index]
+    assert {bytes(r["word"]): r["count"] for r in repeated.collect()} == {w: n for w, n in want.items() if n > 1 and w not in index}
+
+
+def test_training_leaves_no_shuffle_files(spark, make_docs):
+    docs = make_docs([(k, f"a b c d{k % 7} e f") for k in range(400)])
+    index, counts, total, _ = P.build_vocabulary(docs, 8)
+    model = P.make_model(index, counts, 3, 4, 3)
+    tokens = P.swept(P.tokenise(docs, spark.sparkContext.broadcast(model)))
+    files = lambda: {f for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = {f.getName() for f in files()}
+    P.train(tokens, model, total, 500, 2, 64, 0.5, 0.1)
+    for _ in range(50):
+        left = {f.getName() for f in files()} - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left

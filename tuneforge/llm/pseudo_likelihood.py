@@ -27,8 +27,10 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ from tuneforge.llm.suffix_dedup import swept
 SIDES = (-2, -1, 1, 2)
 SCORE_SCHEMA = "row long, doc_id long, n_tokens long, log_prob double"
 TOKEN_SCHEMA = "row long, doc_id long, text_hash long, tokens binary, rare array<binary>"
+#: Distinct words that a task counts at a time.
+WORDS_HELD = 1 << 19
 
 
 @dataclass
@@ -53,9 +57,10 @@ class Paths:
 
     def steps(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position, node and sign of all decisions to the tokens, in order of position."""
-        n = self.begin[tokens + 1] - self.begin[tokens]
-        at = np.arange(n.sum()) + np.repeat(self.begin[tokens] - (np.cumsum(n) - n), n)
-        return np.repeat(np.arange(len(tokens)), n), self.nodes[at], self.signs[at]
+        begin = self.begin.take(tokens)
+        n = self.begin.take(tokens + 1) - begin
+        at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        return np.repeat(np.arange(len(tokens)), n), self.nodes.take(at), self.signs.take(at)
 
 
 @dataclass
@@ -81,7 +86,7 @@ class Model:
         """The tokens of a text, and its words that are in a bucket."""
         words = data.lower().split()
         known, n_buckets = len(self.index), len(self.classes) - len(self.index)
-        tokens = np.fromiter((self.index.get(w, -1) for w in words), np.int32, len(words))
+        tokens = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
         at = np.flatnonzero(tokens < 0)
         rare = [words[k] for k in at]
         tokens[at] = [known + zlib.crc32(w) % n_buckets for w in rare]
@@ -131,21 +136,58 @@ def initial_params(n_classes: int, hidden: int, seed: int, n_tokens: int | None
 
 def forward(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hidden values and class log-probabilities; around: a column of tokens for each side."""
-    h = p["e"][around[0]] * p["a"][0]
+    h = p["e"].take(around[0], axis=0) * p["a"][0]
     for s in range(1, len(SIDES)):
-        h += p["e"][around[s]] * p["a"][s]
+        h += p["e"].take(around[s], axis=0) * p["a"][s]
     h += p["b"]
     np.maximum(h, 0, out=h)
     z = h @ p["w"] + p["c"]
-    z -= z.max(1, keepdims=True)
+    z -= np.ascontiguousarray(z.T).max(0)[:, None]
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return h, z
 
 
 def decide(u: np.ndarray, h: np.ndarray, position: np.ndarray, node: np.ndarray, sign: np.ndarray) -> np.ndarray:
     """Signed log odds of decisions: log P of one is -log(1 + exp(-odds))."""
-    at = u[node]
-    return sign * (np.einsum("ij,ij->i", at[:, :-1], h[position]) + at[:, -1])
+    return _odds(u.take(node, axis=0), h.take(position, axis=0), sign)
+
+
+def _odds(met: np.ndarray, h: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    return sign * (np.einsum("ij,ij->i", met[:, :-1], h) + met[:, -1])
+
+
+def _run_sums(values: np.ndarray, first: np.ndarray, n: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """``np.add.reduceat(values[order], first, axis=0)`` for runs of n rows, to the bit, a rank of all runs of up
+    to 16 rows at a time. It adds to the first row the sum of the others: up to seven of them one by one; of
+    more, the first eight in pairs, then those beyond one by one."""
+    def ranked(runs: np.ndarray, k: int) -> np.ndarray:
+        at = runs + k
+        return values.take(at if order is None else order.take(at), axis=0)
+
+    out = ranked(first, 0)
+    short = np.flatnonzero((n > 1) & (n <= 16))
+    if len(short):
+        short = short.take(np.argsort((16 - n.take(short)).astype(np.uint8), kind="stable"))  # the longest first
+        begin = first.take(short)
+        left = len(short) - np.cumsum(np.bincount(n.take(short), minlength=17))  # runs of more than k rows
+        more = ranked(begin, 1)
+        eight = int(left[8])
+        for k in range(2, 8):
+            more[eight : left[k]] += ranked(begin[eight : left[k]], k)
+        if eight:
+            begin, top = begin[:eight], more[:eight]
+            top += ranked(begin, 2)
+            top += ranked(begin, 3) + ranked(begin, 4)
+            top += (ranked(begin, 5) + ranked(begin, 6)) + (ranked(begin, 7) + ranked(begin, 8))
+            for k in range(9, 16):
+                top[: left[k]] += ranked(begin[: left[k]], k)
+        out[short] = out.take(short, axis=0) + more
+    long = np.flatnonzero(n > 16)
+    if len(long):
+        size = n.take(long)
+        to = np.cumsum(size) - size
+        out[long] = np.add.reduceat(ranked(np.arange(size.sum()) + np.repeat(first.take(long) - to, size), 0), to, axis=0)
+    return out
 
 
 def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,19 +195,20 @@ def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not len(rows):
         return rows, values, np.empty(0, np.int64)
     order = _order(rows)
-    inside = rows[order]
+    inside = rows.take(order)
     new = np.empty(len(rows), bool)
     new[0] = True
     np.not_equal(inside[1:], inside[:-1], out=new[1:])
     first = np.flatnonzero(new)
-    return inside[first], np.add.reduceat(values[order], first, axis=0), np.diff(first, append=len(rows))
+    n = np.diff(first, append=len(rows))
+    return inside.take(first), _run_sums(values, first, n, order), n
 
 
 def _order(rows: np.ndarray) -> np.ndarray:
     """A stable order of row numbers, 16 bits at a time: numpy sorts such integers by radix."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")
     if rows.max() >> 16:
-        order = order[np.argsort((rows[order] >> 16).astype(np.uint16), kind="stable")]
+        order = order.take(np.argsort((rows.take(order) >> 16).astype(np.uint16), kind="stable"))
     return order
 
 
@@ -181,12 +224,15 @@ def row_gradients(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarr
     rows = {}
     if steps is not None and len(steps[0]):
         position, node, sign = steps
-        g = (-sign / (1 + np.exp(np.minimum(decide(p["u"], h, position, node, sign), 80))) / n).astype(h.dtype)
+        met, bent = p["u"].take(node, axis=0), np.concatenate([h, np.ones((n, 1), h.dtype)], 1).take(position, axis=0)
+        g = (-sign / (1 + np.exp(np.minimum(_odds(met, bent[:, :-1], sign), 80))) / n).astype(h.dtype)
         first = np.flatnonzero(np.append(True, position[1:] != position[:-1]))
-        dh[position[first]] += np.add.reduceat(g[:, None] * p["u"][node, :-1], first, axis=0)
-        rows["u"] = _row_sums(node, g[:, None] * np.concatenate([h, np.ones((n, 1), h.dtype)], 1)[position])
+        met *= g[:, None]
+        dh[position[first]] += _run_sums(met, first, np.diff(first, append=len(position)))[:, :-1]
+        bent *= g[:, None]
+        rows["u"] = _row_sums(node, bent)
     dh[h <= 0] = 0
-    a = np.stack([np.einsum("ij,ij->j", dh, p["e"][around[s]]) for s in range(len(SIDES))])
+    a = np.stack([np.einsum("ij,ij->j", dh, p["e"].take(around[s], axis=0)) for s in range(len(SIDES))])
     rows["e"] = _row_sums(around.ravel(), (dh[None] * p["a"][:, None]).reshape(-1, dh.shape[1]))
     return {"a": a, "b": dh.sum(0), "w": h.T @ d, "c": d.sum(0)}, rows
 
@@ -211,25 +257,42 @@ def vocabulary_size(total: int) -> int:
     return max(8191, 4 * math.isqrt(total))
 
 
+def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts, lower-cased and split as ``Model.tokens`` does; a word comes again when
+    ``WORDS_HELD`` others were counted before."""
+    held = Counter()
+
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            held.update(text.as_py().lower().split())
+            if len(held) >= WORDS_HELD:
+                yield counted()
+                held.clear()
+    if held:
+        yield counted()
+
+
 def build_vocabulary(docs: DataFrame, vocabulary: int | None) -> tuple[dict[bytes, int], np.ndarray, int, DataFrame]:
     """The most frequent words over all documents, their counts (then those of the buckets of other
     words, one for every 32 words), the total, and the other words that stand more than once with their counts."""
-    words = docs.select(F.explode(F.split(F.trim(F.regexp_replace(text_or_empty(), r"[\x09-\x0D]", " ")), " +")).alias("word")).where("word <> ''")
-    folded = words.select(F.translate("word", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("word"))
-    counts = swept(folded.groupBy("word").count())
+    words = docs.select(text_or_empty().cast("binary").alias("text")).mapInArrow(_count_words, "word binary, n long")
+    counts = swept(words.groupBy("word").agg(F.sum("n").alias("count")))
     total = counts.agg(F.sum("count")).first()[0] or 0
     vocabulary = vocabulary or vocabulary_size(total)
     top = counts.orderBy(F.desc("count"), "word").limit(vocabulary).toPandas()
-    index = {w.encode(): k for k, w in enumerate(top["word"])}
+    index = {bytes(w): k for k, w in enumerate(top["word"])}
     others = counts.where("false")
     if len(top) == vocabulary:
-        least, last = int(top["count"].iloc[-1]), top["word"].iloc[-1]
+        least, last = int(top["count"].iloc[-1]), bytes(top["word"].iloc[-1])
         others = counts.where((F.col("count") < least) | ((F.col("count") == least) & (F.col("word") > last)))
     n_buckets = max(1, vocabulary // 32)
     buckets = np.zeros(n_buckets, np.int64)
-    for bucket, count in others.groupBy((F.crc32(F.col("word").cast("binary")) % n_buckets).alias("bucket")).agg(F.sum("count")).collect():
+    for bucket, count in others.groupBy((F.crc32("word") % n_buckets).alias("bucket")).agg(F.sum("count")).collect():
         buckets[bucket] = count
-    repeated = others.where("count > 1").select(F.col("word").cast("binary").alias("word"), "count")
+    repeated = others.where("count > 1").select("word", "count")
     return index, np.append(top["count"].to_numpy(np.int64), buckets), int(total), repeated
 
 
@@ -266,6 +329,7 @@ def tokenise(docs: DataFrame, shared) -> DataFrame:
     """A number for each row, doc_id, text_hash, the token numbers of each text as 16- or 32-bit integers
     and its words beyond the vocabulary, in one pass."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_heap()
         for batch in batches:
             found = [shared.value.tokens(x.as_py()) for x in batch.column(3)]
             width = shared.value.width
@@ -284,11 +348,18 @@ def rare_log_counts(tokens: DataFrame, repeated: DataFrame) -> DataFrame:
     return words.join(repeated, "word").groupBy("row").agg(F.sum(F.log("count")).alias("rare_log"))
 
 
+def _keep_heap() -> None:
+    """Free one large array: from then on the C library keeps the memory of smaller ones for the next, instead
+    of giving it back to the system and having it mapped anew in every batch."""
+    np.empty(30 << 20, np.uint8)
+
+
 def _train(shared, batch_size: int, rate: float, row_rate: float):
     """Rows sorted by shard: one pass of SGD over each shard from the shared parameters, with
     steps of embeddings and decisions shortened by their own past gradients."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
+        _keep_heap()
         shard, p, past, met, seen, held, size = None, None, None, None, 0, [], 0
 
         def step(force: bool) -> None:
@@ -303,8 +374,9 @@ def _train(shared, batch_size: int, rate: float, row_rate: float):
                 for k, g in dense.items():
                     p[k] -= np.float32(rate) * g
                 for k, (row, g, n) in rows.items():
-                    past[k][row] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-                    p[k][row] -= g * (np.float32(row_rate) / np.sqrt(past[k][row] + np.float32(1e-20)))[:, None]
+                    past[k][row] = power = past[k].take(row) + np.einsum("ij,ij->i", g, g) / g.shape[1]
+                    g *= (np.float32(row_rate) / np.sqrt(power + np.float32(1e-20)))[:, None]
+                    p[k][row] = p[k].take(row, axis=0) - g
                     met[k][row] += n
             seen += whole
             held, size = [(around[:, whole:], tokens[whole:])], len(tokens) - whole
@@ -350,35 +422,49 @@ def train(tokens: DataFrame, model: Model, total: int, shard_tokens: int, rounds
     for _ in range(rounds):
         fitted = dealt.mapInArrow(_train(sc.broadcast(model), batch_size, rate, row_rate), ", ".join(["row long", "weight long", *(f"{v} float" for v in values)]))
         mean = fitted.groupBy("row").agg(*((F.sum(v) / F.sum("weight")).cast("float").alias(v) for v in values))
-        change = mean.toArrow()
+        change = swept(mean).toArrow()
         params = _rows(model.params, model.hidden)
         params[change.column("row").to_numpy()] += np.stack([change.column(v).to_numpy() for v in values], 1)
         model.params = _unrows(params, model.params, model.hidden)
     return model
 
 
-def document_log_prob(model: Model, tokens: np.ndarray, block: int = 4096) -> float:
-    """Sum over all positions of log P(token | both sides), in blocks of windows; a word in a bucket
-    counts as one that stands once (its log count comes from ``rare_log_counts``)."""
-    tokens = tokens.astype(np.int32)
-    around = windows(tokens, len(model.classes))
-    total = -float(model.less[tokens].sum())
+def log_probs(model: Model, texts: list[np.ndarray], block: int = 1024) -> np.ndarray:
+    """For each text, the sum over all positions of log P(token | both sides), in blocks of windows that run
+    on from text to text; a word in a bucket counts as one that stands once (its log count comes from
+    ``rare_log_counts``)."""
+    total = np.zeros(len(texts))
+    if not len(texts):
+        return total
+    tokens = np.concatenate(texts).astype(np.int32)
+    around = np.concatenate([windows(t, len(model.classes)) for t in texts], 1)
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     for at in range(0, len(tokens), block):
-        target = tokens[at : at + block]
+        target, of = tokens[at : at + block], text[at : at + block] - text[at]
         h, z = forward(model.params, around[:, at : at + block])
-        total += float(z[np.arange(len(target)), model.classes[target]].sum(dtype=np.float64))
-        odds = decide(model.params["u"], h, *model.paths.steps(target))
-        total -= float((np.log1p(np.exp(-np.abs(odds))) + np.maximum(-odds, 0)).sum(dtype=np.float64))
+        steps = model.paths.steps(target)
+        odds = decide(model.params["u"], h, *steps)
+        sums = np.bincount(of, z[np.arange(len(target)), model.classes.take(target)] - model.less.take(target))
+        sums -= np.bincount(of.take(steps[0]), np.log1p(np.exp(-np.abs(odds))) + np.maximum(-odds, 0), len(sums))
+        total[text[at] : text[at] + len(sums)] += sums
     return total
 
 
+def document_log_prob(model: Model, tokens: np.ndarray, block: int = 4096) -> float:
+    """``log_probs`` of one text."""
+    return float(log_probs(model, [tokens], block)[0])
+
+
 def _score(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_heap()
         model: Model = shared.value
         for batch in batches:
             tokens = [np.frombuffer(x.as_py(), model.width) for x in batch.column(2)]
-            scores = [document_log_prob(model, t) if len(t) else 0.0 for t in tokens]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(t) for t in tokens], pa.int64()), pa.array(scores, pa.float64())], names=["row", "doc_id", "n_tokens", "log_prob"])
+            length = np.array([len(t) for t in tokens], np.int64)
+            part = np.cumsum(length) >> 16  # texts of about so many tokens at a time
+            scores = [log_probs(model, tokens[i:j]) for i, j in pairwise([*np.flatnonzero(np.diff(part, prepend=-1)), len(tokens)])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(length), pa.array(np.concatenate([*scores, np.empty(0)]))], names=["row", "doc_id", "n_tokens", "log_prob"])
     return run
 
 
