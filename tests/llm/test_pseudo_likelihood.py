@@ -199,6 +199,7 @@ def test_texts_scored_together_score_as_alone():
     texts = [rng.integers(0, 33, n) for n in (0, 5, 1, 0, 0, 70, 3, 200, 0)]
     for block in (1, 4, 64, 1000):
         assert np.allclose(P.log_probs(m, texts, block), [P.document_log_prob(m, t) for t in texts], rtol=1e-6)
+    assert (P.log_probs(m, texts) == [P.document_log_prob(m, t) for t in texts]).all()  # to the bit, whatever stands beside
     assert P.log_probs(m, []).tolist() == [] and P.log_probs(m, [texts[0]]).tolist() == [0]
 
 

@@ -134,14 +134,16 @@ def initial_params(n_classes: int, hidden: int, seed: int, n_tokens: int | None
     return p
 
 
-def forward(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden values and class log-probabilities; around: a column of tokens for each side."""
+def forward(p: dict[str, np.ndarray], around: np.ndarray, cuts: np.ndarray | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden values and class log-probabilities; around: a column of tokens for each side. The product with
+    the classes is formed anew at each cut: its last bits depend on the rows beside."""
     h = p["e"].take(around[0], axis=0) * p["a"][0]
     for s in range(1, len(SIDES)):
         h += p["e"].take(around[s], axis=0) * p["a"][s]
     h += p["b"]
     np.maximum(h, 0, out=h)
-    z = h @ p["w"] + p["c"]
+    z = np.concatenate([part @ p["w"] for part in np.split(h, cuts)])
+    z += p["c"]
     z -= np.ascontiguousarray(z.T).max(0)[:, None]
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return h, z
@@ -429,24 +431,28 @@ def train(tokens: DataFrame, model: Model, total: int, shard_tokens: int, rounds
     return model
 
 
-def log_probs(model: Model, texts: list[np.ndarray], block: int = 1024) -> np.ndarray:
-    """For each text, the sum over all positions of log P(token | both sides), in blocks of windows that run
-    on from text to text; a word in a bucket counts as one that stands once (its log count comes from
-    ``rare_log_counts``)."""
+def log_probs(model: Model, texts: list[np.ndarray], block: int = 4096) -> np.ndarray:
+    """For each text, the sum over all positions of log P(token | both sides), in blocks of windows; those of
+    short texts are taken together. A word in a bucket counts as one that stands once (its log count comes
+    from ``rare_log_counts``)."""
     total = np.zeros(len(texts))
     if not len(texts):
         return total
     tokens = np.concatenate(texts).astype(np.int32)
     around = np.concatenate([windows(t, len(model.classes)) for t in texts], 1)
     text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    for at in range(0, len(tokens), block):
-        target, of = tokens[at : at + block], text[at : at + block] - text[at]
-        h, z = forward(model.params, around[:, at : at + block])
+    ends = np.cumsum([len(t) for t in texts])
+    begin = np.concatenate([np.arange(end - len(t), end, block) for t, end in zip(texts, ends, strict=True)]).astype(np.int64)
+    first = np.flatnonzero(np.diff(begin >> 11, prepend=-1))  # blocks that begin within 2,048 positions
+    for i, j in pairwise([*first, len(begin)]):
+        run = slice(begin[i], begin[j] if j < len(begin) else len(tokens))
+        target, of = tokens[run], text[run] - text[run.start]
+        h, z = forward(model.params, around[:, run], begin[i + 1 : j] - begin[i])
         steps = model.paths.steps(target)
         odds = decide(model.params["u"], h, *steps)
         sums = np.bincount(of, z[np.arange(len(target)), model.classes.take(target)] - model.less.take(target))
         sums -= np.bincount(of.take(steps[0]), np.log1p(np.exp(-np.abs(odds))) + np.maximum(-odds, 0), len(sums))
-        total[text[at] : text[at] + len(sums)] += sums
+        total[text[run.start] : text[run.start] + len(sums)] += sums
     return total
 
 
