@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc as orc
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,3 +104,35 @@ def test_new_words_in_one_call_are_told_apart():
     encoder = token_orc.WordCachedEncoder(tokenizer_path(), 100)
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [ids_of(t) for t in texts]
+
+
+def test_known_words_are_compared_and_take_little_memory():
+    words = pa.array([f"word{k}" for k in range(100_000)], pa.large_string())
+    known = token_orc.KnownWords()
+    known.add(words.slice(0, 60_000).take(pa.array(range(60_000))))
+    known.add(words.take(pa.array(range(60_000, 100_000))))
+    assert known.find(words).tolist() == list(range(100_000))
+    assert known.find(token_orc._plain(["word7", "none", "word99999x"])).tolist() == [7, -1, -1]
+    known.hashes[:] = known.hashes[0]  # all words alike by their hash
+    assert set(known.find(words)) <= {-1, int(known.numbers[0])}
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    encoder = token_orc.WordCachedEncoder(tokenizer_path(), 200_000)
+    encoder._forget()
+    held = tracemalloc.get_traced_memory()[0]
+    encoder.encode_column(pa.array([" ".join(["a", *words.to_pylist()])]))
+    held = tracemalloc.get_traced_memory()[0] - held + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert len(encoder.words) == 100_000 and held < 80 * 100_000  # 150 bytes a word in a dict
+
+
+def test_workers_drop_the_encoder_with_its_job(spark, make_docs, tmp_path):
+    """Later jobs in the same worker processes do not carry the words of an earlier one."""
+    def alive(batches):
+        import gc
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "WordCachedEncoder" for x in gc.get_objects())], pa.int64())], names=["n"])
+
+    token_orc.write_tokens(make_docs([(k, f"text number {k} " * 40) for k in range(400)]).repartition(8), str(tmp_path / "t"), tokenizer_path(), 2)
+    assert sum(r["n"] for r in spark.range(0, 64, 1, 8).mapInArrow(alive, "n long").collect()) == 0

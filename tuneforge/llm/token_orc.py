@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tuneforge.llm import hashing as H
 from tuneforge.llm.common import blocks, text_or_empty
 
 SCHEMA = "doc_id long, block int, block_start long, n_tokens int, ids array<int>"
@@ -33,6 +33,52 @@ CACHE_WORDS = 1_000_000
 ODD, SPACE_MARK = r" (?:[\s\x0b\x1c-\x1f\x{85}\pZ]|$)", "\u0120"
 
 
+class KnownWords:
+    """Numbers of distinct words, from 0, in some 30 bytes beside each word's own: the words are one Arrow
+    array, found by the binary search of a 64-bit hash and compared, so that words of one hash are told apart."""
+
+    def __init__(self):
+        self.texts, self.hashes, self.numbers = pa.array([], pa.large_string()), np.empty(0, np.uint64), np.empty(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    @staticmethod
+    def _hashes(words: pa.Array) -> np.ndarray:
+        """words: whole, without an offset, none of them empty."""
+        offsets, data = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1), words.buffers()[2]
+        buf = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        return H.word_hashes(buf, offsets[:-1], offsets[1:], fold=False)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The number of each word, -1 for others."""
+        out = np.full(len(words), -1, np.int64)
+        if len(self) and len(words):
+            hashes = self._hashes(words)
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+            maybe = np.flatnonzero(self.hashes[at] == hashes)
+            numbers = self.numbers[at[maybe]]
+            same = pc.equal(self.texts.take(pa.array(numbers)), words.take(pa.array(maybe))).to_numpy(zero_copy_only=False)
+            out[maybe[same]] = numbers[same]
+        return out
+
+    def add(self, words: pa.Array) -> None:
+        """Distinct words that ``find`` does not know; they get the next numbers."""
+        if not len(words):
+            return
+        hashes = self._hashes(words)
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.numbers = np.insert(self.numbers, at, (len(self) + order).astype(np.int32))
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.texts = pa.concat_arrays([self.texts, words])
+
+
+def _plain(words: pa.Array | list[str]) -> pa.Array:
+    """As large strings in buffers of their own."""
+    return pa.concat_arrays([pa.array(words, pa.large_string()) if isinstance(words, list) else words.cast(pa.large_string()), pa.array([""], pa.large_string())])[:-1] if len(words) else pa.array([], pa.large_string())
+
+
 class WordCachedEncoder:
     """Whole-text ids of a tokenizers file, with the ids of repeated words remembered.
 
@@ -67,7 +113,7 @@ class WordCachedEncoder:
 
     def _forget(self) -> None:
         """words: the number of each kept word; its ids are pool[start:start + size]."""
-        self.words, self.late = {}, 0
+        self.words, self.late = KnownWords(), 0
         self.start, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -83,43 +129,39 @@ class WordCachedEncoder:
             return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return ids, np.diff(begin, append=len(ids))
 
-    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _keep(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.words), len(words)
         self.start, self.size = _grown(self.start, n + m), _grown(self.size, n + m)
         self.pool = _grown(self.pool, self.used + len(ids))
         self.pool[self.used : self.used + len(ids)] = ids
         self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + m] = sizes
-        self.words.update(zip(words, range(n, n + m), strict=True))
+        self.words.add(words)
         self.used += len(ids)
 
-    def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """start and size of the ids of distinct words in an array, which is the third result."""
-        number = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        number = self.words.find(words)
         missing = np.flatnonzero(number < 0)
         if not len(missing):
             return self.start[number], self.size[number], self.pool[: self.used]
-        new, extra_ids, extra_at, extra_sizes = [], [], [], []
-        for k in missing.tolist():
-            word = words[k]
-            mark = self.marks.get(word[-1:])
-            stem = self.words.get(word[:-1], -1) if mark is not None and word[-2:-1].isalpha() else -1  # a mark behind a letter is a piece of its own
-            if stem >= 0:
-                ids = np.concatenate([self.pool[self.start[stem] : self.start[stem] + self.size[stem]], mark])
-                extra_at.append(k)
-                extra_ids.append(ids)
-                extra_sizes.append(len(ids))
-            else:
-                new.append(k)
-        ids, sizes = self._encode_words([words[k] for k in new])
-        order = np.array(new + extra_at, np.int64)
-        ids, sizes = np.concatenate([ids, *extra_ids]), np.concatenate([sizes, np.array(extra_sizes, np.int64)])
+        late = words.take(pa.array(missing))
+        texts = late.to_pylist()
+        # a mark behind a letter is a piece of its own
+        marked = [k for k, word in enumerate(texts) if word[-1:] in self.marks and word[-2:-1].isalpha()]
+        stems = self.words.find(_plain([texts[k][:-1] for k in marked]))
+        extra = {k: stem for k, stem in zip(marked, stems.tolist(), strict=True) if stem >= 0}
+        extra_ids = [np.concatenate([self.pool[self.start[stem] : self.start[stem] + self.size[stem]], self.marks[texts[k][-1]]]) for k, stem in extra.items()]
+        new = [k for k in range(len(texts)) if k not in extra]
+        ids, sizes = self._encode_words([texts[k] for k in new])
+        order = np.array([*new, *extra], np.int64)
+        ids, sizes = np.concatenate([ids, *extra_ids]), np.concatenate([sizes, np.array([len(x) for x in extra_ids], np.int64)])
         start, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         had = number >= 0
         start[had], size[had] = self.start[number[had]], self.size[number[had]]
-        start[order], size[order] = self.used + np.cumsum(sizes) - sizes, sizes
+        start[missing[order]], size[missing[order]] = self.used + np.cumsum(sizes) - sizes, sizes
         if len(self.words) + len(order) <= self.cache_words:
-            self._keep([words[k] for k in order.tolist()], ids, sizes)
+            self._keep(late.take(pa.array(order)), ids, sizes)
             return start, size, self.pool[: self.used]
         self.late += len(order)
         return start, size, np.concatenate([self.pool[: self.used], ids])
@@ -141,7 +183,7 @@ class WordCachedEncoder:
         tail = np.ones(len(flat), bool)
         tail[plain_heads - split.offsets[0].as_py()] = False
         coded = flat.filter(pa.array(tail)).dictionary_encode()
-        starts, sizes, pool = self._known(coded.dictionary.to_pylist())
+        starts, sizes, pool = self._known(_plain(coded.dictionary))
         first = np.empty(n, object)
         first[odd] = texts.filter(pa.array(odd)).to_pylist()
         first[~odd] = flat.filter(pa.array(~tail)).to_pylist()
@@ -171,14 +213,20 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
-_ENCODERS: dict[tuple[str, int], WordCachedEncoder] = {}
+class SharedEncoder:
+    """The encoder of a worker process: made by its first task, so that later ones find the words of the earlier
+    ones. It goes out by broadcast, and the process drops it when it turns to a task of another job."""
+
+    def __init__(self, path: str, cache_words: int):
+        self.path, self.cache_words, self.made = path, cache_words, None
 
+    def __reduce__(self):
+        return SharedEncoder, (self.path, self.cache_words)
 
-def _encoder(path: str, cache_words: int) -> WordCachedEncoder:
-    """One for a worker process, so that its later tasks find the words of the earlier ones."""
-    if (path, cache_words) not in _ENCODERS:
-        _ENCODERS[path, cache_words] = WordCachedEncoder(path, cache_words)
-    return _ENCODERS[path, cache_words]
+    def get(self) -> WordCachedEncoder:
+        if self.made is None:
+            self.made = WordCachedEncoder(self.path, self.cache_words)
+        return self.made
 
 
 def _strings(texts: pa.Array) -> pa.Array:
@@ -188,9 +236,9 @@ def _strings(texts: pa.Array) -> pa.Array:
         return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
 
-def _encode_blocks(path: str, end_id: int, cache_words: int):
+def _encode_blocks(shared, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, block = _encoder(path, cache_words), 0, None
+        encoder, before, block = shared.value.get(), 0, None
         for batch in batches:
             doc_ids, block_ids, texts = batch.column(0), batch.column(1), batch.column(2)
             for i, j, _, _ in blocks(texts, 4_000_000):
@@ -201,6 +249,7 @@ def _encode_blocks(path: str, end_id: int, cache_words: int):
                 before += int(sizes.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(i, j - i), block_ids.slice(i, j - i), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "block", "block_start", "n_tokens", "ids"])
+                pa.default_memory_pool().release_unused()  # what the words of a block took would else stay with the process
     return run
 
 
@@ -213,7 +262,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
         .select("doc_id", F.spark_partition_id().alias("block"), "text")
     )
     (
-        rows.mapInArrow(_encode_blocks(tokenizer_path, end_id, cache_words), SCHEMA)
+        rows.mapInArrow(_encode_blocks(docs.sparkSession.sparkContext.broadcast(SharedEncoder(tokenizer_path, cache_words)), end_id), SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", str(bloom_fpp))
         .option("orc.create.index", "true")
