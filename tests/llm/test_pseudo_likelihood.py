@@ -1,5 +1,6 @@
 import time
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -233,3 +234,94 @@ def test_training_leaves_no_shuffle_files(spark, make_docs):
             break
         time.sleep(0.1)
     assert not left
+
+
+def test_gradients_of_a_stream_are_those_of_its_windows():
+    """Texts side by side in a stream, with nodes met seldom and often, as the sums over all windows."""
+    rng = np.random.default_rng(7)
+    m = P.make_model({b"w%d" % k: k for k in range(60)}, np.sort(rng.integers(1, 900, 63))[::-1], 4, 5, 1)
+    p = {k: v.astype(np.float64) + rng.normal(0, 0.2, v.shape) for k, v in m.params.items()}
+    texts = [rng.integers(0, 63, n) ** 4 // 63**3 for n in (1, 40, 2, 300, 7)]
+    tokens, edge = np.concatenate(texts), len(m.classes)
+    stream = np.concatenate([[edge, edge], *(np.append(t, [edge, edge]) for t in texts)]).astype(np.int32)
+    at, around = np.flatnonzero(stream != edge), np.concatenate([P.windows(t, edge) for t in texts], 1)
+    position, node, sign = m.paths.steps(tokens)
+    assert np.bincount(node).max() > 16 > np.bincount(node).min()
+    begin = m.paths.begin[tokens]
+    dense, rows = P.row_gradients(p | {"u": p["u"][:, :-1], "v": p["u"][:, -1]}, stream, at, m.classes[tokens], begin, m.paths.begin[tokens + 1] - begin, m.paths)
+    h, z = P.forward(p, around)
+    d = (np.exp(z) - np.eye(4)[m.classes[tokens]]) / len(tokens)
+    g = -sign / (1 + np.exp(P.decide(p["u"], h, position, node, sign))) / len(tokens)
+    dh, du, de = d @ p["w"].T, np.zeros_like(p["u"]), np.zeros_like(p["e"])
+    np.add.at(dh, position, g[:, None] * p["u"][node, :-1])
+    np.add.at(du, node, g[:, None] * np.append(h[position], np.ones((len(node), 1)), 1))
+    dh[h <= 0] = 0
+    for s in range(4):
+        np.add.at(de, around[s], dh * p["a"][s])
+        assert np.allclose(dense["a"][s], (dh * p["e"][around[s]]).sum(0))
+    assert np.allclose(dense["w"], h.T @ d) and np.allclose(dense["c"], d.sum(0)) and np.allclose(dense["b"], dh.sum(0))
+    row, u, v = rows["u"]
+    assert sorted(row) == sorted(set(node)) and np.allclose(u, du[row, :-1]) and np.allclose(v, du[row, -1])
+    row, e = rows["e"]
+    assert set(row) == set(stream) and np.allclose(e, de[row])
+    whole = P.gradients(p, around, m.classes[tokens], (position, node, sign))
+    assert np.allclose(whole["u"], du) and np.allclose(whole["e"], de) and np.allclose(whole["a"], dense["a"])
+
+
+def test_embeddings_are_read_once_for_all_windows():
+    """Not once for each side, in both directions."""
+    class Counted(np.ndarray):
+        rows = 0
+
+        def take(self, at, *args, **kwargs):
+            Counted.rows += np.size(at)
+            return np.asarray(self).take(at, *args, **kwargs)
+
+    rng = np.random.default_rng(8)
+    p, tokens = P.initial_params(5, 4, 1), rng.integers(0, 5, 100)
+    p["e"] = p["e"].view(Counted)
+    P.gradients(p, P.windows(tokens, 5), tokens)
+    assert Counted.rows <= 500
+
+
+def test_steps_do_not_depend_on_how_texts_come():
+    """A shard trained from batches of one row, or with long texts cut, changes the same rows alike."""
+    rng = np.random.default_rng(9)
+    m = P.make_model({b"w%d" % k: k for k in range(40)}, np.sort(rng.integers(1, 900, 43))[::-1], 4, 5, 1)
+    texts = [rng.integers(0, 43, n).astype(m.width) for n in (70_000, 1, 3, 500, 64, 2)]
+    run = P._train(SimpleNamespace(value=m), 64, 0.5, 0.1)
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), pa.array([t.tobytes() for t in rows], pa.binary())], names=["shard", "tokens"])
+    (a,), (b,) = run(iter([batch(texts)])), run(iter([batch([t]) for t in texts]))
+    assert a.equals(b)
+    weight = dict(zip(a.column(0).to_pylist(), a.column(1).to_pylist(), strict=True))
+    tokens = np.concatenate(texts).astype(int)
+    want = np.bincount(np.concatenate([P.windows(t.astype(int), 43) for t in texts], 1).ravel(), minlength=44)
+    assert [weight.get(k, 0) for k in range(44)] == want.tolist()
+    nodes = np.bincount(m.paths.steps(tokens)[1], minlength=len(m.params["u"]))
+    assert [weight.get(44 + k, 0) for k in range(len(nodes))] == nodes.tolist()
+
+
+def test_words_are_split_for_many_texts_at_once():
+    rng = np.random.default_rng(10)
+    words = np.array([b"%x" % w for w in rng.integers(0, 1 << 40, 20_000)], object)
+    texts = [b" ".join(words[(rng.random(500) ** 3 * len(words)).astype(int)]) for _ in range(400)]
+    odd = [b"", b" ", b"\x1c a\x0b\x0cB\x85 \xff\xfe q\x00 ", b"x\r\ny\t", "É é".encode()]
+    m = P.make_model({w: k for k, w in enumerate(words[:5000])}, np.ones(5100, np.int64), 4, 4, 0)
+    data = pa.array(texts + odd, pa.binary())
+    found, ends = P.split_words(data)
+    assert [found[i:j].to_pylist() for i, j in zip(ends, ends[1:])] == [t.lower().split() for t in texts + odd]
+    tokens, at, rare, rare_at = m.tokens_of(data, m.vocabulary())
+    for k, t in enumerate(texts + odd):
+        one, others = m.tokens(t)
+        assert (tokens[at[k] : at[k + 1]] == one).all() and rare[rare_at[k] : rare_at[k + 1]].to_pylist() == others == [w for w in t.lower().split() if w not in m.index]
+
+    def least(f):
+        times = []
+        for _ in range(5):
+            begin = time.thread_time()
+            f()
+            times.append(time.thread_time() - begin)
+        return min(times)
+
+    batch = pa.RecordBatch.from_arrays([data], names=["text"])
+    assert least(lambda: list(P._count_words([batch]))) < 0.8 * least(lambda: Counter(w for t in data for w in t.as_py().lower().split()))

@@ -27,23 +27,23 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import pairwise, repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneforge.llm.common import text_or_empty
+from tuneforge.llm.common import blocks, text_or_empty
 from tuneforge.llm.suffix_dedup import swept
 
 SIDES = (-2, -1, 1, 2)
 SCORE_SCHEMA = "row long, doc_id long, n_tokens long, log_prob double"
 TOKEN_SCHEMA = "row long, doc_id long, text_hash long, tokens binary, rare array<binary>"
-#: Distinct words that a task counts at a time.
+#: Words that a task splits at a time, at 16 bytes each.
 WORDS_HELD = 1 << 19
 
 
@@ -84,13 +84,31 @@ class Model:
 
     def tokens(self, data: bytes) -> tuple[np.ndarray, list[bytes]]:
         """The tokens of a text, and its words that are in a bucket."""
-        words = data.lower().split()
+        tokens, _, rare, _ = self.tokens_of(pa.array([data], pa.binary()), self.vocabulary())
+        return tokens, rare.to_pylist()
+
+    def vocabulary(self) -> pa.Array:
+        return pa.array(self.index, pa.binary())
+
+    def tokens_of(self, texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """The tokens of texts, one after the other, and where each text's begin and end; likewise their words
+        that are in a bucket."""
+        words, ends = split_words(texts)
+        tokens = pc.fill_null(pc.index_in(words, vocabulary), -1).to_numpy()
+        rare = tokens < 0
+        others = words.filter(pa.array(rare))
         known, n_buckets = len(self.index), len(self.classes) - len(self.index)
-        tokens = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
-        at = np.flatnonzero(tokens < 0)
-        rare = [words[k] for k in at]
-        tokens[at] = [known + zlib.crc32(w) % n_buckets for w in rare]
-        return tokens, rare
+        tokens = tokens.astype(np.int32)
+        tokens[rare] = [known + zlib.crc32(w) % n_buckets for w in others.to_pylist()]
+        return tokens, ends, others, np.append(0, np.cumsum(rare))[ends]
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts (binary) as ``bytes.lower().split()`` gives them, and where each text's begin and end."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, ends = found.values, found.offsets.to_numpy()
+    some = pc.not_equal(pc.binary_length(words), 0)  # texts that begin or end with a space, or are empty
+    return words.filter(some).view(pa.binary()), np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))[ends]
 
 
 def make_paths(classes: np.ndarray, within: np.ndarray) -> tuple[Paths, np.ndarray]:
@@ -134,19 +152,39 @@ def initial_params(n_classes: int, hidden: int, seed: int, n_tokens: int | None
     return p
 
 
-def forward(p: dict[str, np.ndarray], around: np.ndarray, cuts: np.ndarray | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden values and class log-probabilities; around: a column of tokens for each side. The product with
-    the classes is formed anew at each cut: its last bits depend on the rows beside."""
-    h = p["e"].take(around[0], axis=0) * p["a"][0]
-    for s in range(1, len(SIDES)):
-        h += p["e"].take(around[s], axis=0) * p["a"][s]
-    h += p["b"]
+def _hidden(p: dict[str, np.ndarray], stream: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """By column, the hidden values of the windows around all tokens of a stream but the first and last two, and the
+    embeddings on each side. A token's embedding is read once for all windows around it."""
+    e, scale = np.ascontiguousarray(p["e"].take(stream, axis=0).T), p["a"][:, :, None]
+    sides = [e[:, 2 + s : len(stream) - 2 + s] for s in SIDES]
+    h = sides[0] * scale[0]
+    for k in range(1, len(SIDES)):
+        h += sides[k] * scale[k]
+    h += p["b"][:, None]
     np.maximum(h, 0, out=h)
-    z = np.concatenate([part @ p["w"] for part in np.split(h, cuts)])
-    z += p["c"]
-    z -= np.ascontiguousarray(z.T).max(0)[:, None]
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return h, z
+    return h, sides
+
+
+def _class_logs(p: dict[str, np.ndarray], h: np.ndarray, cuts: np.ndarray | tuple = ()) -> np.ndarray:
+    """Class log-probabilities by column. The product with the classes is formed anew at each cut: its last bits
+    depend on the columns beside."""
+    z = np.concatenate([p["w"].T @ part for part in np.split(h, cuts, axis=1)], 1)
+    z += p["c"][:, None]
+    z -= z.max(0)
+    z -= np.log(np.exp(z).sum(0))
+    return z
+
+
+def _stream(around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as a stream of tokens, side by side, and the places of their targets in it."""
+    return np.insert(around, 2, around[0], axis=0).T.ravel(), 5 * np.arange(around.shape[1]) + 2
+
+
+def forward(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden values and class log-probabilities; around: a column of tokens for each side."""
+    stream, at = _stream(around)
+    h = _hidden(p, stream)[0].take(at - 2, axis=1)
+    return np.ascontiguousarray(h.T), _class_logs(p, h).T
 
 
 def decide(u: np.ndarray, h: np.ndarray, position: np.ndarray, node: np.ndarray, sign: np.ndarray) -> np.ndarray:
@@ -159,51 +197,51 @@ def _odds(met: np.ndarray, h: np.ndarray, sign: np.ndarray) -> np.ndarray:
 
 
 def _run_sums(values: np.ndarray, first: np.ndarray, n: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
-    """``np.add.reduceat(values[order], first, axis=0)`` for runs of n rows, to the bit, a rank of all runs of up
-    to 16 rows at a time. It adds to the first row the sum of the others: up to seven of them one by one; of
-    more, the first eight in pairs, then those beyond one by one."""
-    def ranked(runs: np.ndarray, k: int) -> np.ndarray:
-        at = runs + k
-        return values.take(at if order is None else order.take(at), axis=0)
-
-    out = ranked(first, 0)
-    short = np.flatnonzero((n > 1) & (n <= 16))
-    if len(short):
-        short = short.take(np.argsort((16 - n.take(short)).astype(np.uint8), kind="stable"))  # the longest first
-        begin = first.take(short)
-        left = len(short) - np.cumsum(np.bincount(n.take(short), minlength=17))  # runs of more than k rows
-        more = ranked(begin, 1)
-        eight = int(left[8])
-        for k in range(2, 8):
-            more[eight : left[k]] += ranked(begin[eight : left[k]], k)
-        if eight:
-            begin, top = begin[:eight], more[:eight]
-            top += ranked(begin, 2)
-            top += ranked(begin, 3) + ranked(begin, 4)
-            top += (ranked(begin, 5) + ranked(begin, 6)) + (ranked(begin, 7) + ranked(begin, 8))
-            for k in range(9, 16):
-                top[: left[k]] += ranked(begin[: left[k]], k)
-        out[short] = out.take(short, axis=0) + more
-    long = np.flatnonzero(n > 16)
-    if len(long):
-        size = n.take(long)
-        to = np.cumsum(size) - size
-        out[long] = np.add.reduceat(ranked(np.arange(size.sum()) + np.repeat(first.take(long) - to, size), 0), to, axis=0)
-    return out
+    """The sums of runs of n rows of ``values[order]``."""
+    to = np.cumsum(n) - n
+    at = np.arange(n.sum()) + np.repeat(first - to, n)
+    return np.add.reduceat(values.take(at if order is None else order.take(at), axis=0), to, axis=0)
 
 
 def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sums of their values, how often they stand."""
     if not len(rows):
         return rows, values, np.empty(0, np.int64)
+    order, rows, first, n = _runs(rows)
+    return rows, _run_sums(values, first, n, order), n
+
+
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order of row numbers; the distinct ones, where their runs begin in that order, how long these are."""
     order = _order(rows)
     inside = rows.take(order)
     new = np.empty(len(rows), bool)
     new[0] = True
     np.not_equal(inside[1:], inside[:-1], out=new[1:])
     first = np.flatnonzero(new)
-    n = np.diff(first, append=len(rows))
-    return inside.take(first), _run_sums(values, first, n, order), n
+    return order, inside.take(first), first, np.diff(first, append=len(rows))
+
+
+def _ranked(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All places of runs of n places, the longest runs first, rank by rank; their runs; where each rank ends."""
+    left = np.bincount(n)[::-1].cumsum()[::-1][1:]  # runs of more than k places
+    ends = left.cumsum()
+    run = np.arange(left.sum())
+    run -= np.repeat(ends - left, left)
+    at = first.take(run)
+    at += np.repeat(np.arange(len(left)), left)
+    return at, run, ends
+
+
+def _ranked_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of each run of values (or rows) that lie as ``_ranked`` says; takes the place of the first ones."""
+    begin, *more = [0, *ends.tolist()]
+    out = values[: more[0]] if more else values
+    for end in more:
+        if begin:
+            out[: end - begin] += values[begin:end]
+        begin = end
+    return out
 
 
 def _order(rows: np.ndarray) -> np.ndarray:
@@ -214,37 +252,97 @@ def _order(rows: np.ndarray) -> np.ndarray:
     return order
 
 
-def row_gradients(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, steps: tuple | None = None) -> tuple[dict[str, np.ndarray], dict[str, tuple]]:
-    """Mean gradient of the negative log-probability of the target classes and decisions: whole
-    arrays, and of embeddings and decisions only the rows met (rows, gradient, how often)."""
-    n = len(target)
-    h, z = forward(p, around)
-    d = np.exp(z)
-    d[np.arange(n), target] -= 1
-    d /= n
-    dh = d @ p["w"].T
-    rows = {}
-    if steps is not None and len(steps[0]):
-        position, node, sign = steps
-        met, bent = p["u"].take(node, axis=0), np.concatenate([h, np.ones((n, 1), h.dtype)], 1).take(position, axis=0)
-        g = (-sign / (1 + np.exp(np.minimum(_odds(met, bent[:, :-1], sign), 80))) / n).astype(h.dtype)
-        first = np.flatnonzero(np.append(True, position[1:] != position[:-1]))
-        met *= g[:, None]
-        dh[position[first]] += _run_sums(met, first, np.diff(first, append=len(position)))[:, :-1]
-        bent *= g[:, None]
-        rows["u"] = _row_sums(node, bent)
-    dh[h <= 0] = 0
-    a = np.stack([np.einsum("ij,ij->j", dh, p["e"].take(around[s], axis=0)) for s in range(len(SIDES))])
-    rows["e"] = _row_sums(around.ravel(), (dh[None] * p["a"][:, None]).reshape(-1, dh.shape[1]))
-    return {"a": a, "b": dh.sum(0), "w": h.T @ d, "c": d.sum(0)}, rows
+def _decision_gradients(p: dict[str, np.ndarray], h: np.ndarray, begin: np.ndarray, n: np.ndarray, paths: Paths) -> tuple[np.ndarray, tuple]:
+    """What the decisions add to the gradient of the hidden values, and the nodes met with the gradients of
+    their weights and biases. Each position has n decisions from ``begin`` in the paths: with the longest paths
+    first, those of a rank lie side by side and are added as one slice; so do the positions that met a node.
+    A node met more than 16 times takes its sum from a product with a row for all positions."""
+    by = np.argsort((n.max() - n).astype(np.uint16), kind="stable")
+    by = by[: np.count_nonzero(n)]
+    at, run, ends = _ranked(begin.take(by), n.take(by))
+    position, node, sign = by.take(run), paths.nodes.take(at), paths.signs.take(at)
+    met, bent = p["u"].take(node, axis=0), h.take(position, axis=0)
+    bent *= met
+    g = bent @ np.ones(h.shape[1], h.dtype)
+    g += p["v"].take(node)
+    g *= sign
+    np.exp(np.minimum(g, 80, out=g), out=g)
+    g += 1
+    g *= -len(h)
+    np.divide(sign, g, out=g)
+    met *= g[:, None]
+    dh = np.zeros_like(h)
+    dh[by] = _ranked_sums(met, ends)
+
+    order, rows, first, n = _runs(node)
+    longest = np.argsort(17 - np.minimum(n, 17).astype(np.uint8), kind="stable")
+    rows, first, n = rows.take(longest), first.take(longest), n.take(longest)
+    long = int(np.count_nonzero(n > 16))
+    du, dv = np.empty((len(rows), h.shape[1]), h.dtype), np.empty(len(rows), h.dtype)
+    at, _, ends = _ranked(first[long:], n[long:])
+    at = order.take(at)
+    some, bent = g.take(at), bent[: len(at)]
+    np.take(h, position.take(at), axis=0, out=bent, mode="clip")
+    bent *= some[:, None]
+    du[long:], dv[long:] = _ranked_sums(bent, ends), _ranked_sums(some, ends)
+    if long:
+        n = n[:long]
+        at = order.take(np.arange(n.sum()) + np.repeat(first[:long] - (np.cumsum(n) - n), n))
+        each = np.zeros((long, len(h)), h.dtype)
+        each[np.repeat(np.arange(long), n), position.take(at)] = g.take(at)
+        np.matmul(each, h, out=du[:long])
+        dv[:long] = each.sum(1)
+    return dh, (rows, du, dv)
+
+
+def row_gradients(p: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray, target: np.ndarray, begin: np.ndarray | None = None, n: np.ndarray | None = None, paths: Paths | None = None) -> tuple[dict[str, np.ndarray], dict[str, tuple]]:
+    """Mean gradient of the negative log-probability of the target classes and decisions at the places ``at`` of
+    a stream of tokens: whole arrays, and of embeddings (e) and decisions (u, their biases v) only the rows met.
+    The gradients of all windows that a token stands in are added before they are dealt to its row."""
+    inner, m = len(stream) - 4, len(target)
+    h, sides = _hidden(p, stream)
+    if m < inner:
+        h = h.take(at - 2, axis=1)
+    d = p["w"].T @ h
+    d += p["c"][:, None]
+    d -= d.max(0)
+    np.exp(d, out=d)
+    d /= d.sum(0)
+    d[target, np.arange(m)] -= 1
+    d /= m
+    dh, rows = p["w"] @ d, {}
+    if paths is not None and n.any():
+        bent, rows["u"] = _decision_gradients(p, np.ascontiguousarray(h.T), begin, n, paths)
+        dh += bent.T
+    dh *= h > 0
+    whole = {"b": dh.sum(1), "w": h @ d.T, "c": d.sum(1)}
+    if m < inner:
+        dh, some = np.zeros((len(dh), inner), dh.dtype), dh
+        dh[:, at - 2] = some
+    whole["a"] = np.stack([np.einsum("ij,ij->i", dh, side) for side in sides])
+    de = np.zeros((len(dh), len(stream)), dh.dtype)
+    for s, a in zip(SIDES, p["a"], strict=True):
+        de[:, 2 + s : 2 + s + inner] += dh * a[:, None]
+    rows["e"] = _row_sums(stream, np.ascontiguousarray(de.T))[:2]
+    return whole, rows
 
 
 def gradients(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, steps: tuple | None = None) -> dict[str, np.ndarray]:
-    """The same as whole arrays."""
-    whole, rows = row_gradients(p, around, target, steps)
-    for k, (at, g, _) in rows.items():
-        whole[k] = np.zeros_like(p[k])
-        whole[k][at] = g
+    """The same as whole arrays, with the tokens around each target and the decisions to it in order of position."""
+    n = len(target)
+    (stream, at), more = _stream(around), ()
+    if steps is not None:
+        position, node, sign = steps
+        size = np.bincount(position, minlength=n)
+        p = p | {"u": p["u"][:, :-1], "v": p["u"][:, -1]}
+        more = (np.cumsum(size) - size, size, Paths(np.empty(0, np.int64), node, sign))
+    whole, rows = row_gradients(p, stream, at, target, *more)
+    whole["e"] = np.zeros_like(p["e"])
+    whole["e"][rows["e"][0]] = rows["e"][1]
+    if "u" in rows:
+        at, du, dv = rows["u"]
+        whole["u"] = np.zeros((len(p["u"]), du.shape[1] + 1), du.dtype)
+        whole["u"][at] = np.concatenate([du, dv[:, None]], 1)
     return whole
 
 
@@ -259,22 +357,20 @@ def vocabulary_size(total: int) -> int:
     return max(8191, 4 * math.isqrt(total))
 
 
-def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their counts, lower-cased and split as ``Model.tokens`` does; a word comes again when
-    ``WORDS_HELD`` others were counted before."""
-    held = Counter()
+def _text_blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and last (exclusive) of blocks of texts; a large text stands alone."""
+    for i, j, _, _ in blocks(column, 16 * WORDS_HELD):
+        yield i, j
 
-    def counted() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
 
+def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts, lower-cased and split as ``Model.tokens`` does; a word comes again in each block
+    of texts."""
     for batch in batches:
-        for text in batch.column(0):
-            held.update(text.as_py().lower().split())
-            if len(held) >= WORDS_HELD:
-                yield counted()
-                held.clear()
-    if held:
-        yield counted()
+        for i, j in _text_blocks(batch.column(0)):
+            found = pc.value_counts(split_words(batch.column(0).slice(i, j - i))[0])
+            if len(found):
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
 
 def build_vocabulary(docs: DataFrame, vocabulary: int | None) -> tuple[dict[bytes, int], np.ndarray, int, DataFrame]:
@@ -332,11 +428,15 @@ def tokenise(docs: DataFrame, shared) -> DataFrame:
     and its words beyond the vocabulary, in one pass."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _keep_heap()
+        model: Model = shared.value
+        vocabulary, width = model.vocabulary(), np.dtype(model.width)
         for batch in batches:
-            found = [shared.value.tokens(x.as_py()) for x in batch.column(3)]
-            width = shared.value.width
-            tokens, rare = pa.array([t.astype(width).tobytes() for t, _ in found], pa.binary()), pa.array([r for _, r in found], pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], tokens, rare], names=["row", "doc_id", "text_hash", "tokens", "rare"])
+            for i, j in _text_blocks(batch.column(3)):
+                part = batch.slice(i, j - i)
+                tokens, ends, rare, rare_ends = model.tokens_of(part.column(3), vocabulary)
+                tokens = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((ends * width.itemsize).astype(np.int32)), pa.py_buffer(tokens.astype(width))])
+                rare = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), rare)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], tokens, rare], names=["row", "doc_id", "text_hash", "tokens", "rare"])
 
     text = text_or_empty()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
@@ -347,7 +447,7 @@ def rare_log_counts(tokens: DataFrame, repeated: DataFrame) -> DataFrame:
     """For each row, the sum of the log counts of its words beyond the vocabulary (0 for words that
     stand once, so that these are left out)."""
     words = tokens.select("row", F.explode("rare").alias("word"))
-    return words.join(repeated, "word").groupBy("row").agg(F.sum(F.log("count")).alias("rare_log"))
+    return words.join(repeated.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum(F.log("count")).alias("rare_log"))
 
 
 def _keep_heap() -> None:
@@ -356,36 +456,62 @@ def _keep_heap() -> None:
     np.empty(30 << 20, np.uint8)
 
 
+def _put_rows(to: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
+    """``to[row] = values`` of whole rows, each written as one value."""
+    one = np.dtype((np.void, to.dtype.itemsize * to.shape[1]))
+    np.put(to.view(one).ravel(), row, values.view(one).ravel())
+
+
 def _train(shared, batch_size: int, rate: float, row_rate: float):
     """Rows sorted by shard: one pass of SGD over each shard from the shared parameters, with
     steps of embeddings and decisions shortened by their own past gradients."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         _keep_heap()
+        paths, edge = model.paths, len(model.classes)
         shard, p, past, met, seen, held, size = None, None, None, None, 0, [], 0
+        between, sides = np.full(2, edge, np.int32), np.array(SIDES)[:, None]
 
         def step(force: bool) -> None:
+            """One step for each whole batch of tokens held (with force, for the rest too). The first two tokens
+            held and the last two are only read as neighbours."""
             nonlocal held, size, seen
-            if not size or not (force or size >= batch_size):
+            stream = np.concatenate(held)
+            at = np.flatnonzero(stream[2:-2] != edge) + 2
+            at = at if force else at[: len(at) - len(at) % batch_size]
+            if not len(at):
                 return
-            around, tokens = np.concatenate([a for a, _ in held], 1), np.concatenate([t for _, t in held])
-            whole = len(tokens) if force else len(tokens) - len(tokens) % batch_size
-            for at in range(0, whole, batch_size):
-                part = slice(at, min(at + batch_size, whole))
-                dense, rows = row_gradients(p, around[:, part], model.classes[tokens[part]], model.paths.steps(tokens[part]))
-                for k, g in dense.items():
-                    p[k] -= np.float32(rate) * g
-                for k, (row, g, n) in rows.items():
-                    past[k][row] = power = past[k].take(row) + np.einsum("ij,ij->i", g, g) / g.shape[1]
-                    g *= (np.float32(row_rate) / np.sqrt(power + np.float32(1e-20)))[:, None]
-                    p[k][row] = p[k].take(row, axis=0) - g
-                    met[k][row] += n
-            seen += whole
-            held, size = [(around[:, whole:], tokens[whole:])], len(tokens) - whole
+            for k in range(0, len(at), batch_size):
+                part = at[k : k + batch_size]
+                some = stream[part[0] - 2 : part[-1] + 3]
+                tokens = stream.take(part)
+                begin = paths.begin.take(tokens)
+                dense, rows = row_gradients(p, some, part - (part[0] - 2), model.classes.take(tokens), begin, paths.begin.take(tokens + 1) - begin, paths)
+                for name, g in dense.items():
+                    p[name] -= np.float32(rate) * g
+                for name, (row, g, *bias) in rows.items():
+                    power = (g * g) @ np.ones(g.shape[1], np.float32)
+                    if bias:
+                        power += bias[0] * bias[0]
+                    power /= g.shape[1] + len(bias)
+                    power += past[name].take(row)
+                    past[name][row] = power
+                    shorter = np.float32(row_rate) / np.sqrt(power + np.float32(1e-20))
+                    g *= shorter[:, None]
+                    _put_rows(p[name], row, np.subtract(p[name].take(row, axis=0), g, out=g))
+                    if bias:
+                        p["v"][row] -= bias[0] * shorter
+            met["e"] += np.bincount(stream.take(at + sides).ravel(), minlength=edge + 1)
+            met["u"] += np.bincount(stream.take(at), minlength=edge)
+            seen += len(at)
+            held = [stream[at[-1] - 1 :]]
+            size -= len(at)
 
         def result() -> pa.RecordBatch:
-            change = _rows(p, model.hidden).astype(np.float64) - _rows(model.params, model.hidden)
-            weight = np.concatenate([met["e"], met["u"], np.full(len(change) - len(met["e"]) - len(met["u"]), seen)])
+            # All decisions on the way to a token are met as often as it is.
+            decided = np.bincount(paths.nodes, np.repeat(met["u"], np.diff(paths.begin)), len(p["u"])).astype(np.int64)
+            change = _rows(p | {"u": np.concatenate([p["u"], p["v"][:, None]], 1)}, model.hidden).astype(np.float64) - _rows(model.params, model.hidden)
+            weight = np.concatenate([met["e"], decided, np.full(len(change) - len(met["e"]) - len(decided), seen)])
             row = np.flatnonzero(weight)
             change = (change[row] * weight[row, None]).astype(np.float32)
             return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(weight[row], pa.int64()), *(pa.array(x) for x in change.T)], names=["row", "weight", *(f"d{k}" for k in range(model.hidden + 1))])
@@ -397,17 +523,18 @@ def _train(shared, batch_size: int, rate: float, row_rate: float):
                     if shard is not None:
                         step(True)
                         yield result()
-                    shard, seen, held, size = shards[k], 0, [], 0
-                    p = {name: value.copy() for name, value in model.params.items()}
+                    shard, seen, held, size = shards[k], 0, [between], 0
+                    p = {name: value.copy() for name, value in model.params.items() if name != "u"}
+                    p |= {"u": model.params["u"][:, :-1].copy(), "v": model.params["u"][:, -1].copy()}
                     past = {name: np.zeros(len(p[name]), np.float32) for name in "eu"}
-                    met = {name: np.zeros(len(p[name]), np.int64) for name in "eu"}
+                    met = {"e": np.zeros(edge + 1, np.int64), "u": np.zeros(edge, np.int64)}
                 tokens = np.frombuffer(batch.column(1)[k].as_py(), model.width).astype(np.int32)
-                around = windows(tokens, len(model.classes))
                 for at in range(0, len(tokens), 1 << 16):
-                    held.append((around[:, at : at + (1 << 16)], tokens[at : at + (1 << 16)]))
-                    size += len(held[-1][1])
-                    if size >= 16 * batch_size:
+                    held.append(tokens[at : at + (1 << 16)])
+                    size += len(held[-1])
+                    if size >= 16 * batch_size + 2:
                         step(False)
+                held.append(between)
         if shard is not None:
             step(True)
             yield result()
@@ -438,19 +565,22 @@ def log_probs(model: Model, texts: list[np.ndarray], block: int = 4096) -> np.nd
     total = np.zeros(len(texts))
     if not len(texts):
         return total
-    tokens = np.concatenate(texts).astype(np.int32)
-    around = np.concatenate([windows(t, len(model.classes)) for t in texts], 1)
+    tokens, edge = np.concatenate(texts).astype(np.int32), len(model.classes)
     text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    place = np.arange(len(tokens)) + 2 * (text + 1)
+    stream = np.full(len(tokens) + 2 * (len(texts) + 1), edge, np.int32)
+    stream[place] = tokens
     ends = np.cumsum([len(t) for t in texts])
     begin = np.concatenate([np.arange(end - len(t), end, block) for t, end in zip(texts, ends, strict=True)]).astype(np.int64)
     first = np.flatnonzero(np.diff(begin >> 11, prepend=-1))  # blocks that begin within 2,048 positions
     for i, j in pairwise([*first, len(begin)]):
         run = slice(begin[i], begin[j] if j < len(begin) else len(tokens))
-        target, of = tokens[run], text[run] - text[run.start]
-        h, z = forward(model.params, around[:, run], begin[i + 1 : j] - begin[i])
+        target, of, at = tokens[run], text[run] - text[run.start], place[run]
+        by_column = _hidden(model.params, stream[at[0] - 2 : at[-1] + 3])[0].take(at - at[0], axis=1)
+        z, h = _class_logs(model.params, by_column, begin[i + 1 : j] - begin[i]), np.ascontiguousarray(by_column.T)
         steps = model.paths.steps(target)
         odds = decide(model.params["u"], h, *steps)
-        sums = np.bincount(of, z[np.arange(len(target)), model.classes.take(target)] - model.less.take(target))
+        sums = np.bincount(of, z[model.classes.take(target), np.arange(len(target))] - model.less.take(target))
         sums -= np.bincount(of.take(steps[0]), np.log1p(np.exp(-np.abs(odds))) + np.maximum(-odds, 0), len(sums))
         total[text[run.start] : text[run.start] + len(sums)] += sums
     return total
