@@ -96,3 +96,18 @@ def test_odd_features(here):
         maps, cand = kernels.FeatureMaps(2), {"trial_id": 0, "kernel": "rbf", "gamma": 3.0, "C": 1.0}
         fit, = kernels.fit_steps(Blocks(x, x[:, 0] > 0.5, np.zeros(50)), kernels.new_fits([cand], maps), maps, 4)
         assert np.isnan(fit.w).all()
+
+
+def test_other_kernels_share_the_steps(here):
+    """search_random_svm: linear and polynomial models take each step over all rows, rbf models of the batch do not."""
+    rng = np.random.default_rng(9)
+    x = rng.random((3000, 4))
+    y = (x.sum(axis=1) + 0.4 * rng.random(3000) > 2.2).astype(float)
+    cands = [{"trial_id": 0, "kernel": "linear", "C": 1.0}, {"trial_id": 1, "kernel": "poly", "gamma": 0.5, "degree": 2, "C": 1.0}, {"trial_id": 2, "kernel": "poly", "gamma": 0.3, "degree": 3, "C": 0.1},
+             {"trial_id": 3, "kernel": "rbf", "gamma": 0.2, "C": 1.0}, {"trial_id": 4, "kernel": "rbf", "gamma": 4.0, "C": 5.0}]
+    maps = kernels.FeatureMaps(4)
+    fits = kernels.fit_steps(Blocks(x, y, np.zeros(3000)), kernels.new_fits(cands, maps), maps, 20, 2.0)
+    assert here["passes"] == 21 and here["cosines"] < 2 * 3000 * 64 * 6
+    for f in fits:
+        w, b = plain_steps(plain_features(x, cands[f.trial_id]), y, f.C, 20, 2.0, "svc", np.ones(3000, bool))
+        assert np.allclose(f.w, w, atol=1e-9) and abs(f.b - b) < 1e-9
