@@ -61,3 +61,15 @@ def test_batch_setting_is_put_back(spark):
         assert spark.conf.get(session._BATCH_CONF) == "1m"
     finally:
         spark.conf.set(session._BATCH_CONF, before)
+
+
+def test_best_first_state_with_draws(spark, monkeypatch):
+    """fit_gbdt: rows carry their keys and draws, and the cost is the AUC."""
+    written = []
+    monkeypatch.setattr(trees, "cut_lineage", lambda df, **kw: written.append(session.cut_lineage(df, **kw)) or written[-1])
+    monkeypatch.setattr(trees, "spread_if_few", lambda df: df)
+    cands = [{"trial_id": k, "objective": "binary", "learning_rate": 0.3, "max_depth": 2, "n_estimators": 3, "subsample": 0.8 + k % 3 / 10} for k in range(18)]
+    df = spark.range(90_000, numPartitions=1).selectExpr("string(id) key", "array(int(id % 16), int(id % 7)) bins", "double(id % 16 + id % 7 > 9) label", "if(id % 4 = 0, 'val', 'train') split")
+    res = trees.fit_boosted_trees(spark, df, cands, "auc", trees.BoostConfig(checkpoint_every=1, n_bins=16, max_leaves=31, early_stopping_rounds=20))
+    assert {r.status for r in res.costs.collect()} == {"ok"}
+    assert len(written) == 3 and all(max(row_groups(w)) < 9 * MB for w in written) and sum(row_groups(written[-1])) > 12 * MB
