@@ -4,8 +4,10 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF_SMALL
 from tuneforge import session
 from tuneforge.operators import packed, trees
+from tuneforge.plans import catalog
 
 MB = 1 << 20
 
@@ -73,3 +75,16 @@ def test_best_first_state_with_draws(spark, monkeypatch):
     res = trees.fit_boosted_trees(spark, df, cands, "auc", trees.BoostConfig(checkpoint_every=1, n_bins=16, max_leaves=31, early_stopping_rounds=20))
     assert {r.status for r in res.costs.collect()} == {"ok"}
     assert len(written) == 3 and all(max(row_groups(w)) < 9 * MB for w in written) and sum(row_groups(written[-1])) > 12 * MB
+
+
+@pytest.mark.parametrize("name", ["fit_boosted_trees", "search_pso_boosted", "rebuild_boosted"])
+def test_queries_write_blocks_in_small_row_groups(spark, monkeypatch, name):
+    """However many blocks a partition has: quantile passes and booster states alike."""
+    written = []
+    for module in (packed, trees):
+        monkeypatch.setattr(module, "BLOCK_BYTES", 2000)
+        monkeypatch.setattr(module, "cut_lineage", lambda df, **kw: written.append(session.cut_lineage(df, **kw)) or written[-1])
+    assert getattr(catalog, f"q_{name}")(spark, SF_SMALL).count()
+    assert {"x", "f"} - {c for df in written for c in df.columns} == ({"x"} if name != "search_pso_boosted" else set())
+    rows = [m.row_group(i).num_rows for df in written for f in df.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:")).metadata] for i in range(m.num_row_groups)]
+    assert sum(rows) > 100 and max(rows) <= 8
